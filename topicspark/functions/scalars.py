@@ -44,4 +44,5 @@ def sparse_to_json(words: Column, values: Column) -> Column:
 
 
 def sparse_from_json(text: Column) -> Column:
-    return F.from_json(text, "map<int,double>")
+    """json keys are text; they become word numbers again."""
+    return F.transform_keys(F.from_json(text, "map<string,double>"), lambda key, _: key.cast("int"))

@@ -81,7 +81,7 @@ def document_vectors(bow: DataFrame) -> DataFrame:
             .select("doc_id", F.col("_t.word_id").alias("words"), F.col("_t.freq").alias("freqs")))
 
 
-def freq_of_word(vectors: DataFrame, word_id: Column) -> Column:
+def freq_of_word(word_id: Column) -> Column:
     """Frequency of a word number in a document row of `document_vectors`, 0 if absent."""
     at = F.array_position(F.col("words"), word_id)
     return F.when(at > 0, F.get(F.col("freqs"), (at - 1).cast("int"))).otherwise(F.lit(0))
