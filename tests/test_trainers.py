@@ -6,7 +6,7 @@ import pytest
 from tests import loops
 from topicspark.operators import blocks, counts, likelihood, ranking
 from topicspark.plans import cvb0, gibbs, infer, online_vb, scvb0
-from topicspark.plans.minibatch import parameter_totals, prepare_batches, start_model
+from topicspark.plans.minibatch import parameter_totals, prepare_batches, start_model, summary
 from topicspark.session import Scratch
 
 BOW = "doc_id long, word_id int, freq int"
@@ -43,9 +43,13 @@ def test_joined_e_step_equals_kernel(spark, scratch):
     model = scratch.save(start_model(words(spark, 100), 5, 3, "hash"), "m")
     totals = parameter_totals(model, 5)
     cfg = online_vb.OnlineVB(5, alpha=0.1, max_iter=20, tol=1e-3, seed=3, init="hash")
-    ss, out = online_vb.e_step(bow, model, totals, cfg, scratch, "kernel")
-    cfg_long = online_vb.OnlineVB(5, alpha=0.1, max_iter=20, tol=1e-3, seed=3, init="hash", max_doc_terms=15)
-    ss2, out2 = online_vb.e_step(bow, model, totals, cfg_long, scratch, "joined")
+    cut = online_vb.OnlineVB(5, alpha=0.1, max_iter=20, tol=1e-3, seed=3, init="hash", max_doc_terms=15)
+    ss, ss2 = (online_vb.word_statistics(bow, model, totals, c, scratch, f"words-{c.max_doc_terms}") for c in (cfg, cut))
+    out, out2 = (online_vb.document_posteriors(bow, model, totals, c, scratch, f"docs-{c.max_doc_terms}")
+                 for c in (cfg, cut))
+    one, two = summary(ss), summary(ss2)
+    assert one["n_tokens"] == two["n_tokens"] == 30 * 40
+    np.testing.assert_allclose(one["score"], two["score"], rtol=1e-9)
     a = {r["word_id"]: r["ss"] for r in ss.collect()}
     b = {r["word_id"]: r["ss"] for r in ss2.collect()}
     assert a.keys() == b.keys()
@@ -101,7 +105,7 @@ def test_scvb0_equals_loop(spark, scratch):
     cfg = scvb0.SCVB0(2, alpha=0.2, beta=0.1, max_iter=3, seed=9, init="hash")
     got = {r["doc_id"]: r["theta"] for r in infer.doc_topics(bow, model, cfg, 6).collect()}
     batches = prepare_batches(bow, 6, 4, scratch)
-    nxt = dense(scvb0.update(bow, batches.docs, model, 0, 28, 6, cfg, scratch), 6)
+    nxt = dense(scvb0.update(bow, batches.docs, model, 0, 28, 6, cfg), 6)
     ss = np.zeros_like(lam)
     for d, w in docs.items():
         theta, stats = loops.scvb0_document(w, lam, lam.sum(axis=0), 0.2, 0.1, 6, 9, d, 3, cfg.theta_rate)
@@ -120,12 +124,12 @@ def test_scvb0_statistics_hold_every_token_also_when_documents_are_cut(spark, sc
     lengths = bow.groupBy("doc_id").agg({"freq": "sum"}).withColumnRenamed("sum(freq)", "n_tokens")
     model = scratch.save(start_model(words(spark, 5), 3, 1, "hash"), "m")
     cfg = scvb0.SCVB0(3, max_iter=2, init="hash", segment_tokens=10, tokens_per_block=20)
-    results, cut = scvb0.document_pass(bow, lengths, model, parameter_totals(model, 3), 5, cfg, 151)
-    rows = results.collect()
-    assert cut
-    assert abs(sum(sum(r["vec"]) for r in rows if r["kind"] == "word") - 151) < 1e-9
-    assert sum(r["n_tokens"] for r in rows if r["kind"] == "doc") == 151
-    assert max(r["n_tokens"] for r in rows if r["kind"] == "doc") <= 30
+    args = (bow, lengths, model, parameter_totals(model, 3), 5, cfg, 151)
+    rows = scvb0.document_pass(*args).collect()
+    assert abs(sum(sum(r["ss"]) for r in rows) - 151) < 1e-9
+    assert sum(r["n_tokens"] for r in rows) == 151
+    docs_out = {r["doc_id"]: r["n_tokens"] for r in scvb0.document_pass(*args, per_document=True).collect()}
+    assert docs_out == {0: 58, 1: 3, 2: 90}
     theta = infer.doc_topics(bow, model, cfg, 5).collect()
     assert sorted(r["doc_id"] for r in theta) == [0, 1, 2]
 

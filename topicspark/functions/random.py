@@ -28,7 +28,12 @@ def near_one(seed: int, *keys) -> Column:
 
 
 def topic_array(n_topics: int, fn) -> Column:
-    """An array with one element per topic; `fn` maps the topic number column to the element."""
+    """An array with one element per topic; `fn` maps the topic number column to the element.
+
+    Spelled out for usual numbers of topics, so that it compiles; a higher-order function is interpreted per element.
+    """
+    if n_topics <= 64:
+        return F.array(*[fn(F.lit(k)) for k in range(n_topics)])
     return F.transform(F.sequence(F.lit(0), F.lit(n_topics - 1)), fn)
 
 
@@ -36,8 +41,6 @@ def near_one_array(seed: int, n_topics: int, *keys) -> Column:
     return topic_array(n_topics, lambda k: near_one(seed, *keys, k))
 
 
-def simplex_array(seed: int, n_topics: int, *keys) -> Column:
-    """A random point on the simplex: uniforms divided by their sum."""
-    raw = topic_array(n_topics, lambda k: u01(seed, *keys, k))
-    total = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(raw, lambda x: x / total)
+def uniform_array(seed: int, n_topics: int, *keys) -> Column:
+    """One uniform per topic; divided by their sum, a random point on the simplex."""
+    return topic_array(n_topics, lambda k: u01(seed, *keys, k))

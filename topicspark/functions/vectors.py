@@ -59,13 +59,14 @@ def literal_vector(values) -> Column:
     return F.array(*[F.lit(float(x)) for x in values])
 
 
-def sum_vectors(column: str, size: int) -> Column:
-    """Aggregate: element-wise sum of a fixed-length array column.
+def sum_vectors(column: str, size: int, weight: str | None = None) -> Column:
+    """Aggregate: element-wise sum of a fixed-length array column, each row times `weight` if given.
 
     One SUM per element is a plain hash aggregate with map-side partials; it ships one array per key, where an exploded
     (key, element) form would ship `size` rows.
     """
-    return F.array(*[F.sum(F.col(column)[k]) for k in range(size)])
+    w = F.col(weight) if weight else None
+    return F.array(*[F.sum(F.col(column)[k] if w is None else F.col(column)[k] * w) for k in range(size)])
 
 
 def array_to_line(v: Column) -> Column:

@@ -11,17 +11,17 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from topicspark.operators.kernels import STAT_SCHEMA
 from topicspark.session import local_parallelism
 
-TOKENS_PER_BLOCK = 500_000
+TOKENS_PER_BLOCK = 1_000_000
 SEGMENT_TOKENS = 200_000
+_MAX_PARTITIONS = 10_000  # beyond it several blocks share a partition, one after the other
 
 
 def block_count(spark, n_tokens: int, tokens_per_block: int = TOKENS_PER_BLOCK) -> int:
-    """Enough blocks to bound their size, and a few per core so that uneven blocks average out."""
+    """Enough blocks to bound their size, and one per core where there is work for it."""
     by_size = math.ceil(max(1, n_tokens) / tokens_per_block)
-    return max(by_size, min(2 * local_parallelism(spark), math.ceil(max(1, n_tokens) / 2_000)))
+    return max(by_size, min(local_parallelism(spark), math.ceil(max(1, n_tokens) / 2_000)))
 
 
 def segment_rows(bow: DataFrame, lengths: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
@@ -62,13 +62,16 @@ def pull(words_of_blocks: DataFrame, params: DataFrame) -> DataFrame:
     return words_of_blocks.join(params, "word_id")
 
 
-def run_blocks(rows: DataFrame, params: DataFrame, n_blocks: int, kernel, schema: str = STAT_SCHEMA) -> DataFrame:
-    """Run a kernel on each block with its parameter rows.
+def _place(rows: DataFrame, n_blocks: int) -> DataFrame:
+    """One partition per block; adaptive execution does not merge them, as a block is small in bytes but heavy in work."""
+    if n_blocks <= _MAX_PARTITIONS:
+        return rows.repartitionById(n_blocks, F.col("block"))
+    return rows.repartition(_MAX_PARTITIONS, "block")
 
-    Both sides are placed by the same explicit number of partitions, which adaptive execution does not merge: a block
-    is small in bytes but heavy in work.
-    """
-    left = rows.repartition(n_blocks, "block")
+
+def run_blocks(rows: DataFrame, params: DataFrame, n_blocks: int, kernel, schema: str) -> DataFrame:
+    """Run a kernel on each block with its parameter rows."""
     # fresh column identities: the parameter side was derived from the same rows
-    right = params.select(*[F.col(c).alias(c) for c in params.columns]).repartition(n_blocks, "block")
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(kernel, schema)
+    right = params.select(*[F.col(c).alias(c) for c in params.columns])
+    return (_place(rows, n_blocks).groupBy("block").cogroup(_place(right, n_blocks).groupBy("block"))
+            .applyInArrow(kernel, schema))

@@ -15,7 +15,10 @@ import pyarrow as pa
 from topicspark.functions.special import np_digamma, np_lgamma
 
 TINY = 1e-100
-STAT_SCHEMA = "kind string, id long, vec array<double>, score double, n_tokens long"
+# What a kernel may return: word statistics plus one summary row per block, or one row per document.
+WORD_SCHEMA = "word_id int, ss array<double>, score double, n_tokens long"
+DOC_SCHEMA = "doc_id long, vec array<double>, score double, n_tokens long"
+SUMMARY = -1  # word number of the summary row
 
 
 def _ints(table, name):
@@ -37,26 +40,44 @@ def _ragged(values, offsets):
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-def _stat_table(words, stats, docs, vecs, scores, tokens, width):
-    """Word statistics and document results in one table, told apart by `kind`."""
-    n_w, n_d = len(words), len(docs)
+def _word_table(words, stats, score, n_tokens):
+    """Statistics of the block's words, and its score and size in the summary row."""
+    width = stats.shape[1]
+    scores, tokens = np.zeros(len(words) + 1), np.zeros(len(words) + 1, np.int64)
+    scores[-1], tokens[-1] = score, n_tokens
     return pa.table({
-        "kind": pa.array(["word"] * n_w + ["doc"] * n_d, pa.string()),
-        "id": pa.array(np.concatenate([words, docs]).astype(np.int64)),
-        "vec": _lists(np.concatenate([stats, vecs]) if n_d else stats, width),
-        "score": pa.array(np.concatenate([np.zeros(n_w), scores])),
-        "n_tokens": pa.array(np.concatenate([np.zeros(n_w, np.int64), tokens]).astype(np.int64)),
-    })
+        "word_id": pa.array(np.append(words, SUMMARY).astype(np.int32)),
+        "ss": _lists(np.concatenate([stats, np.zeros((1, width))]), width),
+        "score": pa.array(scores), "n_tokens": pa.array(tokens)})
 
 
-def start_vector(mode, seed, key, width):
-    """Starting values of one document or word: Gamma(100, 0.01) draws, or hash values of equal mean and spread."""
+def _doc_table(docs, vecs, scores, tokens):
+    return pa.table({"doc_id": pa.array(docs.astype(np.int64)), "vec": _lists(vecs, vecs.shape[1]),
+                     "score": pa.array(scores), "n_tokens": pa.array(tokens.astype(np.int64))})
+
+
+def start_vectors(mode, seed, keys, width):
+    """Starting values, one row per document or word: Gamma(100, 0.01) draws, or hash values of equal mean and spread.
+
+    The sampler is a counter-based generator set to a place that depends on the key alone, so a row's values do not depend
+    on the task that makes them.
+    """
+    out = np.empty((len(keys), width))
     if mode == "hash":
         half = 0.1 * math.sqrt(3.0)
-        u = [int(hashlib.md5(f"{seed}:{key}:{k}".encode()).hexdigest()[:8], 16) / 4294967296.0 for k in range(width)]
-        return 1.0 + half * (2.0 * np.array(u) - 1.0)
-    rng = np.random.Generator(np.random.Philox(key=[int(seed) & (2**64 - 1), int(key) & (2**64 - 1)]))
-    return rng.gamma(100.0, 0.01, width)
+        for i, key in enumerate(keys):
+            for k in range(width):
+                digest = hashlib.md5(f"{seed}:{key}:{k}".encode()).hexdigest()
+                out[i, k] = 1.0 + half * (2.0 * (int(digest[:8], 16) / 4294967296.0) - 1.0)
+        return out
+    bits = np.random.Philox(key=int(seed) & (2**64 - 1))
+    rng, state = np.random.Generator(bits), bits.state
+    state["buffer_pos"] = 4
+    for i, key in enumerate(keys):
+        state["state"]["counter"][:] = (0, int(key) & (2**64 - 1), 0, 0)
+        bits.state = state
+        out[i] = rng.gamma(100.0, 0.01, width)
+    return out
 
 
 def _documents(left):
@@ -77,7 +98,7 @@ def _model_rows(right, column, width):
     return words[order], _matrix(right, column, width)[order]
 
 
-def vb_kernel(n_topics, alpha, topic_totals, seed, init, max_iter, tol):
+def vb_kernel(n_topics, alpha, topic_totals, seed, init, max_iter, tol, per_document=False):
     """Variational E-step of every document of a block to convergence, with the model fixed."""
     alpha = np.asarray(alpha, dtype=np.float64)
     total_digamma = np_digamma(np.asarray(topic_totals, dtype=np.float64))
@@ -92,7 +113,7 @@ def vb_kernel(n_topics, alpha, topic_totals, seed, init, max_iter, tol):
         n_docs = len(docs)
         rows = [at[bounds[i]:bounds[i + 1]] for i in range(n_docs)]
         freqs = [freq[bounds[i]:bounds[i + 1]] for i in range(n_docs)]
-        gamma = np.stack([start_vector(init, seed, d, n_topics) for d in docs])
+        gamma = start_vectors(init, seed, docs, n_topics)
         stats = np.zeros_like(weight)
         active = np.arange(n_docs)
         for step in range(max_iter):
@@ -120,7 +141,9 @@ def vb_kernel(n_topics, alpha, topic_totals, seed, init, max_iter, tol):
         for d in range(n_docs):
             scores[d] += freqs[d] @ (np.log(weight[rows[d]] @ theta[d] + TINY) + top[rows[d]])
             tokens[d] = freqs[d].sum()
-        return _stat_table(words, stats, docs, gamma, scores, tokens, n_topics)
+        if per_document:
+            return _doc_table(docs, gamma, scores, tokens)
+        return _word_table(words, stats, scores.sum(), tokens.sum())
 
     return run
 
@@ -133,7 +156,8 @@ def _by_length(lengths):
     return order, reach
 
 
-def scvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, init, max_iter, rate):
+def scvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, init, max_iter, rate,
+                 per_document=False):
     """Stochastic collapsed pass over the tokens of each document, with the global statistics fixed.
 
     Documents do not influence each other here, so the j-th tokens of all documents are updated together; every document
@@ -153,7 +177,7 @@ def scvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, init, max_i
         lengths = row_end[bounds[1:]] - first
         order, reach = _by_length(lengths)
         first, size = first[order], lengths[order].astype(np.float64)
-        theta = np.stack([start_vector(init, seed, d, n_topics) for d in docs[order]])
+        theta = start_vectors(init, seed, docs[order], n_topics)
         stats = np.zeros_like(weight)
         for sweep in range(max_iter + 1):
             for place, n in enumerate(reach):
@@ -164,8 +188,9 @@ def scvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, init, max_i
                     np.add.at(stats, at, phi)
                 rho = np.maximum(0.0, scale * (tau0 + sweep * size[:n] + place) ** -kappa)[:, None]
                 theta[:n] = (1.0 - rho) * theta[:n] + rho * size[:n, None] * phi
-        back = np.argsort(order)
-        return _stat_table(words, stats, docs, theta[back], np.zeros(len(docs)), lengths, n_topics)
+        if per_document:
+            return _doc_table(docs[order], theta, np.zeros(len(docs)), size)
+        return _word_table(words, stats, 0.0, size.sum())
 
     return run
 
@@ -296,8 +321,7 @@ def gamma_rows(n_topics, seed):
     def run(batches):
         for batch in batches:
             ids = batch.column("word_id").to_numpy(zero_copy_only=False)
-            values = (np.stack([start_vector("gamma", seed, w, n_topics) for w in ids])
-                      if len(ids) else np.zeros((0, n_topics)))
+            values = start_vectors("gamma", seed, ids, n_topics)
             yield pa.RecordBatch.from_arrays([batch.column("word_id"), _lists(values, n_topics)],
                                              names=["word_id", "params"])
 

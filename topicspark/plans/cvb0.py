@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from topicspark.functions.random import simplex_array
+from topicspark.functions.random import uniform_array
 from topicspark.functions.special import lgamma
 from topicspark.functions.vectors import literal_vector, sum_vectors, vec_sum, vec_lgamma
 from topicspark.operators import blocks
@@ -47,22 +47,20 @@ class CVB0Fit:
 def start_phi(bow: DataFrame, n_topics: int, seed: int, weight: str = "presence") -> DataFrame:
     """`(doc_id, word_id, weight, phi)` with a random point on the simplex for every (document, word)."""
     w = F.lit(1.0) if weight == "presence" else F.col("freq").cast("double")
-    return bow.select(F.col("doc_id").cast("long").alias("doc_id"), "word_id", w.alias("weight"),
-                      simplex_array(seed, n_topics, "doc_id", "word_id").alias("phi"))
-
-
-def _weighted(phi: DataFrame, key: str) -> DataFrame:
-    return phi.select(key, F.transform("phi", lambda x: x * F.col("weight")).alias("_p"))
+    drawn = bow.select(F.col("doc_id").cast("long").alias("doc_id"), "word_id", w.alias("weight"),
+                       uniform_array(seed, n_topics, "doc_id", "word_id").alias("_u"))
+    return (drawn.withColumn("_s", vec_sum(F.col("_u")))
+            .select("doc_id", "word_id", "weight", F.transform("_u", lambda x: x / F.col("_s")).alias("phi")))
 
 
 def word_sums(phi: DataFrame, n_topics: int) -> DataFrame:
     """`(word_id, params)`: sum over documents."""
-    return _weighted(phi, "word_id").groupBy("word_id").agg(sum_vectors("_p", n_topics).alias("params"))
+    return phi.groupBy("word_id").agg(sum_vectors("phi", n_topics, "weight").alias("params"))
 
 
 def doc_sums(phi: DataFrame, n_topics: int) -> DataFrame:
     """`(doc_id, n_dk)`: sum over words."""
-    return _weighted(phi, "doc_id").groupBy("doc_id").agg(sum_vectors("_p", n_topics).alias("n_dk"))
+    return phi.groupBy("doc_id").agg(sum_vectors("phi", n_topics, "weight").alias("n_dk"))
 
 
 def sync_sweep(phi: DataFrame, by_word: DataFrame, by_doc: DataFrame, totals: list[float], n_words: int, alpha: list,

@@ -18,7 +18,7 @@ def doc_topics(bow: DataFrame, model: DataFrame, cfg, n_words: int, normalise: b
         docs = scvb0.document_topics(bow, model, n_words, cfg, scratch)
     else:
         totals = parameter_totals(model, cfg.n_topics)
-        docs = online_vb.e_step(bow, model, totals, cfg, scratch, "estep")[1]
+        docs = online_vb.document_posteriors(bow, model, totals, cfg, scratch, "estep")
     vec = F.col("vec")
     return docs.select("doc_id", (vec_normalise(vec) if normalise else vec).alias("theta"))
 

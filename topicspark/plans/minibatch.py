@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from topicspark.functions.random import near_one_array
-from topicspark.functions.vectors import literal_vector, sum_vectors
+from topicspark.functions.vectors import sum_vectors
 from topicspark.operators import blocks
 from topicspark.operators.corpus import minibatches, with_position
-from topicspark.operators.counts import left_statistics, long_form, sum_by_word
-from topicspark.operators.kernels import gamma_rows
+from topicspark.operators.counts import left_statistics, long_form
+from topicspark.operators.kernels import SUMMARY, gamma_rows
 from topicspark.session import Scratch
 
 _FILES_PER_BATCH = 32
@@ -65,22 +65,28 @@ def parameter_totals(model: DataFrame, n_topics: int) -> list[float]:
     return [float(x) for x in row["t"]]
 
 
-def word_statistics(results: DataFrame, n_topics: int) -> DataFrame:
-    """`(word_id, ss)`: the blocks' statistics added up per word."""
-    rows = (results.where(F.col("kind") == "word")
-            .select(F.col("id").cast("int").alias("word_id"), F.col("vec").alias("ss")))
-    return sum_by_word(rows, "ss", n_topics)
+def add_statistics(parts: DataFrame, n_topics: int) -> DataFrame:
+    """`(word_id, ss, score, n_tokens)`: block statistics added up per word; the summary row keeps score and size."""
+    return parts.groupBy("word_id").agg(sum_vectors("ss", n_topics).alias("ss"), F.sum("score").alias("score"),
+                                        F.sum("n_tokens").alias("n_tokens"))
 
 
-def document_results(results: DataFrame, n_topics: int, segmented: bool = False) -> DataFrame:
-    """`(doc_id, vec, score, n_tokens)`; segments of one document are added up."""
-    rows = results.where(F.col("kind") == "doc").select(F.col("id").alias("doc_id"), "vec", "score", "n_tokens")
-    if not segmented:
-        return rows
-    return rows.groupBy("doc_id").agg(sum_vectors("vec", n_topics).alias("vec"), F.sum("score").alias("score"),
+def add_segments(docs: DataFrame, n_topics: int) -> DataFrame:
+    """`(doc_id, vec, score, n_tokens)`: the segments of a document added up."""
+    return docs.groupBy("doc_id").agg(sum_vectors("vec", n_topics).alias("vec"), F.sum("score").alias("score"),
                                       F.sum("n_tokens").alias("n_tokens"))
 
 
+def only_words(stats: DataFrame) -> DataFrame:
+    """`(word_id, ss)` without the summary row."""
+    return stats.where(F.col("word_id") != SUMMARY).select("word_id", "ss")
+
+
+def summary(stats: DataFrame):
+    """`score` and `n_tokens` of the whole minibatch."""
+    return stats.where(F.col("word_id") == SUMMARY).select("score", "n_tokens").first()
+
+
 def blend_model(model: DataFrame, stats: DataFrame, n_topics: int, rho: float, scale: float,
                 prior: float = 0.0) -> DataFrame:
     """params <- (1 - rho) * params + rho * (prior + scale * statistics); untouched words still decay."""
@@ -90,10 +96,10 @@ def blend_model(model: DataFrame, stats: DataFrame, n_topics: int, rho: float, s
         lambda old, ss: F.lit(1.0 - rho) * old + F.lit(rho) * (F.lit(prior) + F.lit(scale) * ss)).alias("params"))
 
 
-def run_on_blocks(bow: DataFrame, model: DataFrame, kernel, n_blocks: int) -> DataFrame:
+def run_on_blocks(bow: DataFrame, model: DataFrame, kernel, n_blocks: int, schema: str) -> DataFrame:
     """Spread documents over blocks, pull the parameter rows in use and run the kernel."""
     rows = blocks.assign_blocks(bow, n_blocks)
-    return blocks.run_blocks(rows, blocks.pull(blocks.block_words(rows), model), n_blocks, kernel)
+    return blocks.run_blocks(rows, blocks.pull(blocks.block_words(rows), model), n_blocks, kernel, schema)
 
 
 def metrics_frame(spark, run: str, rows: list[tuple[int, str, float]]) -> DataFrame:
@@ -134,6 +140,3 @@ def topic_words(model: DataFrame) -> DataFrame:
     """`(topic, word_id, value)` for ranking and export."""
     return long_form(model, "params")
 
-
-__all__ = ["Batches", "Versions", "prepare_batches", "start_model", "parameter_totals", "word_statistics",
-           "document_results", "blend_model", "run_on_blocks", "metrics_frame", "topic_words", "literal_vector"]

@@ -13,9 +13,9 @@ from topicspark.functions.vectors import (TINY, literal_vector, sum_vectors, vec
                                           vec_logsumexp, vec_mul, vec_sum, vec_lgamma)
 from topicspark.operators import blocks
 from topicspark.operators.counts import long_form, sum_by_word
-from topicspark.operators.kernels import vb_kernel
-from topicspark.plans.minibatch import (Batches, Versions, blend_model, document_results, metrics_frame,
-                                        parameter_totals, run_on_blocks, start_model, word_statistics)
+from topicspark.operators.kernels import DOC_SCHEMA, SUMMARY, WORD_SCHEMA, vb_kernel
+from topicspark.plans.minibatch import (Batches, Versions, add_statistics, blend_model, metrics_frame, only_words,
+                                        parameter_totals, run_on_blocks, start_model, summary)
 from topicspark.session import Scratch
 
 
@@ -110,12 +110,9 @@ def joined_e_step(bow: DataFrame, elog: DataFrame, start: DataFrame, alpha: list
     return ss, docs
 
 
-def e_step(bow: DataFrame, model: DataFrame, totals: list[float], cfg: OnlineVB, scratch: Scratch, label: str,
-           lengths: DataFrame | None = None, n_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Statistics `(word_id, ss)` and documents `(doc_id, vec, score, n_tokens)` of `bow(doc_id, word_id, freq)`.
-
-    Ordinary documents go to the block kernel; documents with more than `max_doc_terms` words to the joined form.
-    """
+def _e_step(bow: DataFrame, model: DataFrame, totals: list[float], cfg: OnlineVB, scratch: Scratch, label: str,
+            lengths: DataFrame | None, n_tokens: int | None, per_document: bool):
+    """Kernel rows of the ordinary documents, and the joined E-step of the huge ones (None if there are none)."""
     if lengths is None:
         lengths = bow.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("freq").alias("n_tokens"))
     if n_tokens is None:
@@ -124,19 +121,37 @@ def e_step(bow: DataFrame, model: DataFrame, totals: list[float], cfg: OnlineVB,
     huge = lengths.where(F.col("n_terms") > cfg.max_doc_terms).select("doc_id")
     has_huge = len(huge.take(1)) > 0
     usual = bow.join(huge, "doc_id", "left_anti") if has_huge else bow
-    kernel = vb_kernel(k, cfg.alpha_vec, totals, cfg.seed, cfg.init, cfg.max_iter, cfg.tol)
+    kernel = vb_kernel(k, cfg.alpha_vec, totals, cfg.seed, cfg.init, cfg.max_iter, cfg.tol, per_document)
     n_blocks = blocks.block_count(bow.sparkSession, n_tokens, cfg.tokens_per_block)
-    results = scratch.save(run_on_blocks(blocks.one_segment(usual), model, kernel, n_blocks),
-                           f"{label}/results", ["kind"])
-    ss, docs = word_statistics(results, k), document_results(results, k)
-    if has_huge:
-        start = start_model(huge.withColumnRenamed("doc_id", "word_id"), k, cfg.seed, "hash")
-        start = start.select(F.col("word_id").alias("doc_id"), F.col("params").alias("gamma"))
-        more, more_docs = joined_e_step(bow.join(huge, "doc_id"), log_expectation(model, totals), start, cfg.alpha_vec,
-                                        cfg.max_iter, cfg.tol, scratch, f"{label}/joined")
-        ss = sum_by_word(ss.unionByName(more), "ss", k)
-        docs = docs.unionByName(more_docs)
-    return ss, docs
+    rows = run_on_blocks(blocks.one_segment(usual), model, kernel, n_blocks, DOC_SCHEMA if per_document else WORD_SCHEMA)
+    if not has_huge:
+        return rows, None
+    start = start_model(huge.withColumnRenamed("doc_id", "word_id"), k, cfg.seed, "hash")
+    start = start.select(F.col("word_id").alias("doc_id"), F.col("params").alias("gamma"))
+    return rows, joined_e_step(bow.join(huge, "doc_id"), log_expectation(model, totals), start, cfg.alpha_vec,
+                               cfg.max_iter, cfg.tol, scratch, f"{label}/joined")
+
+
+def word_statistics(bow: DataFrame, model: DataFrame, totals: list[float], cfg: OnlineVB, scratch: Scratch, label: str,
+                    lengths: DataFrame | None = None, n_tokens: int | None = None) -> DataFrame:
+    """E-step of `bow(doc_id, word_id, freq)` as `(word_id, ss, score, n_tokens)` with a summary row.
+
+    Ordinary documents go to the block kernel; documents with more than `max_doc_terms` words to the joined form.
+    """
+    rows, joined = _e_step(bow, model, totals, cfg, scratch, label, lengths, n_tokens, per_document=False)
+    if joined is not None:
+        ss, docs = joined
+        rows = (rows.unionByName(ss.withColumn("score", F.lit(0.0)).withColumn("n_tokens", F.lit(0).cast("long")))
+                .unionByName(docs.agg(F.sum("score").alias("score"), F.sum("n_tokens").alias("n_tokens"))
+                             .withColumn("word_id", F.lit(SUMMARY)).withColumn("ss", literal_vector([0.0] * cfg.n_topics))))
+    return scratch.save(add_statistics(rows, cfg.n_topics), f"{label}/statistics")
+
+
+def document_posteriors(bow: DataFrame, model: DataFrame, totals: list[float], cfg: OnlineVB, scratch: Scratch,
+                        label: str, lengths: DataFrame | None = None, n_tokens: int | None = None) -> DataFrame:
+    """The same E-step as `(doc_id, vec, score, n_tokens)`: gamma, share of the bound and size of every document."""
+    rows, joined = _e_step(bow, model, totals, cfg, scratch, label, lengths, n_tokens, per_document=True)
+    return rows if joined is None else rows.unionByName(joined[1])
 
 
 def bound_cells(model: DataFrame, eta: float) -> DataFrame:
@@ -168,14 +183,15 @@ def update(batch_bow: DataFrame, lengths: DataFrame, model: DataFrame, t: int, n
     cells = bound_cells(model, cfg.eta).collect() if cfg.bound else None     # one row per topic
     totals = ([r["total"] for r in sorted(cells, key=lambda r: r["topic"])] if cells
               else parameter_totals(model, cfg.n_topics))
-    ss, docs = e_step(batch_bow, model, totals, cfg, scratch, f"estep-{t:06d}", lengths, size["c"] or 0)
+    stats = word_statistics(batch_bow, model, totals, cfg, scratch, f"estep-{t:06d}", lengths, size["c"] or 0)
     rows = []
     if cells:
-        got = docs.agg(F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).first()
-        if got["n"]:
-            rows.append((t, "perplexity", perplexity(got["s"], got["n"], size["d"], n_docs, cells, n_words, cfg.eta)))
+        got = summary(stats)
+        if got and got["n_tokens"]:
+            rows.append((t, "perplexity", perplexity(got["score"], got["n_tokens"], size["d"], n_docs, cells, n_words,
+                                                     cfg.eta)))
     rho = learning_rate(t, 1.0, cfg.tau0, cfg.kappa)
-    return blend_model(model, ss, cfg.n_topics, rho, n_docs / size["d"], cfg.eta), rows
+    return blend_model(model, only_words(stats), cfg.n_topics, rho, n_docs / size["d"], cfg.eta), rows
 
 
 def fit(batches: Batches, words: DataFrame, cfg: OnlineVB, snapshots: str | None = None) -> Fit:

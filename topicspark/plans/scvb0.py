@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from topicspark.functions.scalars import learning_rate
 from topicspark.operators import blocks
-from topicspark.operators.kernels import scvb0_kernel
-from topicspark.plans.minibatch import (Batches, Versions, blend_model, document_results, metrics_frame,
-                                        parameter_totals, run_on_blocks, start_model, word_statistics)
+from topicspark.operators.kernels import DOC_SCHEMA, WORD_SCHEMA, scvb0_kernel
+from topicspark.plans.minibatch import (Batches, Versions, add_segments, add_statistics, blend_model, metrics_frame,
+                                        only_words, parameter_totals, run_on_blocks, start_model)
 from topicspark.plans.online_vb import Fit
 from topicspark.session import Scratch
 
@@ -34,8 +34,9 @@ class SCVB0:
 
 
 def document_pass(bow: DataFrame, lengths: DataFrame, model: DataFrame, totals: list[float], n_words: int, cfg: SCVB0,
-                  n_tokens: int) -> tuple[DataFrame, bool]:
-    """Kernel results for `bow(doc_id, word_id, freq)`: statistics per (block, word) and N_theta per document.
+                  n_tokens: int, per_document: bool = False) -> DataFrame:
+    """Pass over `bow(doc_id, word_id, freq)`: `(word_id, ss, score, n_tokens)` with a summary row, or with
+    `per_document` the N_theta of each document as `(doc_id, vec, score, n_tokens)`.
 
     The tokens of a document are visited in ascending word order.  A document of more than `segment_tokens` tokens is
     visited as several documents whose N_theta are added afterwards; the statistics still hold every token.
@@ -44,21 +45,22 @@ def document_pass(bow: DataFrame, lengths: DataFrame, model: DataFrame, totals:
     segmented = longest > cfg.segment_tokens
     rows = (blocks.segment_rows(bow, lengths, cfg.segment_tokens) if segmented else blocks.one_segment(bow))
     kernel = scvb0_kernel(cfg.n_topics, cfg.alpha_vec, cfg.beta, n_words, totals, cfg.seed, cfg.init, cfg.max_iter,
-                          cfg.theta_rate)
+                          cfg.theta_rate, per_document)
     n_blocks = blocks.block_count(bow.sparkSession, n_tokens, cfg.tokens_per_block)
-    return run_on_blocks(rows, model, kernel, n_blocks), segmented
+    if not per_document:
+        return add_statistics(run_on_blocks(rows, model, kernel, n_blocks, WORD_SCHEMA), cfg.n_topics)
+    docs = run_on_blocks(rows, model, kernel, n_blocks, DOC_SCHEMA)
+    return add_segments(docs, cfg.n_topics) if segmented else docs
 
 
 def update(batch_bow: DataFrame, lengths: DataFrame, model: DataFrame, t: int, corpus_tokens: int, n_words: int,
-           cfg: SCVB0, scratch: Scratch) -> DataFrame:
+           cfg: SCVB0) -> DataFrame:
     """The next model: N <- (1 - rho) N + rho * (C / C_batch) * statistics.  Topic totals are the model's column sums."""
     n_tokens = lengths.agg(F.sum("n_tokens")).first()[0] or 0
     rho = learning_rate(t, *cfg.global_rate)
     totals = parameter_totals(model, cfg.n_topics)
-    results, _ = document_pass(batch_bow, lengths, model, totals, n_words, cfg, n_tokens)
-    results = scratch.save(results, f"pass-{t:06d}", ["kind"])
-    return blend_model(model, word_statistics(results, cfg.n_topics), cfg.n_topics, rho,
-                       corpus_tokens / n_tokens if n_tokens else 0.0)
+    stats = document_pass(batch_bow, lengths, model, totals, n_words, cfg, n_tokens)
+    return blend_model(model, only_words(stats), cfg.n_topics, rho, corpus_tokens / n_tokens if n_tokens else 0.0)
 
 
 def fit(batches: Batches, words: DataFrame, cfg: SCVB0, snapshots: str | None = None,
@@ -74,9 +76,8 @@ def fit(batches: Batches, words: DataFrame, cfg: SCVB0, snapshots: str | None =
     for t in range(done, batches.n_batches):
         here = F.col("batch_id") == t
         nxt = update(batches.bow.where(here).drop("batch_id"), batches.docs.where(here), model, t,
-                     corpus_tokens or batches.n_tokens, batches.n_words, cfg, scratch)
+                     corpus_tokens or batches.n_tokens, batches.n_words, cfg)
         model = versions.save(nxt, t + 1)
-        scratch.drop(f"pass-{t:06d}")
         history.append((t, "rho", learning_rate(t, *cfg.global_rate)))
     return Fit(model, metrics_frame(batches.bow.sparkSession, scratch.base, history), batches.n_batches, scratch.base,
                history)
@@ -86,5 +87,5 @@ def document_topics(bow: DataFrame, model: DataFrame, n_words: int, cfg: SCVB0,
     """`(doc_id, vec)`: N_theta of each document under a fixed model."""
     lengths = scratch.save(bow.groupBy("doc_id").agg(F.sum("freq").alias("n_tokens")), "lengths")
     n_tokens = lengths.agg(F.sum("n_tokens")).first()[0] or 0
-    results, segmented = document_pass(bow, lengths, model, parameter_totals(model, cfg.n_topics), n_words, cfg, n_tokens)
-    return document_results(results, cfg.n_topics, segmented).select("doc_id", "vec")
+    return document_pass(bow, lengths, model, parameter_totals(model, cfg.n_topics), n_words, cfg, n_tokens,
+                         per_document=True).select("doc_id", "vec")

@@ -10,8 +10,7 @@ from topicspark.functions.vectors import vec_normalise, vec_sum
 from topicspark.operators import counts, likelihood, ranking
 from topicspark.operators.corpus import minibatches
 from topicspark.plans import cvb0, gibbs, infer, online_vb, scvb0
-from topicspark.plans.minibatch import (blend_model, document_results, parameter_totals, start_model, topic_words,
-                                        word_statistics)
+from topicspark.plans.minibatch import blend_model, only_words, parameter_totals, start_model, topic_words
 from topicspark.queries.base import (ASSIGNED, BOW, DT, K, POSITIONS, SEED, TOKENS, TW, VOCAB, batches, corpus, dig,
                                      near_one_sql, query, r_sql, rounded, u_sql, vocabulary_size)
 from topicspark.session import Scratch
@@ -377,12 +376,20 @@ def _vb(max_iter=_STEPS, **more):
     return online_vb.OnlineVB(K, _VA, _VE, _TAU0, _KAPPA, max_iter, 0.0, SEED, "hash", **more)
 
 
-def _vb_step(spark, d):
-    """Statistics and documents of the E-step of the whole corpus under the starting model."""
+def _vb_docs(spark, d):
+    """The E-step of the whole corpus under the starting model, per document."""
     c = corpus(spark, d)
     scratch = Scratch(spark, "vb-step")
     model = scratch.save(start_model(c.vocab, K, SEED, "hash"), "model")
-    return (model, *online_vb.e_step(c.bow, model, parameter_totals(model, K), _vb(), scratch, "estep"))
+    return online_vb.document_posteriors(c.bow, model, parameter_totals(model, K), _vb(), scratch, "estep")
+
+
+def _vb_words(spark, d):
+    """The same, per word."""
+    c = corpus(spark, d)
+    scratch = Scratch(spark, "vb-step")
+    model = scratch.save(start_model(c.vocab, K, SEED, "hash"), "model")
+    return online_vb.word_statistics(c.bow, model, parameter_totals(model, K), _vb(), scratch, "estep")
 
 
 @query("log_expectation", f"WITH {_ONE} {_long_sql('e', 6, 'word_id', 'e0')}")
@@ -393,22 +400,22 @@ def log_expectation(spark, d):
 
 @query("vb_estep", f"WITH {_ONE} {_long_sql('g', 4, 'doc_id', f'g0_{_STEPS}')}")
 def vb_estep(spark, d):
-    return _topic_cells(_vb_step(spark, d)[2], "doc_id", "vec", 4)
+    return _topic_cells(_vb_docs(spark, d), "doc_id", "vec", 4)
 
 
 @query("vb_doc_bound", f"WITH {_ONE} SELECT doc_id, {r_sql('score', 3)} AS score, CAST(n_tokens AS BIGINT) AS n_tokens FROM sc0")
 def vb_doc_bound(spark, d):
-    return _vb_step(spark, d)[2].select("doc_id", rounded("score", 3).alias("score"), "n_tokens")
+    return _vb_docs(spark, d).select("doc_id", rounded("score", 3).alias("score"), "n_tokens")
 
 
 @query("vb_score_sum", f"WITH {_ONE} SELECT {r_sql('sum(score)', 2)} AS score, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM sc0")
 def vb_score_sum(spark, d):
-    return counts.merge_scores(_vb_step(spark, d)[2]).select(rounded("score", 2).alias("score"), "n_tokens")
+    return counts.merge_scores(_vb_words(spark, d)).select(rounded("score", 2).alias("score"), "n_tokens")
 
 
 @query("vb_suffstats", f"WITH {_ONE} {_long_sql('ss', 4, 'word_id', 'ss0')}")
 def vb_suffstats(spark, d):
-    return _topic_cells(_vb_step(spark, d)[1], "word_id", "ss", 4)
+    return _topic_cells(only_words(_vb_words(spark, d)), "word_id", "ss", 4)
 
 
 @query("vb_estep_joined", f"WITH {_ONE} {_long_sql('g', 4, 'doc_id', f'g0_{_STEPS}')}")
@@ -515,8 +522,8 @@ def scvb0_invariants(spark, d):
     c, b = corpus(spark, d), batches(spark, d, 1)
     model = Scratch(spark, "scvb0").save(start_model(c.vocab, K, SEED, "gamma"), "model")
     cfg = scvb0.SCVB0(K, max_iter=1, seed=SEED)
-    results, _ = scvb0.document_pass(c.bow, b.docs, model, parameter_totals(model, K), b.n_words, cfg, b.n_tokens)
-    return word_statistics(results, K).select("word_id", F.round(vec_sum(F.col("ss"))).cast("long").alias("n"))
+    stats = scvb0.document_pass(c.bow, b.docs, model, parameter_totals(model, K), b.n_words, cfg, b.n_tokens)
+    return only_words(stats).select("word_id", F.round(vec_sum(F.col("ss"))).cast("long").alias("n"))
 
 
 @query("scvb0_fit")
@@ -531,8 +538,8 @@ def scvb0_doc_lengths(spark, d):
     c, b = corpus(spark, d), batches(spark, d, 1)
     model = Scratch(spark, "scvb0").save(start_model(c.vocab, K, SEED, "hash"), "model")
     cfg = scvb0.SCVB0(K, max_iter=0, seed=SEED, segment_tokens=1000)
-    results, cut = scvb0.document_pass(c.bow, b.docs, model, parameter_totals(model, K), b.n_words, cfg, b.n_tokens)
-    return document_results(results, K, cut).select("doc_id", "n_tokens")
+    return scvb0.document_pass(c.bow, b.docs, model, parameter_totals(model, K), b.n_words, cfg, b.n_tokens,
+                               per_document=True).select("doc_id", "n_tokens")
 
 
 # -- Gibbs -------------------------------------------------------------------------------------------------------------
