@@ -42,8 +42,8 @@ def test_joined_e_step_equals_kernel(spark, scratch):
     bow = frame(spark, docs)
     model = scratch.save(start_model(words(spark, 100), 5, 3, "hash"), "m")
     totals = parameter_totals(model, 5)
-    cfg = online_vb.OnlineVB(5, alpha=0.1, max_iter=20, tol=1e-3, seed=3, init="hash")
-    cut = online_vb.OnlineVB(5, alpha=0.1, max_iter=20, tol=1e-3, seed=3, init="hash", max_doc_terms=15)
+    cfg = online_vb.OnlineVB(5, alpha=0.1, max_iter=6, tol=1e-3, seed=3, init="hash")
+    cut = online_vb.OnlineVB(5, alpha=0.1, max_iter=6, tol=1e-3, seed=3, init="hash", max_doc_terms=15)
     ss, ss2 = (online_vb.word_statistics(bow, model, totals, c, scratch, f"words-{c.max_doc_terms}") for c in (cfg, cut))
     out, out2 = (online_vb.document_posteriors(bow, model, totals, c, scratch, f"docs-{c.max_doc_terms}")
                  for c in (cfg, cut))
@@ -162,7 +162,7 @@ def collected(phi):
 @pytest.mark.parametrize("schedule", ["sync", "block"])
 def test_cvb0_equals_loop(spark, schedule):
     docs = loops.tiny_corpus()
-    cfg = cvb0.CVB0(3, alpha=0.1, beta=0.2, n_sweeps=2, seed=11, schedule=schedule, n_blocks=1)
+    cfg = cvb0.CVB0(3, alpha=0.1, beta=0.2, n_sweeps=2, seed=11, init="hash", schedule=schedule, order="serial", n_blocks=1)
     fit = cvb0.fit(frame(spark, docs), 6, cfg)
     phi = phi_start(docs, 3, 11)
     for _ in range(2):
@@ -181,7 +181,7 @@ def test_cvb0_equals_loop(spark, schedule):
 
 def test_cvb0_block_with_frequencies_and_long_documents(spark):
     docs = loops.tiny_corpus()
-    cfg = cvb0.CVB0(2, n_sweeps=1, seed=3, schedule="block", n_blocks=1, weight="freq")
+    cfg = cvb0.CVB0(2, n_sweeps=1, seed=3, init="hash", schedule="block", order="serial", n_blocks=1, weight="freq")
     got = collected(cvb0.fit(frame(spark, docs), 6, cfg).phi)
     want = loops.cvb0_sweep_in_place(phi_start(docs, 2, 3), docs, 6, 2, 0.01, 0.01, lambda d, w: docs[d][w])
     for key in want:
@@ -204,7 +204,7 @@ def tokens_of(docs):
 
 def test_gibbs_one_block_equals_serial_chain(spark):
     docs = loops.planted(12, length=15)
-    cfg = gibbs.Gibbs(4, n_sweeps=2, seed=6, n_blocks=1, schedule="serial")
+    cfg = gibbs.Gibbs(4, n_sweeps=2, seed=6, init="hash", n_blocks=1, schedule="serial")
     fit = gibbs.fit(frame(spark, docs), 100, cfg)
     tokens = tokens_of(docs)
     z = {d: [min(3, int(4 * loops.uniform(6, d, w, o))) for w in sorted(ws) for o in range(ws[w])]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from topicspark.functions.special import digamma, lgamma
 
@@ -54,6 +54,29 @@ def vec_dirichlet_expectation(v: Column) -> Column:
     return F.transform(v, lambda x: digamma(x) - base)
 
 
+UNROLL = 64  # up to this length, element-wise work is spelled out so that it compiles
+
+
+def share_of_sum(rows: DataFrame, keep: list[str], size: int, fn, name: str) -> DataFrame:
+    """`keep` columns plus an array `name` of `fn(k) / sum over k`, where `fn(k)` is a column expression.
+
+    The elements are named columns between two projections, so each is computed once and all of it compiles; nested
+    higher-order functions are interpreted element by element, and an array in between would be inlined element-wise into
+    every use of the sum.
+    """
+    if size > UNROLL:
+        whole = rows.select(*keep, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), fn).alias("_raw"))
+        return (whole.withColumn("_total", vec_sum(F.col("_raw")))
+                .select(*keep, F.transform("_raw", lambda x: x / F.col("_total")).alias(name)))
+    parts = [f"_r{k}" for k in range(size)]
+    flat = rows.select(*keep, *[fn(F.lit(k)).alias(p) for k, p in enumerate(parts)])
+    total = F.col(parts[0])
+    for p in parts[1:]:
+        total = total + F.col(p)
+    return (flat.withColumn("_total", total)
+            .select(*keep, F.array(*[F.col(p) / F.col("_total") for p in parts]).alias(name)))
+
+
 def literal_vector(values) -> Column:
     """A fixed vector of one number per topic as a column."""
     return F.array(*[F.lit(float(x)) for x in values])

@@ -9,9 +9,10 @@ from topicspark.functions.vectors import sum_vectors
 from topicspark.operators.corpus import expand_tokens
 
 
-def assign_uniform(bow: DataFrame, n_topics: int, seed: int) -> DataFrame:
+def assign_uniform(bow: DataFrame, n_topics: int, seed: int, portable: bool = True) -> DataFrame:
     """`(doc_id, word_id, occ, topic)`: a uniform topic for every token."""
-    return expand_tokens(bow).withColumn("topic", uniform_topic(seed, n_topics, "doc_id", "word_id", "occ"))
+    topic = uniform_topic(seed, n_topics, "doc_id", "word_id", "occ", portable=portable)
+    return expand_tokens(bow).withColumn("topic", topic)
 
 
 def doc_topic_counts(assigned: DataFrame) -> DataFrame:

@@ -179,15 +179,22 @@ def scvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, init, max_i
         first, size = first[order], lengths[order].astype(np.float64)
         theta = start_vectors(init, seed, docs[order], n_topics)
         stats = np.zeros_like(weight)
+        n_steps = (max_iter + 1) * (int(lengths.max()) if len(lengths) else 0)
+        rates = np.maximum(0.0, scale * (tau0 + np.arange(n_steps)) ** -kappa)
+        whole = lengths[order].astype(np.int64)
         for sweep in range(max_iter + 1):
+            step = sweep * whole                                # each document counts its own steps
             for place, n in enumerate(reach):
                 at = token[first[:n] + place]
-                phi = (alpha + theta[:n]) * weight[at]
-                phi /= phi.sum(axis=1)[:, None] + TINY
+                now = theta[:n]
+                phi = (now + alpha) * weight[at]
+                phi /= phi.sum(axis=1, keepdims=True) + TINY
                 if sweep == max_iter:
                     np.add.at(stats, at, phi)
-                rho = np.maximum(0.0, scale * (tau0 + sweep * size[:n] + place) ** -kappa)[:, None]
-                theta[:n] = (1.0 - rho) * theta[:n] + rho * size[:n, None] * phi
+                rho = rates[step[:n] + place][:, None]
+                phi *= rho * size[:n, None]
+                now *= 1.0 - rho
+                now += phi
         if per_document:
             return _doc_table(docs[order], theta, np.zeros(len(docs)), size)
         return _word_table(words, stats, 0.0, size.sum())
@@ -262,17 +269,24 @@ def gibbs_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, sweep, sche
             else:
                 long_first, reach = _by_length(lengths)
                 first = offsets[:-1][long_first]
+                docs = n_dk[long_first]                         # longest first: a step works on the leading rows
+                rows, flat_docs, flat_words = np.arange(n_docs) * n_topics, docs.reshape(-1), n_kw.reshape(-1)
                 for place, n in enumerate(reach):
-                    at, d = first[:n] + place, long_first[:n]
+                    at = first[:n] + place
                     w, k = token[at], z[at]
-                    np.subtract.at(n_kw, (w, k), 1.0)
+                    np.subtract.at(flat_words, w * n_topics + k, 1.0)
                     n_k -= np.bincount(k, minlength=n_topics)
-                    n_dk[d, k] -= 1
-                    k = _draw((n_kw[w] + beta) / (n_k + vb) * (n_dk[d] + alpha), rng.random(n))
-                    np.add.at(n_kw, (w, k), 1.0)
+                    flat_docs[rows[:n] + k] -= 1.0
+                    prob = n_kw[w]
+                    prob += beta
+                    prob *= docs[:n] + alpha
+                    prob /= n_k + vb
+                    k = _draw(prob, rng.random(n))
+                    np.add.at(flat_words, w * n_topics + k, 1.0)
                     n_k += np.bincount(k, minlength=n_topics)
-                    n_dk[d, k] += 1
+                    flat_docs[rows[:n] + k] += 1.0
                     z[at] = k
+                n_dk[long_first] = docs
         return pa.table({
             "block": left.column("block"), "doc_id": left.column("doc_id"), "seg": left.column("seg"),
             "n_segs": left.column("n_segs"),
@@ -282,33 +296,44 @@ def gibbs_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, sweep, sche
     return run
 
 
-def cvb0_kernel(n_topics, alpha, beta, n_words, topic_totals):
-    """In-place collapsed variational sweep over a block, (document, word) by (document, word)."""
+def cvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, order="serial"):
+    """In-place collapsed variational sweep over a block.
+
+    `serial` goes (document, word) by (document, word).  `lockstep` updates the j-th words of all documents together; as
+    the documents differ, only word and topic sums can be out of date, and only by the rows of one such step.
+    """
     alpha = np.asarray(alpha, dtype=np.float64)
     totals0 = np.asarray(topic_totals, dtype=np.float64)
 
     def run(left, right):
         words, n_wk = _model_rows(right, "params", n_topics)
-        n_k = totals0.copy()
+        n_k = n_words * beta + totals0
+        n_wk = n_wk + beta
         doc, word = _ints(left, "doc_id"), _ints(left, "word_id")
-        order = np.lexsort((word, doc))
-        doc, word = doc[order], word[order]
-        weight = _ints(left, "weight").astype(np.float64)[order]
-        phi = _matrix(left, "phi", n_topics)[order]
+        by_doc = np.lexsort((word, doc))
+        doc, word = doc[by_doc], word[by_doc]
+        weight = _ints(left, "weight").astype(np.float64)[by_doc]
+        phi = _matrix(left, "phi", n_topics)[by_doc]
         at = np.searchsorted(words, word)
-        edges = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
-        for i in range(len(edges) - 1):
-            span = slice(edges[i], edges[i + 1])
-            n_dk = weight[span] @ phi[span]
-            for j in range(edges[i], edges[i + 1]):
-                old, w = phi[j], at[j]
-                new = (alpha + n_dk - old) * (beta + n_wk[w] - old) / (n_words * beta + n_k - old)
-                new /= new.sum()
-                change = weight[j] * (new - old)
-                n_dk += change
-                n_wk[w] += change
-                n_k += change
-                phi[j] = new
+        starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        n_dk = np.add.reduceat(phi * weight[:, None], starts, axis=0) + alpha
+        lengths = np.diff(np.append(starts, len(doc)))
+        if order == "serial":
+            steps = ((slice(d, d + 1), np.array([starts[d] + j]))
+                     for d in range(len(starts)) for j in range(lengths[d]))
+        else:
+            longest, reach = _by_length(lengths)
+            starts, n_dk = starts[longest], n_dk[longest]
+            steps = ((slice(0, n), starts[:n] + place) for place, n in enumerate(reach))
+        for docs, rows in steps:
+            old, w = phi[rows], at[rows]
+            new = (n_dk[docs] - old) * (n_wk[w] - old) / (n_k - old)
+            new /= new.sum(axis=1, keepdims=True)
+            change = weight[rows, None] * (new - old)
+            n_dk[docs] += change
+            np.add.at(n_wk, w, change)
+            n_k += change.sum(axis=0)
+            phi[rows] = new
         return pa.table({"doc_id": pa.array(doc), "word_id": pa.array(word), "weight": pa.array(weight),
                          "phi": _lists(phi, n_topics)})
 

@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from topicspark.functions.random import uniform_array
+from topicspark.functions.random import uniform
 from topicspark.functions.special import lgamma
-from topicspark.functions.vectors import literal_vector, sum_vectors, vec_sum, vec_lgamma
+from topicspark.functions.vectors import literal_vector, share_of_sum, sum_vectors
 from topicspark.operators import blocks
 from topicspark.operators.kernels import cvb0_kernel
 from topicspark.plans.minibatch import metrics_frame, parameter_totals
@@ -24,9 +24,11 @@ class CVB0:
     beta: float = 0.01
     n_sweeps: int = 10
     seed: int = 1
+    init: str = "random"                 # "hash": first responsibilities by md5, reproducible in other engines
     weight: str = "presence"             # "presence": each distinct word of a document counts once; "freq": as often
     schedule: str = "sync"               # "sync": all from the previous sums; "block": in place inside a block
-    n_blocks: int | None = None          # with "block": 1 is the strictly sequential order
+    order: str = "lockstep"              # inside a block: "serial", or "lockstep", the j-th words of all documents at once
+    n_blocks: int | None = None          # with "block": 1 and "serial" is the strictly sequential order
     tokens_per_block: int = blocks.TOKENS_PER_BLOCK
     max_doc_terms: int = 200_000         # with "block": longer documents take the synchronous update
 
@@ -44,13 +46,12 @@ class CVB0Fit:
     history: list
 
 
-def start_phi(bow: DataFrame, n_topics: int, seed: int, weight: str = "presence") -> DataFrame:
+def start_phi(bow: DataFrame, n_topics: int, seed: int, weight: str = "presence", portable: bool = True) -> DataFrame:
     """`(doc_id, word_id, weight, phi)` with a random point on the simplex for every (document, word)."""
     w = F.lit(1.0) if weight == "presence" else F.col("freq").cast("double")
-    drawn = bow.select(F.col("doc_id").cast("long").alias("doc_id"), "word_id", w.alias("weight"),
-                       uniform_array(seed, n_topics, "doc_id", "word_id").alias("_u"))
-    return (drawn.withColumn("_s", vec_sum(F.col("_u")))
-            .select("doc_id", "word_id", "weight", F.transform("_u", lambda x: x / F.col("_s")).alias("phi")))
+    rows = bow.select(F.col("doc_id").cast("long").alias("doc_id"), "word_id", w.alias("weight"))
+    draw = uniform(portable)
+    return share_of_sum(rows, ["doc_id", "word_id", "weight"], n_topics, lambda k: draw(seed, "doc_id", "word_id", k), "phi")
 
 
 def word_sums(phi: DataFrame, n_topics: int) -> DataFrame:
@@ -67,48 +68,43 @@ def sync_sweep(phi: DataFrame, by_word: DataFrame, by_doc: DataFrame, totals: li
                beta: float) -> DataFrame:
     """All responsibilities from the previous sums: two equi-joins and row-wise arithmetic."""
     base = literal_vector([n_words * beta + t for t in totals])
-    a = literal_vector(alpha)
+    a, b = literal_vector(alpha), F.lit(float(beta))
+
+    def update(k):
+        old = F.col("phi")[k]
+        return (a[k] + F.col("n_dk")[k] - old) * (b + F.col("params")[k] - old) / (base[k] - old)
+
     joined = phi.join(by_word, "word_id").join(by_doc, "doc_id")
-    doc_part = F.zip_with(F.zip_with(a, "n_dk", lambda x, y: x + y), "phi", lambda x, old: x - old)
-    word_part = F.zip_with(F.zip_with("params", "phi", lambda x, old: F.lit(float(beta)) + x - old),
-                           F.zip_with(base, "phi", lambda x, old: x - old), lambda x, y: x / y)
-    raw = joined.select("doc_id", "word_id", "weight",
-                        F.zip_with(doc_part, word_part, lambda x, y: x * y).alias("_raw"))
-    total = vec_sum(F.col("_raw"))
-    return (raw.withColumn("_total", total)
-            .select("doc_id", "word_id", "weight", F.transform("_raw", lambda x: x / F.col("_total")).alias("phi")))
+    return share_of_sum(joined, ["doc_id", "word_id", "weight"], len(alpha), update, "phi")
 
 
 def block_sweep(phi: DataFrame, by_word: DataFrame, totals: list[float], n_words: int, cfg: CVB0,
                 n_blocks: int) -> DataFrame:
     """In-place updates inside each block, on the block's own copy of the sums."""
     rows = blocks.assign_blocks(phi.withColumn("seg", F.lit(0)), n_blocks)
-    kernel = cvb0_kernel(cfg.n_topics, cfg.alpha_vec, cfg.beta, n_words, totals)
+    kernel = cvb0_kernel(cfg.n_topics, cfg.alpha_vec, cfg.beta, n_words, totals, cfg.order)
     return blocks.run_blocks(rows, blocks.pull(blocks.block_words(rows), by_word), n_blocks, kernel, PHI_SCHEMA)
 
 
 def loglik(by_word: DataFrame, by_doc: DataFrame, n_words: int, alpha: list, beta: float) -> float:
     """The collapsed log-likelihood of the expected counts.  Words absent from `by_word` contribute 0."""
-    k = len(alpha)
-    b = lgamma(F.lit(float(beta)))
-    a_sum, a_col = F.lit(float(sum(alpha))), literal_vector(alpha)
-    words = by_word.agg(
-        F.sum(F.aggregate("params", F.lit(0.0), lambda acc, x: acc + lgamma(x + F.lit(float(beta))) - b)).alias("c"),
-        sum_vectors("params", k).alias("t")).first()
-    vb = n_words * beta
-    spark = by_word.sparkSession
-    totals = spark.range(1).select(
-        (F.lit(float(k)) * lgamma(F.lit(vb)) - vec_sum(vec_lgamma(literal_vector([t + vb for t in words["t"]])))
-         ).alias("x")).first()["x"]
-    cells = F.zip_with(F.zip_with("n_dk", a_col, lambda n, a: lgamma(n + a)), vec_lgamma(a_col), lambda x, y: x - y)
-    docs = by_doc.agg(F.sum(lgamma(a_sum) - lgamma(vec_sum(F.col("n_dk")) + a_sum) + vec_sum(cells)).alias("x")).first()
-    return words["c"] + totals + docs["x"]
+    k, vb = len(alpha), F.lit(float(n_words * beta))
+    b, a_sum = F.lit(float(beta)), F.lit(float(sum(alpha)))
+    words = (by_word.select(F.posexplode("params").alias("topic", "n")).groupBy("topic")
+             .agg(F.sum(lgamma(F.col("n") + b) - lgamma(b)).alias("cells"), F.sum("n").alias("total"))
+             .agg(F.sum(F.col("cells") + lgamma(vb) - lgamma(F.col("total") + vb)).alias("x"))).first()
+    a = literal_vector(alpha)[F.col("topic")]
+    cells = lgamma(F.col("n") + a) - lgamma(a)
+    docs = (by_doc.select("doc_id", F.posexplode("n_dk").alias("topic", "n")).groupBy("doc_id")
+            .agg(F.sum(cells).alias("cells"), F.sum("n").alias("total"))
+            .agg(F.sum(lgamma(a_sum) - lgamma(F.col("total") + a_sum) + F.col("cells")).alias("x"))).first()
+    return words["x"] + docs["x"]
 
 
 def fit(bow: DataFrame, n_words: int, cfg: CVB0, scratch: Scratch | None = None) -> CVB0Fit:
     """Sweeps with the likelihood after each; the sums are recomputed from the responsibilities every time."""
     scratch = scratch or Scratch(bow.sparkSession, "cvb0")
-    phi = scratch.save(start_phi(bow, cfg.n_topics, cfg.seed, cfg.weight), "phi/0")
+    phi = scratch.save(start_phi(bow, cfg.n_topics, cfg.seed, cfg.weight, cfg.init == "hash"), "phi/0")
     k, history = cfg.n_topics, []
     size = phi.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("c"), F.max("n").alias("m")).first()
     n_blocks = cfg.n_blocks or blocks.block_count(bow.sparkSession, size["c"] or 0, cfg.tokens_per_block)

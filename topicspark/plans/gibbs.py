@@ -21,6 +21,7 @@ class Gibbs:
     beta: float = 0.01
     n_sweeps: int = 10
     seed: int = 1
+    init: str = "random"                 # "hash": first topics by md5, reproducible in other engines
     n_blocks: int | None = None          # None: as many as the corpus size asks for; 1: the exact serial chain
     schedule: str = "lockstep"           # inside a block: "serial", token by token, or "lockstep", document-parallel
     sweeps_per_merge: int = 1
@@ -56,7 +57,7 @@ def start_state(bow: DataFrame, cfg: Gibbs, scratch: Scratch, lengths: DataFrame
     size = lengths.agg(F.sum("n_tokens").alias("c"), F.max("n_tokens").alias("m")).first()
     n_blocks = cfg.n_blocks or blocks.block_count(bow.sparkSession, size["c"] or 0, cfg.tokens_per_block)
     segmented = n_blocks > 1 and (size["m"] or 0) > cfg.segment_tokens
-    tokens = counts.assign_uniform(bow, cfg.n_topics, cfg.seed)
+    tokens = counts.assign_uniform(bow, cfg.n_topics, cfg.seed, portable=cfg.init == "hash")
     if segmented:
         long_docs = (lengths.where(F.col("n_tokens") > cfg.segment_tokens)
                      .select("doc_id", F.ceil(F.col("n_tokens") / cfg.segment_tokens).cast("int").alias("n_segs")))

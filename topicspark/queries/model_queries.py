@@ -303,7 +303,7 @@ _LGB = f"lgamma({_CB}e0)"
        f"SELECT CAST(2 AS INTEGER) AS t, {r_sql('a.x + b.x + c.x', 2)} AS loglik FROM a, b, c")
 def cvb0_loglik(spark, d):
     """The likelihood after two synchronous sweeps of the fit."""
-    fit = cvb0.fit(corpus(spark, d).bow, vocabulary_size(spark, d), cvb0.CVB0(K, _CA, _CB, 2, SEED))
+    fit = cvb0.fit(corpus(spark, d).bow, vocabulary_size(spark, d), cvb0.CVB0(K, _CA, _CB, 2, SEED, init="hash"))
     return fit.metrics.where("t = 2").select("t", rounded("value", 2).alias("loglik"))
 
 

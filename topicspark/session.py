@@ -13,6 +13,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A skewed join whose output feeds an aggregate on the same key is still worth splitting.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A generated method above 8000 bytes of code is never compiled by the JVM; Spark then splits it instead.  Arithmetic
+    # on one column per topic reaches that size soon.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
