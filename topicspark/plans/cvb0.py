@@ -131,4 +131,7 @@ def fit(bow: DataFrame, n_words: int, cfg: CVB0, scratch: Scratch | None = None)
             for name in ("phi", "by_word", "by_doc"):
                 scratch.drop(f"{name}/{t - 2}")
         history.append((t, "loglik", loglik(by_word, by_doc, n_words, cfg.alpha_vec, cfg.beta)))
+    if cfg.n_sweeps:
+        for name in ("phi", "by_word", "by_doc"):
+            scratch.drop(f"{name}/{cfg.n_sweeps - 1}")
     return CVB0Fit(phi, by_word, by_doc, metrics_frame(bow.sparkSession, scratch.base, history), history)

@@ -134,6 +134,9 @@ def fit(bow: DataFrame, n_words: int, cfg: Gibbs, scratch: Scratch | None = None
             beta = likelihood.beta_step(topic_word, n_words, beta).first()["beta"]
             if min(alpha) < 0 or beta < 0:
                 raise ValueError("a Dirichlet parameter became negative")
+    if cfg.n_sweeps:
+        scratch.drop(f"state/{cfg.n_sweeps - 1}")
+        scratch.drop(f"topic_word/{cfg.n_sweeps - 1}")
     doc_topic = counts.doc_topic_counts(assignments(state))
     return GibbsFit(state, topic_word, doc_topic, alpha, beta,
                     metrics_frame(bow.sparkSession, scratch.base, history), history)

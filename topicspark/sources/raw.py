@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from topicspark.operators.indexing import dense_index
-from topicspark.session import Scratch
+from topicspark.session import Scratch, local_parallelism
 
 WORD_PATTERN = r"(\p{L}+)"
 
@@ -39,6 +39,15 @@ def encode(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return counts.join(vocab.select("term", "word_id"), "term").select("doc_id", "word_id", "freq")
 
 
+def spread_small_scan(docs: DataFrame, key: str) -> DataFrame:
+    """Documents over all cores when the scan has fewer splits than that, as with one file of one row group.
+
+    Large inputs have more splits than cores and are left as they are; raw text is not worth a shuffle there.
+    """
+    cores = local_parallelism(docs.sparkSession)
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, key)
+
+
 class Corpus:
     """A prepared corpus: `vocab(word_id, term, df)`, `bow(doc_id, word_id, freq)`, written once to scratch."""
 
@@ -60,7 +69,8 @@ def corpus_from_text(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "
                      scratch: Scratch | None = None) -> Corpus:
     """Count, number and encode the terms of raw documents.  Each stage is read twice, so each is written once."""
     scratch = scratch or Scratch(docs.sparkSession, "corpus")
-    counts = scratch.save(term_counts(docs, doc_col, text_col), "term_counts")
+    small = spread_small_scan(docs.select(doc_col, text_col), doc_col)
+    counts = scratch.save(term_counts(small, doc_col, text_col), "term_counts")
     vocab = scratch.save(build_vocabulary(counts, scratch, min_df), "vocab")
     bow = scratch.save(encode(counts, vocab), "bow")
     return Corpus(vocab, bow, scratch)
