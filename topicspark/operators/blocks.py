@@ -32,7 +32,7 @@ def segment_rows(bow: DataFrame, lengths: DataFrame, segment_tokens: int = SEGME
     long_docs = (lengths.where(F.col("n_tokens") > segment_tokens)
                  .select("doc_id", F.ceil(F.col("n_tokens") / segment_tokens).cast("int").alias("n_segs")))
     marked = bow.join(long_docs, "doc_id", "left").withColumn("n_segs", F.coalesce("n_segs", F.lit(1)))
-    step = F.lit(segment_tokens)
+    step = F.lit(max(1, segment_tokens // 8))         # pieces smaller than a segment, so that hashing evens them out
     runs = marked.withColumn("_start", F.explode(F.sequence(F.lit(0), F.col("freq") - 1, step)))
     return runs.select(
         *[c for c in bow.columns if c != "freq"],

@@ -6,21 +6,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from topicspark.session import Scratch
 
+_MAX_BROADCAST_PARTS = 1_000_000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number inside a partition in its low 33 bits
 
 
-def _add_offsets(staged: DataFrame, part_cols: list[str], local_pos: Column, name: str) -> DataFrame:
+def _add_offsets(staged: DataFrame, part_cols: list[str], local_pos: Column, name: str, scratch: Scratch,
+                 label: str) -> DataFrame:
     """Position = rows in all earlier parts + position inside the part.
 
-    The unpartitioned window below runs over one row per part (a shuffle partition or a file split), never over data
-    rows; the small result is joined back and its size is known to the optimizer only from those counts, so the choice
-    between broadcast and shuffle is left to it.
+    The unpartitioned window runs over one row per part (a shuffle partition or a file split), never over data rows.  The
+    offsets are broadcast when there are at most a million parts, which is counted; a join on the part would otherwise
+    move every row of a part together.
     """
     before = Window.orderBy(*part_cols).rowsBetween(Window.unboundedPreceding, -1)
     parts = (staged.groupBy(*part_cols)
              .agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
              .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
              .drop("_n"))
+    parts = scratch.save(parts, f"{label}_parts")
+    if parts.count() <= _MAX_BROADCAST_PARTS:
+        parts = F.broadcast(parts)
     return (staged.join(parts, part_cols)
             .withColumn(name, (F.col("_before") + local_pos).cast("long"))
             .drop("_before", "_first", "_mono", *part_cols))
@@ -32,7 +37,8 @@ def dense_index(df: DataFrame, order_by: list[str], name: str, scratch: Scratch,
               .withColumn("_mono", F.monotonically_increasing_id()))
     staged = scratch.save(ranged, label)
     staged = staged.withColumn("_part", F.shiftright("_mono", _LOCAL_BITS))
-    return _add_offsets(staged, ["_part"], F.col("_mono").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)), name)
+    return _add_offsets(staged, ["_part"], F.col("_mono").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)), name, scratch,
+                        label)
 
 
 def line_index(lines: DataFrame, name: str, scratch: Scratch, label: str = "lines") -> DataFrame:
@@ -42,4 +48,4 @@ def line_index(lines: DataFrame, name: str, scratch: Scratch, label: str = "line
     earlier splits plus its place in its own split.
     """
     staged = scratch.save(lines.withColumn("_mono", F.monotonically_increasing_id()), label)
-    return _add_offsets(staged, ["_file", "_split"], F.col("_mono") - F.col("_first"), name)
+    return _add_offsets(staged, ["_file", "_split"], F.col("_mono") - F.col("_first"), name, scratch, label)

@@ -80,9 +80,10 @@ def _sparse_rows(topic_word: DataFrame) -> DataFrame:
 
 def _with_rest(state: DataFrame, n_topics: int, segmented: bool) -> DataFrame:
     """Add `rest`: the topic counts of the other segments of a long document, null for ordinary documents."""
+    none = F.lit(None).cast("array<double>")
     if not segmented:
-        return state.withColumn("rest", F.lit(None).cast("array<double>"))
-    long_part = state.where(F.col("n_segs") > 1)
+        return state.withColumn("rest", none)
+    usual, long_part = state.where(F.col("n_segs") == 1), state.where(F.col("n_segs") > 1)
     cells = (long_part.select("doc_id", "seg", F.explode("topics").alias("topic"))
              .groupBy("doc_id", "seg", "topic").agg(F.count(F.lit(1)).alias("n")))
     one_hot = [F.sum(F.when(F.col("topic") == k, F.col("n")).otherwise(F.lit(0))).cast("double")
@@ -91,7 +92,7 @@ def _with_rest(state: DataFrame, n_topics: int, segmented: bool) -> DataFrame:
     whole = cells.groupBy("doc_id").agg(F.array(*one_hot).alias("_all"))
     rest = (own.join(whole, "doc_id")
             .select("doc_id", "seg", F.zip_with("_all", "_own", lambda a, b: a - b).alias("rest")))
-    return state.join(rest, ["doc_id", "seg"], "left")
+    return usual.withColumn("rest", none).unionByName(long_part.join(rest, ["doc_id", "seg"]))
 
 
 def sweep(state: DataFrame, topic_word: DataFrame, words_of_blocks: DataFrame, totals: list[float], n_words: int,

@@ -33,7 +33,7 @@ class OnlineVB:
     seed: int = 1
     init: str = "gamma"
     tokens_per_block: int = blocks.TOKENS_PER_BLOCK
-    max_doc_terms: int = 1_000_000   # documents with more distinct words take the joined E-step
+    max_doc_terms: int = 200_000     # documents with more distinct words take the joined E-step
     bound: bool = True               # perplexity needs a pass over all parameters per step
 
     @property

@@ -1,7 +1,7 @@
 """Model snapshots, hyper-parameters and keyed outputs.
 
-Parquet is the working form.  The text form has one line per topic (`k<TAB>json array`), so a line is as long as the
-vocabulary: it is meant for exchange of models whose rows fit a line.
+Parquet is the working form.  The text form has one line per topic, `k<TAB>json array`, for exchange.  A topic of more
+words than fit a line goes on in further lines `k<TAB>first word<TAB>json array`, so no row grows with the vocabulary.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from topicspark.functions.scalars import vector_from_json, vector_to_json
-from topicspark.operators.counts import long_form, sum_by_word  # noqa: F401  (re-exported for callers of snapshots)
+from topicspark.operators.counts import long_form
 
 MODEL_SCHEMA = "word_id int, params array<double>"
 
@@ -30,24 +30,35 @@ def read_all_versions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MODEL_SCHEMA + ", t int").parquet(path)
 
 
-def topic_lines(model: DataFrame) -> DataFrame:
-    """`(topic, value)`: a topic's parameters over all words in word order, as json text."""
-    cells = long_form(model, "params")
+WORDS_PER_LINE = 1_000_000
+
+
+def topic_lines(model: DataFrame, words_per_line: int = WORDS_PER_LINE) -> DataFrame:
+    """`(topic, first, value)`: parameters of consecutive word numbers in word order, as json text.
+
+    Word numbers must be dense, as those of a vocabulary are.
+    """
+    cells = long_form(model, "params").withColumn("_line", F.floor(F.col("word_id") / words_per_line))
     ordered = F.array_sort(F.collect_list(F.struct("word_id", "value")))
-    return (cells.groupBy("topic").agg(ordered.alias("t"))
-            .select("topic", vector_to_json(F.col("t.value")).alias("value")))
+    return (cells.groupBy("topic", "_line").agg(ordered.alias("t"))
+            .select("topic", (F.col("_line") * words_per_line).cast("int").alias("first"),
+                    vector_to_json(F.col("t.value")).alias("value")))
 
 
-def write_topic_text(model: DataFrame, path: str) -> None:
-    lines = topic_lines(model).select(F.concat_ws("\t", F.col("topic").cast("string"), "value"))
+def write_topic_text(model: DataFrame, path: str, words_per_line: int = WORDS_PER_LINE) -> None:
+    first = F.when(F.col("first") > 0, F.col("first").cast("string"))      # concat_ws leaves a null out
+    lines = topic_lines(model, words_per_line).select(F.concat_ws("\t", F.col("topic").cast("string"), first, "value"))
     lines.write.mode("overwrite").text(path)
 
 
 def read_topic_text(spark: SparkSession, path: str) -> DataFrame:
     """`(topic, word_id, value)` from every part file of a text snapshot."""
     parts = F.split("value", "\t")
+    first = F.when(F.size(parts) == 3, F.get(parts, F.lit(1))).otherwise(F.lit("0")).cast("int")
     return (spark.read.text(path)
-            .select(parts[0].cast("int").alias("topic"), F.posexplode(vector_from_json(parts[1])).alias("word_id", "value")))
+            .select(F.get(parts, F.lit(0)).cast("int").alias("topic"), first.alias("_first"),
+                    F.posexplode(vector_from_json(F.element_at(parts, -1))).alias("_pos", "value"))
+            .select("topic", (F.col("_first") + F.col("_pos")).alias("word_id"), "value"))
 
 
 def write_vector_text(vector: DataFrame, path: str) -> None:
