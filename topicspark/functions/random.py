@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, functions as F
 
+from topicspark.functions.vectors import elementwise
+
 GAMMA_SHAPE, GAMMA_SCALE = 100.0, 0.01          # starting values of the parameter matrices: mean 1, sd 0.1
 _UNIFORM_WIDTH = 0.1 * math.sqrt(3.0)           # half width of a uniform with the same mean and sd
 
@@ -37,15 +39,5 @@ def near_one(seed: int, *keys) -> Column:
     return F.lit(1.0) + F.lit(_UNIFORM_WIDTH) * (F.lit(2.0) * u01(seed, *keys) - F.lit(1.0))
 
 
-def topic_array(n_topics: int, fn) -> Column:
-    """An array with one element per topic; `fn` maps the topic number column to the element.
-
-    Spelled out for usual numbers of topics, so that it compiles; a higher-order function is interpreted per element.
-    """
-    if n_topics <= 64:
-        return F.array(*[fn(F.lit(k)) for k in range(n_topics)])
-    return F.transform(F.sequence(F.lit(0), F.lit(n_topics - 1)), fn)
-
-
 def near_one_array(seed: int, n_topics: int, *keys) -> Column:
-    return topic_array(n_topics, lambda k: near_one(seed, *keys, k))
+    return elementwise(n_topics, lambda k: near_one(seed, *keys, k))

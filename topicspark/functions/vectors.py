@@ -57,6 +57,13 @@ def vec_dirichlet_expectation(v: Column) -> Column:
 UNROLL = 64  # up to this length, element-wise work is spelled out so that it compiles
 
 
+def elementwise(size: int, fn) -> Column:
+    """An array of `fn(k)`, where `fn(k)` is a column expression that may use element k of array columns."""
+    if size > UNROLL:
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), fn)
+    return F.array(*[fn(F.lit(k)) for k in range(size)])
+
+
 def share_of_sum(rows: DataFrame, keep: list[str], size: int, fn, name: str) -> DataFrame:
     """`keep` columns plus an array `name` of `fn(k) / sum over k`, where `fn(k)` is a column expression.
 

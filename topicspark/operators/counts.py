@@ -65,10 +65,9 @@ def join_words(bow: DataFrame, params: DataFrame) -> DataFrame:
     return bow.join(params, "word_id")
 
 
-def left_statistics(model: DataFrame, stats: DataFrame, n_topics: int, col: str = "ss") -> DataFrame:
-    """Model rows with their sufficient statistics, zeros where the batch did not touch the word."""
-    zeros = F.array_repeat(F.lit(0.0), n_topics)
-    return model.join(stats, "word_id", "left").withColumn(col, F.coalesce(F.col(col), zeros))
+def left_statistics(model: DataFrame, stats: DataFrame) -> DataFrame:
+    """Model rows with their sufficient statistics; null where the batch did not touch the word."""
+    return model.join(stats, "word_id", "left")
 
 
 def sum_by_word(rows: DataFrame, col: str, n_topics: int) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from topicspark.functions.random import near_one_array
-from topicspark.functions.vectors import sum_vectors
+from topicspark.functions.vectors import elementwise, sum_vectors
 from topicspark.operators import blocks
 from topicspark.operators.corpus import minibatches, with_position
 from topicspark.operators.counts import left_statistics, long_form
@@ -90,10 +90,13 @@ def summary(stats: DataFrame):
 def blend_model(model: DataFrame, stats: DataFrame, n_topics: int, rho: float, scale: float,
                 prior: float = 0.0) -> DataFrame:
     """params <- (1 - rho) * params + rho * (prior + scale * statistics); untouched words still decay."""
-    joined = left_statistics(model, stats, n_topics)
-    return joined.select("word_id", F.zip_with(
-        "params", "ss",
-        lambda old, ss: F.lit(1.0 - rho) * old + F.lit(rho) * (F.lit(prior) + F.lit(scale) * ss)).alias("params"))
+    keep, new, start = F.lit(1.0 - rho), F.lit(rho), F.lit(prior)
+
+    def blended(k):
+        found = F.coalesce(F.col("ss")[k], F.lit(0.0))
+        return keep * F.col("params")[k] + new * (start + F.lit(scale) * found)
+
+    return left_statistics(model, stats).select("word_id", elementwise(n_topics, blended).alias("params"))
 
 
 def run_on_blocks(bow: DataFrame, model: DataFrame, kernel, n_blocks: int, schema: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from topicspark.functions.scalars import learning_rate
 from topicspark.functions.special import digamma, lgamma, np_digamma
-from topicspark.functions.vectors import (TINY, literal_vector, sum_vectors, vec_dirichlet_expectation, vec_l1,
+from topicspark.functions.vectors import (TINY, elementwise, literal_vector, sum_vectors, vec_dirichlet_expectation, vec_l1,
                                           vec_logsumexp, vec_mul, vec_sum, vec_lgamma)
 from topicspark.operators import blocks
 from topicspark.operators.counts import long_form, sum_by_word
@@ -53,7 +53,8 @@ class Fit:
 def log_expectation(model: DataFrame, totals: list[float]) -> DataFrame:
     """`(word_id, elog)`: psi(lambda) - psi(topic total)."""
     base = literal_vector([float(np_digamma(t)) for t in totals])
-    return model.select("word_id", F.zip_with("params", base, lambda x, b: digamma(x) - b).alias("elog"))
+    return model.select("word_id", elementwise(
+        len(totals), lambda k: digamma(F.col("params")[k]) - base[k]).alias("elog"))
 
 
 def joined_e_step(bow: DataFrame, elog: DataFrame, start: DataFrame, alpha: list[float], max_iter: int, tol: float,

@@ -11,8 +11,8 @@ from topicspark.operators import counts, likelihood, ranking
 from topicspark.operators.corpus import minibatches
 from topicspark.plans import cvb0, gibbs, infer, online_vb, scvb0
 from topicspark.plans.minibatch import blend_model, only_words, parameter_totals, start_model, topic_words
-from topicspark.queries.base import (ASSIGNED, BOW, DT, K, POSITIONS, SEED, TOKENS, TW, VOCAB, batches, corpus, dig,
-                                     near_one_sql, query, r_sql, rounded, u_sql, vocabulary_size)
+from topicspark.queries.base import (ASSIGNED, BOW, DT, K, ORACLES, POSITIONS, SEED, TOKENS, TW, VOCAB, batches, corpus,
+                                     dig, near_one_sql, query, r_sql, rounded, u_sql, vocabulary_size)
 from topicspark.session import Scratch
 from topicspark.sources import exports, snapshots
 from topicspark.streaming import online as stream
@@ -532,6 +532,23 @@ def scvb0_fit(spark, d):
     return ranking.top_terms(topic_words(fit.model), corpus(spark, d).vocab, 30)
 
 
+_RHO_1 = "pow(11e0, -0.9e0)"
+
+
+@query("scvb0_snapshots",
+       f"WITH {BOW}{_WORD_PARAMS}, c AS (SELECT CAST(sum(freq) AS DOUBLE) AS c FROM bow), z AS (SELECT "
+       f"sum({' + '.join(f'l{k}' for k in range(K))}) AS x FROM lam), one AS (SELECT (1e0 - {_RHO}) * x + {_RHO} * c AS x "
+       f"FROM z, c), two AS (SELECT (1e0 - {_RHO_1}) * x + {_RHO_1} * c AS x FROM one, c) "
+       + " UNION ALL ".join(f"SELECT CAST({t} AS INTEGER) AS t, {r_sql('x', 2)} AS mass FROM {n}"
+                            for t, n in enumerate(("z", "one", "two"))))
+def scvb0_snapshots(spark, d):
+    """All versions of a run that keeps its snapshots: each step moves the expected counts towards the corpus size."""
+    base = Scratch(spark, "scvb0-snapshots").base
+    scvb0.fit(batches(spark, d, 2), corpus(spark, d).vocab, scvb0.SCVB0(K, max_iter=1, seed=SEED, init="hash"), base)
+    versions = snapshots.read_all_versions(spark, f"{base}/model")
+    return versions.groupBy("t").agg(rounded(F.sum(vec_sum(F.col("params"))), 2).alias("mass"))
+
+
 @query("scvb0_doc_lengths", f"WITH {TOKENS} SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id")
 def scvb0_doc_lengths(spark, d):
     """The tokens visited in each document by the counted pass."""
@@ -588,6 +605,25 @@ def keyed_output(spark, d):
     return snapshots.read_kind(spark, scratch.path("out"), "doc").groupBy("topic").agg(F.sum("n").alias("n"))
 
 
+@query("topic_text_snapshot", f"WITH {VOCAB}{_WORD_PARAMS} {_long_sql('l', 9, 'word_id', 'lam')}")
+def topic_text_snapshot(spark, d):
+    """A model written as text, a topic over several lines, and read from all part files."""
+    scratch = Scratch(spark, "topic-text")
+    snapshots.write_topic_text(start_model(corpus(spark, d).vocab, K, SEED, "hash"), scratch.path("model"), 10_000)
+    return snapshots.read_topic_text(spark, scratch.path("model")).withColumn("value", rounded("value", 9))
+
+
+@query("alpha_snapshot", ORACLES["alpha_step"])
+def alpha_snapshot(spark, d):
+    """Alpha after a step, stored as one row of parameters and as json, and read back."""
+    scratch, steps = Scratch(spark, "alpha"), alpha_step(spark, d).orderBy("topic").collect()   # one row per topic
+    snapshots.write_params(spark, scratch.path("params"), [r["alpha"] for r in steps], beta=_B)
+    stored = snapshots.read_alpha(spark, scratch.path("params"), K)
+    snapshots.write_alpha_json(spark, scratch.path("json"), stored)
+    back = snapshots.read_alpha_json(spark, scratch.path("json"))
+    return spark.createDataFrame(list(enumerate(back)), "topic int, alpha double")
+
+
 @query("vector_snapshot", f"WITH {TW} SELECT topic, CAST(sum(n) AS DOUBLE) AS value FROM tw GROUP BY topic")
 def vector_snapshot(spark, d):
     scratch = Scratch(spark, "vector")
