@@ -88,7 +88,7 @@ def main():
         from pyspark.ml.clustering import LDA
         from pyspark.ml.linalg import SparseVector, VectorUDT
         make = F.udf(lambda i, v: SparseVector(n_words, i, [float(x) for x in v]), VectorUDT())
-        rows = c.bow.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word_id", "freq"))).alias("t"))
+        rows = c.bow.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word_id", "freq"))).alias("t"))
         data = c.scratch.save(rows.select("doc_id", make("t.word_id", "t.freq").alias("features")).repartition(CPUS),
                               "features")
         start = time.time()

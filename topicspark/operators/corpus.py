@@ -76,7 +76,7 @@ def expand_tokens(bow: DataFrame) -> DataFrame:
 
 def document_vectors(bow: DataFrame) -> DataFrame:
     """`(doc_id, words, freqs)`: word numbers in ascending order and their frequencies in the same order."""
-    ordered = F.array_sort(F.collect_list(F.struct("word_id", "freq")))
+    ordered = F.sort_array(F.collect_list(F.struct("word_id", "freq")))
     return (bow.groupBy("doc_id").agg(ordered.alias("_t"))
             .select("doc_id", F.col("_t.word_id").alias("words"), F.col("_t.freq").alias("freqs")))
 

@@ -35,7 +35,7 @@ def top_terms(cells: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
 
 def topic_rows(terms: DataFrame) -> DataFrame:
     """`(topic, words)`: the ranked terms of a topic in one comma-separated string."""
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "term")))
     return (terms.groupBy("topic").agg(ordered.alias("_t"))
             .select("topic", F.array_join(F.col("_t.term"), ",").alias("words")))
 

@@ -65,7 +65,7 @@ def start_state(bow: DataFrame, cfg: Gibbs, scratch: Scratch, lengths: DataFrame
                   .withColumn("seg", F.pmod(F.xxhash64("word_id", "occ"), F.col("n_segs")).cast("int")))
     else:
         tokens = tokens.withColumn("n_segs", F.lit(1)).withColumn("seg", F.lit(0))
-    ordered = F.array_sort(F.collect_list(F.struct("word_id", "occ", "topic")))
+    ordered = F.sort_array(F.collect_list(F.struct("word_id", "occ", "topic")))
     packed = tokens.groupBy("doc_id", "seg", "n_segs").agg(ordered.alias("t"))
     state = blocks.assign_blocks(packed, n_blocks).select(
         "block", "doc_id", "seg", "n_segs", F.col("t.word_id").alias("words"), F.col("t.topic").alias("topics"))

@@ -468,7 +468,7 @@ def stream_fit(spark, d):
     b, scratch = batches(spark, d, 2), Scratch(spark, "stream")
     for t in range(b.n_batches):
         docs = b.bow.where(F.col("batch_id") == t).groupBy("doc_id").agg(
-            F.array_sort(F.collect_list(F.struct("word_id", "freq"))).alias("x"))
+            F.sort_array(F.collect_list(F.struct("word_id", "freq"))).alias("x"))
         arrived = (b.docs.where(F.col("batch_id") == t).select("doc_id").join(docs, "doc_id", "left")
                    .select("doc_id", F.coalesce("x.word_id", F.array().cast("array<int>")).alias("words"),
                            F.coalesce("x.freq", F.array().cast("array<int>")).alias("freqs")))

@@ -210,7 +210,7 @@ def _corpus_file(spark, d):
     scratch = Scratch(spark, "corpus-file")
     docs = table(spark, d, "documents").select("doc_id", F.posexplode(term_array(F.col("text"))).alias("p", "term"))
     pairs = (docs.join(corpus(spark, d).vocab, "term")
-             .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", "word_id"))).alias("t")))
+             .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("p", "word_id"))).alias("t")))
     line = F.concat_ws(" ", F.concat(F.lit("doc"), "doc_id"), F.size("t").cast("string"),
                        F.array_join(F.transform("t", lambda x: F.concat(x["word_id"], F.lit(":"), x["p"] + 1)), " "))
     (pairs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(line.alias("value"))

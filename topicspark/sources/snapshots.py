@@ -39,7 +39,7 @@ def topic_lines(model: DataFrame, words_per_line: int = WORDS_PER_LINE) -> DataF
     Word numbers must be dense, as those of a vocabulary are.
     """
     cells = long_form(model, "params").withColumn("_line", F.floor(F.col("word_id") / words_per_line))
-    ordered = F.array_sort(F.collect_list(F.struct("word_id", "value")))
+    ordered = F.sort_array(F.collect_list(F.struct("word_id", "value")))
     return (cells.groupBy("topic", "_line").agg(ordered.alias("t"))
             .select("topic", (F.col("_line") * words_per_line).cast("int").alias("first"),
                     vector_to_json(F.col("t.value")).alias("value")))
@@ -55,9 +55,10 @@ def read_topic_text(spark: SparkSession, path: str) -> DataFrame:
     """`(topic, word_id, value)` from every part file of a text snapshot."""
     parts = F.split("value", "\t")
     first = F.when(F.size(parts) == 3, F.get(parts, F.lit(1))).otherwise(F.lit("0")).cast("int")
-    return (spark.read.text(path)
-            .select(F.get(parts, F.lit(0)).cast("int").alias("topic"), first.alias("_first"),
-                    F.posexplode(vector_from_json(F.element_at(parts, -1))).alias("_pos", "value"))
+    # a line is taken apart before it is exploded; beside the explode this would be done again for every word
+    lines = spark.read.text(path).select(F.get(parts, F.lit(0)).cast("int").alias("topic"), first.alias("_first"),
+                                         vector_from_json(F.element_at(parts, -1)).alias("_values"))
+    return (lines.select("topic", "_first", F.posexplode("_values").alias("_pos", "value"))
             .select("topic", (F.col("_first") + F.col("_pos")).alias("word_id"), "value"))
 
 
