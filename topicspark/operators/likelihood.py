@@ -47,12 +47,10 @@ def alpha_step(doc_topic: DataFrame, alpha: list[float]) -> DataFrame:
     a = _alpha_of_topic(alpha)
     num = doc_topic.groupBy("topic").agg(F.sum(digamma(F.col("n") + a) - digamma(a)).alias("_num"))
     den = (doc_topic.groupBy("doc_id").agg(F.sum("n").alias("_n"))
-           .agg(F.sum(digamma(F.col("_n") + total) - digamma(total)).alias("_den")))
+           .agg(F.sum(digamma(F.col("_n") + total) - digamma(total)).alias("_den"))).first()["_den"]    # one number
     topics = doc_topic.sparkSession.range(n_topics).select(F.col("id").cast("int").alias("topic"))
-    # both sides are bounded by the number of topics; the one-row total rides along on a constant key
-    return (topics.join(num, "topic", "left").withColumn("_one", F.lit(1))
-            .join(F.broadcast(den.withColumn("_one", F.lit(1))), "_one")
-            .select("topic", (_alpha_of_topic(alpha) * F.coalesce("_num", F.lit(0.0)) / F.col("_den")).alias("alpha")))
+    return (topics.join(num, "topic", "left")
+            .select("topic", (a * F.coalesce("_num", F.lit(0.0)) / F.lit(den)).alias("alpha")))
 
 
 def beta_step(topic_word: DataFrame, n_words: int, beta: float) -> DataFrame:
