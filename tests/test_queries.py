@@ -7,11 +7,13 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, normal
+from topicspark.queries.base import ORACLES
 
 SF = "/root/testdata/sf0.001"
 TRAINERS = ("vb_", "cvb0_", "scvb0_", "adlda_", "gibbs_fit", "stream_fit", "training_metrics", "doc_topics")
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+LIBRARY = sorted(n for n in ORACLES if not n.startswith(TRAINERS))
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +24,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith(TRAINERS)))
+@pytest.mark.parametrize("name", LIBRARY)
 def test_query_equals_sql(spark, con, name):
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
