@@ -36,3 +36,8 @@ def ascii_lower(c: Column) -> Column:
 def text_of(name: str = "text") -> Column:
     """A missing text is an empty one."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once: inside it the value is a variable, which no optimizer rule can expand."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
