@@ -14,6 +14,7 @@ become their ids, as the library does by default.  Other columns of the input ar
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,9 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from topicspark.llm.registry import query, table
-from topicspark.llm.words import SPACED, WordIds, byte_alphabet, texts_of
+from topicspark.llm.words import WordIds, byte_alphabet, texts_of
 
 _FOREVER = 1 << 40
+_MOST_PAIRS = 1_500_000
 
 
 class PrefixEncoder:
@@ -37,12 +39,12 @@ class PrefixEncoder:
         to_byte = {c: b for b, c in byte_alphabet().items()}
         ids = model["vocab"]
         self.token = {i: bytes(to_byte[c] for c in t) for t, i in ids.items()}
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, dict[int, int]] = {}    # left part: right part: rank of their merge
         made: dict[int, tuple[int, int, int]] = {}   # token: its parts and the rank that joins them
         for r, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             left, right, whole = ids[a], ids[b], ids[a + b]
-            self.rank.setdefault((left, right), r)
+            self.rank.setdefault(left, {}).setdefault(right, r)
             made.setdefault(whole, (left, right, r))
         self.right = {t: self._border(t, made, 1) for t in self.token}
         self.left = {t: self._border(t, made, 0) for t in self.token}
@@ -51,7 +53,7 @@ class PrefixEncoder:
             if len(text) == 1 or t in made:
                 self.suffixes.add_word(text.decode("latin-1"), (len(text), t))
         self.suffixes.make_automaton()
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
 
     @staticmethod
     def _border(t: int, made: dict, side: int) -> list[tuple[int, int]]:
@@ -64,29 +66,35 @@ class PrefixEncoder:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the encoding of a's and b's bytes keeps the border between them."""
-        known = self._fits.get((a, b))
-        if known is None:
-            rank = self.rank
-            known = True
-            for x, x_until in self.right[a]:
+        for x, x_until in self.right[a]:
+            ranks = self.rank.get(x)
+            if ranks:
                 for y, y_until in self.left[b]:
-                    r = rank.get((x, y))
+                    r = ranks.get(y)
                     # equal ranks: the leftmost of equal pairs is merged first
                     if r is not None and r < x_until and r <= y_until:
-                        known = False
-            if len(self._fits) >= 2_000_000:
-                self._fits.clear()
-            self._fits[(a, b)] = known
-        return known
+                        return False
+        return True
 
     def ids(self, word: bytes) -> list[int]:
         n = len(word)
-        last = [-1] * (n + 1)
-        size = [0] * (n + 1)
+        last, size = [0] * (n + 1), [0] * (n + 1)
+        known, solved = self._fits, 0
         for end, (length, t) in self.suffixes.iter(word.decode("latin-1")):
             end += 1
-            if last[end] < 0 and (length == end or self.fits(last[end - length], t)):
-                last[end], size[end] = t, length
+            if end == solved:
+                continue
+            if length != end:
+                before = last[end - length]
+                key = before << 20 | t
+                fit = known.get(key)
+                if fit is None:
+                    fit = known[key] = self.fits(before, t)
+                if not fit:
+                    continue
+            last[end], size[end], solved = t, length, end
+        if len(known) > _MOST_PAIRS:
+            known.clear()
         out = []
         while n:
             out.append(last[n])
@@ -94,39 +102,50 @@ class PrefixEncoder:
         return out[::-1]
 
 
-_encoders: dict[str, tuple[PrefixEncoder, WordIds]] = {}   # one per worker process and vocabulary file
+_encoders: dict[str, tuple[PrefixEncoder, WordIds, Decoder]] = {}   # one per worker process and vocabulary file
 
 
-def encoder(path: str) -> tuple[PrefixEncoder, WordIds]:
+def encoder(path: str) -> tuple[PrefixEncoder, WordIds, Decoder]:
     if path not in _encoders:
         prefix = PrefixEncoder(path)
-        pack = lambda w: np.array(prefix.ids(w.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-        _encoders[path] = prefix, WordIds(Tokenizer.from_file(path), SPACED, pack, lower=False)
+        pack = lambda words: [array("I", prefix.ids(w.encode("utf-8"))).tobytes() for w in words]
+        words = WordIds(Tokenizer.from_file(path), pack, spaced=True, lower=False)
+        marks = {int.from_bytes(i, "little"): t.encode() for t, i in words.special.items()}
+        _encoders[path] = prefix, words, Decoder(prefix.token | marks)
     return _encoders[path]
 
 
-def decoded(path: str, packed: bytes) -> str:
-    """The text of packed ids; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
-    prefix, words = encoder(path)
-    if not any(s in packed for s in words.special.values()):
-        return b"".join(map(prefix.token.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
-    special = {int.from_bytes(v, "little"): k.encode() for k, v in words.special.items()}
-    ids = np.frombuffer(packed, "<u4").tolist()
-    return b"".join(special.get(i) or prefix.token.get(i, b"") for i in ids).decode("utf-8", "replace")
+class Decoder:
+    """Texts of packed ids; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
+
+    def __init__(self, token: dict[int, bytes]):
+        known = [token.get(i, b"") for i in range(max(token) + 2)]      # the last one stands for unknown ids
+        self.length = np.array([len(t) for t in known], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(known), np.uint8)
+
+    def texts(self, packed: list[bytes]) -> list[str]:
+        ids = np.minimum(np.frombuffer(b"".join(packed), "<u4"), len(self.length) - 1)
+        size = self.length[ids]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        out = self.bytes[np.repeat(self.start[ids] - (ends - size), size) + np.arange(total)].tobytes()
+        cuts = np.concatenate([[0], ends])[np.cumsum([0] + [len(p) // 4 for p in packed])].tolist()
+        return [out[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """id, ids (packed little-endian unsigned 32-bit integers), and with `decode` the text those ids give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(vocabulary)[1]
+        _, words, decoder = encoder(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids = [words.packed(t) for t in texts_of(part.column(1))]
                 columns = [part.column(0), pa.array(ids, pa.binary())]
                 if decode:
-                    columns.append(pa.array([decoded(vocabulary, x) for x in ids], pa.string()))
+                    columns.append(pa.array(decoder.texts(ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -13,9 +13,11 @@ _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa0-\xff]")
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _S = "\t\n\r\x20\xa0"
+_GAP = re.compile(f" [{_S}]")
 # The split patterns of the two public vocabularies, for Latin-1.
-SPACED = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-BARE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+# Only one kind of alternative can begin at a letter or number, so those come first.
+SPACED = re.compile(f" ?[{_L}]+| ?[{_N}]+|'(?:[stmd]|re|ve|ll)| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+BARE = re.compile(f"[{_L}]+|[{_N}]|'(?:[stmd]|re|ve|ll)|[^{_S}{_L}{_N}]+")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -26,54 +28,67 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class WordIds:
-    """Packed ids (little-endian unsigned 32 bits) of whole texts, word by word.
+    """Packed ids (little-endian unsigned 32 bits) of whole texts.
 
-    `encode` gives the packed ids of one word.  At most `limit` short words are kept; when they are full the store starts
-    again, which costs time only.
+    A text is cut at its spaces into chunks that are tokenized alone, a chunk into words.  `encode` gives the packed ids of a
+    list of words.  At most `limit` short chunks and words are kept; a full store starts again, which costs time only.
+    With `spaced` a word holds the space before it; otherwise white space only separates.
     """
 
-    def __init__(self, tokenizer: Tokenizer, pattern: re.Pattern, encode: Callable[[str], bytes], lower: bool,
+    def __init__(self, tokenizer: Tokenizer, encode: Callable[[list[str]], list[bytes]], spaced: bool, lower: bool,
                  limit: int = 400_000, longest: int = 64):
-        self.tokenizer, self.pattern, self.encode, self.lower = tokenizer, pattern, encode, lower
+        self.tokenizer, self.encode, self.spaced, self.lower = tokenizer, encode, spaced, lower
+        self.pattern = SPACED if spaced else BARE
         self.limit, self.longest = limit, longest
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.special = {k: i.to_bytes(4, "little") for k, i in added.items()}
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self._from_char = {c: b for b, c in byte_alphabet().items()}
 
-    def split(self, text: str) -> list[str]:
-        if not _OTHER.search(text):
-            return self.pattern.findall(text.lower() if self.lower else text)
-        if self.tokenizer.normalizer:
-            text = self.tokenizer.normalizer.normalize_str(text)
-        from_char = {c: b for b, c in byte_alphabet().items()}
-        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-        return [bytes(from_char[c] for c in w).decode("utf-8") for w, _ in found]
+    def _by_words(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of texts given as lists of words; the words not yet known are encoded together."""
+        new = list({w for ws in texts for w in ws if w not in self.words})
+        if len(self.words) + len(new) > self.limit:
+            self.words.clear()
+            new = list({w for ws in texts for w in ws})
+        found = dict(zip(new, self.encode(new))) if new else {}
+        self.words.update((w, x) for w, x in found.items() if len(w) <= self.longest)
+        get = lambda w: self.words[w] if w in self.words else found[w]
+        return [b"".join(map(get, ws)) for ws in texts]
 
-    def _plain(self, text: str, out: list[bytes]) -> None:
-        words = self.split(text)
-        known = self.known
-        for w in set(words).difference(known):
-            if len(w) <= self.longest:
-                if len(known) >= self.limit:
-                    known.clear()
-                known[w] = self.encode(w)
-        try:
-            out.extend(map(known.__getitem__, words))
-        except KeyError:  # long words, or a store that was emptied meanwhile
-            out.extend(known[w] if w in known else self.encode(w) for w in words)
+    def _plain(self, text: str) -> bytes:
+        if _OTHER.search(text):
+            if self.tokenizer.normalizer:
+                text = self.tokenizer.normalizer.normalize_str(text)
+            words = [bytes(self._from_char[c] for c in w).decode("utf-8")
+                     for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+            return self._by_words([words])[0]
+        if self.lower:
+            text = text.lower()
+        if not self.spaced:
+            parts, head = text.split(), []
+        elif text.endswith(" ") or _GAP.search(text):   # white space after a space: no cut at this space
+            return self._by_words([self.pattern.findall(text)])[0]
+        else:
+            first, *parts = text.split(" ")
+            head = self._by_words([self.pattern.findall(first)])
+        found = list(map(self.chunks.get, parts))
+        if None in found:
+            new = list({c for c, x in zip(parts, found) if x is None})
+            lead = " " if self.spaced else ""
+            fresh = dict(zip(new, self._by_words([self.pattern.findall(lead + c) for c in new])))
+            found = [fresh[c] if x is None else x for c, x in zip(parts, found)]
+            if len(self.chunks) + len(fresh) > self.limit:
+                self.chunks.clear()
+            self.chunks.update((c, x) for c, x in fresh.items() if len(c) <= self.longest)
+        return b"".join(head + found)
 
     def packed(self, text: str) -> bytes:
-        out: list[bytes] = []
         if self.marks is None or "<|" not in text:
-            self._plain(text, out)
-        else:
-            for part in self.marks.split(text):
-                if part in self.special:
-                    out.append(self.special[part])
-                elif part:
-                    self._plain(part, out)
-        return b"".join(out)
+            return self._plain(text)
+        return b"".join(self.special[p] if p in self.special else self._plain(p) for p in self.marks.split(text) if p)
 
 
 def texts_of(column) -> Iterable[str]:
