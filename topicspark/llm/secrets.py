@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from topicspark.llm.registry import query, table, text_of
+from topicspark.session import Scratch
 
 
 @dataclass(frozen=True)
@@ -122,12 +123,12 @@ def blob_spans(rules: list[Rule], found: DataFrame, ledger: DataFrame | None = N
 def scan_paths(versions: DataFrame, rules: list[Rule] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(path, version, blob, spans) of every path, and the rows to append to the ledger.
 
-    Two paths of any number share the scan of their blob; a blob with very many paths is a skewed key of the last join,
-    whose other side has one row per blob, so adaptive execution can split it.
+    Paths of any number share the scan of their blob.  A blob with very many paths is a skewed key of the last join; the
+    findings are written first, so that the join reads two plain shuffles and adaptive execution can split the hot one.
     """
     todo = pending(versions, rules, ledger)
     found = scan(versions, todo, rules)
-    spans = blob_spans(rules, found, ledger)
+    spans = Scratch(versions.sparkSession, "secrets").save(blob_spans(rules, found, ledger), "spans")
     paths = versions.select("path", "version", "blob").join(spans, "blob", "left")
     none = F.array().cast(spans.schema["spans"].dataType)
     return paths.withColumn("spans", F.coalesce("spans", none)), new_entries(todo, found)
