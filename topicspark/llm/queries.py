@@ -1,4 +1,4 @@
 """Imports every module that registers a query."""
 
-from topicspark.llm import bpe, convnet, fingerprints, licences, neardup, packing, quality_rules, secrets, urls  # noqa: F401
+from topicspark.llm import bpe, convnet, fingerprints, licences, neardup, packing, quality_rules, repeats, secrets, urls  # noqa: F401
 from topicspark.llm.registry import ORACLES, QUERIES  # noqa: F401
