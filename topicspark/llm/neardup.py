@@ -229,12 +229,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = steps.save(classes.join(labels, F.col("rep") == F.col("node"), "left")
                        .select("set_key", F.coalesce("root", "rep").alias("component_id")), "named")
+    steps.keep_only("sketches", "named")
     out = table_.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("set_key").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay, with all their columns: one document of each component.
+
+    Of rows with one id one stays; rows without an id stay, one of each text.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    gone = found.where(~F.col("kept")).select(id_col).distinct()
+    packed = docs.select(F.col(id_col), F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("text_hash"),
+                         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return packed.join(gone, id_col, "left_anti").dropDuplicates([id_col, "text_hash"]).select("row.*")
+
+
 _SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                              '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),

@@ -135,7 +135,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, tiers: tuple[i
                    text_col: str = "text", pool_tokens: int = POOL_TOKENS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """One row per piece: document, place in it, crc of its ids, sequence, place there, size of the sequence, step group."""
     assert all(t > 0 and t & (t - 1) == 0 for t in tiers) and list(tiers) == sorted(tiers, reverse=True)
-    closing = np.array([end_id], "<u4").tobytes()
+    closing = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = word_store(vocabulary)

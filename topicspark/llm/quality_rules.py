@@ -79,12 +79,12 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         *[c[k].alias(k) for k in ("n_symbols", "n_upper", "n_bangs", "n_digits")])).drop("_counts")
 
 
-def base_failed(s: Column) -> Column:
+def base_failed(s) -> Column:
     """Fewer than 50 words, or more than half of the words in repeated 3-word windows."""
     return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
 
-def feature(s: Column, name: str) -> Column:
+def feature(s, name: str) -> Column:
     words = F.greatest(s["n_words"], F.lit(1)).cast("double")
     return {
         "words": s["n_words"].cast("double"),
@@ -104,7 +104,7 @@ def condition(rule: Rule, value) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def first_rule(rules: list[Rule], s: Column) -> Column:
+def first_rule(rules: list[Rule], s) -> Column:
     """Number of the first rule that rejects (from 1), null if none does."""
     out = F.lit(None).cast("int")
     for i in range(len(rules), 0, -1):
@@ -210,6 +210,17 @@ def judged(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFr
     return out.withColumn("_kept", ~F.col("_base_failed") & F.col("_rule").isNull())
 
 
+def keeps(rules: list[Rule], text_col: str = "text") -> Column:
+    """Condition on a text: the base rule and the learned rules let it pass."""
+    def verdict(c: Column) -> Column:
+        s = {"n_words": c["w"]["n_words"], "n_repeat_words": c["w"]["n_repeat_words"], "word_chars": c["w"]["word_chars"],
+             "n_lines": c["l"]["n_lines"], "n_dup_lines": c["l"]["n_dup_lines"],
+             **{k: c[k] for k in ("n_symbols", "n_upper", "n_bangs", "n_digits")}}
+        return ~base_failed(s) & first_rule(rules, s).isNull()
+
+    return let(text_stats(text_of(text_col)), verdict)
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from topicspark.llm.registry import query, table, text_of
 from topicspark.llm.stages import Steps
@@ -196,9 +196,10 @@ def long_text_parts(raw: bytes, length: int, most: int = 8_000_000) -> list[tupl
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, h, text: rows with equal (id, h) are equal."""
+    """id, h, text, row: rows with equal (id, h) have equal texts; `row` holds all columns of the input."""
     text = text_of(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("h"),
+                       text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"))
 
 
 def all_regions(rows: DataFrame, length: int) -> DataFrame:
@@ -290,9 +291,11 @@ def marked_by_count(units: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(steps: Steps, rows: DataFrame, length: int) -> DataFrame:
     """id, h, hits (start of a region, its runs of repeated windows)."""
+    rows = rows.select("id", "h", "text")
     found = steps.save(all_regions(rows, length), "regions")
     again = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     found = steps.save(found.join(again, "anchor"), "recurring")
+    steps.drop("regions")
     units = (found.groupBy("anchor", "region").agg(F.count("*").alias("weight"), F.min(F.struct("id", "h", "start", "n")).alias("at"))
              .select("anchor", "region", "weight", "at.*"))
     units = steps.save(units, "units")
@@ -304,12 +307,18 @@ def repeated_spans(steps: Steps, rows: DataFrame, length: int) -> DataFrame:
     if not hot.isEmpty():
         marked = marked.unionByName(marked_by_count(cut.where("hot"), length))
     marked = steps.save(marked, "marked")
+    steps.keep_only("recurring", "marked")
     hits = found.select("id", "h", "start", "anchor", "region").join(marked, ["anchor", "region"])
-    return steps.save(hits.groupBy("id", "h").agg(F.collect_list(F.struct("start", "runs")).alias("hits")), "hits")
+    hits = steps.save(hits.groupBy("id", "h").agg(F.collect_list(F.struct("start", "runs")).alias("hits")), "hits")
+    steps.keep_only("hits")
+    return hits
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, kept (the remaining bytes), spans (maximal removed runs, start and end exclusive): a row per row of `docs`."""
+def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
+                    as_text: bool = False) -> DataFrame:
+    """A row per row of `docs`: row (its other columns), n_bytes, kept (the remaining bytes), spans (maximal removed runs, start
+    and end exclusive).  With `as_text` kept is a string, without the characters that a cut has parted.
+    """
     steps = Steps(docs.sparkSession, "repeats")
     rows = keyed(docs, id_col, text_col)
     hits = repeated_spans(steps, rows, length)
@@ -336,16 +345,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
                     kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
                     edges = runs_of(gone)
                     spans.append([{"start": a, "end": b + 1} for a, b in zip(edges[::2], edges[1::2])])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()),
-                                                  pa.array(spans, kind)], ["id", "n_bytes", "kept", "spans"])
+                out = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), out, pa.array(spans, kind)],
+                                                 ["row", "n_bytes", "kept", "spans"])
 
-    out = rows.join(hits, ["id", "h"], "left").select("id", "text", "hits").mapInArrow(
-        run, "id bigint, n_bytes bigint, kept binary, spans array<struct<start:int,end:int>>")
-    return out.withColumn("id", F.when(F.col("id") != _NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
+    span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("n_bytes", T.LongType()),
+                           T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("spans", span)])
+    return rows.join(hits, ["id", "h"], "left").select("row", "text", "hits").mapInArrow(run, schema)
 
 
 @query("op1_repeats")
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = without_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -147,6 +147,17 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
+def without_secrets(docs: DataFrame, rules: list[Rule] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` with all their columns, every found secret replaced by a mark."""
+    versions = versions_of(docs, path, text)
+    todo = pending(versions, rules, None)
+    spans = Scratch(docs.sparkSession, "secrets").save(blob_spans(rules, scan(versions, todo, rules)), "spans")
+    rows = docs.select(F.sha2(text_of(text), 256).alias("blob"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = rows.join(spans, "blob", "left")
+    clean = F.when(F.size("spans") > 0, redacted(F.col("row")[text], F.col("spans"))).otherwise(F.col("row")[text])
+    return out.select(*[(clean if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 

@@ -22,3 +22,9 @@ class Steps(Scratch):
             return super().save(df, name, partition_by)
         finally:
             self.spark.conf.set(_CLEANUP, before)
+
+    def keep_only(self, *names: str) -> None:
+        """Deletes the tables of this run that nothing reads any more."""
+        for name in self.children(""):
+            if name not in names:
+                self.drop(name)
