@@ -117,7 +117,7 @@ class Net:
     def fit(self, data: np.ndarray, seen: np.ndarray, text: np.ndarray, y: np.ndarray) -> Net:
         """Adam over shuffled batches of texts; `text` is ascending."""
         share = y.mean() if len(y) else 0.5
-        if not 0 < share < 1:
+        if not len(y) or not 0 < share < 1:
             self.p["out"][:] = 0
             edge = min(max(share, 1e-6), 1 - 1e-6)
             self.p["base"][:] = np.log(edge / (1 - edge)) if len(y) else 0
