@@ -132,8 +132,8 @@ def cvb0_sweep_sync(phi, docs, n_words, k, alpha, beta):
     return out
 
 
-def gibbs_serial(docs, z, n_words, k, alpha, beta, rng, n_sweeps):
-    """docs: {doc: [word, ...]}, z: {doc: [topic, ...]}; one chain over all documents in order."""
+def gibbs_serial(docs, z, n_words, k, alpha, beta, draw, n_sweeps):
+    """docs: {doc: [word, ...]}, z: {doc: [topic, ...]}; one chain over all documents in order, with `draw(doc, place)`."""
     n_kw, n_k, n_d = np.zeros((n_words, k)), np.zeros(k), {d: np.zeros(k) for d in docs}
     for d in docs:
         for w, t in zip(docs[d], z[d]):
@@ -149,7 +149,7 @@ def gibbs_serial(docs, z, n_words, k, alpha, beta, rng, n_sweeps):
                 n_d[d][t] -= 1
                 p = (n_kw[w] + beta) / (n_k + n_words * beta) * (n_d[d] + alpha)
                 c = np.cumsum(p)
-                t = min(int(np.searchsorted(c, rng.random() * c[-1], side="left")), k - 1)
+                t = min(int(np.searchsorted(c, draw(d, i) * c[-1], side="left")), k - 1)
                 n_kw[w, t] += 1
                 n_k[t] += 1
                 n_d[d][t] += 1

@@ -41,3 +41,9 @@ def test_entry_returns_rows(spark):
 
 def test_every_sql_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_results_of_one_session_do_not_disturb_each_other(spark):
+    first = entry.queries()["cvb0_sweep"](spark, SF)
+    second = entry.queries()["cvb0_sweep_docs"](spark, SF)
+    assert second.count() > 0 and first.count() > 0

@@ -157,13 +157,13 @@ def test_model_text_and_parquet_snapshots(spark, tmp_path):
         (0, 0, 1.0), (0, 1, 3.0), (0, 2, 5.0), (1, 0, 2.5), (1, 1, 4.0), (1, 2, 6.0)]
 
 
-def test_long_topic_lines_are_cut(spark, tmp_path):
-    model = spark.range(25).selectExpr("cast(id as int) word_id", "array(id + 0.5D, id * 2D) params")
+def test_topic_text_has_one_line_per_topic(spark, tmp_path):
+    model = spark.range(2500).selectExpr("cast(id as int) word_id", "array(id + 0.5D, id * 2D) params")
     path = str(tmp_path / "text")
-    snapshots.write_topic_text(model, path, words_per_line=10)
-    assert sorted(len(line.split("\t")) for line in content(tmp_path / "text")) == [2, 2, 3, 3, 3, 3]
+    snapshots.write_topic_text(model, path)
+    assert sorted(line.split("\t")[0] for line in content(tmp_path / "text")) == ["0", "1"]
     got = pairs(snapshots.read_topic_text(spark, path), "topic", "word_id", "value")
-    assert got == [(0, w, w + 0.5) for w in range(25)] + [(1, w, w * 2.0) for w in range(25)]
+    assert got == [(0, w, w + 0.5) for w in range(2500)] + [(1, w, w * 2.0) for w in range(2500)]
 
 
 def test_alpha_is_stored_and_has_an_explicit_default(spark, tmp_path):

@@ -1,9 +1,11 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
 from tests import loops
+from topicspark.operators.kernels import keyed_stream, keyed_uniform
 from topicspark.operators import blocks, counts, likelihood, ranking
 from topicspark.plans import cvb0, gibbs, infer, online_vb, scvb0
 from topicspark.plans.minibatch import parameter_totals, prepare_batches, start_model, summary
@@ -37,13 +39,15 @@ def test_online_vb_equals_loop(spark, scratch, batch):
     np.testing.assert_allclose([v for _, _, v in fit.history], history, rtol=1e-9)
 
 
-def test_joined_e_step_equals_kernel(spark, scratch):
+@pytest.mark.parametrize("init", ["hash", "gamma"])
+def test_joined_e_step_equals_kernel(spark, scratch, init):
     docs = loops.planted(30)
     bow = frame(spark, docs)
     model = scratch.save(start_model(words(spark, 100), 5, 3, "hash"), "m")
     totals = parameter_totals(model, 5)
-    cfg = online_vb.OnlineVB(5, alpha=0.1, max_iter=6, tol=1e-3, seed=3, init="hash")
-    cut = online_vb.OnlineVB(5, alpha=0.1, max_iter=6, tol=1e-3, seed=3, init="hash", max_doc_terms=15)
+    alpha = [0.1, 0.2, 0.05, 0.3, 0.15]
+    cfg = online_vb.OnlineVB(5, alpha=alpha, max_iter=6, tol=1e-3, seed=3, init=init, tokens_per_block=300)
+    cut = online_vb.OnlineVB(5, alpha=alpha, max_iter=6, tol=1e-3, seed=3, init=init, max_doc_terms=15)
     ss, ss2 = (online_vb.word_statistics(bow, model, totals, c, scratch, f"words-{c.max_doc_terms}") for c in (cfg, cut))
     out, out2 = (online_vb.document_posteriors(bow, model, totals, c, scratch, f"docs-{c.max_doc_terms}")
                  for c in (cfg, cut))
@@ -118,13 +122,16 @@ def test_scvb0_equals_loop(spark, scratch):
     np.testing.assert_allclose(nxt, (1 - rho) * lam + rho * 28 / total * ss, rtol=1e-10)
 
 
-def test_scvb0_statistics_hold_every_token_also_when_documents_are_cut(spark, scratch):
+def test_scvb0_does_not_depend_on_blocks_and_holds_every_token(spark, scratch):
     docs = {0: {0: 50, 1: 7, 2: 1}, 1: {1: 3}, 2: {2: 30, 3: 30, 4: 30}}
     bow = frame(spark, docs)
-    lengths = bow.groupBy("doc_id").agg({"freq": "sum"}).withColumnRenamed("sum(freq)", "n_tokens")
     model = scratch.save(start_model(words(spark, 5), 3, 1, "hash"), "m")
-    cfg = scvb0.SCVB0(3, max_iter=2, init="hash", segment_tokens=10, tokens_per_block=20)
-    args = (bow, lengths, model, parameter_totals(model, 3), 5, cfg, 151)
+    cfg = scvb0.SCVB0(3, max_iter=2, init="hash", tokens_per_block=20)
+    args = (bow, model, parameter_totals(model, 3), 5, cfg, 151)
+    whole = (bow, model, parameter_totals(model, 3), 5, scvb0.SCVB0(3, max_iter=2, init="hash"), 151)
+    one, many = ({r["doc_id"]: r["vec"] for r in scvb0.document_pass(*a, per_document=True).collect()} for a in (whole, args))
+    for d in one:
+        np.testing.assert_allclose(one[d], many[d], rtol=1e-12)
     rows = scvb0.document_pass(*args).collect()
     assert abs(sum(sum(r["ss"]) for r in rows) - 151) < 1e-9
     assert sum(r["n_tokens"] for r in rows) == 151
@@ -179,14 +186,14 @@ def test_cvb0_equals_loop(spark, schedule):
     assert abs(fit.history[-1][2] - loops.loglik(n_kw, n_dk, [0.1] * 3, 0.2)) < 1e-7
 
 
-def test_cvb0_block_with_frequencies_and_long_documents(spark):
+def test_cvb0_block_with_frequencies_and_many_blocks(spark):
     docs = loops.tiny_corpus()
     cfg = cvb0.CVB0(2, n_sweeps=1, seed=3, init="hash", schedule="block", order="serial", n_blocks=1, weight="freq")
     got = collected(cvb0.fit(frame(spark, docs), 6, cfg).phi)
     want = loops.cvb0_sweep_in_place(phi_start(docs, 2, 3), docs, 6, 2, 0.01, 0.01, lambda d, w: docs[d][w])
     for key in want:
         np.testing.assert_allclose(got[key], want[key], rtol=1e-9)
-    cfg = cvb0.CVB0(2, n_sweeps=1, seed=3, schedule="block", n_blocks=2, max_doc_terms=2)
+    cfg = cvb0.CVB0(2, n_sweeps=1, seed=3, schedule="block", n_blocks=2)
     long_fit = cvb0.fit(frame(spark, docs), 6, cfg)
     total = sum(sum(r["params"]) for r in long_fit.word_topic.collect())
     assert abs(total - sum(len(w) for w in docs.values())) < 1e-9
@@ -210,7 +217,8 @@ def test_gibbs_one_block_equals_serial_chain(spark):
     z = {d: [min(3, int(4 * loops.uniform(6, d, w, o))) for w in sorted(ws) for o in range(ws[w])]
          for d, ws in docs.items()}
     for t in (1, 2):
-        z = loops.gibbs_serial(tokens, z, 100, 4, 0.1, 0.01, np.random.default_rng([6, t, 0]), 1)
+        draw = lambda d, i, s=keyed_stream(6, t, 0): keyed_uniform(s, np.array([d]), i)[0]
+        z = loops.gibbs_serial(tokens, z, 100, 4, 0.1, 0.01, draw, 1)
     got = {r["doc_id"]: (r["words"], r["topics"]) for r in fit.state.collect()}
     for d in docs:
         assert got[d][0] == tokens[d]
@@ -238,12 +246,12 @@ def test_gibbs_blocks_keep_totals(spark, schedule):
     assert by_word == want
 
 
-def test_gibbs_cuts_a_long_document_and_keeps_every_token(spark):
+def test_gibbs_keeps_a_long_document_whole(spark):
     docs = {0: {w: 5 for w in range(40)}, 1: {3: 2}, 2: {7: 1, 9: 4}}
-    cfg = gibbs.Gibbs(3, n_sweeps=2, seed=2, n_blocks=4, segment_tokens=60)
+    cfg = gibbs.Gibbs(3, n_sweeps=2, seed=2, tokens_per_block=60)
     fit = gibbs.fit(frame(spark, docs), 40, cfg)
     rows = fit.state.collect()
-    assert sum(1 for r in rows if r["doc_id"] == 0) > 1
+    assert sorted(r["doc_id"] for r in rows) == [0, 1, 2]
     assert sum(len(r["words"]) for r in rows) == 207
     assert fit.topic_word.agg({"n": "sum"}).first()[0] == 207
 
@@ -314,6 +322,46 @@ def test_doc_topics_of_each_model_kind(spark, scratch):
     assert theta == {d: float(sum(w.values())) for d, w in docs.items()}
 
 
-def test_block_count_bounds_the_block_size(spark):
-    assert blocks.block_count(spark, 10_000_000, 1000) == 10_000
-    assert blocks.block_count(spark, 10, 1000) == 1
+def test_block_count_bounds_tokens_and_cells():
+    assert blocks.block_count(10_000_000, 5, 1000) == 10_000
+    assert blocks.block_count(10, 5, 1000) == 1
+    assert blocks.block_count(1_000_000, 20) == 4
+    assert blocks.block_count(1_000_000, 1000) == 50
+
+
+def test_draws_depend_on_their_keys_alone():
+    stream = keyed_stream(3, 1, 0)
+    together = keyed_uniform(stream, np.array([5, -7, 9]), 4)
+    assert [keyed_uniform(stream, np.array([d]), 4)[0] for d in (5, -7, 9)] == together.tolist()
+    many = np.concatenate([keyed_uniform(stream, np.arange(2000), p) for p in range(20)])
+    assert abs(many.mean() - 0.5) < 0.01 and abs(many.var() - 1 / 12) < 0.003 and len(set(many)) == len(many)
+
+
+def test_one_alpha_per_topic_is_checked():
+    with pytest.raises(ValueError):
+        online_vb.OnlineVB(3, alpha=[0.1, 0.2]).alpha_vec
+    assert cvb0.CVB0(2, alpha=[0.1, 0.2]).alpha_vec == [0.1, 0.2] and scvb0.SCVB0(2, alpha=0.5).alpha_vec == [0.5, 0.5]
+
+
+def test_a_continued_run_has_all_metrics_and_the_same_settings(spark, scratch, tmp_path):
+    batches = prepare_batches(frame(spark, loops.tiny_corpus()), 6, 2, scratch)
+    cfg = online_vb.OnlineVB(2, alpha=0.3, max_iter=5, seed=5, init="hash")
+    whole = online_vb.fit(batches, words(spark, 6), cfg)
+    base = str(tmp_path / "run")
+    online_vb.fit(replace(batches, n_batches=1), words(spark, 6), cfg, snapshots=base)
+    again = online_vb.fit(batches, words(spark, 6), cfg, snapshots=base)
+    assert [h[:2] for h in again.history] == [h[:2] for h in whole.history] and len(again.history) == 2
+    np.testing.assert_allclose([h[2] for h in again.history], [h[2] for h in whole.history], rtol=1e-12)
+    with pytest.raises(ValueError):
+        online_vb.fit(batches, words(spark, 6), replace(cfg, seed=6), snapshots=base)
+
+
+def test_documents_without_words_get_alpha(spark, scratch):
+    bow = frame(spark, loops.tiny_corpus())
+    listed = spark.createDataFrame([(d,) for d in (0, 1, 2, 3, 77)], "doc_id long")
+    model = scratch.save(start_model(words(spark, 6), 2, 5, "hash"), "m")
+    cfg = online_vb.OnlineVB(2, alpha=[0.3, 0.7], max_iter=3, seed=5, init="hash")
+    got = {r["doc_id"]: r["theta"] for r in infer.doc_topics(bow, model, cfg, 6, documents=listed).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 77] and got[77] == [0.3, 0.7]
+    counted = infer.counted_doc_topics(counts.doc_topic_counts(counts.assign_uniform(bow, 2, 1)), 2, documents=listed)
+    assert {r["doc_id"]: r["theta"] for r in counted.collect()}[77] == [0.0, 0.0]

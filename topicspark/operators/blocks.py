@@ -1,8 +1,8 @@
-"""Blocks of documents with a bounded number of tokens, and the parameter rows each block needs.
+"""Blocks of whole documents with a bounded number of tokens, and the parameter rows each block needs.
 
-A block is the unit a kernel works on.  Documents are spread over blocks by hash; a document longer than `segment_tokens`
-is cut to segments that land in different blocks, so neither a long document nor a frequent word can make one block large.
-Parameter rows travel once per (block, word) pair, not once per (document, word) pair, and only the rows in use travel.
+A block is the unit a kernel works on.  Documents are spread over blocks by hash and never cut.  The number of blocks follows
+from the size of the corpus and the number of topics alone, so a job gives the same result on any cluster.  Parameter rows
+travel once per (block, word) pair, not once per (document, word) pair, and only the rows in use travel.
 """
 
 from __future__ import annotations
@@ -11,45 +11,19 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from topicspark.session import local_parallelism
+TOKENS_PER_BLOCK = 250_000
+CELLS_PER_BLOCK = 20_000_000      # tokens times topics: what a kernel holds in one matrix (160 MB)
 
-TOKENS_PER_BLOCK = 1_000_000
-SEGMENT_TOKENS = 200_000
-_MAX_PARTITIONS = 10_000  # beyond it several blocks share a partition, one after the other
 
-
-def block_count(spark, n_tokens: int, tokens_per_block: int = TOKENS_PER_BLOCK) -> int:
-    """Enough blocks to bound their size, and one per core where there is work for it."""
-    by_size = math.ceil(max(1, n_tokens) / tokens_per_block)
-    return max(by_size, min(local_parallelism(spark), math.ceil(max(1, n_tokens) / 2_000)))
-
-
-def segment_rows(bow: DataFrame, lengths: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
-    """Add `seg` and `n_segs` to `(doc_id, word_id, freq)` rows; a huge frequency is cut as well.
-
-    `lengths(doc_id, n_tokens)` is aggregated beforehand with map-side partials.
-    """
-    long_docs = (lengths.where(F.col("n_tokens") > segment_tokens)
-                 .select("doc_id", F.ceil(F.col("n_tokens") / segment_tokens).cast("int").alias("n_segs")))
-    marked = bow.join(long_docs, "doc_id", "left").withColumn("n_segs", F.coalesce("n_segs", F.lit(1)))
-    step = F.lit(max(1, segment_tokens // 8))         # pieces smaller than a segment, so that hashing evens them out
-    runs = marked.withColumn("_start", F.explode(F.sequence(F.lit(0), F.col("freq") - 1, step)))
-    return runs.select(
-        *[c for c in bow.columns if c != "freq"],
-        F.least(step, F.col("freq") - F.col("_start")).cast("int").alias("freq"),
-        F.when(F.col("n_segs") == 1, F.lit(0))
-        .otherwise(F.pmod(F.xxhash64("word_id", "_start"), F.col("n_segs")).cast("int")).alias("seg"),
-        "n_segs")
-
-
-def one_segment(bow: DataFrame) -> DataFrame:
-    """The same columns when no document is long."""
-    return bow.withColumn("seg", F.lit(0)).withColumn("n_segs", F.lit(1))
+def block_count(n_tokens: int, n_topics: int = 1, tokens_per_block: int | None = None) -> int:
+    """Enough blocks to bound the tokens, and the tokens times topics, of each."""
+    size = tokens_per_block or max(1, min(TOKENS_PER_BLOCK, CELLS_PER_BLOCK // max(1, n_topics)))
+    return math.ceil(max(1, n_tokens) / size)
 
 
 def assign_blocks(rows: DataFrame, n_blocks: int) -> DataFrame:
-    """Add `block`, by hash of document and segment."""
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "seg"), F.lit(n_blocks)).cast("int"))
+    """Add `block`, by hash of the document."""
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
 
 
 def block_words(rows: DataFrame) -> DataFrame:
@@ -64,9 +38,7 @@ def pull(words_of_blocks: DataFrame, params: DataFrame) -> DataFrame:
 
 def _place(rows: DataFrame, n_blocks: int) -> DataFrame:
     """One partition per block; adaptive execution does not merge them, as a block is small in bytes but heavy in work."""
-    if n_blocks <= _MAX_PARTITIONS:
-        return rows.repartitionById(n_blocks, F.col("block"))
-    return rows.repartition(_MAX_PARTITIONS, "block")
+    return rows.repartitionById(n_blocks, F.col("block"))
 
 
 def run_blocks(rows: DataFrame, params: DataFrame, n_blocks: int, kernel, schema: str) -> DataFrame:

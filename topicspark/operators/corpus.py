@@ -20,13 +20,24 @@ def with_position(docs: DataFrame, scratch: Scratch, order_by: str = "doc_id") -
     return dense_index(docs, [order_by], "doc_pos", scratch, f"positions_{order_by}")
 
 
-def document_lengths(bow: DataFrame) -> DataFrame:
-    return bow.groupBy("doc_id").agg(F.sum("freq").cast("long").alias("n_tokens"))
+def for_every_document(rows: DataFrame, docs: DataFrame | None, **empty) -> DataFrame:
+    """`rows`, one per document with words, completed by those of `docs(doc_id)` without any; `empty` holds their values."""
+    if docs is None:
+        return rows
+    filled = [F.coalesce(c, empty[c] if isinstance(empty[c], Column) else F.lit(empty[c])).alias(c)
+              for c in rows.columns if c != "doc_id"]
+    return docs.select("doc_id").join(rows, "doc_id", "left").select("doc_id", *filled)
 
 
-def distinct_terms(bow: DataFrame) -> DataFrame:
+def document_lengths(bow: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """`docs(doc_id)` lists the documents; without it those that have words."""
+    rows = bow.groupBy("doc_id").agg(F.sum("freq").cast("long").alias("n_tokens"))
+    return for_every_document(rows, docs, n_tokens=0)
+
+
+def distinct_terms(bow: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """Rows of a bag of words are unique per (document, word), so counting rows counts words."""
-    return bow.groupBy("doc_id").agg(F.count("word_id").alias("n_terms"))
+    return for_every_document(bow.groupBy("doc_id").agg(F.count("word_id").alias("n_terms")), docs, n_terms=0)
 
 
 def corpus_tokens(bow: DataFrame) -> DataFrame:
@@ -74,11 +85,13 @@ def expand_tokens(bow: DataFrame) -> DataFrame:
     return runs.select("doc_id", "word_id", F.explode(F.sequence(F.col("_start"), last)).alias("occ"))
 
 
-def document_vectors(bow: DataFrame) -> DataFrame:
+def document_vectors(bow: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """`(doc_id, words, freqs)`: word numbers in ascending order and their frequencies in the same order."""
     ordered = F.sort_array(F.collect_list(F.struct("word_id", "freq")))
-    return (bow.groupBy("doc_id").agg(ordered.alias("_t"))
+    rows = (bow.groupBy("doc_id").agg(ordered.alias("_t"))
             .select("doc_id", F.col("_t.word_id").alias("words"), F.col("_t.freq").alias("freqs")))
+    none = F.array().cast("array<int>")
+    return for_every_document(rows, docs, words=none, freqs=none)
 
 
 def freq_of_word(word_id: Column) -> Column:

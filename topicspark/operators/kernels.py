@@ -32,8 +32,9 @@ def _matrix(table, name, width):
 
 def _lists(values, width):
     """A 2-d array as an Arrow list column."""
-    offsets = np.arange(0, values.size + 1, width, dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).ravel()))
+    offsets = np.arange(0, values.size + 1, width, dtype=np.int64)
+    return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).ravel())).cast(
+        pa.list_(pa.float64()))
 
 
 def _ragged(values, offsets):
@@ -81,14 +82,11 @@ def start_vectors(mode, seed, keys, width):
 
 
 def _documents(left):
-    """The block's rows sorted by document, segment and word, with the start of each document."""
-    doc, seg = _ints(left, "doc_id"), _ints(left, "seg")
-    word, freq = _ints(left, "word_id"), _ints(left, "freq").astype(np.float64)
-    order = np.lexsort((word, seg, doc))
-    doc, seg, word, freq = doc[order], seg[order], word[order], freq[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (seg[1:] != seg[:-1])
-    starts = np.flatnonzero(new)
+    """The block's rows sorted by document and word, with the start of each document."""
+    doc, word, freq = _ints(left, "doc_id"), _ints(left, "word_id"), _ints(left, "freq").astype(np.float64)
+    order = np.lexsort((word, doc))
+    doc, word, freq = doc[order], word[order], freq[order]
+    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[:len(doc)])
     return doc[starts], word, freq, np.append(starts, len(doc))
 
 
@@ -171,7 +169,7 @@ def scvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, init, max_i
         docs, word, freq, bounds = _documents(left)
         words, counts = _model_rows(right, "params", n_topics)
         weight = (beta + counts) / denom
-        token = np.repeat(np.searchsorted(words, word), freq.astype(np.int64))
+        row_word = np.searchsorted(words, word)
         row_end = np.concatenate([[0], np.cumsum(freq)]).astype(np.int64)
         first = row_end[bounds[:-1]]
         lengths = row_end[bounds[1:]] - first
@@ -185,7 +183,7 @@ def scvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, init, max_i
         for sweep in range(max_iter + 1):
             step = sweep * whole                                # each document counts its own steps
             for place, n in enumerate(reach):
-                at = token[first[:n] + place]
+                at = row_word[np.searchsorted(row_end, first[:n] + place, side="right") - 1]
                 now = theta[:n]
                 phi = (now + alpha) * weight[at]
                 phi /= phi.sum(axis=1, keepdims=True) + TINY
@@ -221,6 +219,30 @@ def _draw(prob, u):
     return np.minimum((cum < target[..., None]).sum(axis=-1), prob.shape[-1] - 1)
 
 
+_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)   # fixed values: the finaliser of splitmix64
+
+
+def _mixed(z):
+    for shift, factor in zip((30, 27), _MIX):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return z ^ (z >> np.uint64(31))
+
+
+def keyed_stream(*keys):
+    """One number for a few keys, as seed, sweep and local sweep."""
+    out = np.zeros(1, np.uint64)
+    for key in keys:
+        out = _mixed(out + np.uint64(0x9E3779B97F4A7C15) + np.asarray([int(key) & (2**64 - 1)], np.uint64))
+    return out
+
+
+def keyed_uniform(stream, docs, place):
+    """Draws from [0, 1) that depend on the stream, the document and the place of its token alone, not on the block."""
+    z = _mixed(stream + np.asarray(docs).astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    z = _mixed(z + np.uint64(int(place) * 0x9E3779B97F4A7C15 % 2**64))
+    return (z >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+
+
 def gibbs_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, sweep, schedule, n_local=1):
     """Collapsed Gibbs sweeps over a block, on the block's own copy of the counts.
 
@@ -234,11 +256,8 @@ def gibbs_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, sweep, sche
     def run(left, right):
         words, n_kw = _dense_counts(right, n_topics)
         n_k = totals0.copy()
-        doc, seg = _ints(left, "doc_id"), _ints(left, "seg")
-        order = np.lexsort((seg, doc))
-        left = left.take(pa.array(order))
-        block = int(_ints(left, "block")[0])
-        rng = np.random.default_rng([seed, sweep, block])
+        left = left.take(pa.array(np.argsort(_ints(left, "doc_id"))))
+        doc = _ints(left, "doc_id")
         word_col, topic_col = left.column("words").combine_chunks(), left.column("topics").combine_chunks()
         offsets = word_col.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
@@ -248,12 +267,11 @@ def gibbs_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, sweep, sche
         n_docs = len(lengths)
         n_dk = np.zeros((n_docs, n_topics))
         np.add.at(n_dk, (np.repeat(np.arange(n_docs), lengths), z), 1.0)
-        rest = left.column("rest").combine_chunks()
-        for i in range(n_docs):
-            if rest[i].is_valid:
-                n_dk[i] += np.array(rest[i].as_py(), dtype=np.float64)
         vb = n_words * beta
-        for _ in range(n_local):
+        for local in range(n_local):
+            def uniforms(docs, places, stream=keyed_stream(seed, sweep, local)):
+                return keyed_uniform(stream, docs, places)
+
             if schedule == "serial":
                 for i in range(n_docs):
                     for j in range(offsets[i], offsets[i + 1]):
@@ -261,7 +279,7 @@ def gibbs_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, sweep, sche
                         n_kw[w, k] -= 1
                         n_k[k] -= 1
                         n_dk[i, k] -= 1
-                        k = int(_draw((n_kw[w] + beta) / (n_k + vb) * (n_dk[i] + alpha), np.asarray(rng.random())))
+                        k = int(_draw((n_kw[w] + beta) / (n_k + vb) * (n_dk[i] + alpha), uniforms(doc[i:i + 1], j - offsets[i])[0]))
                         n_kw[w, k] += 1
                         n_k[k] += 1
                         n_dk[i, k] += 1
@@ -281,15 +299,14 @@ def gibbs_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, sweep, sche
                     prob += beta
                     prob *= docs[:n] + alpha
                     prob /= n_k + vb
-                    k = _draw(prob, rng.random(n))
+                    k = _draw(prob, uniforms(doc[long_first[:n]], place))
                     np.add.at(flat_words, w * n_topics + k, 1.0)
                     n_k += np.bincount(k, minlength=n_topics)
                     flat_docs[rows[:n] + k] += 1.0
                     z[at] = k
                 n_dk[long_first] = docs
         return pa.table({
-            "block": left.column("block"), "doc_id": left.column("doc_id"), "seg": left.column("seg"),
-            "n_segs": left.column("n_segs"),
+            "block": left.column("block"), "doc_id": left.column("doc_id"),
             "words": left.column("words").combine_chunks(),
             "topics": _ragged(z.astype(np.int32), offsets)})
 
@@ -341,13 +358,13 @@ def cvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, order="serial"):
 
 
 def gamma_rows(n_topics, seed):
-    """`mapInArrow` function: a Gamma(100, 0.01) vector for each word number, the same however rows are split."""
+    """`mapInArrow` function: a Gamma(100, 0.01) vector for each word or document, the same however rows are split."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("word_id").to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             values = start_vectors("gamma", seed, ids, n_topics)
-            yield pa.RecordBatch.from_arrays([batch.column("word_id"), _lists(values, n_topics)],
-                                             names=["word_id", "params"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(values, n_topics)],
+                                             names=[batch.schema.names[0], "params"])
 
     return run

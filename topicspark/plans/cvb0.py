@@ -11,7 +11,7 @@ from topicspark.functions.special import lgamma
 from topicspark.functions.vectors import literal_vector, share_of_sum, sum_vectors
 from topicspark.operators import blocks
 from topicspark.operators.kernels import cvb0_kernel
-from topicspark.plans.minibatch import metrics_frame, parameter_totals
+from topicspark.plans.minibatch import alpha_vector, metrics_frame, parameter_totals
 from topicspark.session import Scratch
 
 PHI_SCHEMA = "doc_id long, word_id int, weight double, phi array<double>"
@@ -20,7 +20,7 @@ PHI_SCHEMA = "doc_id long, word_id int, weight double, phi array<double>"
 @dataclass
 class CVB0:
     n_topics: int
-    alpha: float = 0.01
+    alpha: float | list[float] = 0.01    # one number, or one per topic
     beta: float = 0.01
     n_sweeps: int = 10
     seed: int = 1
@@ -29,12 +29,11 @@ class CVB0:
     schedule: str = "sync"               # "sync": all from the previous sums; "block": in place inside a block
     order: str = "lockstep"              # inside a block: "serial", or "lockstep", the j-th words of all documents at once
     n_blocks: int | None = None          # with "block": 1 and "serial" is the strictly sequential order
-    tokens_per_block: int = blocks.TOKENS_PER_BLOCK
-    max_doc_terms: int = 200_000         # with "block": longer documents take the synchronous update
+    tokens_per_block: int | None = None
 
     @property
     def alpha_vec(self) -> list[float]:
-        return [self.alpha] * self.n_topics
+        return alpha_vector(self.alpha, self.n_topics)
 
 
 @dataclass
@@ -81,7 +80,7 @@ def sync_sweep(phi: DataFrame, by_word: DataFrame, by_doc: DataFrame, totals: li
 def block_sweep(phi: DataFrame, by_word: DataFrame, totals: list[float], n_words: int, cfg: CVB0,
                 n_blocks: int) -> DataFrame:
     """In-place updates inside each block, on the block's own copy of the sums."""
-    rows = blocks.assign_blocks(phi.withColumn("seg", F.lit(0)), n_blocks)
+    rows = blocks.assign_blocks(phi, n_blocks)
     kernel = cvb0_kernel(cfg.n_topics, cfg.alpha_vec, cfg.beta, n_words, totals, cfg.order)
     return blocks.run_blocks(rows, blocks.pull(blocks.block_words(rows), by_word), n_blocks, kernel, PHI_SCHEMA)
 
@@ -106,24 +105,15 @@ def fit(bow: DataFrame, n_words: int, cfg: CVB0, scratch: Scratch | None = None)
     scratch = scratch or Scratch(bow.sparkSession, "cvb0")
     phi = scratch.save(start_phi(bow, cfg.n_topics, cfg.seed, cfg.weight, cfg.init == "hash"), "phi/0")
     k, history = cfg.n_topics, []
-    size = phi.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("c"), F.max("n").alias("m")).first()
-    n_blocks = cfg.n_blocks or blocks.block_count(bow.sparkSession, size["c"] or 0, cfg.tokens_per_block)
-    long_docs = None
-    if cfg.schedule == "block" and (size["m"] or 0) > cfg.max_doc_terms:
-        long_docs = scratch.save(phi.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-                                 .where(F.col("n") > cfg.max_doc_terms).select("doc_id"), "long_docs")
+    n_blocks = cfg.n_blocks or blocks.block_count(phi.count(), k, cfg.tokens_per_block)
     by_word = scratch.save(word_sums(phi, k), "by_word/0")
     by_doc = scratch.save(doc_sums(phi, k), "by_doc/0")
     for t in range(1, cfg.n_sweeps + 1):
         totals = parameter_totals(by_word, k)
         if cfg.schedule == "sync":
             new = sync_sweep(phi, by_word, by_doc, totals, n_words, cfg.alpha_vec, cfg.beta)
-        elif long_docs is None:
-            new = block_sweep(phi, by_word, totals, n_words, cfg, n_blocks)
         else:
-            new = block_sweep(phi.join(long_docs, "doc_id", "left_anti"), by_word, totals, n_words, cfg,
-                              n_blocks).unionByName(
-                sync_sweep(phi.join(long_docs, "doc_id"), by_word, by_doc, totals, n_words, cfg.alpha_vec, cfg.beta))
+            new = block_sweep(phi, by_word, totals, n_words, cfg, n_blocks)
         phi = scratch.save(new, f"phi/{t}")
         by_word = scratch.save(word_sums(phi, k), f"by_word/{t}")
         by_doc = scratch.save(doc_sums(phi, k), f"by_doc/{t}")

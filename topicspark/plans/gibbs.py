@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from topicspark.operators import blocks, corpus, counts, likelihood
 from topicspark.operators.kernels import gibbs_kernel
-from topicspark.plans.minibatch import metrics_frame
+from topicspark.plans.minibatch import alpha_vector, metrics_frame
 from topicspark.session import Scratch
 
-STATE_SCHEMA = "block int, doc_id long, seg int, n_segs int, words array<int>, topics array<int>"
+STATE_SCHEMA = "block int, doc_id long, words array<int>, topics array<int>"
 
 
 @dataclass
 class Gibbs:
     n_topics: int
-    alpha: float = 0.1
+    alpha: float | list[float] = 0.1     # one number, or one per topic
     beta: float = 0.01
     n_sweeps: int = 10
     seed: int = 1
@@ -28,13 +28,12 @@ class Gibbs:
     optimise_from: int = 100             # hyper-parameter steps from this sweep on ...
     optimise_every: int = 10             # ... at multiples of this
     metrics_every: int = 1
-    tokens_per_block: int = blocks.TOKENS_PER_BLOCK
-    segment_tokens: int = blocks.SEGMENT_TOKENS
+    tokens_per_block: int | None = None
 
 
 @dataclass
 class GibbsFit:
-    state: DataFrame          # tokens with topics, one row per document segment
+    state: DataFrame          # tokens with topics, one row per document
     topic_word: DataFrame     # (topic, word_id, n), non-zero cells
     doc_topic: DataFrame      # (doc_id, topic, n), non-zero cells
     alpha: list
@@ -49,27 +48,18 @@ def assignments(state: DataFrame) -> DataFrame:
             .select("doc_id", F.col("t.words").alias("word_id"), F.col("t.topics").alias("topic")))
 
 
-def start_state(bow: DataFrame, cfg: Gibbs, scratch: Scratch, lengths: DataFrame | None = None) -> tuple[DataFrame, int, bool]:
-    """Uniform topics for all tokens, packed to one row per document segment, plus the number of blocks and whether
-    any document is segmented."""
+def start_state(bow: DataFrame, cfg: Gibbs, scratch: Scratch, lengths: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Uniform topics for all tokens, packed to one row per document, and the number of blocks."""
     if lengths is None:
         lengths = scratch.save(corpus.document_lengths(bow), "lengths")
-    size = lengths.agg(F.sum("n_tokens").alias("c"), F.max("n_tokens").alias("m")).first()
-    n_blocks = cfg.n_blocks or blocks.block_count(bow.sparkSession, size["c"] or 0, cfg.tokens_per_block)
-    segmented = n_blocks > 1 and (size["m"] or 0) > cfg.segment_tokens
+    n_tokens = lengths.agg(F.sum("n_tokens")).first()[0] or 0
+    n_blocks = cfg.n_blocks or blocks.block_count(n_tokens, cfg.n_topics, cfg.tokens_per_block)
     tokens = counts.assign_uniform(bow, cfg.n_topics, cfg.seed, portable=cfg.init == "hash")
-    if segmented:
-        long_docs = (lengths.where(F.col("n_tokens") > cfg.segment_tokens)
-                     .select("doc_id", F.ceil(F.col("n_tokens") / cfg.segment_tokens).cast("int").alias("n_segs")))
-        tokens = (tokens.join(long_docs, "doc_id", "left").withColumn("n_segs", F.coalesce("n_segs", F.lit(1)))
-                  .withColumn("seg", F.pmod(F.xxhash64("word_id", "occ"), F.col("n_segs")).cast("int")))
-    else:
-        tokens = tokens.withColumn("n_segs", F.lit(1)).withColumn("seg", F.lit(0))
     ordered = F.sort_array(F.collect_list(F.struct("word_id", "occ", "topic")))
-    packed = tokens.groupBy("doc_id", "seg", "n_segs").agg(ordered.alias("t"))
+    packed = tokens.groupBy("doc_id").agg(ordered.alias("t"))
     state = blocks.assign_blocks(packed, n_blocks).select(
-        "block", "doc_id", "seg", "n_segs", F.col("t.word_id").alias("words"), F.col("t.topic").alias("topics"))
-    return scratch.save(state, "state/0"), n_blocks, segmented
+        "block", "doc_id", F.col("t.word_id").alias("words"), F.col("t.topic").alias("topics"))
+    return scratch.save(state, "state/0"), n_blocks
 
 
 def _sparse_rows(topic_word: DataFrame) -> DataFrame:
@@ -78,29 +68,12 @@ def _sparse_rows(topic_word: DataFrame) -> DataFrame:
     return packed.select("word_id", F.col("t.topic").alias("topics"), F.col("t.n").alias("ns"))
 
 
-def _with_rest(state: DataFrame, n_topics: int, segmented: bool) -> DataFrame:
-    """Add `rest`: the topic counts of the other segments of a long document, null for ordinary documents."""
-    none = F.lit(None).cast("array<double>")
-    if not segmented:
-        return state.withColumn("rest", none)
-    usual, long_part = state.where(F.col("n_segs") == 1), state.where(F.col("n_segs") > 1)
-    cells = (long_part.select("doc_id", "seg", F.explode("topics").alias("topic"))
-             .groupBy("doc_id", "seg", "topic").agg(F.count(F.lit(1)).alias("n")))
-    one_hot = [F.sum(F.when(F.col("topic") == k, F.col("n")).otherwise(F.lit(0))).cast("double")
-               for k in range(n_topics)]
-    own = cells.groupBy("doc_id", "seg").agg(F.array(*one_hot).alias("_own"))
-    whole = cells.groupBy("doc_id").agg(F.array(*one_hot).alias("_all"))
-    rest = (own.join(whole, "doc_id")
-            .select("doc_id", "seg", F.zip_with("_all", "_own", lambda a, b: a - b).alias("rest")))
-    return usual.withColumn("rest", none).unionByName(long_part.join(rest, ["doc_id", "seg"]))
-
-
 def sweep(state: DataFrame, topic_word: DataFrame, words_of_blocks: DataFrame, totals: list[float], n_words: int,
-          alpha: list, beta: float, t: int, n_blocks: int, segmented: bool, cfg: Gibbs) -> DataFrame:
+          alpha: list, beta: float, t: int, n_blocks: int, cfg: Gibbs) -> DataFrame:
     """One merge period: every block samples its tokens on its own copy of the counts."""
     kernel = gibbs_kernel(cfg.n_topics, alpha, beta, n_words, totals, cfg.seed, t, cfg.schedule, cfg.sweeps_per_merge)
     params = blocks.pull(words_of_blocks, _sparse_rows(topic_word))
-    return blocks.run_blocks(_with_rest(state, cfg.n_topics, segmented), params, n_blocks, kernel, STATE_SCHEMA)
+    return blocks.run_blocks(state, params, n_blocks, kernel, STATE_SCHEMA)
 
 
 def fit(bow: DataFrame, n_words: int, cfg: Gibbs, scratch: Scratch | None = None) -> GibbsFit:
@@ -109,15 +82,15 @@ def fit(bow: DataFrame, n_words: int, cfg: Gibbs, scratch: Scratch | None = None
     The recount equals global counts plus the sum of the blocks' deltas; it needs no previous counts, so it cannot drift.
     """
     scratch = scratch or Scratch(bow.sparkSession, "gibbs")
-    state, n_blocks, segmented = start_state(bow, cfg, scratch)
+    state, n_blocks = start_state(bow, cfg, scratch)
     words_of_blocks = scratch.save(
         state.select("block", F.explode(F.array_distinct("words")).alias("word_id")).distinct(), "block_words")
-    alpha, beta, history = [cfg.alpha] * cfg.n_topics, cfg.beta, []
+    alpha, beta, history = alpha_vector(cfg.alpha, cfg.n_topics), cfg.beta, []
     topic_word = scratch.save(counts.topic_word_counts(assignments(state)), "topic_word/0")
     for t in range(1, cfg.n_sweeps + 1):
         totals = _totals(topic_word, cfg.n_topics)
         state = scratch.save(sweep(state, topic_word, words_of_blocks, totals, n_words, alpha, beta, t, n_blocks,
-                                   segmented, cfg), f"state/{t}")
+                                   cfg), f"state/{t}")
         topic_word = scratch.save(counts.topic_word_counts(assignments(state)), f"topic_word/{t}")
         if t >= 2:                                   # the version before the last stays for a re-run of this sweep
             scratch.drop(f"state/{t - 2}")

@@ -52,11 +52,24 @@ def prepare_batches(bow: DataFrame, n_words: int, batch_size: int, scratch: Scra
     return Batches(placed, stored, size["d"], size["c"] or 0, (size["b"] or 0) + 1, n_words, scratch)
 
 
-def start_model(words: DataFrame, n_topics: int, seed: int, init: str) -> DataFrame:
-    """`(word_id, params)`: starting values near 1, by a seeded Gamma sampler or by hash."""
+def alpha_vector(alpha: float | list[float], n_topics: int) -> list[float]:
+    """A Dirichlet parameter per topic, from one number or from as many as there are topics."""
+    values = [float(alpha)] * n_topics if isinstance(alpha, (int, float)) else [float(a) for a in alpha]
+    if len(values) != n_topics:
+        raise ValueError(f"{len(values)} values of alpha for {n_topics} topics")
+    return values
+
+
+def start_rows(keys: DataFrame, key: str, n_topics: int, seed: int, init: str) -> DataFrame:
+    """`(key, params)`: starting values near 1, by a seeded Gamma sampler or by hash."""
     if init == "hash":
-        return words.select("word_id", near_one_array(seed, n_topics, "word_id").alias("params"))
-    return (words.select("word_id").mapInArrow(gamma_rows(n_topics, seed), "word_id int, params array<double>"))
+        return keys.select(key, near_one_array(seed, n_topics, key).alias("params"))
+    kind = keys.schema[key].dataType.simpleString()
+    return keys.select(key).mapInArrow(gamma_rows(n_topics, seed), f"{key} {kind}, params array<double>")
+
+
+def start_model(words: DataFrame, n_topics: int, seed: int, init: str) -> DataFrame:
+    return start_rows(words, "word_id", n_topics, seed, init)
 
 
 def parameter_totals(model: DataFrame, n_topics: int) -> list[float]:
@@ -71,12 +84,6 @@ def add_statistics(parts: DataFrame, n_topics: int) -> DataFrame:
                                         F.sum("n_tokens").alias("n_tokens"))
 
 
-def add_segments(docs: DataFrame, n_topics: int) -> DataFrame:
-    """`(doc_id, vec, score, n_tokens)`: the segments of a document added up."""
-    return docs.groupBy("doc_id").agg(sum_vectors("vec", n_topics).alias("vec"), F.sum("score").alias("score"),
-                                      F.sum("n_tokens").alias("n_tokens"))
-
-
 def only_words(stats: DataFrame) -> DataFrame:
     """`(word_id, ss)` without the summary row."""
     return stats.where(F.col("word_id") != SUMMARY).select("word_id", "ss")
@@ -111,6 +118,34 @@ def metrics_frame(spark, run: str, rows: list[tuple[int, str, float]]) -> DataFr
                                  "run string, t int, kind string, value double")
 
 
+def check_run(scratch: Scratch, *settings) -> None:
+    """Stores the settings of a run with its first step; a run that is continued must have the same ones."""
+    text = repr(settings)
+    if not scratch.exists("settings"):
+        scratch.save(scratch.spark.createDataFrame([(text,)], "settings string"), "settings")
+    elif (was := scratch.load("settings").first()["settings"]) != text:
+        raise ValueError(f"{scratch.base} was begun with {was}, not with {text}")
+
+
+class Metrics:
+    """Metric rows of a run, one small table per step, so that a run that is continued still has those of earlier steps."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch = scratch
+
+    def save(self, t: int, rows: list[tuple[int, str, float]]) -> None:
+        if rows:
+            self.scratch.save(metrics_frame(self.scratch.spark, self.scratch.base, rows).coalesce(1), f"metrics/t={t:06d}")
+
+    def all(self, before: int) -> list[tuple[int, str, float]]:
+        """Rows of the steps before `before`: a handful per step."""
+        found = []
+        for name in self.scratch.children("metrics"):
+            if int(name.split("=")[1]) < before:
+                found += [(r["t"], r["kind"], r["value"]) for r in self.scratch.load(f"metrics/{name}").collect()]
+        return sorted(found)
+
+
 class Versions:
     """Model versions `model/t=<n>` of one run.
 

@@ -14,8 +14,8 @@ from topicspark.functions.vectors import (TINY, elementwise, literal_vector, sum
 from topicspark.operators import blocks
 from topicspark.operators.counts import long_form, sum_by_word
 from topicspark.operators.kernels import DOC_SCHEMA, SUMMARY, WORD_SCHEMA, vb_kernel
-from topicspark.plans.minibatch import (Batches, Versions, add_statistics, blend_model, metrics_frame, only_words,
-                                        parameter_totals, run_on_blocks, start_model, summary)
+from topicspark.plans.minibatch import (Batches, Metrics, Versions, add_statistics, alpha_vector, blend_model, check_run, metrics_frame, only_words,
+                                        parameter_totals, run_on_blocks, start_model, start_rows, summary)
 from topicspark.session import Scratch
 
 
@@ -24,7 +24,7 @@ class OnlineVB:
     """Settings; the defaults are those of the published single-process trainer."""
 
     n_topics: int
-    alpha: float = 0.01
+    alpha: float | list[float] = 0.01    # one number, or one per topic
     eta: float = 0.01
     tau0: float = 1025.0
     kappa: float = 0.7
@@ -32,13 +32,13 @@ class OnlineVB:
     tol: float = 1e-3
     seed: int = 1
     init: str = "gamma"
-    tokens_per_block: int = blocks.TOKENS_PER_BLOCK
-    max_doc_terms: int = 200_000     # documents with more distinct words take the joined E-step
+    tokens_per_block: int | None = None
+    max_doc_terms: int = 200_000     # documents with more distinct words take the same E-step written as joins
     bound: bool = True               # perplexity needs a pass over all parameters per step
 
     @property
     def alpha_vec(self) -> list[float]:
-        return [self.alpha] * self.n_topics
+        return alpha_vector(self.alpha, self.n_topics)
 
 
 @dataclass
@@ -66,13 +66,15 @@ def joined_e_step(bow: DataFrame, elog: DataFrame, start: DataFrame, alpha: list
     """
     k = len(alpha)
     alpha_col = literal_vector(alpha)
-    words = scratch.save(bow.select("doc_id", "word_id", "freq").join(elog, "word_id"), f"{label}/words")
+    # the largest value of a word is taken out before exp, as in the kernel
+    joined = bow.select("doc_id", "word_id", "freq").join(elog, "word_id").withColumn("top", F.array_max("elog"))
+    words = scratch.save(joined, f"{label}/words")
 
     def weighted(gammas):
         """(doc_id, word_id, freq, elog, theta, nphi)"""
         mean = gammas.select("doc_id", vec_dirichlet_expectation(F.col("gamma")).alias("theta"))
         raw = words.join(mean, "doc_id").withColumn(
-            "raw", F.zip_with("elog", "theta", lambda a, b: F.exp(a + b)))
+            "raw", F.zip_with("elog", "theta", lambda a, b: F.exp(a - F.col("top") + b)))
         norm = F.col("freq") / (vec_sum(F.col("raw")) + F.lit(TINY))
         return raw.withColumn("_norm", norm).withColumn("nphi", F.transform("raw", lambda x: x * F.col("_norm")))
 
@@ -123,12 +125,11 @@ def _e_step(bow: DataFrame, model: DataFrame, totals: list[float], cfg: OnlineVB
     has_huge = len(huge.take(1)) > 0
     usual = bow.join(huge, "doc_id", "left_anti") if has_huge else bow
     kernel = vb_kernel(k, cfg.alpha_vec, totals, cfg.seed, cfg.init, cfg.max_iter, cfg.tol, per_document)
-    n_blocks = blocks.block_count(bow.sparkSession, n_tokens, cfg.tokens_per_block)
-    rows = run_on_blocks(blocks.one_segment(usual), model, kernel, n_blocks, DOC_SCHEMA if per_document else WORD_SCHEMA)
+    n_blocks = blocks.block_count(n_tokens, k, cfg.tokens_per_block)
+    rows = run_on_blocks(usual, model, kernel, n_blocks, DOC_SCHEMA if per_document else WORD_SCHEMA)
     if not has_huge:
         return rows, None
-    start = start_model(huge.withColumnRenamed("doc_id", "word_id"), k, cfg.seed, "hash")
-    start = start.select(F.col("word_id").alias("doc_id"), F.col("params").alias("gamma"))
+    start = start_rows(huge, "doc_id", k, cfg.seed, cfg.init).withColumnRenamed("params", "gamma")
     return rows, joined_e_step(bow.join(huge, "doc_id"), log_expectation(model, totals), start, cfg.alpha_vec,
                                cfg.max_iter, cfg.tol, scratch, f"{label}/joined")
 
@@ -203,17 +204,20 @@ def fit(batches: Batches, words: DataFrame, cfg: OnlineVB, snapshots: str | None
     """
     scratch = Scratch(batches.bow.sparkSession, "online-vb", base=snapshots)
     versions = Versions(scratch, keep_all=snapshots is not None)
+    if snapshots is not None:
+        check_run(scratch, cfg, batches.n_docs, batches.n_words)
     done = versions.latest()
     if done is None:
         done = 0
         versions.save(start_model(words, cfg.n_topics, cfg.seed, cfg.init), 0)
-    model, history = versions.load(done), []
+    metrics = Metrics(scratch)
+    model, history = versions.load(done), metrics.all(done)
     for t in range(done, batches.n_batches):
         here = F.col("batch_id") == t
         nxt, rows = update(batches.bow.where(here).drop("batch_id"), batches.docs.where(here), model, t,
                            batches.n_docs, batches.n_words, cfg, scratch)
+        metrics.save(t, rows)
         model = versions.save(nxt, t + 1)
         scratch.drop(f"estep-{t:06d}")
         history += rows
-    metrics = metrics_frame(batches.bow.sparkSession, scratch.base, history)
-    return Fit(model, metrics, batches.n_batches, scratch.base, history)
+    return Fit(model, metrics_frame(batches.bow.sparkSession, scratch.base, history), batches.n_batches, scratch.base, history)

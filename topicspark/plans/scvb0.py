@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from topicspark.functions.scalars import learning_rate
 from topicspark.operators import blocks
 from topicspark.operators.kernels import DOC_SCHEMA, WORD_SCHEMA, scvb0_kernel
-from topicspark.plans.minibatch import (Batches, Versions, add_segments, add_statistics, blend_model, metrics_frame,
+from topicspark.plans.minibatch import (Batches, Metrics, Versions, add_statistics, alpha_vector, blend_model, check_run, metrics_frame,
                                         only_words, parameter_totals, run_on_blocks, start_model)
 from topicspark.plans.online_vb import Fit
 from topicspark.session import Scratch
@@ -18,39 +18,35 @@ from topicspark.session import Scratch
 @dataclass
 class SCVB0:
     n_topics: int
-    alpha: float = 0.01
+    alpha: float | list[float] = 0.01                    # one number, or one per topic
     beta: float = 0.01
     max_iter: int = 5                                    # burn-in passes before the counted pass
     theta_rate: tuple = (10.0, 1000.0, 0.9)              # scale, tau0, kappa
     global_rate: tuple = (1.0, 10.0, 0.9)
     seed: int = 1
     init: str = "gamma"
-    tokens_per_block: int = blocks.TOKENS_PER_BLOCK
-    segment_tokens: int = blocks.SEGMENT_TOKENS
+    tokens_per_block: int | None = None
 
     @property
     def alpha_vec(self) -> list[float]:
-        return [self.alpha] * self.n_topics
+        return alpha_vector(self.alpha, self.n_topics)
 
 
-def document_pass(bow: DataFrame, lengths: DataFrame, model: DataFrame, totals: list[float], n_words: int, cfg: SCVB0,
+def document_pass(bow: DataFrame, model: DataFrame, totals: list[float], n_words: int, cfg: SCVB0,
                   n_tokens: int, per_document: bool = False) -> DataFrame:
     """Pass over `bow(doc_id, word_id, freq)`: `(word_id, ss, score, n_tokens)` with a summary row, or with
     `per_document` the N_theta of each document as `(doc_id, vec, score, n_tokens)`.
 
-    The tokens of a document are visited in ascending word order.  A document of more than `segment_tokens` tokens is
-    visited as several documents whose N_theta are added afterwards; the statistics still hold every token.
+    The tokens of a document are visited in ascending word order, however many there are; a kernel holds a document's
+    distinct words, not its tokens.
     """
-    longest = lengths.agg(F.max("n_tokens")).first()[0] or 0
-    segmented = longest > cfg.segment_tokens
-    rows = (blocks.segment_rows(bow, lengths, cfg.segment_tokens) if segmented else blocks.one_segment(bow))
+    rows = bow.where(F.col("freq") > 0)
     kernel = scvb0_kernel(cfg.n_topics, cfg.alpha_vec, cfg.beta, n_words, totals, cfg.seed, cfg.init, cfg.max_iter,
                           cfg.theta_rate, per_document)
-    n_blocks = blocks.block_count(bow.sparkSession, n_tokens, cfg.tokens_per_block)
+    n_blocks = blocks.block_count(n_tokens, cfg.n_topics, cfg.tokens_per_block)
     if not per_document:
         return add_statistics(run_on_blocks(rows, model, kernel, n_blocks, WORD_SCHEMA), cfg.n_topics)
-    docs = run_on_blocks(rows, model, kernel, n_blocks, DOC_SCHEMA)
-    return add_segments(docs, cfg.n_topics) if segmented else docs
+    return run_on_blocks(rows, model, kernel, n_blocks, DOC_SCHEMA)
 
 
 def update(batch_bow: DataFrame, lengths: DataFrame, model: DataFrame, t: int, corpus_tokens: int, n_words: int,
@@ -59,7 +55,7 @@ def update(batch_bow: DataFrame, lengths: DataFrame, model: DataFrame, t: int, c
     n_tokens = lengths.agg(F.sum("n_tokens")).first()[0] or 0
     rho = learning_rate(t, *cfg.global_rate)
     totals = parameter_totals(model, cfg.n_topics)
-    stats = document_pass(batch_bow, lengths, model, totals, n_words, cfg, n_tokens)
+    stats = document_pass(batch_bow, model, totals, n_words, cfg, n_tokens)
     return blend_model(model, only_words(stats), cfg.n_topics, rho, corpus_tokens / n_tokens if n_tokens else 0.0)
 
 
@@ -68,17 +64,22 @@ def fit(batches: Batches, words: DataFrame, cfg: SCVB0, snapshots: str | None =
     """One pass over the minibatches; `corpus_tokens` may be an estimate, by default the exact count."""
     scratch = Scratch(batches.bow.sparkSession, "scvb0", base=snapshots)
     versions = Versions(scratch, keep_all=snapshots is not None)
+    if snapshots is not None:
+        check_run(scratch, cfg, batches.n_docs, batches.n_words)
     done = versions.latest()
     if done is None:
         done = 0
         versions.save(start_model(words, cfg.n_topics, cfg.seed, cfg.init), 0)
-    model, history = versions.load(done), []
+    metrics = Metrics(scratch)
+    model, history = versions.load(done), metrics.all(done)
     for t in range(done, batches.n_batches):
         here = F.col("batch_id") == t
         nxt = update(batches.bow.where(here).drop("batch_id"), batches.docs.where(here), model, t,
                      corpus_tokens or batches.n_tokens, batches.n_words, cfg)
+        rows = [(t, "rho", learning_rate(t, *cfg.global_rate))]
+        metrics.save(t, rows)
         model = versions.save(nxt, t + 1)
-        history.append((t, "rho", learning_rate(t, *cfg.global_rate)))
+        history += rows
     return Fit(model, metrics_frame(batches.bow.sparkSession, scratch.base, history), batches.n_batches, scratch.base,
                history)
 
@@ -87,5 +88,5 @@ def document_topics(bow: DataFrame, model: DataFrame, n_words: int, cfg: SCVB0,
     """`(doc_id, vec)`: N_theta of each document under a fixed model."""
     lengths = scratch.save(bow.groupBy("doc_id").agg(F.sum("freq").alias("n_tokens")), "lengths")
     n_tokens = lengths.agg(F.sum("n_tokens")).first()[0] or 0
-    return document_pass(bow, lengths, model, parameter_totals(model, cfg.n_topics), n_words, cfg, n_tokens,
+    return document_pass(bow, model, parameter_totals(model, cfg.n_topics), n_words, cfg, n_tokens,
                          per_document=True).select("doc_id", "vec")

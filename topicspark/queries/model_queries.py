@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from topicspark.functions.random import near_one_array
@@ -12,7 +14,7 @@ from topicspark.operators.corpus import minibatches
 from topicspark.plans import cvb0, gibbs, infer, online_vb, scvb0
 from topicspark.plans.minibatch import blend_model, only_words, parameter_totals, start_model, topic_words
 from topicspark.queries.base import (ASSIGNED, BOW, DT, K, ORACLES, POSITIONS, SEED, TOKENS, TW, VOCAB, batches, corpus,
-                                     dig, near_one_sql, query, r_sql, rounded, u_sql, vocabulary_size)
+                                     dig, near_one_sql, query, r_sql, rounded, table, u_sql, vocabulary_size)
 from topicspark.session import Scratch
 from topicspark.sources import exports, snapshots
 from topicspark.streaming import online as stream
@@ -54,8 +56,8 @@ def dense_counts(spark, d):
 
 
 _RANKED = (TW + ", ranked AS (SELECT topic, word_id, n, row_number() OVER (PARTITION BY topic ORDER BY n DESC, word_id) "
-                "AS rank FROM tw), top AS (SELECT topic, CAST(rank AS INTEGER) AS rank, word_id, term, n FROM ranked "
-                "JOIN vocab USING (word_id) WHERE rank <= 10)")
+                "AS rank FROM tw), best AS MATERIALIZED (SELECT * FROM ranked WHERE rank <= 10), top AS (SELECT topic, "
+                "CAST(rank AS INTEGER) AS rank, word_id, term, n FROM best JOIN vocab USING (word_id))")
 
 
 def _top(spark, d, n=10):
@@ -109,11 +111,12 @@ def word_topic_csv(spark, d):
     return exports.labelled_lines(m, labels, K)
 
 
-@query("doc_topic_csv", f"WITH {ASSIGNED} SELECT doc_id AS row, {_WORD_LINE} AS line FROM assigned GROUP BY doc_id")
+@query("doc_topic_csv", f"WITH {ASSIGNED} SELECT doc_id AS row, {_WORD_LINE} AS line FROM documents LEFT JOIN assigned USING (doc_id) GROUP BY doc_id")
 def doc_topic_csv(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("row"))
     dt = counts.doc_topic_counts(_assigned(spark, d))
     return exports.matrix_lines(dt.select(F.col("doc_id").alias("row"), F.col("topic").alias("col"),
-                                          F.col("n").cast("double").alias("value")), K, integer=True)
+                                          F.col("n").cast("double").alias("value")), K, integer=True, rows=docs)
 
 
 @query("merge_rows", f"WITH {BOW}, {POSITIONS} SELECT CAST(doc_pos // 64 % {K} AS INTEGER) AS topic, word_id, "
@@ -164,8 +167,7 @@ def loglik_doc(spark, d):
 
 @query("loglik_total", f"WITH {_BOTH} SELECT {r_sql(f'(SELECT sum(ll) FROM ({_TOPIC_LL})) + (SELECT sum(ll) FROM ({_DOC_LL}))', 2)} AS loglik")
 def loglik_total(spark, d):
-    c = corpus(spark, d)
-    assigned = c.scratch.save(_assigned(spark, d), "assigned")
+    assigned = Scratch(spark, "loglik").save(_assigned(spark, d), "assigned")
     total = likelihood.total_loglik(counts.topic_word_counts(assigned), counts.doc_topic_counts(assigned),
                                     vocabulary_size(spark, d), [_A] * K, _B)
     return total.withColumn("loglik", rounded("loglik", 2))
@@ -271,9 +273,9 @@ def cvb0_init_docs(spark, d):
 
 
 def _cvb0_once(spark, d):
-    c = corpus(spark, d)
-    phi = c.scratch.save(cvb0.start_phi(c.bow, K, SEED), "phi")
-    by_word = c.scratch.save(cvb0.word_sums(phi, K), "by_word")
+    scratch = Scratch(spark, "cvb0-once")          # of this call alone: other results may still be read
+    phi = scratch.save(cvb0.start_phi(corpus(spark, d).bow, K, SEED), "phi")
+    by_word = scratch.save(cvb0.word_sums(phi, K), "by_word")
     return cvb0.sync_sweep(phi, by_word, cvb0.doc_sums(phi, K), parameter_totals(by_word, K), vocabulary_size(spark, d),
                            [_CA] * K, _CB)
 
@@ -313,7 +315,7 @@ _VA, _VE, _STEPS = 0.1, 0.05, 3
 _TAU0, _KAPPA = 4.0, 0.7
 
 
-def _vb_estep_sql(t: int, steps: int, where: str) -> str:
+def _vb_estep_sql(t: int, steps: int, where: str, alpha: list[float] = [_VA] * K) -> str:
     """CTEs from the wide model lam{t}: E log beta, `steps` fixed-point steps for the documents chosen by `where`, the
     statistics ss{t} and the documents' scores sc{t}."""
     n = range(K)
@@ -334,10 +336,10 @@ def _vb_estep_sql(t: int, steps: int, where: str) -> str:
                 + f" FROM r{t}_{i})")
         if i < steps:
             out += (f", g{t}_{i + 1} AS (SELECT doc_id, "
-                    + ", ".join(f"{_VA}e0 + sum(n{k}) AS g{k}" for k in n) + f" FROM n{t}_{i} GROUP BY doc_id)")
-    prior = " + ".join(f"({_VA}e0 - g{k}) * h{k} + lgamma(g{k}) - lgamma({_VA}e0)" for k in n)
+                    + ", ".join(f"{alpha[k]}e0 + sum(n{k}) AS g{k}" for k in n) + f" FROM n{t}_{i} GROUP BY doc_id)")
+    prior = " + ".join(f"({alpha[k]}e0 - g{k}) * h{k} + lgamma(g{k}) - lgamma({alpha[k]}e0)" for k in n)
     out += (f", ss{t} AS (SELECT word_id, {', '.join(f'sum(n{k}) AS ss{k}' for k in n)} FROM n{t}_{steps - 1} GROUP BY word_id)"
-            f", sc{t} AS (SELECT doc_id, words + {prior} + lgamma({_VA * K}e0) - lgamma({g_sum}) AS score, n_tokens "
+            f", sc{t} AS (SELECT doc_id, words + {prior} + lgamma({sum(alpha)}e0) - lgamma({g_sum}) AS score, n_tokens "
             f"FROM g{t}_{steps} JOIN th{t}_{steps} USING (doc_id) JOIN (SELECT doc_id, sum(freq * ln(z)) AS words, "
             f"sum(freq) AS n_tokens FROM n{t}_{steps} GROUP BY doc_id) USING (doc_id))")
     return out
@@ -372,8 +374,8 @@ _TWO_PASSES = (_vb_start(2) + _vb_estep_sql(0, 2, "batch_id = 0") + _vb_mstep_sq
                + _vb_estep_sql(1, 2, "batch_id = 1") + _vb_mstep_sql(1))
 
 
-def _vb(max_iter=_STEPS, **more):
-    return online_vb.OnlineVB(K, _VA, _VE, _TAU0, _KAPPA, max_iter, 0.0, SEED, "hash", **more)
+def _vb(max_iter=_STEPS, alpha=_VA, **more):
+    return online_vb.OnlineVB(K, alpha, _VE, _TAU0, _KAPPA, max_iter, 0.0, SEED, "hash", **more)
 
 
 def _vb_docs(spark, d):
@@ -465,26 +467,56 @@ def vb_snapshots(spark, d):
 @query("stream_fit", f"WITH {_TWO_PASSES} {_long_sql('l', 4, 'word_id', 'lam2')}")
 def stream_fit(spark, d):
     """The two minibatches arrive as files of a stream; the model equals that of the batch run."""
-    b, scratch = batches(spark, d, 2), Scratch(spark, "stream")
+    b, scratch, files = batches(spark, d, 2), Scratch(spark, "stream"), 4      # a minibatch arrives in that many files
     for t in range(b.n_batches):
         docs = b.bow.where(F.col("batch_id") == t).groupBy("doc_id").agg(
             F.sort_array(F.collect_list(F.struct("word_id", "freq"))).alias("x"))
         arrived = (b.docs.where(F.col("batch_id") == t).select("doc_id").join(docs, "doc_id", "left")
                    .select("doc_id", F.coalesce("x.word_id", F.array().cast("array<int>")).alias("words"),
                            F.coalesce("x.freq", F.array().cast("array<int>")).alias("freqs")))
-        arrived.coalesce(1).write.mode("append").parquet(scratch.path("in"))
-    run = stream.train_stream(stream.document_stream(spark, scratch.path("in")), corpus(spark, d).vocab,
+        arrived.repartition(files).write.mode("append").parquet(scratch.path("in"))
+    run = stream.train_stream(stream.document_stream(spark, scratch.path("in"), files), corpus(spark, d).vocab,
                               b.n_words, b.n_docs, _vb(2, bound=False), scratch.path("run"), scratch.path("checkpoint"))
     run.awaitTermination()
     return _topic_cells(stream.fitted_model(spark, scratch.path("run")), "word_id", "params", 4)
 
 
-@query("doc_topics", f"WITH {_ONE} {_long_sql('g', 4, 'doc_id', f'g0_{_STEPS}')}")
+def _all_g(alpha: list[float]) -> str:
+    """gamma of every document; alpha without words."""
+    cells = ", ".join(f"coalesce(g{k}, {alpha[k]}e0) AS g{k}" for k in range(K))
+    return f", g_all AS (SELECT doc_id, {cells} FROM documents LEFT JOIN g0_{_STEPS} USING (doc_id))"
+
+
+@query("doc_topics", f"WITH {_ONE}{_all_g([_VA] * K)} {_long_sql('g', 4, 'doc_id', 'g_all')}")
 def doc_topics(spark, d):
-    """Document topics under a fixed model."""
+    """Document topics under a fixed model, alpha for a document without words."""
+    c = corpus(spark, d)
+    model = Scratch(spark, "doc-topics").save(start_model(c.vocab, K, SEED, "hash"), "model")
+    theta = infer.doc_topics(c.bow, model, _vb(), vocabulary_size(spark, d), documents=table(spark, d, "documents"))
+    return _topic_cells(theta, "doc_id", "theta", 4)
+
+
+_VAS = [0.05, 0.1, 0.2, 0.4]
+_ONE_ALPHA = _vb_start(1) + _vb_estep_sql(0, _STEPS, "batch_id = 0", _VAS)
+
+
+@query("doc_topics_alpha", f"WITH {_ONE_ALPHA}{_all_g(_VAS)} {_long_sql('g', 4, 'doc_id', 'g_all')}")
+def doc_topics_alpha(spark, d):
+    """The same with an alpha per topic, as a stored or learned one is."""
     c = corpus(spark, d)
     model = Scratch(spark, "doc-topics").save(start_model(c.vocab, K, SEED, "hash"), "model")
-    return _topic_cells(infer.doc_topics(c.bow, model, _vb(), vocabulary_size(spark, d)), "doc_id", "theta", 4)
+    theta = infer.doc_topics(c.bow, model, _vb(alpha=_VAS), vocabulary_size(spark, d), documents=table(spark, d, "documents"))
+    return _topic_cells(theta, "doc_id", "theta", 4)
+
+
+@query("vb_estep_alpha", f"WITH {_ONE_ALPHA} SELECT doc_id, {r_sql('score', 3)} AS score FROM sc0")
+def vb_estep_alpha(spark, d):
+    """The bound of every document with an alpha per topic."""
+    c = corpus(spark, d)
+    scratch = Scratch(spark, "vb-alpha")
+    model = scratch.save(start_model(c.vocab, K, SEED, "hash"), "model")
+    docs = online_vb.document_posteriors(c.bow, model, parameter_totals(model, K), _vb(alpha=_VAS), scratch, "estep")
+    return docs.select("doc_id", rounded("score", 3).alias("score"))
 
 
 @query("doc_topic_shares", f"WITH {DT}, s AS (SELECT doc_id, sum(n) AS c FROM dt GROUP BY doc_id) SELECT doc_id, topic, "
@@ -522,7 +554,7 @@ def scvb0_invariants(spark, d):
     c, b = corpus(spark, d), batches(spark, d, 1)
     model = Scratch(spark, "scvb0").save(start_model(c.vocab, K, SEED, "gamma"), "model")
     cfg = scvb0.SCVB0(K, max_iter=1, seed=SEED)
-    stats = scvb0.document_pass(c.bow, b.docs, model, parameter_totals(model, K), b.n_words, cfg, b.n_tokens)
+    stats = scvb0.document_pass(c.bow, model, parameter_totals(model, K), b.n_words, cfg, b.n_tokens)
     return only_words(stats).select("word_id", F.round(vec_sum(F.col("ss"))).cast("long").alias("n"))
 
 
@@ -554,8 +586,8 @@ def scvb0_doc_lengths(spark, d):
     """The tokens visited in each document by the counted pass."""
     c, b = corpus(spark, d), batches(spark, d, 1)
     model = Scratch(spark, "scvb0").save(start_model(c.vocab, K, SEED, "hash"), "model")
-    cfg = scvb0.SCVB0(K, max_iter=0, seed=SEED, segment_tokens=1000)
-    return scvb0.document_pass(c.bow, b.docs, model, parameter_totals(model, K), b.n_words, cfg, b.n_tokens,
+    cfg = scvb0.SCVB0(K, max_iter=0, seed=SEED)
+    return scvb0.document_pass(c.bow, model, parameter_totals(model, K), b.n_words, cfg, b.n_tokens,
                                per_document=True).select("doc_id", "n_tokens")
 
 
@@ -574,7 +606,7 @@ def adlda_invariants(spark, d):
 
 @query("adlda_doc_invariants", f"WITH {TOKENS} SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id")
 def adlda_doc_invariants(spark, d):
-    fit = _gibbs(spark, d, n_sweeps=2, metrics_every=99, segment_tokens=1000)
+    fit = _gibbs(spark, d, n_sweeps=2, metrics_every=99, n_blocks=3)
     return fit.doc_topic.groupBy("doc_id").agg(F.sum("n").alias("n"))
 
 
@@ -607,9 +639,9 @@ def keyed_output(spark, d):
 
 @query("topic_text_snapshot", f"WITH {VOCAB}{_WORD_PARAMS} {_long_sql('l', 9, 'word_id', 'lam')}")
 def topic_text_snapshot(spark, d):
-    """A model written as text, a topic over several lines, and read from all part files."""
+    """A model written as text, a line per topic, and read from all part files."""
     scratch = Scratch(spark, "topic-text")
-    snapshots.write_topic_text(start_model(corpus(spark, d).vocab, K, SEED, "hash"), scratch.path("model"), 10_000)
+    snapshots.write_topic_text(start_model(corpus(spark, d).vocab, K, SEED, "hash"), scratch.path("model"))
     return snapshots.read_topic_text(spark, scratch.path("model")).withColumn("value", rounded("value", 9))
 
 
@@ -632,10 +664,48 @@ def vector_snapshot(spark, d):
     return snapshots.read_vector_text(spark, scratch.path("n_z"))
 
 
-@query("training_metrics")
+@query("training_metrics", f"WITH {_TWO_PASSES}, b AS ({_vb_bound_sql(0)} UNION ALL {_vb_bound_sql(1)}) "
+                           f"SELECT t, 'perplexity' AS kind, {r_sql('x', 6)} AS log_value FROM b")
 def training_metrics(spark, d):
-    """Metric rows of a run, appended to a table and read back."""
-    scratch = Scratch(spark, "metrics")
-    fit = _gibbs(spark, d, n_sweeps=2)
+    """Metric rows of a run that stopped after its first step and was continued, appended to a table and read back."""
+    scratch, b, words = Scratch(spark, "metrics"), batches(spark, d, 2), corpus(spark, d).vocab
+    online_vb.fit(replace(b, n_batches=1), words, _vb(2), snapshots=scratch.path("run"))
+    fit = online_vb.fit(b, words, _vb(2), snapshots=scratch.path("run"))
     snapshots.append_metrics(fit.metrics, scratch.path("metrics"))
-    return spark.read.parquet(scratch.path("metrics")).select("t", "kind", "value")
+    return spark.read.parquet(scratch.path("metrics")).select("t", "kind", rounded(F.log("value"), 6).alias("log_value"))
+
+
+@query("matrix_csv", f"WITH {TW}, l AS (SELECT word_id, " + " || ',' || ".join(
+    f"CAST(CAST(coalesce(sum(CASE WHEN topic = {k} THEN n END), 0) AS BIGINT) AS VARCHAR) || '.0'" for k in range(K))
+       + " AS line FROM tw GROUP BY word_id) SELECT line, count(*) AS n FROM l GROUP BY line")
+def matrix_csv(spark, d):
+    """A double matrix written as csv, one line per word, and its lines read back and counted."""
+    scratch = Scratch(spark, "matrix-csv")
+    tw = counts.topic_word_counts(_assigned(spark, d))
+    m = tw.select(F.col("word_id").cast("long").alias("row"), F.col("topic").alias("col"), F.col("n").cast("double").alias("value"))
+    exports.write_matrix_csv(m, K, scratch.path("csv"))
+    return spark.read.text(scratch.path("csv")).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("hyper_parameter_file", f"WITH s AS ({ORACLES['alpha_step']}), b AS ({ORACLES['beta_step']}) "
+       "SELECT CAST(topic AS INTEGER) AS place, alpha AS value FROM s UNION ALL SELECT -1, beta FROM b")
+def hyper_parameter_file(spark, d):
+    """Alpha and beta after a step, written as two lines and read back."""
+    scratch = Scratch(spark, "hyper")
+    steps = alpha_step(spark, d).orderBy("topic").collect()                                    # one row per topic
+    exports.write_hyper_parameters(spark, [r["alpha"] for r in steps], beta_step(spark, d).first()["beta"], scratch.path("file"))
+    many = F.size(F.split("value", ",")) > 1
+    cells = spark.read.text(scratch.path("file")).select(many.alias("many"), F.posexplode(F.split("value", ",")).alias("pos", "x"))
+    return cells.select(F.when(F.col("many"), F.col("pos")).otherwise(-1).cast("int").alias("place"),
+                        F.col("x").cast("double").alias("value"))
+
+
+@query("keyed_output_by_name", f"WITH {TW} SELECT topic, CAST(sum(n) AS BIGINT) AS n FROM tw GROUP BY topic")
+def keyed_output_by_name(spark, d):
+    """Counts of two kinds written as json below one folder, of which one kind is read back by its file name."""
+    scratch, a = Scratch(spark, "named"), _assigned(spark, d)
+    counts.topic_word_counts(a).select("topic", "n").write.json(scratch.path("out/words"))
+    counts.doc_topic_counts(a).select(F.to_csv(F.struct("topic", "n")).alias("value")).write.text(scratch.path("out/docs"))
+    lines = snapshots.read_named_files(spark, scratch.path("out"), ".json")
+    row = F.from_json("value", "topic int, n long")
+    return lines.select(row.alias("r")).groupBy("r.topic").agg(F.sum("r.n").alias("n"))

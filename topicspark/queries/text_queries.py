@@ -32,14 +32,14 @@ def vocab_min_df(spark, d):
     return build_vocabulary(term_counts(table(spark, d, "documents")), Scratch(spark, "vocab"), min_df=5)
 
 
-@query("doc_lengths", f"WITH {TOKENS} SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id")
+@query("doc_lengths", f"WITH {TOKENS} SELECT doc_id, count(term) AS n_tokens FROM documents LEFT JOIN tok USING (doc_id) GROUP BY doc_id")
 def doc_lengths(spark, d):
-    return ops.document_lengths(corpus(spark, d).bow)
+    return ops.document_lengths(corpus(spark, d).bow, table(spark, d, "documents"))
 
 
-@query("distinct_terms", f"WITH {TOKENS} SELECT doc_id, count(DISTINCT term) AS n_terms FROM tok GROUP BY doc_id")
+@query("distinct_terms", f"WITH {TOKENS} SELECT doc_id, count(DISTINCT term) AS n_terms FROM documents LEFT JOIN tok USING (doc_id) GROUP BY doc_id")
 def distinct_terms(spark, d):
-    return ops.distinct_terms(corpus(spark, d).bow)
+    return ops.distinct_terms(corpus(spark, d).bow, table(spark, d, "documents"))
 
 
 @query("corpus_words_exact", f"WITH {TOKENS} SELECT count(*) AS n_tokens FROM tok")
@@ -149,11 +149,11 @@ def non_blank_lines(spark, d):
 
 
 @query("doc_vectors",
-       f"WITH {BOW} SELECT doc_id, string_agg(word_id, ',' ORDER BY word_id) AS words, "
-       "string_agg(freq, ',' ORDER BY word_id) AS freqs FROM bow GROUP BY doc_id")
+       f"WITH {BOW} SELECT doc_id, coalesce(string_agg(word_id, ',' ORDER BY word_id), '') AS words, "
+       "coalesce(string_agg(freq, ',' ORDER BY word_id), '') AS freqs FROM documents LEFT JOIN bow USING (doc_id) GROUP BY doc_id")
 def doc_vectors(spark, d):
     """One row per document; its word list is no longer than the document."""
-    return ops.document_vectors(corpus(spark, d).bow).select(
+    return ops.document_vectors(corpus(spark, d).bow, table(spark, d, "documents")).select(
         "doc_id", array_to_line(F.col("words")).alias("words"), array_to_line(F.col("freqs")).alias("freqs"))
 
 

@@ -11,10 +11,18 @@ from topicspark.functions.vectors import array_to_line
 from topicspark.operators.matrix import to_arrays
 
 
-def matrix_lines(m: DataFrame, n_cols: int, integer: bool = False) -> DataFrame:
-    """`(row, line)`: the values of a row joined by commas, absent cells as 0."""
+def matrix_lines(m: DataFrame, n_cols: int, integer: bool = False, rows: DataFrame | None = None) -> DataFrame:
+    """`(row, line)`: the values of a row joined by commas, absent cells as 0.
+
+    With `rows(row)` every listed row has a line, so that the number of a line names its row; without it, rows with cells.
+    A line has `n_cols` values: with one column per topic it is short, whatever the corpus.
+    """
     values = F.col("values").cast("array<bigint>") if integer else F.col("values")
-    return to_arrays(m, n_cols).select("row", array_to_line(values).alias("line"))
+    full = to_arrays(m, n_cols)
+    if rows is not None:
+        full = rows.select("row").join(full, "row", "left").withColumn(
+            "values", F.coalesce("values", F.array_repeat(F.lit(0.0), n_cols)))
+    return full.select("row", array_to_line(values).alias("line"))
 
 
 def _write_rows(lines: DataFrame, path: str) -> None:
@@ -22,8 +30,8 @@ def _write_rows(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("row").sortWithinPartitions("row").select("line").write.mode("overwrite").text(path)
 
 
-def write_matrix_csv(m: DataFrame, n_cols: int, path: str, integer: bool = False) -> None:
-    _write_rows(matrix_lines(m, n_cols, integer), path)
+def write_matrix_csv(m: DataFrame, n_cols: int, path: str, integer: bool = False, rows: DataFrame | None = None) -> None:
+    _write_rows(matrix_lines(m, n_cols, integer, rows), path)
 
 
 def labelled_lines(m: DataFrame, labels: DataFrame, n_cols: int, integer: bool = True) -> DataFrame:

@@ -1,7 +1,7 @@
 """Model snapshots, hyper-parameters and keyed outputs.
 
-Parquet is the working form.  The text form has one line per topic, `k<TAB>json array`, for exchange.  A topic of more
-words than fit a line goes on in further lines `k<TAB>first word<TAB>json array`, so no row grows with the vocabulary.
+Parquet is the working form.  The text form, for exchange, has one line per topic, `k<TAB>json array`, whatever the size of
+the vocabulary; a line of a million words has about 20 MB.
 """
 
 from __future__ import annotations
@@ -30,36 +30,27 @@ def read_all_versions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MODEL_SCHEMA + ", t int").parquet(path)
 
 
-WORDS_PER_LINE = 1_000_000
-
-
-def topic_lines(model: DataFrame, words_per_line: int = WORDS_PER_LINE) -> DataFrame:
-    """`(topic, first, value)`: parameters of consecutive word numbers in word order, as json text.
+def topic_lines(model: DataFrame) -> DataFrame:
+    """`(topic, value)`: the parameters of a topic in word order, as json text.
 
     Word numbers must be dense, as those of a vocabulary are.
     """
-    cells = long_form(model, "params").withColumn("_line", F.floor(F.col("word_id") / words_per_line))
     ordered = F.sort_array(F.collect_list(F.struct("word_id", "value")))
-    return (cells.groupBy("topic", "_line").agg(ordered.alias("t"))
-            .select("topic", (F.col("_line") * words_per_line).cast("int").alias("first"),
-                    vector_to_json(F.col("t.value")).alias("value")))
+    return (long_form(model, "params").groupBy("topic").agg(ordered.alias("t"))
+            .select("topic", vector_to_json(F.col("t.value")).alias("value")))
 
 
-def write_topic_text(model: DataFrame, path: str, words_per_line: int = WORDS_PER_LINE) -> None:
-    first = F.when(F.col("first") > 0, F.col("first").cast("string"))      # concat_ws leaves a null out
-    lines = topic_lines(model, words_per_line).select(F.concat_ws("\t", F.col("topic").cast("string"), first, "value"))
-    lines.write.mode("overwrite").text(path)
+def write_topic_text(model: DataFrame, path: str) -> None:
+    topic_lines(model).select(F.concat_ws("\t", F.col("topic").cast("string"), "value")).write.mode("overwrite").text(path)
 
 
 def read_topic_text(spark: SparkSession, path: str) -> DataFrame:
     """`(topic, word_id, value)` from every part file of a text snapshot."""
     parts = F.split("value", "\t")
-    first = F.when(F.size(parts) == 3, F.get(parts, F.lit(1))).otherwise(F.lit("0")).cast("int")
     # a line is taken apart before it is exploded; beside the explode this would be done again for every word
-    lines = spark.read.text(path).select(F.get(parts, F.lit(0)).cast("int").alias("topic"), first.alias("_first"),
-                                         vector_from_json(F.element_at(parts, -1)).alias("_values"))
-    return (lines.select("topic", "_first", F.posexplode("_values").alias("_pos", "value"))
-            .select("topic", (F.col("_first") + F.col("_pos")).alias("word_id"), "value"))
+    lines = spark.read.text(path).select(F.get(parts, F.lit(0)).cast("int").alias("topic"),
+                                         vector_from_json(F.get(parts, F.lit(1))).alias("_values"))
+    return lines.select("topic", F.posexplode("_values").alias("word_id", "value"))
 
 
 def write_vector_text(vector: DataFrame, path: str) -> None:
