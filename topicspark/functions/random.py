@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -41,3 +42,13 @@ def near_one(seed: int, *keys) -> Column:
 
 def near_one_array(seed: int, n_topics: int, *keys) -> Column:
     return elementwise(n_topics, lambda k: near_one(seed, *keys, k))
+
+
+def draw_category(weights: Column, u: Column, n: int) -> Column:
+    """The category of unnormalised weights that a draw `u` from [0, 1) falls on, by cumulative sums."""
+    total = reduce(lambda a, b: a + b, [weights[k] for k in range(n)])
+    below, out = F.lit(0.0), F.lit(0)
+    for k in range(n - 1):
+        below = below + weights[k]
+        out = out + F.when(below < u * total, 1).otherwise(0)
+    return out

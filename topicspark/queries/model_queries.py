@@ -6,9 +6,9 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from topicspark.functions.random import near_one_array
+from topicspark.functions.random import draw_category, near_one_array, uniform
 from topicspark.functions.scalars import learning_rate
-from topicspark.functions.vectors import vec_normalise, vec_sum
+from topicspark.functions.vectors import literal_vector, vec_normalise, vec_sum
 from topicspark.operators import counts, likelihood, ranking
 from topicspark.operators.corpus import minibatches
 from topicspark.plans import cvb0, gibbs, infer, online_vb, scvb0
@@ -558,10 +558,61 @@ def scvb0_invariants(spark, d):
     return only_words(stats).select("word_id", F.round(vec_sum(F.col("ss"))).cast("long").alias("n"))
 
 
-@query("scvb0_fit")
+def _scvb0_pass_sql(t: int, sweeps: int, where: str = "true") -> str:
+    """CTEs from the wide model lam{t}: the tokens of the documents chosen by `where`, folded in order; N_theta in nt{t} and the
+    statistics of the last sweep in ss{t}.  An element holds a token's weights, rate and document length; the accumulator N_theta."""
+    n, names = range(K), "abcdefgh"[:K]
+    vb = f"(SELECT count(*) FROM vocab) * {_SB}e0"
+    raw = [f"(acc.{x} + {_SA}e0) * tok.{x}" for x in names]
+    phi = [f"({r}) / ({' + '.join(raw)} + 1e-100)" for r in raw]
+    step = ", ".join(f"{x} := acc.{x} * (1e0 - tok.r) + tok.r * tok.z * {p}" for x, p in zip(names, phi))
+    return (f", tot{t} AS (SELECT {', '.join(f'sum(l{k}) AS s{k}' for k in n)} FROM lam{t}), "
+            f"wt{t} AS (SELECT word_id, {', '.join(f'({_SB}e0 + l{k}) / ({vb} + s{k}) AS w{k}' for k in n)} FROM lam{t}, tot{t}), "
+            f"tk{t} AS (SELECT doc_id, word_id, {', '.join(f'w{k}' for k in n)}, row_number() OVER (PARTITION BY doc_id ORDER BY word_id, occ) - 1 "
+            f"AS j, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT doc_id, word_id, unnest(range(freq)) AS occ FROM bow JOIN batch "
+            f"USING (doc_id) WHERE {where}) JOIN wt{t} USING (word_id)), "
+            f"el{t} AS (SELECT doc_id, list(struct_pack({', '.join(f'{x} := w{k}' for k, x in enumerate(names))}, "
+            f"r := greatest(0e0, 10e0 * pow(1000e0 + s * n + j, -0.9e0)), z := CAST(n AS DOUBLE), last := s = {sweeps - 1}, "
+            f"p := CAST([] AS DOUBLE[][])) ORDER BY s, j) AS toks FROM tk{t}, (SELECT unnest(range({sweeps})) AS s) GROUP BY doc_id), "
+            f"fo{t} AS MATERIALIZED (SELECT doc_id, list_reduce(toks, lambda acc, tok: struct_pack({step}, r := 0e0, z := 0e0, last := false, "
+            f"p := CASE WHEN tok.last THEN list_append(acc.p, [{', '.join(phi)}]) ELSE acc.p END), struct_pack("
+            + ", ".join(f"{x} := {near_one_sql(SEED, 'doc_id', str(k))}" for k, x in enumerate(names))
+            + f", r := 0e0, z := 0e0, last := false, p := CAST([] AS DOUBLE[][]))) AS f FROM el{t}), "
+            f"nt{t} AS (SELECT doc_id, {', '.join(f'f.{x} AS g{k}' for k, x in enumerate(names))} FROM fo{t}), "
+            f"ss{t} AS (SELECT word_id, {', '.join(f'sum(p[{k + 1}]) AS ss{k}' for k in n)} FROM (SELECT doc_id, "
+            f"unnest(f.p) AS p, unnest(range(len(f.p))) AS j FROM fo{t}) JOIN tk{t} USING (doc_id, j) GROUP BY word_id)")
+
+
+def _scvb0_update_sql(t: int) -> str:
+    rho = f"pow(10e0 + {t}, -0.9e0)"
+    scale = f"(SELECT CAST(sum(freq) AS DOUBLE) FROM bow) / (SELECT count(*) FROM tk{t})"
+    return (f", lam{t + 1} AS (SELECT word_id, " + ", ".join(
+        f"(1e0 - {rho}) * l{k} + {rho} * {scale} * coalesce(ss{k}, 0e0) AS l{k}" for k in range(K))
+        + f" FROM lam{t} LEFT JOIN ss{t} USING (word_id))")
+
+
+_SA, _SB = 0.01, 0.01
+_SCVB0_TWO = (_vb_start(2) + _scvb0_pass_sql(0, 2, "batch_id = 0") + _scvb0_update_sql(0)
+              + _scvb0_pass_sql(1, 2, "batch_id = 1") + _scvb0_update_sql(1))
+
+
+def _scvb0_two(spark, d, base=None):
+    return scvb0.fit(batches(spark, d, 2), corpus(spark, d).vocab, scvb0.SCVB0(K, _SA, _SB, max_iter=1, seed=SEED, init="hash"), base)
+
+
+@query("scvb0_fit", f"WITH {_SCVB0_TWO} {_long_sql('l', 4, 'word_id', 'lam2')}")
 def scvb0_fit(spark, d):
-    fit = scvb0.fit(batches(spark, d, 2), corpus(spark, d).vocab, scvb0.SCVB0(K, max_iter=2, seed=SEED))
-    return ranking.top_terms(topic_words(fit.model), corpus(spark, d).vocab, 30)
+    """The model after two minibatches, each with one burn-in sweep, token by token."""
+    return _topic_cells(_scvb0_two(spark, d).model, "word_id", "params", 4)
+
+
+@query("scvb0_doc_topics", f"WITH {_vb_start(1)}{_scvb0_pass_sql(0, 3)} {_long_sql('g', 4, 'doc_id', 'nt0')}")
+def scvb0_doc_topics(spark, d):
+    """N_theta of every document after three sweeps over its tokens in order."""
+    c = corpus(spark, d)
+    model = Scratch(spark, "scvb0-docs").save(start_model(c.vocab, K, SEED, "hash"), "model")
+    cfg = scvb0.SCVB0(K, _SA, _SB, max_iter=2, seed=SEED, init="hash")
+    return _topic_cells(infer.doc_topics(c.bow, model, cfg, vocabulary_size(spark, d)), "doc_id", "theta", 4)
 
 
 _RHO_1 = "pow(11e0, -0.9e0)"
@@ -597,6 +648,32 @@ def _gibbs(spark, d, **more):
     return gibbs.fit(corpus(spark, d).bow, vocabulary_size(spark, d), gibbs.Gibbs(K, seed=SEED, **more))
 
 
+_DRAW = (TW + ", dt AS (SELECT doc_id, topic, count(*) AS n FROM assigned GROUP BY doc_id, topic), "
+         "wk AS (SELECT word_id, " + ", ".join(f"coalesce(sum(n) FILTER (WHERE topic = {k}), 0) AS w{k}" for k in range(K))
+         + " FROM tw GROUP BY word_id), dk AS (SELECT doc_id, "
+         + ", ".join(f"coalesce(sum(n) FILTER (WHERE topic = {k}), 0) AS d{k}" for k in range(K))
+         + " FROM dt GROUP BY doc_id), z AS (SELECT " + ", ".join(f"sum(w{k}) AS z{k}" for k in range(K)) + " FROM wk), "
+         "pr AS (SELECT doc_id, word_id, occ, " + ", ".join(
+             f"(w{k} + {_CB}e0) * (d{k} + {_CA}e0) / (z{k} + (SELECT count(*) FROM vocab) * {_CB}e0) AS p{k}" for k in range(K))
+         + f", {u_sql(SEED + 2, 'doc_id', 'word_id', 'occ')} AS u FROM assigned JOIN wk USING (word_id) JOIN dk USING (doc_id), z)")
+_CUM = [" + ".join(f"p{j}" for j in range(k + 1)) for k in range(K)]
+
+
+@query("categorical_draw", f"WITH {_DRAW} SELECT doc_id, word_id, occ, CAST("
+       + " + ".join(f"CASE WHEN {c} < u * ({_CUM[-1]}) THEN 1 ELSE 0 END" for c in _CUM[:-1]) + " AS INTEGER) AS topic FROM pr")
+def categorical_draw(spark, d):
+    """One draw per token from the collapsed Gibbs weights of the starting counts."""
+    a = Scratch(spark, "draw").save(_assigned(spark, d), "assigned")
+    words = counts.array_form(counts.topic_word_counts(a), K, "n").withColumnRenamed("values", "w")
+    docs = infer.counted_doc_topics(counts.doc_topic_counts(a), K).withColumnRenamed("theta", "n_d")
+    found = {r["topic"]: float(r["n"]) for r in counts.topic_totals(counts.topic_word_counts(a)).collect()}     # one row per topic
+    base = literal_vector([found.get(k, 0.0) + vocabulary_size(spark, d) * _CB for k in range(K)])
+    rows = a.drop("topic").join(words, "word_id").join(docs, "doc_id")
+    weights = F.array(*[(F.col("w")[k] + _CB) * (F.col("n_d")[k] + _CA) / base[k] for k in range(K)])
+    u = uniform(portable=True)(SEED + 2, "doc_id", "word_id", "occ")
+    return rows.select("doc_id", "word_id", "occ", draw_category(weights, u, K).alias("topic"))
+
+
 @query("adlda_invariants", _WORD_TOTALS)
 def adlda_invariants(spark, d):
     """Counts after two sweeps summed over topics: every word must keep its number of tokens."""
