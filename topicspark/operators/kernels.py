@@ -357,6 +357,19 @@ def cvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, order="serial"):
     return run
 
 
+def expectation_rows(totals):
+    """`mapInArrow` function: psi(parameters) - psi(topic totals), the same speed per cell for any number of topics."""
+    base = np_digamma(np.asarray(totals, dtype=np.float64))
+
+    def run(batches):
+        for batch in batches:
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(base))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np_digamma(values) - base, len(base))],
+                                             names=["word_id", "elog"])
+
+    return run
+
+
 def gamma_rows(n_topics, seed):
     """`mapInArrow` function: a Gamma(100, 0.01) vector for each word or document, the same however rows are split."""
 

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from topicspark.functions.scalars import learning_rate
 from topicspark.functions.special import digamma, lgamma, np_digamma
-from topicspark.functions.vectors import (TINY, elementwise, literal_vector, sum_vectors, vec_dirichlet_expectation, vec_l1,
+from topicspark.functions.vectors import (TINY, literal_vector, sum_vectors, vec_dirichlet_expectation, vec_l1,
                                           vec_logsumexp, vec_mul, vec_sum, vec_lgamma)
 from topicspark.operators import blocks
 from topicspark.operators.counts import long_form, sum_by_word
-from topicspark.operators.kernels import DOC_SCHEMA, SUMMARY, WORD_SCHEMA, vb_kernel
+from topicspark.operators.kernels import DOC_SCHEMA, SUMMARY, WORD_SCHEMA, expectation_rows, vb_kernel
 from topicspark.plans.minibatch import (Batches, Metrics, Versions, add_statistics, alpha_vector, blend_model, check_run, metrics_frame, only_words,
                                         parameter_totals, run_on_blocks, start_model, start_rows, summary)
 from topicspark.session import Scratch
@@ -51,10 +51,11 @@ class Fit:
 
 
 def log_expectation(model: DataFrame, totals: list[float]) -> DataFrame:
-    """`(word_id, elog)`: psi(lambda) - psi(topic total)."""
-    base = literal_vector([float(np_digamma(t)) for t in totals])
-    return model.select("word_id", elementwise(
-        len(totals), lambda k: digamma(F.col("params")[k]) - base[k]).alias("elog"))
+    """`(word_id, elog)`: psi(lambda) - psi(topic total).
+
+    One generated expression per topic would outgrow a Java method at some fifty topics.
+    """
+    return model.select("word_id", "params").mapInArrow(expectation_rows(totals), "word_id int, elog array<double>")
 
 
 def joined_e_step(bow: DataFrame, elog: DataFrame, start: DataFrame, alpha: list[float], max_iter: int, tol: float,
