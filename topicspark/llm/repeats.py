@@ -293,9 +293,10 @@ def repeated_spans(steps: Steps, rows: DataFrame, length: int) -> DataFrame:
     """id, h, hits (start of a region, its runs of repeated windows)."""
     rows = rows.select("id", "h", "text")
     found = steps.save(all_regions(rows, length), "regions")
-    again = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # written before the join, which then reads two plain shuffles: adaptive execution can split a frequent anchor
+    again = steps.save(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "again")
     found = steps.save(found.join(again, "anchor"), "recurring")
-    steps.drop("regions")
+    steps.keep_only("recurring")
     units = (found.groupBy("anchor", "region").agg(F.count("*").alias("weight"), F.min(F.struct("id", "h", "start", "n")).alias("at"))
              .select("anchor", "region", "weight", "at.*"))
     units = steps.save(units, "units")
