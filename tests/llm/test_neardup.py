@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from edges import LONG, TEXTS, edge_docs
 
 from topicspark.llm import neardup as q
@@ -57,13 +58,16 @@ def test_components_equal_all_pairs(spark):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
-def test_many_near_copies_of_one_text(spark):
+@pytest.mark.parametrize("edits, block", [(6, 400_000), (9, 400_000), (9, 9_000)])
+def test_many_near_copies_of_one_text(spark, monkeypatch, edits, block):
+    """Copies of which all, or hardly any, reach the likeness; in one block and in many."""
+    monkeypatch.setattr(q, "BLOCK_SHINGLES", block)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(300)]
     texts = []
-    for i in range(400):
+    for i in range(250):
         copy = list(base)
-        for _ in range(6):
+        for _ in range(rng.randint(edits, 2 * edits)):
             copy[rng.randrange(300)] = f"x{rng.randrange(10_000)}"
         texts.append((i, " ".join(copy)))
     got = {r["doc_id"]: r["component_id"] for r in q.near_duplicates(edge_docs(spark, texts)).collect()}
@@ -82,6 +86,33 @@ def test_estimate_is_unbiased():
     assert abs(np.mean(errors)) < 0.015 and np.max(np.abs(errors)) < q.ESTIMATE_SLACK
 
 
+def test_joining_links_are_enough_and_no_more():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 100).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: rng.integers(50, 101)], rng.integers(0, 1 << 60, rng.integers(1, 30)).astype(np.uint64)]))
+            for _ in range(60)]
+    both = q.intersections(sets[:20], sets[20:])
+    assert all(both[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets[:20]) for j, b in enumerate(sets[20:]))
+    ids, left = list(range(60)), [i < 20 for i in range(60)]
+    links = q.joining_links(ids, ids, sets, left)
+    true = [(i, j) for i in range(20) for j in range(20, 60) if q.linked(sets[i], sets[j])]
+    assert set(links) <= set(true)
+
+    def parts(pairs):
+        root = list(range(60))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        return [find(i) == find(j) for i in range(60) for j in range(60)]
+
+    assert parts(links) == parts(true) and len(links) < 60
+
+
 def test_one_of_each(spark):
     docs = edge_docs(spark)
     out = q.one_of_each(docs)

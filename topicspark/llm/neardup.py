@@ -1,14 +1,18 @@
 """Near-duplicate documents by HyperMinHash over 5-word shingles.
 
 Texts with the same shingle set form a class and go on as one.  A sketch has a register per hash function: the leading-zero
-count and ten mantissa bits of the least hash.  Bands of four registers are the keys under which classes meet; a class is first
-compared with the first class it meets, then, where the two are not yet connected, with the first class of each of its keys,
-and last with every class of another component under a shared key.  A pair is dropped if its collision-corrected estimate
-is far below the threshold, and linked if its full shingle sets reach it.  A pair at the threshold shares no key with a
-probability of 1e-8.
+count and ten mantissa bits of the least hash.  Bands of four registers are the keys under which classes meet; a pair at the threshold
+shares no key with a probability of 1e-8.  Every class is compared with the leader of each of its keys, the class that meets the
+most others: a pair is dropped if its collision-corrected estimate is far below the threshold, and linked if its full shingle
+sets reach it.  What leaders do not connect is compared exactly:
 
-Very many copies of one text are one class.  Very many near copies are linked through first classes: pairs grow with the
-members, not with their square; only classes that share keys without being connected are compared all with all.
+* Classes whose estimates tie them to common leaders (`NEAR`, loosely) form a group.  If its members are in several components,
+  all that are not in the largest one are compared with all others, block against block inside tasks: one matrix product gives
+  the sizes of all intersections, and only as many links leave the task as join components.
+* Classes that share a key with a leader they are not near to are few; they are compared with the others under that key.
+
+Very many copies of one text are one class.  Very many near copies are linked through their leader: pairs grow with the members,
+not with their square.
 
 Cases: A-Z are lower-cased, words are parted by the six ASCII white-space characters.  Fewer than five words are one shingle;
 null texts and texts without words have none and are linked with nothing.  Equal texts, and repeated rows, are in one
@@ -34,6 +38,9 @@ BANDS, ROWS = 48, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 ESTIMATE_SLACK = 0.2                      # six standard deviations of the estimate at the threshold
+NEAR = 0.45                               # estimate to a leader from which classes form a group
+BLOCK_SHINGLES = 400_000                  # of a block of classes that is compared with another in one task
+_COLUMNS = 4_096
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))   # fixed values: the finaliser of splitmix64
 
@@ -104,10 +111,10 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
-    """Likeness from equal registers, less those that two unlike sets of these sizes would share by chance."""
+def estimate(a: np.ndarray, b: np.ndarray, n_a, n_b):
+    """Likeness from equal registers, less those that two unlike sets of these sizes would share by chance; by rows."""
     chance = n_a * n_b / (n_a + n_b) ** 2 * 0.7213 / (1 << MANTISSA)
-    return (float(np.mean(a == b)) - chance) / (1 - chance)
+    return (np.mean(a == b, axis=-1) - chance) / (1 - chance)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -154,26 +161,125 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
     return rows.select("id", "text", "registers", "set_key").mapInArrow(run, "id bigint, registers binary, shingles binary")
 
 
+def estimated(pairs: DataFrame, regs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with `est`, the estimate of their likeness."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "u2").reshape(-1, REGISTERS) for i in (2, 3))
+                na, nb = (batch.column(i).to_numpy().astype(float) for i in (4, 5))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(estimate(ra, rb, na, nb))], ["a", "b", "est"])
+
+    one = regs.select(F.col("id").alias("a"), F.col("registers").alias("ra"), F.col("n_shingles").alias("na"))
+    two = regs.select(F.col("id").alias("b"), F.col("registers").alias("rb"), F.col("n_shingles").alias("nb"))
+    return (pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb", "na", "nb")
+            .mapInArrow(run, "a bigint, b bigint, est double"))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links: estimated first, then compared in full."""
+    """The pairs (a, b) whose full sets are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = NUMERATOR / DENOMINATOR - ESTIMATE_SLACK
         for batch in batches:
-            keep = []
-            cols = [batch.column(i) for i in range(2, 6)]
-            for i in range(batch.num_rows):
-                ra, sa, rb, sb = (np.frombuffer(c[i].as_buffer(), t) for c, t in zip(cols, ("u2", "u8", "u2", "u8")))
-                keep.append(estimate(ra, rb, len(sa), len(sb)) >= least and linked(sa, sb))
+            keep = [linked(np.frombuffer(x, "u8"), np.frombuffer(y, "u8"))
+                    for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column(0), batch.column(1))],
                                              ["a", "b"])
 
-    one = sets.select(F.col("id").alias("a"), F.col("registers").alias("ra"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("id").alias("b"), F.col("registers").alias("rb"), F.col("shingles").alias("sb"))
-    full = pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "sa", "rb", "sb")
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    full = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right, by products of membership matrices."""
+    values, column = np.unique(np.concatenate(left + right), return_inverse=True)
+    sizes = np.array([len(x) for x in left + right])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    cut = int(sizes[:len(left)].sum())
+    both = (np.bincount(column[:cut], minlength=len(values)) > 0) & (np.bincount(column[cut:], minlength=len(values)) > 0)
+    number = np.cumsum(both) - 1
+    row, column = row[both[column]], number[column[both[column]]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(both.sum()), _COLUMNS):
+        here = (column >= at) & (column < at + _COLUMNS)
+        m = np.zeros((len(sizes), _COLUMNS), np.float32)
+        m[row[here], column[here] - at] = 1
+        out += m[:len(left)] @ m[len(left):].T
+    return out
+
+
+def joining_links(ids: list[int], roots: list[int], sets: list[np.ndarray], left: list[bool]) -> list[tuple[int, int]]:
+    """Links between sets on the left and all others that join different roots: as many as it takes, no more."""
+    mine = [i for i, x in enumerate(left) if x]
+    rest = [i for i, x in enumerate(left) if not x]
+    if not mine or not rest:
+        return []
+    sizes, root = np.array([len(x) for x in sets]), np.array(roots)
+    both = intersections([sets[i] for i in mine], [sets[i] for i in rest])
+    found = DENOMINATOR * both >= NUMERATOR * (sizes[mine][:, None] + sizes[rest][None, :] - both)
+    found &= root[mine][:, None] != root[rest][None, :]
+    x, y = np.nonzero(found)
+    pairs, first = np.unique(np.stack([root[mine][x], root[rest][y]]), axis=1, return_index=True)
+    parent: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while parent.setdefault(r, r) != r:
+            r = parent[r]
+        return r
+
+    out = []
+    for r, q, k in zip(*pairs.tolist(), first.tolist()):
+        r, q = top(r), top(q)
+        if r != q:
+            parent[max(r, q)] = min(r, q)
+            out.append((ids[mine[x[k]]], ids[rest[y[k]]]))
+    return out
+
+
+def links_in_groups(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components of one group.  `members(group, id, root, n)`.
+
+    In each group the members outside its largest component are dealt to blocks, and all members to blocks of the other side; a
+    task takes a pair of blocks.  Blocks have about equal numbers of shingles, whatever the size of the group.
+    """
+    roots = members.groupBy("group", "root").agg(F.sum("n").alias("n"))
+    largest = roots.groupBy("group").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all_n"), F.count("*").alias("roots"))
+    mixed = largest.where("roots > 1").select(
+        "group", F.col("top.root").alias("top"), F.ceil(F.col("all_n") / BLOCK_SHINGLES).cast("int").alias("rights"),
+        F.ceil((F.col("all_n") - F.col("top.n")) / BLOCK_SHINGLES).cast("int").alias("lefts"))
+    rows = members.join(mixed, "group")
+    own = F.xxhash64("id")
+    as_left = rows.where("root <> top").select(
+        "group", "id", "root", F.lit(True).alias("left"), F.pmod(own, F.col("lefts")).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
+    as_right = rows.select(
+        "group", "id", "root", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"),
+        F.pmod(own, F.col("rights")).cast("int").alias("j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(rows: list[tuple]) -> pa.RecordBatch:
+            links = joining_links([r[3] for r in rows], [r[4] for r in rows], [np.frombuffer(r[6], "u8") for r in rows], [r[5] for r in rows])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        held, now = [], None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != now and held:
+                    yield solve(held)
+                    held = []
+                now = row[:3]
+                held.append(row)
+        if held:
+            yield solve(held)
+
+    full = as_left.unionByName(as_right).join(sets.select("id", "shingles"), "id")
+    return (full.select("group", "i", "j", "id", "root", "left", "shingles").repartition("group", "i", "j")
+            .sortWithinPartitions("group", "i", "j").mapInArrow(run, "a bigint, b bigint"))
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are not in one component."""
     a = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
@@ -198,34 +304,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                        lambda k: F.xxhash64(k, F.substring("registers", k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     bands = regs.select("id", F.explode(band).alias("key"))
-    met = bands.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    shared = steps.save(bands.join(met, "key"), "shared")               # key, id, first: only keys that classes share
-    star = steps.save(shared.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "star")
-
-    ids = shared.select("id").distinct().join(regs.select("id", "registers", "set_key"), "id")
-    sets = steps.save(full_sets(docs, ids, id_col, text_col).dropDuplicates(["id"]), "sets")
-
-    first = star.groupBy("a").agg(F.min("b").alias("b"))
-    links = steps.save(confirmed(first, sets), "links-1")
-    labels = components(steps, links, "one")
-
-    rest = steps.save(_apart(star, labels), "star-rest")
+    met = steps.save(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "met")
+    shared = steps.save(bands.join(met, "key"), "meetings")              # key, id, n: only keys that classes share
+    # the class that meets the most others leads
+    weight = steps.save(shared.groupBy("id").agg(F.sum("n").alias("w")), "weights")
+    led = shared.select("key", "id").join(weight, "id")
+    leaders = steps.save(led.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("m"))).alias("x"))
+                         .select("key", (-F.col("x.m")).alias("leader")), "leaders")
+    shared = steps.save(shared.select("key", "id").join(leaders, "key"), "shared")
+    star = shared.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    star = steps.save(estimated(star, regs), "star")
+
+    sets = steps.save(full_sets(docs, weight.select("id").join(regs.select("id", "registers", "set_key"), "id"), id_col, text_col)
+                      .select("id", "shingles").dropDuplicates(["id"]), "sets")
+    hopeful = star.where(F.col("est") >= NUMERATOR / DENOMINATOR - ESTIMATE_SLACK)
+    best = hopeful.groupBy("a").agg(F.max_by("b", F.struct("est", (-F.col("b")).alias("m"))).alias("b"))
+    labels = components(steps, steps.save(confirmed(best, sets), "links-1"), "one")
+    rest = steps.save(_apart(hopeful, labels), "star-rest")
     if not rest.isEmpty():
         labels = components(steps, steps.save(confirmed(rest, sets), "links-2"), "two", labels)
 
-    # keys under which several components still meet: every pair of classes of different components and like size
+    # classes near to common leaders that are in several components
     sized = regs.select("id", F.col("n_shingles").alias("n"))
-    at = (shared.select("key", "id").join(labels.select(F.col("node").alias("id"), "root"), "id", "left")
-          .select("key", "id", F.coalesce("root", "id").alias("root")))
-    mixed = at.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    at = steps.save(at.join(mixed, "key").join(sized, "id"), "mixed")
-    x = at.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    y = at.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    groups = components(steps, star.where(F.col("est") >= NEAR).select("a", "b"), "near")
+    members = (groups.select(F.col("node").alias("id"), F.col("root").alias("group"))
+               .join(labels.select(F.col("node").alias("id"), "root"), "id", "left").join(sized, "id")
+               .select("group", "id", F.coalesce("root", "id").alias("root"), "n"))
+    members = steps.save(members, "members")
+    links = steps.save(links_in_groups(members, sets), "links-3")
+    if not links.isEmpty():
+        labels = components(steps, links, "three", labels)
+
+    # classes that share a key with a leader they are not near to, with all others under that key
+    at = (shared.join(star.select(F.col("a").alias("id"), F.col("b").alias("leader"), "est"), ["id", "leader"], "left")
+          .join(sized, "id").select("key", "id", "n", F.coalesce("est", F.lit(1.0)).alias("est")))
+    far = steps.save(at.where(F.col("est") < NEAR), "far")
+    others = steps.save(at.join(far.select("key").distinct(), "key"), "others")
+    x = far.select("key", F.col("id").alias("a"), F.col("n").alias("na"))
+    y = others.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
     like = (F.col("na") * NUMERATOR <= F.col("nb") * DENOMINATOR) & (F.col("nb") * NUMERATOR <= F.col("na") * DENOMINATOR)
-    pairs = x.join(y, "key").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & like).select("a", "b").distinct()
-    pairs = steps.save(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+    pairs = x.join(y, "key").where((F.col("a") != F.col("b")) & like).select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = steps.save(_apart(pairs, labels), "pairs")
+    pairs = steps.save(estimated(pairs, regs).where(F.col("est") >= NUMERATOR / DENOMINATOR - ESTIMATE_SLACK), "hopeful-pairs")
     if not pairs.isEmpty():
-        labels = components(steps, steps.save(confirmed(pairs, sets), "links-3"), "three", labels)
+        labels = components(steps, steps.save(confirmed(pairs, sets), "links-4"), "four", labels)
 
     named = steps.save(classes.join(labels, F.col("rep") == F.col("node"), "left")
                        .select("set_key", F.coalesce("root", "rep").alias("component_id")), "named")
