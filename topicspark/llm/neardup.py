@@ -9,7 +9,8 @@ sets reach it.  What leaders do not connect is compared exactly:
 * Classes whose estimates tie them to common leaders (`NEAR`, loosely) form a group.  If its members are in several components,
   all that are not in the largest one are compared with all others, block against block inside tasks: one matrix product gives
   the sizes of all intersections, and only as many links leave the task as join components.
-* Classes that share a key with a leader they are not near to are few; they are compared with the others under that key.
+* Classes that share a key with a leader they are not near to are few; their sketches are compared with all others under that
+  key inside tasks, and the hopeful pairs in full.
 
 Very many copies of one text are one class.  Very many near copies are linked through their leader: pairs grow with the members,
 not with their square.
@@ -40,6 +41,7 @@ MANTISSA = 10
 ESTIMATE_SLACK = 0.2                      # six standard deviations of the estimate at the threshold
 NEAR = 0.45                               # estimate to a leader from which classes form a group
 BLOCK_SHINGLES = 400_000                  # of a block of classes that is compared with another in one task
+BLOCK_CLASSES = 10_000                    # of one key
 _COLUMNS = 4_096
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))   # fixed values: the finaliser of splitmix64
@@ -280,6 +282,50 @@ def links_in_groups(members: DataFrame, sets: DataFrame) -> DataFrame:
             .sortWithinPartitions("group", "i", "j").mapInArrow(run, "a bigint, b bigint"))
 
 
+def hopeful_under_keys(members: DataFrame, regs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a far class and any other under one key, of different components, whose estimate gives hope.
+
+    `members(key, id, far, root, fars, n)`.  The classes under a key are dealt to blocks of a bounded number; a task compares the
+    registers of two blocks, and only hopeful pairs leave it.
+    """
+    own = F.xxhash64("id")
+    rights, lefts = (F.ceil(F.col(c) / BLOCK_CLASSES).cast("int") for c in ("n", "fars"))
+    cols = ["key", "id", "root", "far"]
+    as_left = members.where("far").select(*cols, F.lit(True).alias("left"), F.pmod(own, lefts).cast("int").alias("i"),
+                                          F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"))
+    as_right = members.select(*cols, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"),
+                              F.pmod(own, rights).cast("int").alias("j"))
+    least = NUMERATOR / DENOMINATOR - ESTIMATE_SLACK
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        ids, roots, n = (np.array([r[k] for r in rows]) for k in (3, 4, 7))
+        registers_ = np.frombuffer(b"".join(r[6] for r in rows), "u2").reshape(-1, REGISTERS)
+        left = np.array([r[5] for r in rows])
+        rest, out = np.flatnonzero(~left), []
+        for i in np.flatnonzero(left):
+            like = ((roots[rest] != roots[i]) & (n[rest] * NUMERATOR <= n[i] * DENOMINATOR) & (n[i] * NUMERATOR <= n[rest] * DENOMINATOR))
+            near = rest[like]
+            near = near[estimate(registers_[near], registers_[i], n[near].astype(float), float(n[i])) >= least]
+            out.extend((max(ids[i], ids[j]), min(ids[i], ids[j])) for j in near)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != now and held:
+                    yield solve(held)
+                    held = []
+                now = row[:3]
+                held.append(row)
+        if held:
+            yield solve(held)
+
+    full = as_left.unionByName(as_right).join(regs.select("id", "registers", "n_shingles"), "id")
+    return (full.select("key", "i", "j", "id", "root", "left", "registers", "n_shingles").repartition("key", "i", "j")
+            .sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct())
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are not in one component."""
     a = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
@@ -337,16 +383,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # classes that share a key with a leader they are not near to, with all others under that key
     at = (shared.join(star.select(F.col("a").alias("id"), F.col("b").alias("leader"), "est"), ["id", "leader"], "left")
-          .join(sized, "id").select("key", "id", "n", F.coalesce("est", F.lit(1.0)).alias("est")))
-    far = steps.save(at.where(F.col("est") < NEAR), "far")
-    others = steps.save(at.join(far.select("key").distinct(), "key"), "others")
-    x = far.select("key", F.col("id").alias("a"), F.col("n").alias("na"))
-    y = others.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
-    like = (F.col("na") * NUMERATOR <= F.col("nb") * DENOMINATOR) & (F.col("nb") * NUMERATOR <= F.col("na") * DENOMINATOR)
-    pairs = x.join(y, "key").where((F.col("a") != F.col("b")) & like).select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = steps.save(_apart(pairs, labels), "pairs")
-    pairs = steps.save(estimated(pairs, regs).where(F.col("est") >= NUMERATOR / DENOMINATOR - ESTIMATE_SLACK), "hopeful-pairs")
+          .select("key", "id", (F.coalesce("est", F.lit(1.0)) < NEAR).alias("far")))
+    keys = steps.save(at.groupBy("key").agg(F.count_if("far").alias("fars"), F.count("*").alias("n")).where("fars > 0"), "far-keys")
+    at = at.join(keys, "key").join(labels.select(F.col("node").alias("id"), "root"), "id", "left")
+    pairs = steps.save(hopeful_under_keys(at.withColumn("root", F.coalesce("root", "id")), regs), "hopeful-pairs")
     if not pairs.isEmpty():
         labels = components(steps, steps.save(confirmed(pairs, sets), "links-4"), "four", labels)
 
