@@ -51,6 +51,21 @@ def test_history_is_scanned_once_per_blob(spark):
     assert sorted((r["path"], r["version"], len(r["spans"])) for r in found.collect()) == [("a", 1, 1), ("a", 2, 0), ("b", 1, 1)]
 
 
+def test_null_paths_and_versions(spark):
+    """A secret under a null id alone, one shared with a real id, and an id with two texts."""
+    alone, shared, other = "AKIA" + "N" * 16, "é AKIA" + "S" * 16, "token=abcdefghijklmnop"
+    rows = [(None, 1, alone), (None, 1, shared), (5, 1, shared), (6, None, other), (6, None, shared), (6, 1, "clean"),
+            (None, None, "hex 0123456789abcdef"), (7, 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, n bigint, text string")
+    paths, entries = s.scan_paths(s.versions_of(docs, version="n"))
+    got = [(r["path"], r["version"], [(x["start"], x["kind"], x["end"]) for x in r["spans"]]) for r in paths.collect()]
+    assert sorted(got, key=repr) == sorted(((i, n, by_hand(t or "")) for i, n, t in rows), key=repr)
+    assert entries.where("size(spans) > 0").count() == 4
+    clean = sorted(((r["doc_id"], r["text"]) for r in s.without_secrets(docs).collect()), key=repr)
+    mark = {alone: "[SECRET]", shared: "é [SECRET]", other: "[SECRET]", "hex 0123456789abcdef": "hex [SECRET]"}
+    assert clean == sorted(((i, mark.get(t, t)) for i, _, t in rows), key=repr)
+
+
 def test_redaction(spark):
     docs = edge_docs(spark, TEXTS + MORE)
     out = s.without_secrets(docs)

@@ -6,7 +6,8 @@ the findings of old and new pairs are joined back to all paths.  Offsets come fr
 lengths of pieces and matches, summed in order, are the code point positions.
 
 Cases: a null text is an empty one; empty texts give no spans.  Repeated rows, and equal texts under other paths, share one
-scan and give one row each.  An empty table gives an empty result and an empty ledger.  Spans of one kind never overlap;
+scan and give one row each.  Null paths and versions are paths and versions like any other, and a path may have several texts.
+An empty table gives an empty result and an empty ledger.  Spans of one kind never overlap;
 spans of different kinds may, and come in order of start, then kind.  Other columns of the input are not read.
 """
 
@@ -60,8 +61,8 @@ def versions_of(docs: DataFrame, path: str = "doc_id", text: str = "text", versi
 
 
 def pending(versions: DataFrame, rules: list[Rule], ledger: DataFrame | None) -> DataFrame:
-    """blob, a version that holds it, and the rules it has not been scanned with."""
-    blobs = versions.groupBy("blob").agg(F.min(F.struct("path", "version")).alias("at"))
+    """blob, and the rules it has not been scanned with."""
+    blobs = versions.select("blob").distinct()
     todo = F.array(*[F.lit(r.name) for r in rules])
     if ledger is None:
         out = blobs.withColumn("todo", todo)
@@ -70,7 +71,7 @@ def pending(versions: DataFrame, rules: list[Rule], ledger: DataFrame | None) ->
         out = (blobs.join(seen, "blob", "left")
                .withColumn("todo", F.array_except(todo, F.coalesce("seen", F.array().cast("array<string>"))))
                .where(F.size("todo") > 0))
-    return out.select("blob", F.col("at.path").alias("path"), F.col("at.version").alias("version"), "todo")
+    return out.select("blob", "todo")
 
 
 def _pieces(rule: Rule) -> Column:
@@ -89,11 +90,10 @@ def _pieces(rule: Rule) -> Column:
 
 def scan(versions: DataFrame, todo: DataFrame, rules: list[Rule]) -> DataFrame:
     """blob, rule, start, end of every finding of the pairs in `todo`."""
-    texts = versions.select("path", "version", "text").join(todo, ["path", "version"])
+    # by content address: one row of each blob, whatever its paths and versions, which may be null
+    texts = versions.select("blob", "text").dropDuplicates(["blob"]).join(todo, "blob")
     rows = (texts.select("blob", F.explode(F.array(*[_pieces(r) for r in rules])).alias("r"))
             .where(F.size("r.pieces") > 0).select("blob", "r.rule", F.posexplode("r.pieces").alias("k", "p")))
-    # repeated rows of one version would be scanned twice
-    rows = rows.dropDuplicates(["blob", "rule", "k"])
     w = Window.partitionBy("blob", "rule").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("p.before") + F.coalesce("p.size", F.lit(0))).over(w)
     least = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.least))])
