@@ -123,6 +123,30 @@ def test_one_of_each(spark):
     assert q.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    """Every text is compared, under whatever id it stands: rows are held against a comparison of all pairs of texts."""
+    rng = random.Random(5)
+    texts = [t for _, t in near_copies(rng, 25)]
+    rows = [(rng.randrange(40), t) for t in texts] + [(rng.randrange(40), t) for t in rng.sample(texts, 30)]
+    rows += [(0, t) for t in texts[:30]] + [(100 + i, t) for i, t in enumerate(texts[:30])] + [(0, None), (0, ""), (0, ""), (1, " "), (None, texts[0])]
+    distinct = sorted({t for i, t in rows if i is not None}, key=repr)
+    part = {distinct[k]: root for k, (_, root) in by_hand(list(enumerate(distinct))).items()}
+    least = {}
+    for i, t in rows:
+        if i is not None and shingles(t):
+            least[part[t]] = min(least.get(part[t], i), i)
+    want = [(i, len(shingles(t)), least[part[t]] if i is not None and shingles(t) else i) for i, t in rows]
+    got = q.near_duplicates(edge_docs(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(r["kept"] == (r["component_id"] == r["doc_id"]) for r in got)
+
+    left = [(r["doc_id"], r["text"]) for r in q.one_of_each(edge_docs(spark, rows)).collect()]
+    in_parts = [(i, t) for i, t in left if i is not None and shingles(t)]
+    assert sorted((part[t], i) for i, t in in_parts) == sorted(least.items()) and set(left) <= set(rows)
+    assert sorted(set(left) - set(in_parts), key=repr) == sorted([(0, None), (0, ""), (1, " "), (None, texts[0])], key=repr)
+    assert len(left) == len(in_parts) + 4
+
+
 def test_edges(spark):
     got = q.near_duplicates(edge_docs(spark)).collect()
     assert len(got) == len(TEXTS)

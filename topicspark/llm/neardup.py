@@ -17,7 +17,9 @@ not with their square.
 
 Cases: A-Z are lower-cased, words are parted by the six ASCII white-space characters.  Fewer than five words are one shingle;
 null texts and texts without words have none and are linked with nothing.  Equal texts, and repeated rows, are in one
-component.  Different texts of one id are in its component too; the one with the least set key speaks for the id.  Rows with a null id join no component and are kept.  An empty table gives no rows.  Only id and text are read.
+component.  Different texts of one id are compared like those of different ids: a row is in the component of its text, which is
+named by the smallest id in it, and rows of that id are kept; two components have one name if that id has texts in both.  Rows with a null id join no component and are kept.  An empty
+table gives no rows.  Only id and text are read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from topicspark.llm.components import components
 from topicspark.llm.registry import query, table, text_of
@@ -125,29 +127,34 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
+def text_key(text_col: str) -> Column:
+    """Tells the texts of one id apart, a missing one from an empty one too."""
+    return F.coalesce(F.unhex(F.sha2(text_col, 256)), F.lit(b""))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, set_key (hash of the whole set; null without shingles), registers."""
+    """id, text_key, n_shingles, set_key (hash of the whole set; null without shingles), registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                sets = [shingles(t) for t in part.column(2).to_pylist()]
                 full = [s for s in sets if len(s)]
                 rows = iter(registers(full)) if full else iter(())
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 regs = [next(rows).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
                                                   pa.array(keys, pa.binary()), pa.array(regs, pa.binary())],
-                                                 ["id", "n_shingles", "set_key", "registers"])
+                                                 ["id", "text_key", "n_shingles", "set_key", "registers"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(
-        run, "id bigint, n_shingles bigint, set_key binary, registers binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("text_key"), text_of(text_col).alias("text")).mapInArrow(
+        run, "id bigint, text_key binary, n_shingles bigint, set_key binary, registers binary")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, registers, shingles (packed) of the documents in `ids`; a row whose set has not the key asked for is left out."""
+def full_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, shingles (packed) of `classes` (id, rep, text_key): the class's number, and a document and text of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
@@ -155,12 +162,10 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 sets = [shingles(t).tobytes() for t in part.column(1).to_pylist()]
-                right = pa.array([xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, part.column(3).to_pylist())], pa.bool_())
-                yield pa.RecordBatch.from_arrays([c.filter(right) for c in (part.column(0), part.column(2), pa.array(sets, pa.binary()))],
-                                                 ["id", "registers", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(ids, "id")
-    return rows.select("id", "text", "registers", "set_key").mapInArrow(run, "id bigint, registers binary, shingles binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), text_key(text_col).alias("text_key"), text_of(text_col).alias("text"))
+    return rows.join(classes, ["rep", "text_key"]).select("id", "text").mapInArrow(run, "id bigint, shingles binary")
 
 
 def estimated(pairs: DataFrame, regs: DataFrame) -> DataFrame:
@@ -334,18 +339,22 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
             .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (null for a null id), kept: one row per row of `docs`."""
-    spark = docs.sparkSession
-    steps = Steps(spark, "neardup")
+def _components(steps: Steps, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text_key, n_shingles, part, component_id: one row per row of `docs`.
+
+    `part` numbers the component, and is null for a null id or without shingles; `component_id` is the smallest id in it.
+    """
     table_ = steps.save(sketches(docs, id_col, text_col), "sketches")
     classes = steps.save(table_.where("id IS NOT NULL AND set_key IS NOT NULL").groupBy("set_key").agg(
-        F.min("id").alias("rep"), F.min("n_shingles").alias("n")), "classes")
+        F.min(F.struct("id", "text_key")).alias("at")).select("set_key", F.col("at.id").alias("rep"), "at.text_key"), "sets-of-texts")
+    # numbers in the order of the smallest ids, so that the root of a component has its smallest id; an id may have several classes
+    classes = steps.save(classes.repartitionByRange("rep", "set_key").sortWithinPartitions("rep", "set_key")
+                         .select(F.monotonically_increasing_id().alias("number"), "set_key", "rep", "text_key"), "classes")
 
     # one row per class and band
-    reps = classes.groupBy(F.col("rep").alias("id")).agg(F.min("set_key").alias("key"))      # an id may have several texts
-    regs = (table_.where("set_key IS NOT NULL").join(reps, "id").where("key = set_key")
-            .select("id", "n_shingles", "set_key", "registers").dropDuplicates(["id"]))
+    regs = (table_.where("set_key IS NOT NULL").withColumnRenamed("id", "rep")
+            .join(classes.select(F.col("number").alias("id"), "rep", "text_key"), ["rep", "text_key"])
+            .select("id", "n_shingles", "registers").dropDuplicates(["id"]))
     regs = steps.save(regs, "registers")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                        lambda k: F.xxhash64(k, F.substring("registers", k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
@@ -361,8 +370,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = shared.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     star = steps.save(estimated(star, regs), "star")
 
-    sets = steps.save(full_sets(docs, weight.select("id").join(regs.select("id", "registers", "set_key"), "id"), id_col, text_col)
-                      .select("id", "shingles").dropDuplicates(["id"]), "sets")
+    wanted = classes.select(F.col("number").alias("id"), "rep", "text_key").join(weight.select("id"), "id")
+    sets = steps.save(full_sets(docs, wanted, id_col, text_col).dropDuplicates(["id"]), "sets")
     hopeful = star.where(F.col("est") >= NUMERATOR / DENOMINATOR - ESTIMATE_SLACK)
     best = hopeful.groupBy("a").agg(F.max_by("b", F.struct("est", (-F.col("b")).alias("m"))).alias("b"))
     labels = components(steps, steps.save(confirmed(best, sets), "links-1"), "one")
@@ -390,25 +399,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not pairs.isEmpty():
         labels = components(steps, steps.save(confirmed(pairs, sets), "links-4"), "four", labels)
 
-    named = steps.save(classes.join(labels, F.col("rep") == F.col("node"), "left")
-                       .select("set_key", F.coalesce("root", "rep").alias("component_id")), "named")
+    named = classes.join(labels, F.col("number") == F.col("node"), "left").select("set_key", F.coalesce("root", "number").alias("part"))
+    named = steps.save(named.join(classes.select(F.col("number").alias("part"), F.col("rep").alias("component_id")), "part"), "named")
     steps.keep_only("sketches", "named")
-    out = table_.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("set_key").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = table_.select("id", "text_key", "n_shingles", "set_key").join(named, "set_key", "left")
+    alone = F.col("set_key").isNull() | F.col("id").isNull()
+    return out.select("id", "text_key", "n_shingles", F.when(~alone, F.col("part")).alias("part"),
+                      F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _kept() -> Column:
+    return F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (null for a null id), kept: one row per row of `docs`."""
+    found = _components(Steps(docs.sparkSession, "neardup"), docs, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", _kept().alias("kept"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns: one document of each component.
 
-    Of rows with one id one stays; rows without an id stay, one of each text.
+    Of equal rows one stays; rows that are in no component, without an id or without words, stay, one of each id and text.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(~F.col("kept")).select(id_col).distinct()
-    packed = docs.select(F.col(id_col), F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("text_hash"),
+    steps = Steps(docs.sparkSession, "neardup")
+    found = _components(steps, docs, id_col, text_col).where(_kept())
+    # several texts of the smallest id may be in one component
+    alone = F.when(F.col("part").isNull(), F.col("text_key"))
+    stay = found.groupBy("id", "part", alone.alias("alone")).agg(F.min("text_key").alias("text_key"))
+    # a null id is a value like any other: the keys of the join are never null
+    keys = ["known", "number", "text_key"]
+    known, number = F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("number")
+    packed = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("text_key"),
                          F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return packed.join(gone, id_col, "left_anti").dropDuplicates([id_col, "text_hash"]).select("row.*")
+    rows = packed.select(known, number, "text_key", "row").join(stay.select(known, number, "text_key"), keys, "left_semi")
+    return rows.dropDuplicates(keys).select("row.*")
 
 
 _SQL = """
