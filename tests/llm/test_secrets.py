@@ -2,6 +2,7 @@ import hashlib
 import re
 
 from edges import TEXTS, edge_docs, rows_by
+from topicspark import session
 from topicspark.llm import secrets as s
 
 MORE = [(20, "token=password:abcdefghijklmnop"), (21, "AKIA" + "Z" * 13), (22, "é😀 AKIA" + "Z" * 14 + " 0123456789abcdef"),
@@ -43,6 +44,29 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert spans[23] == ["hex", "hex"] and "access" in spans[22]
 
 
+def test_query_and_redaction_write_the_ledger(spark, tmp_path, monkeypatch):
+    """A row for each pair of blob and rule version, empty ones too; with that table a second scan has nothing to do."""
+    monkeypatch.setattr(session, "scratch_root", lambda spark: str(tmp_path / "shared"))
+    docs = edge_docs(spark, TEXTS + MORE)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    s.op2_secret_scan(spark, str(tmp_path))
+    s.without_secrets(docs)
+    folders = list((tmp_path / "shared").glob("secrets-*/ledger"))
+    assert len(folders) == 2
+    texts = {t or "" for _, t in TEXTS + MORE}
+    versions = s.versions_of(docs)
+    want = rows_by(s.scan_paths(versions)[0], "path", "spans")
+    for folder in folders:
+        ledger = spark.read.parquet(str(folder))
+        got = {(r["blob"], r["rule"]): [(x["start"], x["end"]) for x in r["spans"]] for r in ledger.collect()}
+        assert ledger.count() == len(got) == len(texts) * len(s.RULES)
+        for t in texts:
+            for r in s.RULES:
+                assert got[hashlib.sha256(t.encode()).hexdigest(), r.name] == [(a, b) for a, kind, b in by_hand(t) if kind == r.kind]
+        again, fresh = s.scan_paths(versions, s.RULES, ledger)
+        assert fresh.count() == 0 and rows_by(again, "path", "spans") == want
+
+
 def test_history_is_scanned_once_per_blob(spark):
     rows = [("a", 1, "AKIA" + "Q" * 16), ("a", 2, "clean"), ("b", 1, "AKIA" + "Q" * 16)]
     versions = s.versions_of(spark.createDataFrame(rows, "path string, n bigint, text string"), "path", "text", "n")

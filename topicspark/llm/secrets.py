@@ -104,34 +104,44 @@ def scan(versions: DataFrame, todo: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def new_entries(todo: DataFrame, found: DataFrame) -> DataFrame:
     """Ledger rows of the pairs just scanned: blob, rule, spans (empty where nothing was found)."""
-    spans = found.groupBy("blob", "rule").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return (todo.select("blob", F.explode("todo").alias("rule")).join(spans, ["blob", "rule"], "left")
-            .withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))))
+    in_blob = found.groupBy("blob").agg(F.collect_list(F.struct("rule", "start", "end")).alias("found"))
+    rows = todo.join(in_blob, "blob", "left").select("blob", F.explode("todo").alias("rule"), "found")
+    of_rule = F.filter("found", lambda f: f["rule"] == F.col("rule"))
+    spans = F.array_sort(F.transform(of_rule, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))))
+    return rows.select("blob", "rule", F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
 
 
-def blob_spans(rules: list[Rule], found: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """blob, spans: every finding of the given rules, in order of start, then rule."""
-    if ledger is not None:
-        old = (ledger.where(F.col("rule").isin([r.name for r in rules]))
-               .select("blob", "rule", F.inline("spans")).select("blob", "rule", "start", "end"))
-        found = found.unionByName(old).distinct()
+def blob_spans(rules: list[Rule], ledger: DataFrame) -> DataFrame:
+    """blob, spans: every finding of the given rules in the ledger, in order of start, then rule."""
+    found = (ledger.where(F.col("rule").isin([r.name for r in rules]) & (F.size("spans") > 0))
+             .select("blob", "rule", F.inline("spans")).distinct())
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
     span = F.struct("start", order[F.col("rule")].alias("order"), F.substring_index("rule", "@", 1).alias("kind"), "end")
     return found.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
+def scan_blobs(versions: DataFrame, rules: list[Rule], ledger: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(blob, spans) of every blob with a finding, and the new ledger rows; both are tables in the checkpoint folder.
+
+    The findings come from the ledger rows as written, new and old.
+    """
+    steps = Scratch(versions.sparkSession, "secrets")
+    todo = pending(versions, rules, ledger)
+    fresh = steps.save(new_entries(todo, scan(versions, todo, rules)), "ledger")
+    rows = fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rule", "spans"))
+    return steps.save(blob_spans(rules, rows), "spans"), fresh
+
+
 def scan_paths(versions: DataFrame, rules: list[Rule] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(path, version, blob, spans) of every path, and the rows to append to the ledger.
 
     Paths of any number share the scan of their blob.  A blob with very many paths is a skewed key of the last join; the
     findings are written first, so that the join reads two plain shuffles and adaptive execution can split the hot one.
     """
-    todo = pending(versions, rules, ledger)
-    found = scan(versions, todo, rules)
-    spans = Scratch(versions.sparkSession, "secrets").save(blob_spans(rules, found, ledger), "spans")
+    spans, fresh = scan_blobs(versions, rules, ledger)
     paths = versions.select("path", "version", "blob").join(spans, "blob", "left")
     none = F.array().cast(spans.schema["spans"].dataType)
-    return paths.withColumn("spans", F.coalesce("spans", none)), new_entries(todo, found)
+    return paths.withColumn("spans", F.coalesce("spans", none)), fresh
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
@@ -149,9 +159,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def without_secrets(docs: DataFrame, rules: list[Rule] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` with all their columns, every found secret replaced by a mark."""
-    versions = versions_of(docs, path, text)
-    todo = pending(versions, rules, None)
-    spans = Scratch(docs.sparkSession, "secrets").save(blob_spans(rules, scan(versions, todo, rules)), "spans")
+    spans, _ = scan_blobs(versions_of(docs, path, text), rules, None)
     rows = docs.select(F.sha2(text_of(text), 256).alias("blob"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     out = rows.join(spans, "blob", "left")
     clean = F.when(F.size("spans") > 0, redacted(F.col("row")[text], F.col("spans"))).otherwise(F.col("row")[text])
