@@ -166,6 +166,21 @@ def test_topic_text_has_one_line_per_topic(spark, tmp_path):
     assert got == [(0, w, w + 0.5) for w in range(2500)] + [(1, w, w * 2.0) for w in range(2500)]
 
 
+def test_topic_runs_are_bounded_and_ordered(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "RUN", 1000)
+    monkeypatch.setattr(snapshots, "LINE_WORDS", 2499)
+    model = spark.range(2500).selectExpr("cast(id as int) word_id", "array(id + 0.5D, id * 2D) params")
+    path = str(tmp_path / "runs")
+    snapshots.write_topic_runs(model, path)
+    lines = [line.split("\t") for f in sorted((tmp_path / "runs").glob("part-*")) for line in f.read_text().splitlines()]
+    assert [(int(k), int(w), len(json.loads(v))) for k, w, v in lines] == [
+        (k, w, n) for k in (0, 1) for w, n in ((0, 1000), (1000, 1000), (2000, 500))]
+    got = pairs(snapshots.read_topic_runs(spark, path), "topic", "word_id", "value")
+    assert got == [(0, w, w + 0.5) for w in range(2500)] + [(1, w, w * 2.0) for w in range(2500)]
+    with pytest.raises(ValueError, match="write_topic_runs"):
+        snapshots.write_topic_text(model, str(tmp_path / "text"))
+
+
 def test_alpha_is_stored_and_has_an_explicit_default(spark, tmp_path):
     snapshots.write_params(spark, str(tmp_path / "p"), [0.1, 0.2], beta=0.01, eta=0.5)
     assert snapshots.read_alpha(spark, str(tmp_path / "p"), 2) == [0.1, 0.2]

@@ -716,10 +716,10 @@ def keyed_output(spark, d):
 
 @query("topic_text_snapshot", f"WITH {VOCAB}{_WORD_PARAMS} {_long_sql('l', 9, 'word_id', 'lam')}")
 def topic_text_snapshot(spark, d):
-    """A model written as text, a line per topic, and read from all part files."""
+    """A model written as text, in runs of words per topic, and read from all part files."""
     scratch = Scratch(spark, "topic-text")
-    snapshots.write_topic_text(start_model(corpus(spark, d).vocab, K, SEED, "hash"), scratch.path("model"))
-    return snapshots.read_topic_text(spark, scratch.path("model")).withColumn("value", rounded("value", 9))
+    snapshots.write_topic_runs(start_model(corpus(spark, d).vocab, K, SEED, "hash"), scratch.path("model"))
+    return snapshots.read_topic_runs(spark, scratch.path("model")).withColumn("value", rounded("value", 9))
 
 
 @query("alpha_snapshot", ORACLES["alpha_step"])

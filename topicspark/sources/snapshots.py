@@ -1,7 +1,8 @@
 """Model snapshots, hyper-parameters and keyed outputs.
 
-Parquet is the working form.  The text form, for exchange, has one line per topic, `k<TAB>json array`, whatever the size of
-the vocabulary; a line of a million words has about 20 MB.
+Parquet is the working form.  The text form has lines `k<TAB>first word<TAB>json array` for runs of RUN consecutive words, in
+order of topic and word over the part files, at every size of the vocabulary; a line has about 1.3 MB.  The export for programs
+that want one line per topic, `k<TAB>json array`, takes at most LINE_WORDS words, about 200 MB a line, and refuses more.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from topicspark.functions.scalars import vector_from_json, vector_to_json
 from topicspark.operators.counts import long_form
 
 MODEL_SCHEMA = "word_id int, params array<double>"
+RUN = 65_536
+LINE_WORDS = 10_000_000
 
 
 def write_model(model: DataFrame, path: str, t: int) -> str:
@@ -30,24 +33,56 @@ def read_all_versions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MODEL_SCHEMA + ", t int").parquet(path)
 
 
+def _ordered_json(rows: DataFrame, *keys: str) -> DataFrame:
+    """`(keys, first, value)`: the parameters of each group in word order, as json text, and the first word."""
+    ordered = F.sort_array(F.collect_list(F.struct("word_id", "value")))
+    grouped = rows.groupBy(*keys).agg(ordered.alias("t"))
+    return grouped.select(*keys, F.get("t.word_id", F.lit(0)).alias("first"), vector_to_json(F.col("t.value")).alias("value"))
+
+
+def topic_runs(model: DataFrame) -> DataFrame:
+    """`(topic, first, value)`: a row per topic and run of RUN words; `first` is the first word of the run.
+
+    Word numbers must be dense, as those of a vocabulary are.
+    """
+    rows = long_form(model, "params").withColumn("run", F.floor(F.col("word_id") / RUN))
+    return _ordered_json(rows, "topic", "run").drop("run")
+
+
+def write_topic_runs(model: DataFrame, path: str) -> None:
+    runs = topic_runs(model).repartitionByRange("topic", "first").sortWithinPartitions("topic", "first")
+    runs.select(F.concat_ws("\t", F.col("topic").cast("string"), F.col("first").cast("string"), "value")).write.mode("overwrite").text(path)
+
+
+def read_topic_runs(spark: SparkSession, path: str) -> DataFrame:
+    """`(topic, word_id, value)` from every part file of a snapshot in runs."""
+    parts = F.split("value", "\t")
+    # a line is taken apart before it is exploded; beside the explode this would be done again for every word
+    lines = spark.read.text(path).select(F.get(parts, F.lit(0)).cast("int").alias("topic"), F.get(parts, F.lit(1)).cast("int").alias("first"),
+                                         vector_from_json(F.get(parts, F.lit(2))).alias("_values"))
+    return (lines.select("topic", "first", F.posexplode("_values").alias("k", "value"))
+            .select("topic", (F.col("first") + F.col("k")).alias("word_id"), "value"))
+
+
 def topic_lines(model: DataFrame) -> DataFrame:
-    """`(topic, value)`: the parameters of a topic in word order, as json text.
+    """`(topic, value)`: the parameters of a topic in word order, as json text; a topic is one row of one task.
 
     Word numbers must be dense, as those of a vocabulary are.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("word_id", "value")))
-    return (long_form(model, "params").groupBy("topic").agg(ordered.alias("t"))
-            .select("topic", vector_to_json(F.col("t.value")).alias("value")))
+    return _ordered_json(long_form(model, "params"), "topic").drop("first")
 
 
 def write_topic_text(model: DataFrame, path: str) -> None:
+    """The export of one line per topic; a vocabulary of over LINE_WORDS words is refused."""
+    n = model.count()
+    if n > LINE_WORDS:
+        raise ValueError(f"{n} words do not go into one line (at most {LINE_WORDS}); use write_topic_runs")
     topic_lines(model).select(F.concat_ws("\t", F.col("topic").cast("string"), "value")).write.mode("overwrite").text(path)
 
 
 def read_topic_text(spark: SparkSession, path: str) -> DataFrame:
-    """`(topic, word_id, value)` from every part file of a text snapshot."""
+    """`(topic, word_id, value)` from every part file of an export of one line per topic."""
     parts = F.split("value", "\t")
-    # a line is taken apart before it is exploded; beside the explode this would be done again for every word
     lines = spark.read.text(path).select(F.get(parts, F.lit(0)).cast("int").alias("topic"),
                                          vector_from_json(F.get(parts, F.lit(1))).alias("_values"))
     return lines.select("topic", F.posexplode("_values").alias("word_id", "value"))
