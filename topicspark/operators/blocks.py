@@ -8,11 +8,15 @@ travel once per (block, word) pair, not once per (document, word) pair, and only
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
+from topicspark.session import Scratch
+
 TOKENS_PER_BLOCK = 250_000
 CELLS_PER_BLOCK = 20_000_000      # tokens times topics: what a kernel holds in one matrix (160 MB)
+MAX_BUCKETS = 100_000             # Spark's own limit for one table; beyond it several blocks share a bucket
 
 
 def block_count(n_tokens: int, n_topics: int = 1, tokens_per_block: int | None = None) -> int:
@@ -47,3 +51,53 @@ def run_blocks(rows: DataFrame, params: DataFrame, n_blocks: int, kernel, schema
     right = params.select(*[F.col(c).alias(c) for c in params.columns])
     return (_place(rows, n_blocks).groupBy("block").cogroup(_place(right, n_blocks).groupBy("block"))
             .applyInArrow(kernel, schema))
+
+
+class BlockTables:
+    """Tables that stay clustered by block from one iteration to the next.
+
+    They are written as `n_buckets` buckets of `block`, so a kernel reads its block where it lies and only the parameter
+    rows of the other side are shuffled.  Block numbers are chosen to hash to buckets of their own, as far as there are
+    that many; the list of numbers is no longer than `MAX_BUCKETS`.
+    """
+
+    def __init__(self, scratch: Scratch, n_blocks: int):
+        self.scratch, self.n_blocks = scratch, n_blocks
+        self.n_buckets = min(n_blocks, MAX_BUCKETS)
+        self._names: dict[str, str] = {}
+        number = F.col("id").cast("int")
+        bucket = F.pmod(F.hash(number), F.lit(self.n_buckets)).cast("int")
+        spread = scratch.spark.range(32 * self.n_buckets).groupBy(bucket.alias("_bucket")).agg(F.min(number).alias("_number"))
+        self._numbers = scratch.save(spread.coalesce(1), "block_numbers")
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        """`rows(doc_id, ...)` with `block`, whole blocks in the partitions that their buckets will have."""
+        near = F.pmod(F.xxhash64("doc_id"), F.lit(self.n_blocks))
+        if self.n_blocks > self.n_buckets:
+            numbered = rows.withColumn("block", near.cast("int"))
+        else:
+            numbered = (rows.withColumn("_bucket", near.cast("int")).join(F.broadcast(self._numbers), "_bucket", "left")
+                        .withColumn("block", F.coalesce("_number", -1 - F.col("_bucket"))).drop("_bucket", "_number"))
+        return numbered.repartition(self.n_buckets, "block")
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        table = f"topicspark_{uuid.uuid4().hex}"
+        (df.write.mode("overwrite").format("parquet").bucketBy(self.n_buckets, "block")
+         .option("parquet.enable.dictionary", "false").option("path", self.scratch.path(name)).saveAsTable(table))
+        self._names[name] = table
+        return self.scratch.spark.table(table)
+
+    def drop(self, name: str) -> None:
+        self.scratch.spark.sql(f"DROP TABLE IF EXISTS {self._names.pop(name)}")
+        self.scratch.drop(name)
+
+    def release(self, name: str) -> DataFrame:
+        """The table as plain files, without an entry in the catalog."""
+        schema = self.scratch.spark.table(self._names[name]).schema
+        self.scratch.spark.sql(f"DROP TABLE IF EXISTS {self._names.pop(name)}")
+        return self.scratch.load(name, schema)
+
+    def run(self, rows: DataFrame, params: DataFrame, kernel, schema: str) -> DataFrame:
+        """Run a kernel on each block of a table of this class with its parameter rows."""
+        right = params.select(*[F.col(c).alias(c) for c in params.columns])
+        return rows.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(kernel, schema)

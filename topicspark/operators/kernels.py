@@ -313,11 +313,113 @@ def gibbs_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, sweep, sche
     return run
 
 
-def cvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, order="serial"):
-    """In-place collapsed variational sweep over a block.
+PIECE = 4096   # words of a document in one row of a packed table
+# A row per document, or per PIECE words of it; n_dk stands in a document's first row, the word sums in a block's first row.
+# phi and sums are the bytes of doubles, a vector per word: Spark copies such a value whole, and an array element by element.
+PHI_ROWS = ("block int, doc_id long, piece int, words array<int>, weights array<double>, phi binary, n_dk array<double>, "
+            "sum_words array<int>, sums binary")
+_CELLS_AT_ONCE = 1_000_000
 
-    `serial` goes (document, word) by (document, word).  `lockstep` updates the j-th words of all documents together; as
-    the documents differ, only word and topic sums can be out of date, and only by the rows of one such step.
+
+def _cut_lists(values, offsets):
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
+def _on_first(values, first, n_rows):
+    """A list column that holds row i of `values` in row first[i], and nothing elsewhere."""
+    sizes = np.zeros(n_rows, np.int64)
+    sizes[first] = values.shape[1]
+    return _cut_lists(np.ascontiguousarray(values).ravel(), np.concatenate([[0], np.cumsum(sizes)]))
+
+
+def _bytes(values, offsets):
+    """A binary column: value i holds the doubles offsets[i] to offsets[i + 1]."""
+    data = np.ascontiguousarray(values, np.float64).ravel()
+    at = pa.py_buffer((np.asarray(offsets) * 8).astype(np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, at, pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _doubles(column, width):
+    """All doubles of a binary column, `width` to a row."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, width))
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]].view(np.float64).reshape(-1, width)
+
+
+def _row_sums(groups, n_groups, values, weight):
+    """Weighted sums of the rows of each group."""
+    out = np.empty((n_groups, values.shape[1]))
+    for k in range(values.shape[1]):
+        out[:, k] = np.bincount(groups, weights=values[:, k] * weight, minlength=n_groups)
+    return out
+
+
+def _phi_rows(block, doc, word, weight, phi):
+    """Packed rows of one block with its sums; the input is sorted by document and word."""
+    n_topics = phi.shape[1]
+    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    lengths = np.diff(np.append(starts, len(doc)))
+    pieces = -(-lengths // PIECE)
+    number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    cuts = np.append(np.repeat(starts, pieces) + number * PIECE, len(doc))
+    words, at = np.unique(word, return_inverse=True)
+    n_dk = _row_sums(np.repeat(np.arange(len(starts)), lengths), len(starts), phi, weight)
+    sums = _row_sums(at, len(words), phi, weight)
+    n_rows = len(number)
+    return pa.table({
+        "block": pa.array(np.full(n_rows, block, np.int32)), "doc_id": pa.array(doc[cuts[:-1]]), "piece": pa.array(number.astype(np.int32)),
+        "words": _cut_lists(word.astype(np.int32), cuts), "weights": _cut_lists(weight, cuts),
+        "phi": _bytes(phi, cuts * n_topics),
+        "n_dk": _on_first(n_dk, np.flatnonzero(number == 0), n_rows),
+        "sum_words": _on_first(words.astype(np.int32)[None, :], [0], n_rows), "sums": _bytes(sums, np.append(0, np.full(n_rows, sums.size)))})
+
+
+def pack_phi(n_topics):
+    """Kernel: rows `(block, doc_id, word_id, weight, phi)` of a block as PHI_ROWS."""
+
+    def run(rows):
+        doc, word = _ints(rows, "doc_id"), _ints(rows, "word_id")
+        order = np.lexsort((word, doc))
+        weight = _ints(rows, "weight").astype(np.float64)[order]
+        return _phi_rows(_ints(rows, "block")[0], doc[order], word[order], weight, _matrix(rows, "phi", n_topics)[order])
+
+    return run
+
+
+def word_rows(n_topics):
+    """`mapInArrow` function: `(word_id, params)` rows from the word sums of blocks."""
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column(0).flatten()
+            if len(words):
+                yield pa.RecordBatch.from_arrays([words, _lists(_doubles(batch.column(1), n_topics), n_topics)], names=["word_id", "params"])
+
+    return run
+
+
+def unpack_phi(n_topics):
+    """`mapInArrow` function: `(doc_id, word_id, weight, phi)` rows from rows `(doc_id, words, weights, phi)`."""
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column(1)
+            doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), words.value_lengths().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc), words.flatten(), batch.column(2).flatten(), _lists(_doubles(batch.column(3), n_topics), n_topics)],
+                names=["doc_id", "word_id", "weight", "phi"])
+
+    return run
+
+
+def cvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, order="sync"):
+    """Collapsed variational sweep over a block of PHI_ROWS.
+
+    `sync` takes all responsibilities from the sums before the sweep.  The other two update in place, on the block's own copy
+    of the sums: `serial` goes (document, word) by (document, word), `lockstep` updates the j-th words of all documents
+    together; as the documents differ, only word and topic sums can be out of date, and only by the rows of one such step.
     """
     alpha = np.asarray(alpha, dtype=np.float64)
     totals0 = np.asarray(topic_totals, dtype=np.float64)
@@ -326,15 +428,30 @@ def cvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, order="serial"):
         words, n_wk = _model_rows(right, "params", n_topics)
         n_k = n_words * beta + totals0
         n_wk = n_wk + beta
-        doc, word = _ints(left, "doc_id"), _ints(left, "word_id")
-        by_doc = np.lexsort((word, doc))
-        doc, word = doc[by_doc], word[by_doc]
-        weight = _ints(left, "weight").astype(np.float64)[by_doc]
-        phi = _matrix(left, "phi", n_topics)[by_doc]
+        order_of_rows = np.lexsort((_ints(left, "piece"), _ints(left, "doc_id")))
+        if (np.diff(order_of_rows) != 1).any():
+            left = left.take(pa.array(order_of_rows))
+        word_col = left.column("words").combine_chunks()
+        word = word_col.flatten().to_numpy(zero_copy_only=False)
+        doc = np.repeat(_ints(left, "doc_id"), np.diff(word_col.offsets.to_numpy()))
+        weight = left.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        phi = _doubles(left.column("phi"), n_topics).copy()
         at = np.searchsorted(words, word)
         starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        n_dk = np.add.reduceat(phi * weight[:, None], starts, axis=0) + alpha
         lengths = np.diff(np.append(starts, len(doc)))
+        in_doc = np.repeat(np.arange(len(starts)), lengths)
+        n_dk = _row_sums(in_doc, len(starts), phi, weight) + alpha
+        if order == "sync":
+            step = max(1, _CELLS_AT_ONCE // n_topics)
+            for a in range(0, len(doc), step):
+                part = slice(a, a + step)
+                old = phi[part]
+                new = n_dk[in_doc[part]] - old
+                new *= n_wk[at[part]] - old
+                new /= n_k - old
+                new /= new.sum(axis=1, keepdims=True)
+                phi[part] = new
+            return _phi_rows(_ints(left, "block")[0], doc, word, weight, phi)
         if order == "serial":
             steps = ((slice(d, d + 1), np.array([starts[d] + j]))
                      for d in range(len(starts)) for j in range(lengths[d]))
@@ -351,8 +468,7 @@ def cvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, order="serial"):
             np.add.at(n_wk, w, change)
             n_k += change.sum(axis=0)
             phi[rows] = new
-        return pa.table({"doc_id": pa.array(doc), "word_id": pa.array(word), "weight": pa.array(weight),
-                         "phi": _lists(phi, n_topics)})
+        return _phi_rows(_ints(left, "block")[0], doc, word, weight, phi)
 
     return run
 

@@ -1,4 +1,9 @@
-"""Collapsed variational Bayes (zero-order) with one responsibility vector per (document, word)."""
+"""Collapsed variational Bayes (zero-order) with one responsibility vector per (document, word).
+
+The responsibilities are the large table: a vector per pair.  They are packed once, by document, into a table that stays
+clustered by block; every sweep reads a block where it lies, takes document sums inside the block, and writes the block's word
+sums beside it.  Only word sums travel: (block, word) rows to words, and parameters back to the blocks that use them.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +15,10 @@ from topicspark.functions.random import uniform
 from topicspark.functions.special import lgamma
 from topicspark.functions.vectors import literal_vector, share_of_sum, sum_vectors
 from topicspark.operators import blocks
-from topicspark.operators.kernels import cvb0_kernel
+from topicspark.operators.kernels import PHI_ROWS, cvb0_kernel, pack_phi, unpack_phi, word_rows
 from topicspark.plans.minibatch import alpha_vector, metrics_frame, parameter_totals
 from topicspark.session import Scratch
 
-PHI_SCHEMA = "doc_id long, word_id int, weight double, phi array<double>"
-
 
 @dataclass
 class CVB0:
@@ -38,51 +41,58 @@ class CVB0:
 
 @dataclass
 class CVB0Fit:
-    phi: DataFrame
+    phi: DataFrame            # (doc_id, word_id, weight, phi)
     word_topic: DataFrame     # (word_id, params)
     doc_topic: DataFrame      # (doc_id, n_dk)
     metrics: DataFrame
     history: list
 
 
-def start_phi(bow: DataFrame, n_topics: int, seed: int, weight: str = "presence", portable: bool = True) -> DataFrame:
-    """`(doc_id, word_id, weight, phi)` with a random point on the simplex for every (document, word)."""
+def start_phi(bow: DataFrame, n_topics: int, seed: int, weight: str = "presence", portable: bool = True,
+              also: list[str] = []) -> DataFrame:
+    """`(doc_id, word_id, weight, phi)` with a random point on the simplex for every (document, word); `also` names columns
+    that stay."""
     w = F.lit(1.0) if weight == "presence" else F.col("freq").cast("double")
-    rows = bow.select(F.col("doc_id").cast("long").alias("doc_id"), "word_id", w.alias("weight"))
+    rows = bow.select(*also, F.col("doc_id").cast("long").alias("doc_id"), "word_id", w.alias("weight"))
     draw = uniform(portable)
-    return share_of_sum(rows, ["doc_id", "word_id", "weight"], n_topics, lambda k: draw(seed, "doc_id", "word_id", k), "phi")
+    return share_of_sum(rows, [*also, "doc_id", "word_id", "weight"], n_topics, lambda k: draw(seed, "doc_id", "word_id", k), "phi")
+
+
+def start_state(bow: DataFrame, cfg: CVB0, tables: blocks.BlockTables, name: str = "phi/0") -> DataFrame:
+    """The packed start.  Documents move to their blocks as plain counts; responsibilities are drawn where they will lie."""
+    rows = tables.place(bow.select("doc_id", "word_id", "freq"))
+    phi = start_phi(rows, cfg.n_topics, cfg.seed, cfg.weight, cfg.init == "hash", ["block"])
+    return tables.save(phi.groupBy("block").applyInArrow(pack_phi(cfg.n_topics), PHI_ROWS), name)
 
 
-def word_sums(phi: DataFrame, n_topics: int) -> DataFrame:
-    """`(word_id, params)`: sum over documents."""
-    return phi.groupBy("word_id").agg(sum_vectors("phi", n_topics, "weight").alias("params"))
+def pair_rows(state: DataFrame, n_topics: int) -> DataFrame:
+    """`(doc_id, word_id, weight, phi)` of a packed table."""
+    return state.select("doc_id", "words", "weights", "phi").mapInArrow(
+        unpack_phi(n_topics), "doc_id long, word_id int, weight double, phi array<double>")
 
 
-def doc_sums(phi: DataFrame, n_topics: int) -> DataFrame:
-    """`(doc_id, n_dk)`: sum over words."""
-    return phi.groupBy("doc_id").agg(sum_vectors("phi", n_topics, "weight").alias("n_dk"))
+def words_of_blocks(state: DataFrame) -> DataFrame:
+    return state.where(F.size("sum_words") > 0).select("block", F.explode("sum_words").alias("word_id"))
 
 
-def sync_sweep(phi: DataFrame, by_word: DataFrame, by_doc: DataFrame, totals: list[float], n_words: int, alpha: list,
-               beta: float) -> DataFrame:
-    """All responsibilities from the previous sums: two equi-joins and row-wise arithmetic."""
-    base = literal_vector([n_words * beta + t for t in totals])
-    a, b = literal_vector(alpha), F.lit(float(beta))
+def word_sums(state: DataFrame, n_topics: int) -> DataFrame:
+    """`(word_id, params)`: sum over documents, from the sums of the blocks; the responsibilities are not read."""
+    parts = state.where(F.size("sum_words") > 0).select("sum_words", "sums").mapInArrow(
+        word_rows(n_topics), "word_id int, params array<double>")
+    return parts.groupBy("word_id").agg(sum_vectors("params", n_topics).alias("params"))
 
-    def update(k):
-        old = F.col("phi")[k]
-        return (a[k] + F.col("n_dk")[k] - old) * (b + F.col("params")[k] - old) / (base[k] - old)
 
-    joined = phi.join(by_word, "word_id").join(by_doc, "doc_id")
-    return share_of_sum(joined, ["doc_id", "word_id", "weight"], len(alpha), update, "phi")
+def doc_sums(state: DataFrame) -> DataFrame:
+    """`(doc_id, n_dk)`: sum over words, as the blocks wrote it."""
+    return state.where(F.size("n_dk") > 0).select("doc_id", "n_dk")
 
 
-def block_sweep(phi: DataFrame, by_word: DataFrame, totals: list[float], n_words: int, cfg: CVB0,
-                n_blocks: int) -> DataFrame:
-    """In-place updates inside each block, on the block's own copy of the sums."""
-    rows = blocks.assign_blocks(phi, n_blocks)
-    kernel = cvb0_kernel(cfg.n_topics, cfg.alpha_vec, cfg.beta, n_words, totals, cfg.order)
-    return blocks.run_blocks(rows, blocks.pull(blocks.block_words(rows), by_word), n_blocks, kernel, PHI_SCHEMA)
+def sweep(state: DataFrame, in_blocks: DataFrame, by_word: DataFrame, totals: list[float], n_words: int, cfg: CVB0,
+          tables: blocks.BlockTables) -> DataFrame:
+    """All responsibilities from the previous sums, or in place inside each block, on the block's own copy of the sums."""
+    order = "sync" if cfg.schedule == "sync" else cfg.order
+    kernel = cvb0_kernel(cfg.n_topics, cfg.alpha_vec, cfg.beta, n_words, totals, order)
+    return tables.run(state, blocks.pull(in_blocks, by_word), kernel, PHI_ROWS)
 
 
 def loglik(by_word: DataFrame, by_doc: DataFrame, n_words: int, alpha: list, beta: float) -> float:
@@ -103,25 +113,22 @@ def loglik(by_word: DataFrame, by_doc: DataFrame, n_words: int, alpha: list, bet
 def fit(bow: DataFrame, n_words: int, cfg: CVB0, scratch: Scratch | None = None) -> CVB0Fit:
     """Sweeps with the likelihood after each; the sums are recomputed from the responsibilities every time."""
     scratch = scratch or Scratch(bow.sparkSession, "cvb0")
-    phi = scratch.save(start_phi(bow, cfg.n_topics, cfg.seed, cfg.weight, cfg.init == "hash"), "phi/0")
     k, history = cfg.n_topics, []
-    n_blocks = cfg.n_blocks or blocks.block_count(phi.count(), k, cfg.tokens_per_block)
-    by_word = scratch.save(word_sums(phi, k), "by_word/0")
-    by_doc = scratch.save(doc_sums(phi, k), "by_doc/0")
+    n_blocks = cfg.n_blocks or blocks.block_count(bow.count(), k, cfg.tokens_per_block)
+    tables = blocks.BlockTables(scratch, n_blocks)
+    state = start_state(bow, cfg, tables)
+    in_blocks = scratch.save(words_of_blocks(state), "block_words")
+    by_word = scratch.save(word_sums(state, k), "by_word/0")
     for t in range(1, cfg.n_sweeps + 1):
         totals = parameter_totals(by_word, k)
-        if cfg.schedule == "sync":
-            new = sync_sweep(phi, by_word, by_doc, totals, n_words, cfg.alpha_vec, cfg.beta)
-        else:
-            new = block_sweep(phi, by_word, totals, n_words, cfg, n_blocks)
-        phi = scratch.save(new, f"phi/{t}")
-        by_word = scratch.save(word_sums(phi, k), f"by_word/{t}")
-        by_doc = scratch.save(doc_sums(phi, k), f"by_doc/{t}")
-        if t >= 2:
-            for name in ("phi", "by_word", "by_doc"):
-                scratch.drop(f"{name}/{t - 2}")
-        history.append((t, "loglik", loglik(by_word, by_doc, n_words, cfg.alpha_vec, cfg.beta)))
+        state = tables.save(sweep(state, in_blocks, by_word, totals, n_words, cfg, tables), f"phi/{t}")
+        by_word = scratch.save(word_sums(state, k), f"by_word/{t}")
+        if t >= 2:                                   # the version before the last stays for a re-run of this sweep
+            tables.drop(f"phi/{t - 2}")
+            scratch.drop(f"by_word/{t - 2}")
+        history.append((t, "loglik", loglik(by_word, doc_sums(state), n_words, cfg.alpha_vec, cfg.beta)))
     if cfg.n_sweeps:
-        for name in ("phi", "by_word", "by_doc"):
-            scratch.drop(f"{name}/{cfg.n_sweeps - 1}")
-    return CVB0Fit(phi, by_word, by_doc, metrics_frame(bow.sparkSession, scratch.base, history), history)
+        tables.drop(f"phi/{cfg.n_sweeps - 1}")
+        scratch.drop(f"by_word/{cfg.n_sweeps - 1}")
+    state = tables.release(f"phi/{cfg.n_sweeps}")
+    return CVB0Fit(pair_rows(state, k), by_word, doc_sums(state), metrics_frame(bow.sparkSession, scratch.base, history), history)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from topicspark.functions.random import draw_category, near_one_array, uniform
 from topicspark.functions.scalars import learning_rate
 from topicspark.functions.vectors import literal_vector, vec_normalise, vec_sum
-from topicspark.operators import counts, likelihood, ranking
+from topicspark.operators import blocks, counts, likelihood, ranking
 from topicspark.operators.corpus import minibatches
 from topicspark.plans import cvb0, gibbs, infer, online_vb, scvb0
 from topicspark.plans.minibatch import blend_model, only_words, parameter_totals, start_model, topic_words
@@ -260,36 +260,40 @@ def _topic_cells(df, key, col, digits, name="value"):
     return df.select(key, F.posexplode(col).alias("topic", name)).withColumn(name, rounded(name, digits))
 
 
+def _cvb0_start(spark, d):
+    """The packed start of a run, in a folder of this call alone: other results may still be read."""
+    cfg, bow = cvb0.CVB0(K, _CA, _CB, seed=SEED, init="hash"), corpus(spark, d).bow
+    tables = blocks.BlockTables(Scratch(spark, "cvb0-once"), blocks.block_count(bow.count(), K))
+    return cfg, tables, cvb0.start_state(bow, cfg, tables)
+
+
 @query("cvb0_init", f"WITH {_PHI0}{_cvb0_sums(0)} {_long_sql('w', 6, 'word_id', 'w0')}")
 def cvb0_init(spark, d):
-    phi = cvb0.start_phi(corpus(spark, d).bow, K, SEED)
-    return _topic_cells(cvb0.word_sums(phi, K), "word_id", "params", 6)
+    return _topic_cells(cvb0.word_sums(_cvb0_start(spark, d)[2], K), "word_id", "params", 6)
 
 
 @query("cvb0_init_docs", f"WITH {_PHI0}{_cvb0_sums(0)} {_long_sql('d', 6, 'doc_id', 'd0')}")
 def cvb0_init_docs(spark, d):
-    phi = cvb0.start_phi(corpus(spark, d).bow, K, SEED)
-    return _topic_cells(cvb0.doc_sums(phi, K), "doc_id", "n_dk", 6)
+    return _topic_cells(cvb0.doc_sums(_cvb0_start(spark, d)[2]), "doc_id", "n_dk", 6)
 
 
 def _cvb0_once(spark, d):
-    scratch = Scratch(spark, "cvb0-once")          # of this call alone: other results may still be read
-    phi = scratch.save(cvb0.start_phi(corpus(spark, d).bow, K, SEED), "phi")
-    by_word = scratch.save(cvb0.word_sums(phi, K), "by_word")
-    return cvb0.sync_sweep(phi, by_word, cvb0.doc_sums(phi, K), parameter_totals(by_word, K), vocabulary_size(spark, d),
-                           [_CA] * K, _CB)
+    cfg, tables, state = _cvb0_start(spark, d)
+    by_word = tables.scratch.save(cvb0.word_sums(state, K), "by_word")
+    return tables.save(cvb0.sweep(state, cvb0.words_of_blocks(state), by_word, parameter_totals(by_word, K),
+                                  vocabulary_size(spark, d), cfg, tables), "phi/1")
 
 
 @query("cvb0_sweep", f"WITH {_PHI0}{_cvb0_sweep(0)} {_long_sql('p', 5, 'doc_id, word_id', 'p1')}")
 def cvb0_sweep(spark, d):
     """Every responsibility after one synchronous sweep."""
-    return (_cvb0_once(spark, d).select("doc_id", "word_id", F.posexplode("phi").alias("topic", "value"))
+    return (cvb0.pair_rows(_cvb0_once(spark, d), K).select("doc_id", "word_id", F.posexplode("phi").alias("topic", "value"))
             .withColumn("value", rounded("value", 5)))
 
 
 @query("cvb0_sweep_docs", f"WITH {_PHI0}{_cvb0_sweep(0)}{_cvb0_sums(1)} {_long_sql('d', 5, 'doc_id', 'd1')}")
 def cvb0_sweep_docs(spark, d):
-    return _topic_cells(cvb0.doc_sums(_cvb0_once(spark, d), K), "doc_id", "n_dk", 5)
+    return _topic_cells(cvb0.doc_sums(_cvb0_once(spark, d)), "doc_id", "n_dk", 5)
 
 
 _CVB0_LL = (f"{_PHI0}{_cvb0_sweep(0)}{_cvb0_sweep(1)}{_cvb0_sums(2)}")
