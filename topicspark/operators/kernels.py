@@ -57,30 +57,66 @@ def _doc_table(docs, vecs, scores, tokens):
                      "score": pa.array(scores), "n_tokens": pa.array(tokens.astype(np.int64))})
 
 
-def start_vectors(mode, seed, keys, width):
-    """Starting values, one row per document or word: Gamma(100, 0.01) draws, or hash values of equal mean and spread.
+_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)   # fixed values: the finaliser of splitmix64
+_STEP = 0x9E3779B97F4A7C15
 
-    The sampler is a counter-based generator set to a place that depends on the key alone, so a row's values do not depend
-    on the task that makes them.
-    """
-    out = np.empty((len(keys), width))
-    if mode == "hash":
-        half = 0.1 * math.sqrt(3.0)
-        for i, key in enumerate(keys):
-            for k in range(width):
-                digest = hashlib.md5(f"{seed}:{key}:{k}".encode()).hexdigest()
-                out[i, k] = 1.0 + half * (2.0 * (int(digest[:8], 16) / 4294967296.0) - 1.0)
-        return out
-    bits = np.random.Philox(key=int(seed) & (2**64 - 1))
-    rng, state = np.random.Generator(bits), bits.state
-    state["buffer_pos"] = 4
-    for i, key in enumerate(keys):
-        state["state"]["counter"][:] = (0, int(key) & (2**64 - 1), 0, 0)
-        bits.state = state
-        out[i] = rng.gamma(100.0, 0.01, width)
+
+def _mixed(z):
+    for shift, factor in zip((30, 27), _MIX):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return z ^ (z >> np.uint64(31))
+
+
+def keyed_stream(*keys):
+    """One number for a few keys, as seed, sweep and local sweep."""
+    out = np.zeros(1, np.uint64)
+    for key in keys:
+        out = _mixed(out + np.uint64(_STEP) + np.asarray([int(key) & (2**64 - 1)], np.uint64))
     return out
 
 
+def keyed_uniform(stream, docs, place):
+    """Draws from [0, 1) that depend on the stream, the document and the place of its token alone, not on the block."""
+    z = _mixed(stream + np.asarray(docs).astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    z = _mixed(z + np.asarray(place).astype(np.uint64) * np.uint64(_STEP))
+    return (z >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+
+
+def keyed_gamma(seed, keys, width, shape=100.0, scale=0.01):
+    """Gamma draws, `width` for each key, that depend on seed, key and column alone.
+
+    Marsaglia and Tsang's squeeze, for all cells at once: try t of a cell uses its own three uniforms, and the few cells whose
+    try is rejected go on with the next.
+    """
+    d = shape - 1.0 / 3.0
+    c = 1.0 / math.sqrt(9.0 * d)
+    row = np.repeat(np.asarray(keys).astype(np.int64), width)
+    column = np.tile(np.arange(width), len(keys))
+    out = np.empty(len(row))
+    left, attempt = np.arange(len(row)), 0
+    while len(left):
+        u1, u2, u3 = (keyed_uniform(keyed_stream(seed, 3 * attempt + i), row[left], column[left]) for i in range(3))
+        x = np.sqrt(-2.0 * np.log1p(-u1)) * np.cos(2.0 * math.pi * u2)
+        v = (1.0 + c * x) ** 3
+        inside = v > 0
+        log_v = np.log(np.where(inside, v, 1.0))
+        taken = inside & (np.log1p(-u3) < 0.5 * x * x + d * (1.0 - v + log_v))
+        out[left[taken]] = d * scale * v[taken]
+        left, attempt = left[~taken], attempt + 1
+    return out.reshape(len(keys), width)
+
+
+def start_vectors(mode, seed, keys, width):
+    """Starting values, one row per document or word: Gamma(100, 0.01) draws, or md5 values of equal mean and spread that any
+    engine can reproduce.  A row's values do not depend on the task that makes them."""
+    if mode != "hash":
+        return keyed_gamma(seed, keys, width)
+    half = 0.1 * math.sqrt(3.0)
+    digests = (hashlib.md5(f"{seed}:{key}:{k}".encode()).digest()[:4] for key in keys for k in range(width))
+    u = np.frombuffer(b"".join(digests), ">u4").astype(np.float64).reshape(len(keys), width) / 4294967296.0
+    return 1.0 + half * (2.0 * u - 1.0)
+
+
 def _documents(left):
     """The block's rows sorted by document and word, with the start of each document."""
     doc, word, freq = _ints(left, "doc_id"), _ints(left, "word_id"), _ints(left, "freq").astype(np.float64)
@@ -96,11 +132,31 @@ def _model_rows(right, column, width):
     return words[order], _matrix(right, column, width)[order]
 
 
+_CELLS_OF_A_PART = 200_000   # (word, topic) cells of the documents that a kernel takes at once: they fit in a cache
+
+
+def _parts(bounds, n_topics):
+    """Consecutive documents with a bounded number of cells together, at least one."""
+    d, n_docs = 0, len(bounds) - 1
+    while d < n_docs:
+        most = bounds[d] + max(1, _CELLS_OF_A_PART // n_topics)
+        to = max(d + 1, int(np.searchsorted(bounds, most, "right")) - 1)
+        yield d, to
+        d = to
+
+
 def vb_kernel(n_topics, alpha, topic_totals, seed, init, max_iter, tol, per_document=False):
-    """Variational E-step of every document of a block to convergence, with the model fixed."""
+    """Variational E-step of every document of a block to convergence, with the model fixed.
+
+    The words of some documents lie in one flat matrix, a row per (document, word); a step is a few operations on it and sums
+    over its runs.  Documents that have converged keep their values and leave the matrix when a quarter of its rows is theirs.
+    """
     alpha = np.asarray(alpha, dtype=np.float64)
     total_digamma = np_digamma(np.asarray(topic_totals, dtype=np.float64))
 
+    def mean_of(gamma):
+        return np_digamma(gamma) - np_digamma(gamma.sum(axis=1))[:, None]
+
     def run(left, right):
         docs, word, freq, bounds = _documents(left)
         words, lam = _model_rows(right, "params", n_topics)
@@ -108,37 +164,52 @@ def vb_kernel(n_topics, alpha, topic_totals, seed, init, max_iter, tol, per_docu
         top = elog.max(axis=1)
         weight = np.exp(elog - top[:, None])
         at = np.searchsorted(words, word)
-        n_docs = len(docs)
-        rows = [at[bounds[i]:bounds[i + 1]] for i in range(n_docs)]
-        freqs = [freq[bounds[i]:bounds[i + 1]] for i in range(n_docs)]
         gamma = start_vectors(init, seed, docs, n_topics)
         stats = np.zeros_like(weight)
-        active = np.arange(n_docs)
-        for step in range(max_iter):
-            mean = np_digamma(gamma[active]) - np_digamma(gamma[active].sum(axis=1))[:, None]
-            theta = np.exp(mean)
-            going = []
-            for i, d in enumerate(active):
-                b = weight[rows[d]]
-                ratio = freqs[d] / (b @ theta[i] + TINY)
-                new = alpha + theta[i] * (ratio @ b)
-                moved = np.abs(new - gamma[d]).sum() / n_topics
-                gamma[d] = new
-                if moved < tol or step == max_iter - 1:
-                    stats[rows[d]] += ratio[:, None] * b * theta[i]
-                else:
-                    going.append(d)
-            active = np.array(going, dtype=np.int64)
-            if not len(active):
-                break
-        mean = np_digamma(gamma) - np_digamma(gamma.sum(axis=1))[:, None]
-        scores = (((alpha - gamma) * mean).sum(axis=1) + (np_lgamma(gamma) - np_lgamma(alpha)).sum(axis=1)
-                  + np_lgamma(alpha.sum()) - np_lgamma(gamma.sum(axis=1)))
-        theta = np.exp(mean)
-        tokens = np.empty(n_docs)
-        for d in range(n_docs):
-            scores[d] += freqs[d] @ (np.log(weight[rows[d]] @ theta[d] + TINY) + top[rows[d]])
-            tokens[d] = freqs[d].sum()
+        scores, tokens = np.empty(len(docs)), np.add.reduceat(freq, bounds[:-1]) if len(docs) else np.zeros(0)
+        for d0, d1 in _parts(bounds, n_topics):
+            rows = slice(bounds[d0], bounds[d1])
+            own = at[rows]
+            every = weight[own]                            # a row per (document, word)
+            f_all, starts_all = freq[rows], bounds[d0:d1] - bounds[d0]
+            owner_all = np.repeat(np.arange(d1 - d0), np.diff(bounds[d0:d1 + 1]))
+            now = gamma[d0:d1]
+            last_theta, last_ratio = np.empty_like(now), np.empty(len(own))
+            active = np.arange(d1 - d0)                    # documents of the matrix, in order; some of them may be done
+            done = np.zeros(d1 - d0, bool)
+            b, f, starts, owner, places = every, f_all, starts_all, owner_all, np.arange(len(own))
+            for step in range(max_iter):
+                theta = np.exp(mean_of(now[active]))
+                ratio = f / (np.einsum("ij,ij->i", b, theta[owner]) + TINY)
+                new = alpha + theta * np.add.reduceat(b * ratio[:, None], starts, axis=0)
+                going = ~done[active]
+                moved = np.abs(new - now[active]).sum(axis=1) / n_topics
+                now[active[going]] = new[going]
+                ends = going & ((moved < tol) | (step == max_iter - 1))
+                if ends.any():
+                    last_theta[active[ends]] = theta[ends]
+                    of_ended = ends[owner]
+                    last_ratio[places[of_ended]] = ratio[of_ended]
+                    done[active[ends]] = True
+                    stays = ~done[active]
+                    if not stays.any():
+                        break
+                    if (kept := stays[owner]).mean() < 0.75:
+                        b, f, places = b[kept], f[kept], places[kept]
+                        sizes = np.bincount(owner[kept], minlength=len(active))[stays]
+                        active = active[stays]
+                        owner, starts = np.repeat(np.arange(len(active)), sizes), np.cumsum(sizes) - sizes
+            theta = np.exp(mean_of(now))
+            value = f_all * (np.log(np.einsum("ij,ij->i", every, theta[owner_all]) + TINY) + top[own])
+            scores[d0:d1] = np.add.reduceat(value, starts_all)
+            if not per_document:
+                by_word = np.argsort(own, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(own[by_word]) != 0))
+                cells = every * last_ratio[:, None] * last_theta[owner_all]
+                stats[own[by_word[first]]] += np.add.reduceat(cells[by_word], first, axis=0)
+        mean = mean_of(gamma)
+        scores += (((alpha - gamma) * mean).sum(axis=1) + (np_lgamma(gamma) - np_lgamma(alpha)).sum(axis=1)
+                   + np_lgamma(alpha.sum()) - np_lgamma(gamma.sum(axis=1)))
         if per_document:
             return _doc_table(docs, gamma, scores, tokens)
         return _word_table(words, stats, scores.sum(), tokens.sum())
@@ -180,10 +251,13 @@ def scvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, init, max_i
         n_steps = (max_iter + 1) * (int(lengths.max()) if len(lengths) else 0)
         rates = np.maximum(0.0, scale * (tau0 + np.arange(n_steps)) ** -kappa)
         whole = lengths[order].astype(np.int64)
+        first_row = bounds[:-1][order]
         for sweep in range(max_iter + 1):
             step = sweep * whole                                # each document counts its own steps
+            row = first_row.copy()                              # the row that the token at this place belongs to
             for place, n in enumerate(reach):
-                at = row_word[np.searchsorted(row_end, first[:n] + place, side="right") - 1]
+                row[:n] += row_end[row[:n] + 1] <= first[:n] + place
+                at = row_word[row[:n]]
                 now = theta[:n]
                 phi = (now + alpha) * weight[at]
                 phi /= phi.sum(axis=1, keepdims=True) + TINY
@@ -219,30 +293,6 @@ def _draw(prob, u):
     return np.minimum((cum < target[..., None]).sum(axis=-1), prob.shape[-1] - 1)
 
 
-_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)   # fixed values: the finaliser of splitmix64
-
-
-def _mixed(z):
-    for shift, factor in zip((30, 27), _MIX):
-        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
-    return z ^ (z >> np.uint64(31))
-
-
-def keyed_stream(*keys):
-    """One number for a few keys, as seed, sweep and local sweep."""
-    out = np.zeros(1, np.uint64)
-    for key in keys:
-        out = _mixed(out + np.uint64(0x9E3779B97F4A7C15) + np.asarray([int(key) & (2**64 - 1)], np.uint64))
-    return out
-
-
-def keyed_uniform(stream, docs, place):
-    """Draws from [0, 1) that depend on the stream, the document and the place of its token alone, not on the block."""
-    z = _mixed(stream + np.asarray(docs).astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    z = _mixed(z + np.uint64(int(place) * 0x9E3779B97F4A7C15 % 2**64))
-    return (z >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
-
-
 def gibbs_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, sweep, schedule, n_local=1):
     """Collapsed Gibbs sweeps over a block, on the block's own copy of the counts.
 
