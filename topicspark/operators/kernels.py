@@ -293,12 +293,91 @@ def _draw(prob, u):
     return np.minimum((cum < target[..., None]).sum(axis=-1), prob.shape[-1] - 1)
 
 
-def gibbs_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, sweep, schedule, n_local=1):
+def md5_uniform(seed, sweep, docs, place):
+    """The portable draws: any engine with md5 makes the same ones, at the price of a hash per token."""
+    digests = (hashlib.md5(f"{seed}:{sweep}:{d}:{place}".encode()).digest()[:4] for d in docs.tolist())
+    return np.frombuffer(b"".join(digests), ">u4").astype(np.float64) / 4294967296.0
+
+
+class TopicLists:
+    """The topics that each row (a document, a word) has held in this sweep; a topic that it has lost weighs nothing."""
+
+    def __init__(self, rows, topics, n_rows, n_topics, may_come):
+        """Distinct pairs to begin with, and the number of topics that may come to each row."""
+        self.n_topics, self.held = n_topics, np.zeros((n_rows, n_topics), bool)
+        self.held[rows, topics] = True
+        self.size = np.bincount(rows, minlength=n_rows)
+        room = np.minimum(n_topics, self.size + may_come)
+        self.start = np.cumsum(room) - room
+        self.items = np.zeros(int(room.sum()), np.int64)
+        order = np.argsort(rows, kind="stable")
+        self.items[_run_places(self.start, self.size)] = topics[order]
+
+    def add(self, rows, topics):
+        new = np.unique((rows * self.n_topics + topics)[~self.held[rows, topics]])
+        rows, topics = np.divmod(new, self.n_topics)
+        if len(rows):
+            first = np.searchsorted(rows, rows)               # the place of a row's first new topic among them
+            self.items[self.start[rows] + self.size[rows] + np.arange(len(rows)) - first] = topics
+            self.held[rows, topics] = True
+            np.add.at(self.size, rows, 1)
+
+    def of(self, rows):
+        """(number of the row, topic) for each topic of each row, and where each row's topics begin."""
+        sizes = self.size[rows]
+        return np.repeat(np.arange(len(rows)), sizes), self.items[_run_places(self.start[rows], sizes)], np.cumsum(sizes) - sizes
+
+
+def _run_places(starts, sizes):
+    """starts[i], starts[i] + 1, ... for each i, sizes[i] of them."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _chosen(cumulated, begin, sizes, target):
+    """In each run of a cumulated array, the place that `target`, counted from the run's begin, falls on."""
+    below = np.where(begin > 0, cumulated[np.maximum(begin, 1) - 1], 0.0)
+    return np.clip(np.searchsorted(cumulated, below + target, side="right"), begin, begin + sizes - 1)
+
+
+def sparse_draw(n_dk, n_kw, n_k, alpha, beta, vb, docs, words, doc_topics, word_topics, u):
+    """One topic for each (document, word) from (n_dk + alpha) (n_kw + beta) / (n_k + vb), in three parts.
+
+    n_dk (n_kw + beta) over the topics of the document, alpha n_kw over those of the word, alpha beta over all, each divided by
+    n_k + vb: a token costs its topics in use, and the sum over all topics is made once for all tokens of the call.
+    """
+    share = 1.0 / (n_k + vb)
+    of_d, topic_d, begin_d = doc_topics.of(docs)
+    in_doc = np.cumsum(n_dk[docs[of_d], topic_d] * (n_kw[words[of_d], topic_d] + beta) * share[topic_d])
+    of_w, topic_w, begin_w = word_topics.of(words)
+    in_word = np.cumsum(n_kw[words[of_w], topic_w] * alpha[topic_w] * share[topic_w])
+    smooth = np.cumsum(alpha * beta * share)
+
+    def sums(cumulated, begin, sizes):
+        padded = np.append(0.0, cumulated)
+        return padded[begin + sizes] - padded[begin]
+
+    size_d, size_w = doc_topics.size[docs], word_topics.size[words]
+    doc_sum, word_sum = sums(in_doc, begin_d, size_d), sums(in_word, begin_w, size_w)
+    at = u * (doc_sum + word_sum + smooth[-1])
+    out = np.minimum(np.searchsorted(smooth, at - doc_sum - word_sum, side="right"), len(smooth) - 1)
+    by_doc = np.flatnonzero(at < doc_sum)
+    out[by_doc] = topic_d[_chosen(in_doc, begin_d[by_doc], size_d[by_doc], at[by_doc])]
+    by_word = np.flatnonzero((at >= doc_sum) & (at < doc_sum + word_sum))
+    out[by_word] = topic_w[_chosen(in_word, begin_w[by_word], size_w[by_word], (at - doc_sum)[by_word])]
+    return out
+
+
+SPARSE_FROM = 64   # topics from which sparse draws pay; both draw from the same distribution
+
+
+def gibbs_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, sweep, schedule, n_local=1, portable=False,
+                 sparse_from=SPARSE_FROM):
     """Collapsed Gibbs sweeps over a block, on the block's own copy of the counts.
 
     `serial` visits the tokens one by one, which for a single block is the exact chain.  `lockstep` draws the j-th tokens
     of all documents of the block together: documents are distinct, so only word and topic totals can be out of date, and
-    only by the tokens of one such step.
+    only by the tokens of one such step.  `frozen` keeps the word counts and topic totals of the sweep's beginning, less the
+    token's own, and moves the document's counts token by token, so its result does not depend on the blocks at all.
     """
     alpha = np.asarray(alpha, dtype=np.float64)
     totals0 = np.asarray(topic_totals, dtype=np.float64)
@@ -320,7 +399,7 @@ def gibbs_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, sweep, sche
         vb = n_words * beta
         for local in range(n_local):
             def uniforms(docs, places, stream=keyed_stream(seed, sweep, local)):
-                return keyed_uniform(stream, docs, places)
+                return md5_uniform(seed, sweep, docs, places) if portable else keyed_uniform(stream, docs, places)
 
             if schedule == "serial":
                 for i in range(n_docs):
@@ -339,19 +418,36 @@ def gibbs_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, sweep, sche
                 first = offsets[:-1][long_first]
                 docs = n_dk[long_first]                         # longest first: a step works on the leading rows
                 rows, flat_docs, flat_words = np.arange(n_docs) * n_topics, docs.reshape(-1), n_kw.reshape(-1)
+                sparse = schedule == "lockstep" and n_topics >= sparse_from
+                if sparse:
+                    doc_topics = TopicLists(*np.nonzero(docs), n_docs, n_topics, lengths[long_first])
+                    word_topics = TopicLists(*np.nonzero(n_kw), len(n_kw), n_topics, np.bincount(token, minlength=len(n_kw)))
                 for place, n in enumerate(reach):
                     at = first[:n] + place
                     w, k = token[at], z[at]
-                    np.subtract.at(flat_words, w * n_topics + k, 1.0)
-                    n_k -= np.bincount(k, minlength=n_topics)
+                    u = uniforms(doc[long_first[:n]], place)
                     flat_docs[rows[:n] + k] -= 1.0
-                    prob = n_kw[w]
-                    prob += beta
-                    prob *= docs[:n] + alpha
-                    prob /= n_k + vb
-                    k = _draw(prob, uniforms(doc[long_first[:n]], place))
-                    np.add.at(flat_words, w * n_topics + k, 1.0)
-                    n_k += np.bincount(k, minlength=n_topics)
+                    if schedule == "frozen":
+                        mine = np.arange(n)
+                        prob, total = n_kw[w] + beta, np.tile(n_k + vb, (n, 1))
+                        prob[mine, k] -= 1.0
+                        total[mine, k] -= 1.0
+                        k = _draw(prob / total * (docs[:n] + alpha), u)
+                    else:
+                        np.subtract.at(flat_words, w * n_topics + k, 1.0)
+                        n_k -= np.bincount(k, minlength=n_topics)
+                        if sparse:
+                            k = sparse_draw(docs, n_kw, n_k, alpha, beta, vb, np.arange(n), w, doc_topics, word_topics, u)
+                            doc_topics.add(np.arange(n), k)
+                            word_topics.add(w, k)
+                        else:
+                            prob = n_kw[w]
+                            prob += beta
+                            prob *= docs[:n] + alpha
+                            prob /= n_k + vb
+                            k = _draw(prob, u)
+                        np.add.at(flat_words, w * n_topics + k, 1.0)
+                        n_k += np.bincount(k, minlength=n_topics)
                     flat_docs[rows[:n] + k] += 1.0
                     z[at] = k
                 n_dk[long_first] = docs

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from topicspark.functions.special import digamma, lgamma
+from topicspark.session import Scratch
 
 
 def topic_loglik(topic_word: DataFrame, n_words: int, beta: float) -> DataFrame:
@@ -41,6 +42,57 @@ def total_loglik(topic_word: DataFrame, doc_topic: DataFrame, n_words: int, alph
     return parts.agg(F.sum("loglik").alias("loglik"))
 
 
+def counts_of_counts(cells: DataFrame, scratch: Scratch, name: str, whole: str) -> tuple[DataFrame, DataFrame]:
+    """What the steps need of a count table: `(topic, n, times)`, how many cells of a topic hold n, and `(n, times)`, how many
+    of the `whole`s (documents, topics) hold n in all.  A corpus of N tokens has at most about sqrt(2 N) different counts for a
+    topic, so any number of steps reads two small tables."""
+    of_cells = cells.groupBy("topic", "n").agg(F.count(F.lit(1)).alias("times"))
+    of_sums = cells.groupBy(whole).agg(F.sum("n").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("times"))
+    return scratch.save(of_cells, f"{name}_cells"), scratch.save(of_sums, f"{name}_sums")
+
+
+def _fixed_point(step, start, n_steps: int, tol: float):
+    """Steps until the largest relative change is below `tol`, at most `n_steps`."""
+    now = start
+    for _ in range(n_steps):
+        before, now = now, step(now)
+        if min(now) <= 0:
+            raise ValueError("a Dirichlet parameter is no longer positive")
+        if max(abs(a - b) / b for a, b in zip(now, before)) < tol:
+            break
+    return now
+
+
+def alpha_steps(doc_topic: DataFrame, alpha: list[float], n_steps: int, scratch: Scratch, tol: float = 0.0) -> list[float]:
+    """Alpha after up to `n_steps` fixed-point steps, from one pass over the document-topic counts.
+
+    A topic without tokens has a parameter of 0 after one step, which is no longer positive.
+    """
+    cells, sums = counts_of_counts(doc_topic, scratch, "alpha", "doc_id")
+
+    def step(now):
+        a, total = _alpha_of_topic(now), F.lit(float(sum(now)))
+        num = cells.groupBy("topic").agg(F.sum(F.col("times") * (digamma(F.col("n") + a) - digamma(a))).alias("num")).collect()
+        den = sums.agg(F.sum(F.col("times") * (digamma(F.col("n") + total) - digamma(total)))).first()[0]
+        found = {r["topic"]: r["num"] for r in num}                                     # one row per topic
+        return [x * found.get(k, 0.0) / den for k, x in enumerate(now)]
+
+    return _fixed_point(step, [float(a) for a in alpha], n_steps, tol)
+
+
+def beta_steps(topic_word: DataFrame, n_words: int, beta: float, n_steps: int, scratch: Scratch, tol: float = 0.0) -> float:
+    """Beta after up to `n_steps` fixed-point steps, from one pass over the topic-word counts."""
+    cells, sums = counts_of_counts(topic_word, scratch, "beta", "topic")
+
+    def step(now):
+        b, vb = F.lit(now[0]), F.lit(n_words * now[0])
+        num = cells.agg(F.sum(F.col("times") * (digamma(F.col("n") + b) - digamma(b)))).first()[0]
+        den = sums.agg(F.sum(F.col("times") * (digamma(F.col("n") + vb) - digamma(vb)))).first()[0]
+        return [now[0] * num / (n_words * den)]
+
+    return _fixed_point(step, [float(beta)], n_steps, tol)[0]
+
+
 def alpha_step(doc_topic: DataFrame, alpha: list[float]) -> DataFrame:
     """`(topic, alpha)` after one fixed-point step, the sum of alpha held at its old value during the step."""
     n_topics, total = len(alpha), F.lit(float(sum(alpha)))

@@ -11,6 +11,7 @@ from topicspark.operators.kernels import gibbs_kernel
 from topicspark.plans.minibatch import alpha_vector, metrics_frame
 from topicspark.session import Scratch
 
+_TOL = 1e-6
 STATE_SCHEMA = "block int, doc_id long, words array<int>, topics array<int>"
 
 
@@ -23,10 +24,12 @@ class Gibbs:
     seed: int = 1
     init: str = "random"                 # "hash": first topics by md5, reproducible in other engines
     n_blocks: int | None = None          # None: as many as the corpus size asks for; 1: the exact serial chain
-    schedule: str = "lockstep"           # inside a block: "serial", token by token, or "lockstep", document-parallel
+    schedule: str = "lockstep"           # inside a block: "serial", token by token, or "lockstep", document-parallel; or
+                                         # "frozen": word counts stay as they were before the sweep, whatever the blocks
     sweeps_per_merge: int = 1
     optimise_from: int = 100             # hyper-parameter steps from this sweep on ...
     optimise_every: int = 10             # ... at multiples of this
+    optimise_steps: int = 1              # fixed-point steps when due, fewer once alpha and beta move by less than a millionth
     metrics_every: int = 1
     tokens_per_block: int | None = None
 
@@ -71,7 +74,8 @@ def _sparse_rows(topic_word: DataFrame) -> DataFrame:
 def sweep(state: DataFrame, topic_word: DataFrame, words_of_blocks: DataFrame, totals: list[float], n_words: int,
           alpha: list, beta: float, t: int, n_blocks: int, cfg: Gibbs) -> DataFrame:
     """One merge period: every block samples its tokens on its own copy of the counts."""
-    kernel = gibbs_kernel(cfg.n_topics, alpha, beta, n_words, totals, cfg.seed, t, cfg.schedule, cfg.sweeps_per_merge)
+    kernel = gibbs_kernel(cfg.n_topics, alpha, beta, n_words, totals, cfg.seed, t, cfg.schedule, cfg.sweeps_per_merge,
+                          portable=cfg.schedule == "frozen" and cfg.init == "hash")
     params = blocks.pull(words_of_blocks, _sparse_rows(topic_word))
     return blocks.run_blocks(state, params, n_blocks, kernel, STATE_SCHEMA)
 
@@ -103,11 +107,8 @@ def fit(bow: DataFrame, n_words: int, cfg: Gibbs, scratch: Scratch | None = None
             value = likelihood.total_loglik(topic_word, doc_topic, n_words, alpha, beta).first()["loglik"]
             history.append((t, "loglik", value))
         if due:
-            steps = likelihood.alpha_step(doc_topic, alpha).collect()            # one row per topic
-            alpha = [r["alpha"] for r in sorted(steps, key=lambda r: r["topic"])]
-            beta = likelihood.beta_step(topic_word, n_words, beta).first()["beta"]
-            if min(alpha) < 0 or beta < 0:
-                raise ValueError("a Dirichlet parameter became negative")
+            alpha = likelihood.alpha_steps(doc_topic, alpha, cfg.optimise_steps, scratch, _TOL)
+            beta = likelihood.beta_steps(topic_word, n_words, beta, cfg.optimise_steps, scratch, _TOL)
     if cfg.n_sweeps:
         scratch.drop(f"state/{cfg.n_sweeps - 1}")
         scratch.drop(f"topic_word/{cfg.n_sweeps - 1}")

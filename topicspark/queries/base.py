@@ -88,8 +88,8 @@ dig = digamma_sql
 
 # Common table expressions over the raw text.
 TOKENS = ("tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM documents)")
-COUNTS = TOKENS + ", cnt AS (SELECT doc_id, term, CAST(count(*) AS INTEGER) AS freq FROM tok GROUP BY doc_id, term)"
-VOCAB = COUNTS + (", vocab AS (SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS word_id, term, df "
+COUNTS = TOKENS + ", cnt AS MATERIALIZED (SELECT doc_id, term, CAST(count(*) AS INTEGER) AS freq FROM tok GROUP BY doc_id, term)"
+VOCAB = COUNTS + (", vocab AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS word_id, term, df "
                   "FROM (SELECT term, count(*) AS df FROM cnt GROUP BY term))")
 BOW = VOCAB + ", bow AS (SELECT c.doc_id, v.word_id, c.freq FROM cnt c JOIN vocab v USING (term))"
 # one row per token with its uniform topic

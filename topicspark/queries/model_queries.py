@@ -196,6 +196,47 @@ def beta_step(spark, d):
     return likelihood.beta_step(tw, vocabulary_size(spark, d), _B).withColumn("beta", rounded("beta", 9))
 
 
+_N_STEPS = 5
+
+
+def _alpha_steps_sql() -> str:
+    """Wide rows al0 .. al5, each from the counts of counts."""
+    out = (", dl AS (SELECT doc_id, sum(n) AS n FROM dt GROUP BY doc_id), hd AS MATERIALIZED (SELECT n, count(*) AS times FROM dl GROUP BY n), "
+           "hc AS MATERIALIZED (SELECT topic, n, count(*) AS times FROM dt GROUP BY topic, n), "
+           "al0 AS (SELECT " + ", ".join(f"{a}e0 AS a{k}" for k, a in enumerate(_ALPHA)) + ")")
+    total = " + ".join(f"a{k}" for k in range(K))
+    for i in range(_N_STEPS):
+        num = ", ".join(f"(SELECT sum(times * ({dig(f'n + a{k}')} - {dig(f'a{k}')})) FROM hc, al{i} WHERE topic = {k}) AS num{k}" for k in range(K))
+        out += (f", q{i} AS MATERIALIZED (SELECT {num}, (SELECT sum(times * ({dig(f'n + {total}')} - {dig(f'({total})')})) FROM hd, al{i}) AS den), "
+                f"al{i + 1} AS MATERIALIZED (SELECT " + ", ".join(f"a{k} * num{k} / den AS a{k}" for k in range(K)) + f" FROM al{i}, q{i})")
+    return out
+
+
+@query("alpha_steps", f"WITH {DT}{_alpha_steps_sql()} " + " UNION ALL ".join(
+    f"SELECT CAST({k} AS INTEGER) AS topic, {r_sql(f'a{k}', 8)} AS alpha FROM al{_N_STEPS}" for k in range(K)))
+def alpha_steps(spark, d):
+    """Five fixed-point steps from one pass over the counts."""
+    alpha = likelihood.alpha_steps(counts.doc_topic_counts(_assigned(spark, d)), _ALPHA, _N_STEPS, Scratch(spark, "alpha-steps"))
+    return spark.createDataFrame(list(enumerate(alpha)), "topic int, alpha double").withColumn("alpha", rounded("alpha", 8))
+
+
+def _beta_steps_sql() -> str:
+    out = (", tz AS (SELECT topic, sum(n) AS n FROM tw GROUP BY topic), hc AS MATERIALIZED (SELECT n, count(*) AS times FROM tw GROUP BY n), "
+           f"v AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS v FROM vocab), b0 AS (SELECT {_B}e0 AS b)")
+    for i in range(_N_STEPS):
+        out += (f", s{i} AS MATERIALIZED (SELECT (SELECT sum(times * ({dig('n + b')} - {dig('b')})) FROM hc, b{i}) AS num, "
+                f"(SELECT sum({dig('n + v * b')} - {dig('(v * b)')}) FROM tz, v, b{i}) AS den), "
+                f"b{i + 1} AS MATERIALIZED (SELECT b * num / (v * den) AS b FROM b{i}, s{i}, v)")
+    return out
+
+
+@query("beta_steps", f"WITH {TW}{_beta_steps_sql()} SELECT {r_sql('b', 9)} AS beta FROM b{_N_STEPS}")
+def beta_steps(spark, d):
+    tw = counts.topic_word_counts(_assigned(spark, d))
+    beta = likelihood.beta_steps(tw, vocabulary_size(spark, d), _B, _N_STEPS, Scratch(spark, "beta-steps"))
+    return spark.createDataFrame([(beta,)], "beta double").withColumn("beta", rounded("beta", 9))
+
+
 # -- starting values and joins -----------------------------------------------------------------------------------------
 
 _WORD_PARAMS = ", lam AS (SELECT word_id, " + ", ".join(
@@ -691,10 +732,58 @@ def adlda_doc_invariants(spark, d):
     return fit.doc_topic.groupBy("doc_id").agg(F.sum("n").alias("n"))
 
 
-@query("gibbs_fit")
+def _frozen_sweep_sql(t: int, source: str, out: str) -> str:
+    """One sweep over the tokens `source(doc_id, word_id, occ, topic)`: word counts as they are before it, the counts of a
+    document folded over its tokens in order.  An element holds a token's word weights, old topic and draw; the accumulator the
+    document's counts and the list of new topics."""
+    n, names = range(K), "abcdefgh"[:K]
+    own = [f"CASE WHEN topic = {k} THEN 1 ELSE 0 END" for k in n]
+    weight = [f"(w{k} - {own[k]} + b) / (z{k} - {own[k]} + v * b)" for k in n]
+    left = [f"(acc.{x} - CASE WHEN tok.o = {k} THEN 1 ELSE 0 END)" for k, x in enumerate(names)]
+    raw = [f"({left[k]} + {_A}e0) * tok.{x}" for k, x in enumerate(names)]
+    cum = [" + ".join(raw[:k + 1]) for k in n]
+    new = "(" + " + ".join(f"CASE WHEN {c} < tok.u * ({cum[-1]}) THEN 1 ELSE 0 END" for c in cum[:-1]) + ")"
+    step = ", ".join(f"{x} := {left[k]} + CASE WHEN {new} = {k} THEN 1e0 ELSE 0e0 END" for k, x in enumerate(names))
+    rest = "o := CAST(0 AS INTEGER), u := 0e0"
+    return (f", kw{t} AS (SELECT word_id, {', '.join(f'count(*) FILTER (WHERE topic = {k}) AS w{k}' for k in n)} FROM {source} GROUP BY word_id), "
+            f"kz{t} AS MATERIALIZED (SELECT {', '.join(f'sum(w{k}) AS z{k}' for k in n)} FROM kw{t}), "
+            f"kd{t} AS (SELECT doc_id, {', '.join(f'CAST(count(*) FILTER (WHERE topic = {k}) AS DOUBLE) AS d{k}' for k in n)} FROM {source} GROUP BY doc_id), "
+            f"kt{t} AS MATERIALIZED (SELECT doc_id, word_id, occ, topic, row_number() OVER (PARTITION BY doc_id ORDER BY word_id, occ) - 1 AS j "
+            f"FROM {source}), ke{t} AS (SELECT doc_id, list(struct_pack({', '.join(f'{x} := {weight[k]}' for k, x in enumerate(names))}, "
+            f"o := topic, u := {u_sql(SEED, str(t), 'doc_id', 'j')}, p := CAST([] AS INTEGER[])) ORDER BY j) AS toks "
+            f"FROM kt{t} JOIN kw{t} USING (word_id), kz{t}, {_HYPER} GROUP BY doc_id), "
+            f"kf{t} AS MATERIALIZED (SELECT doc_id, list_reduce(toks, lambda acc, tok: struct_pack({step}, {rest}, p := list_append(acc.p, {new})), "
+            f"struct_pack({', '.join(f'{x} := d{k}' for k, x in enumerate(names))}, {rest}, p := CAST([] AS INTEGER[]))) AS f "
+            f"FROM ke{t} JOIN kd{t} USING (doc_id)), "
+            f"{out} AS MATERIALIZED (SELECT doc_id, word_id, occ, f.p[j + 1] AS topic FROM kf{t} JOIN kt{t} USING (doc_id))")
+
+
+_HYPER = f"(SELECT {_B}e0 AS b, CAST((SELECT count(*) FROM vocab) AS DOUBLE) AS v)"
+_FROZEN = (ASSIGNED.replace(", assigned AS (", ", assigned AS MATERIALIZED (") + _frozen_sweep_sql(1, "assigned", "after1")
+           + _frozen_sweep_sql(2, "after1", "after2"))
+
+
+@query("gibbs_fit", f"WITH {_FROZEN} SELECT topic, word_id, count(*) AS n FROM after2 GROUP BY topic, word_id")
 def gibbs_fit(spark, d):
-    fit = _gibbs(spark, d, n_sweeps=3, optimise_from=2, optimise_every=2)
-    return ranking.top_terms(fit.topic_word.withColumnRenamed("n", "value"), corpus(spark, d).vocab, 100)
+    """Topic-word counts after two sweeps with the word counts frozen in each, by portable draws."""
+    fit = _gibbs(spark, d, n_sweeps=2, init="hash", schedule="frozen", metrics_every=99)
+    return fit.topic_word.select("topic", "word_id", "n")
+
+
+@query("adlda_docs", f"WITH {_FROZEN} SELECT doc_id, topic, count(*) AS n FROM after2 GROUP BY doc_id, topic")
+def adlda_docs(spark, d):
+    """Document-topic counts of the same sweeps in five blocks, merged after each."""
+    fit = _gibbs(spark, d, n_sweeps=2, init="hash", schedule="frozen", metrics_every=99, n_blocks=5)
+    return fit.doc_topic.select("doc_id", "topic", "n")
+
+
+@query("gibbs_top_words", f"WITH {_FROZEN}, tw AS (SELECT topic, word_id, count(*) AS n FROM after2 GROUP BY topic, word_id), ranked AS ("
+       "SELECT topic, word_id, n, row_number() OVER (PARTITION BY topic ORDER BY n DESC, word_id) AS rank FROM tw) "
+       "SELECT topic, CAST(rank AS INTEGER) AS rank, word_id, term, n FROM ranked JOIN vocab USING (word_id) WHERE rank <= 100")
+def gibbs_top_words(spark, d):
+    fit = _gibbs(spark, d, n_sweeps=2, init="hash", schedule="frozen", metrics_every=99)
+    top = ranking.top_terms(fit.topic_word.withColumnRenamed("n", "value"), corpus(spark, d).vocab, 100)
+    return top.withColumnRenamed("value", "n")
 
 
 @query("cvb0_block_fit", f"WITH {BOW} SELECT word_id, count(*) AS n FROM bow GROUP BY word_id")
