@@ -295,3 +295,62 @@ def test_more_topics_than_are_spelled_out(spark, scratch):
     assert start_model(spark.range(3).withColumnRenamed("id", "word_id"), 70, 1, "hash").count() == 3
     g = gibbs.fit(bow, 6, gibbs.Gibbs(70, n_sweeps=1))
     assert infer.counted_doc_topics(g.doc_topic, 70).count() == 4
+
+
+def test_repeated_and_missing_ids_are_one_document_each(spark, scratch):
+    rows = [(1, "a b a"), (1, "b c"), (2, None), (3, ""), (None, "a d"), (None, "d"), (4, "12 34")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    c = raw.corpus_from_text(docs, scratch=scratch)
+    terms = {r["word_id"]: r["term"] for r in c.vocab.collect()}
+    got = sorted(((r["doc_id"], terms[r["word_id"]], r["freq"]) for r in c.bow.collect()), key=repr)
+    assert got == sorted([(1, "a", 2), (1, "b", 2), (1, "c", 1), (None, "a", 1), (None, "d", 2)], key=repr)
+    assert {r["term"]: r["df"] for r in c.vocab.collect()} == {"a": 2, "b": 1, "c": 1, "d": 1}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("topicspark_")]
+    empty = raw.corpus_from_text(docs.limit(0), scratch=Scratch(spark))
+    assert empty.vocab.count() == 0 and empty.bow.count() == 0
+
+
+def exchanged(df):
+    """The columns of every exchange of a plan."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+
+
+def test_packed_rows_stay_in_their_blocks(spark, scratch, monkeypatch):
+    monkeypatch.setattr(raw, "TERMS_PER_BLOCK", 40)
+    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + (i * j) % 26)}" for j in range(20))) for i in range(300)], "doc_id long, text string")
+    packed, tables = raw.counted(docs, scratch)
+    vocab = scratch.save(raw.build_vocabulary(packed, scratch), "v")
+    bow = raw.encode(packed, vocab, tables)
+    plan = bow._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and not any("terms" in line or "doc_id" in line for line in exchanged(bow))
+    want = {(i, f"w{chr(97 + (i * j) % 26)}") for i in range(300) for j in range(20)}
+    terms = {r["word_id"]: r["term"] for r in vocab.collect()}
+    assert {(r["doc_id"], terms[r["word_id"]]) for r in bow.collect()} == want
+
+
+def test_estimate_splits_the_first_documents_only(spark):
+    from topicspark.operators.corpus import tokens_estimate_from_text
+    docs = spark.createDataFrame([(i * 3, "x " * (i % 7) if i % 5 else None) for i in range(1000)], "doc_id long, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def words(text):
+        def count(t):
+            seen.add(1)
+            return len((t or "").split())
+        return F.udf(count, "int")(text)
+
+    got = tokens_estimate_from_text(docs, words).first()["n_tokens"]
+    assert seen.value == 100 and abs(got - 1000 * sum(i % 7 if i % 5 else 0 for i in range(100)) / 100) < 1e-9
+    assert abs(tokens_estimate_from_text(docs, raw.n_words_of).first()["n_tokens"] - got) < 1e-9
+    assert tokens_estimate_from_text(docs.limit(0), raw.n_words_of).first()["n_tokens"] is None
+
+
+def test_a_step_reads_only_its_files(spark, scratch):
+    from topicspark.plans.minibatch import prepare_batches
+    bow = spark.createDataFrame([(i, i % 5, 1) for i in range(40)], "doc_id long, word_id int, freq int")
+    b = prepare_batches(bow, 5, 8, scratch)
+    for part in (b.docs, b.bow):
+        here = part.where("batch_id = 2")
+        files = here.select(F.input_file_name()).distinct().collect()
+        assert files and all("batch_id=2" in r[0] for r in files) and here.count() == 8
+        assert "PartitionFilters: [isnotnull(batch_id" in here._jdf.queryExecution().executedPlan().toString()

@@ -199,6 +199,22 @@ def test_cvb0_block_with_frequencies_and_many_blocks(spark):
     assert abs(total - sum(len(w) for w in docs.values())) < 1e-9
 
 
+def test_cvb0_sweep_moves_no_responsibilities(spark, scratch):
+    from topicspark.operators import blocks
+    cfg = cvb0.CVB0(3, init="hash")
+    tables = blocks.BlockTables(scratch, 4)
+    state = cvb0.start_state(frame(spark, loops.planted(30)), cfg, tables)
+    assert len(state.select("block").distinct().collect()) == 4
+    in_blocks = scratch.save(cvb0.words_of_blocks(state), "w")
+    by_word = scratch.save(cvb0.word_sums(state, 3), "b")
+    after = cvb0.sweep(state, in_blocks, by_word, parameter_totals(by_word, 3), 100, cfg, tables)
+    plan = after._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert any("Bucketed: true" in line for line in plan)
+    assert not any("Exchange" in line and ("doc_id" in line or "phi" in line) for line in plan)
+    sums = cvb0.word_sums(tables.save(after, "phi/1"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "phi:" not in sums                      # the scan reads the sums of the blocks alone
+
+
 def test_cvb0_likelihood_rises(spark):
     fit = cvb0.fit(frame(spark, loops.planted(60)), 100, cvb0.CVB0(5, n_sweeps=6, schedule="block", n_blocks=4))
     values = [v for _, _, v in fit.history]
@@ -225,6 +241,26 @@ def test_gibbs_one_block_equals_serial_chain(spark):
         assert got[d][1] == z[d]
 
 
+def test_frozen_gibbs_does_not_depend_on_blocks(spark):
+    docs = loops.planted(25)
+    got = []
+    for n_blocks, init in ((1, "random"), (4, "random"), (1, "hash"), (4, "hash")):
+        cfg = gibbs.Gibbs(4, n_sweeps=2, seed=3, n_blocks=n_blocks, schedule="frozen", init=init)
+        got.append(sorted((r["doc_id"], r["words"], r["topics"]) for r in gibbs.fit(frame(spark, docs), 100, cfg).state.collect()))
+    assert got[0] == got[1] and got[2] == got[3] and got[0] != got[2]
+
+
+def test_parameter_steps_reach_a_fixed_point(spark, scratch):
+    assigned = counts.assign_uniform(frame(spark, loops.planted(15)), 3, 4)
+    tw, dt = counts.topic_word_counts(assigned), counts.doc_topic_counts(assigned)
+    alpha, beta = [0.1, 0.2, 0.3], 0.05
+    for _ in range(3):
+        alpha = [r["alpha"] for r in sorted(likelihood.alpha_step(dt, alpha).collect(), key=lambda r: r["topic"])]
+        beta = likelihood.beta_step(tw, 100, beta).first()["beta"]
+    np.testing.assert_allclose(likelihood.alpha_steps(dt, [0.1, 0.2, 0.3], 3, scratch), alpha, rtol=1e-9)
+    np.testing.assert_allclose(likelihood.beta_steps(tw, 100, 0.05, 3, scratch), beta, rtol=1e-9)
+
+
 @pytest.mark.parametrize("schedule", ["serial", "lockstep"])
 def test_gibbs_blocks_keep_totals(spark, schedule):
     docs = loops.planted(40)

@@ -57,18 +57,24 @@ class BlockTables:
     """Tables that stay clustered by block from one iteration to the next.
 
     They are written as `n_buckets` buckets of `block`, so a kernel reads its block where it lies and only the parameter
-    rows of the other side are shuffled.  Block numbers are chosen to hash to buckets of their own, as far as there are
-    that many; the list of numbers is no longer than `MAX_BUCKETS`.
+    rows of the other side are shuffled.  `place` chooses block numbers that hash to buckets of their own, as far as there
+    are that many; the list of numbers is no longer than `MAX_BUCKETS`.
     """
 
     def __init__(self, scratch: Scratch, n_blocks: int):
         self.scratch, self.n_blocks = scratch, n_blocks
         self.n_buckets = min(n_blocks, MAX_BUCKETS)
         self._names: dict[str, str] = {}
-        number = F.col("id").cast("int")
-        bucket = F.pmod(F.hash(number), F.lit(self.n_buckets)).cast("int")
-        spread = scratch.spark.range(32 * self.n_buckets).groupBy(bucket.alias("_bucket")).agg(F.min(number).alias("_number"))
-        self._numbers = scratch.save(spread.coalesce(1), "block_numbers")
+        self._numbers: DataFrame | None = None
+
+    def _block_numbers(self) -> DataFrame:
+        """`(_bucket, _number)`: a number that hashes to each bucket."""
+        if self._numbers is None:
+            number = F.col("id").cast("int")
+            bucket = F.pmod(F.hash(number), F.lit(self.n_buckets)).cast("int")
+            spread = self.scratch.spark.range(32 * self.n_buckets).groupBy(bucket.alias("_bucket")).agg(F.min(number).alias("_number"))
+            self._numbers = self.scratch.save(spread.coalesce(1), "block_numbers")
+        return self._numbers
 
     def place(self, rows: DataFrame) -> DataFrame:
         """`rows(doc_id, ...)` with `block`, whole blocks in the partitions that their buckets will have."""
@@ -76,7 +82,7 @@ class BlockTables:
         if self.n_blocks > self.n_buckets:
             numbered = rows.withColumn("block", near.cast("int"))
         else:
-            numbered = (rows.withColumn("_bucket", near.cast("int")).join(F.broadcast(self._numbers), "_bucket", "left")
+            numbered = (rows.withColumn("_bucket", near.cast("int")).join(F.broadcast(self._block_numbers()), "_bucket", "left")
                         .withColumn("block", F.coalesce("_number", -1 - F.col("_bucket"))).drop("_bucket", "_number"))
         return numbered.repartition(self.n_buckets, "block")
 
@@ -91,6 +97,10 @@ class BlockTables:
         self.scratch.spark.sql(f"DROP TABLE IF EXISTS {self._names.pop(name)}")
         self.scratch.drop(name)
 
+    def drop_all(self) -> None:
+        for name in list(self._names):
+            self.drop(name)
+
     def release(self, name: str) -> DataFrame:
         """The table as plain files, without an entry in the catalog."""
         schema = self.scratch.spark.table(self._names[name]).schema

@@ -53,6 +53,15 @@ def corpus_tokens_estimate(lengths: DataFrame, first: int = 100) -> DataFrame:
     return lengths.agg((F.avg(sampled) * F.count(F.lit(1))).alias("n_tokens"))
 
 
+def tokens_estimate_from_text(docs: DataFrame, n_words, first: int = 100, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same estimate from raw documents of unique ids: the first ones are found by their ids, and only their texts are split;
+    the filter on the id is pushed to the scan.  `n_words` gives the number of words of a text column."""
+    ids = docs.select(doc_col).orderBy(doc_col).limit(first)
+    last = ids.agg(F.max(doc_col).alias("last")).first()["last"]          # one id
+    sample = docs.where(F.col(doc_col) <= F.lit(last)).select(n_words(F.col(text_col)).alias("n"))
+    return sample.agg((F.avg("n") * F.lit(docs.count())).alias("n_tokens"))
+
+
 def minibatch_of(doc_pos: Column, batch_size: int) -> Column:
     return F.floor(doc_pos / F.lit(batch_size)).cast("int")
 

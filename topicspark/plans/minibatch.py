@@ -14,13 +14,13 @@ from topicspark.operators.counts import left_statistics, long_form
 from topicspark.operators.kernels import SUMMARY, gamma_rows
 from topicspark.session import Scratch
 
-_FILES_PER_BATCH = 32
+_ROWS_PER_FILE = 1_000_000
 
 
 @dataclass
 class Batches:
-    """`docs(doc_id, doc_pos, batch_id, n_tokens, n_terms)` and `bow(doc_id, word_id, freq, batch_id)`, the latter
-    partitioned by `batch_id` so that a training step scans one partition."""
+    """`docs(doc_id, doc_pos, n_tokens, n_terms, batch_id)` and `bow(doc_id, word_id, freq, batch_id)`, both partitioned by
+    `batch_id` so that a training step scans its own files only."""
 
     docs: DataFrame
     bow: DataFrame
@@ -43,12 +43,13 @@ def prepare_batches(bow: DataFrame, n_words: int, batch_size: int, scratch: Scra
         lengths = (docs.select("doc_id").join(lengths, "doc_id", "left")
                    .select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
                            F.coalesce("n_terms", F.lit(0)).alias("n_terms")))
-    placed = scratch.save(minibatches(with_position(lengths, scratch), batch_size), "docs")
+    placed = scratch.save(minibatches(with_position(lengths, scratch), batch_size), "docs", ["batch_id"])
+    size = placed.agg(F.count(F.lit(1)).alias("d"), F.sum("n_tokens").alias("c"), F.sum("n_terms").alias("rows"),
+                      F.max("batch_id").alias("b")).first()
     tagged = bow.select("doc_id", "word_id", "freq").join(placed.select("doc_id", "batch_id"), "doc_id")
-    spread = tagged.repartition(F.col("batch_id"), F.pmod(F.xxhash64("doc_id", "word_id"), F.lit(_FILES_PER_BATCH)))
+    files = max(1, (size["rows"] or 0) // (((size["b"] or 0) + 1) * _ROWS_PER_FILE))
+    spread = tagged.repartition(F.col("batch_id"), F.pmod(F.xxhash64("doc_id"), F.lit(files)))
     stored = scratch.save(spread, "bow_by_batch", ["batch_id"])
-    size = placed.agg(F.count(F.lit(1)).alias("d"), F.sum("n_tokens").alias("c"),
-                      F.max("batch_id").alias("b")).first()
     return Batches(placed, stored, size["d"], size["c"] or 0, (size["b"] or 0) + 1, n_words, scratch)
 
 

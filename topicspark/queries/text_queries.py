@@ -12,24 +12,27 @@ from topicspark.queries.base import (ASSIGNED, BOW, COUNTS, K, POSITIONS, SEED,
 from topicspark.functions.random import uniform_topic
 from topicspark.session import Scratch
 from topicspark.sources import text
-from topicspark.sources.raw import build_vocabulary, encode, term_array, term_counts
+from topicspark.sources.raw import build_vocabulary, counted, encode, n_words_of, term_array
 
 
 @query("bow", f"WITH {BOW} SELECT doc_id, word_id, freq FROM bow")
 def bow(spark, d):
-    counts = term_counts(table(spark, d, "documents"))
-    return encode(counts, build_vocabulary(counts, Scratch(spark, "vocab")))
+    scratch = Scratch(spark, "bow")
+    packed, tables = counted(table(spark, d, "documents"), scratch)
+    return encode(packed, scratch.save(build_vocabulary(packed, scratch), "vocab"), tables)
 
 
 @query("vocab", f"WITH {VOCAB} SELECT word_id, term, df FROM vocab")
 def vocab(spark, d):
-    return build_vocabulary(term_counts(table(spark, d, "documents")), Scratch(spark, "vocab"))
+    scratch = Scratch(spark, "vocab")
+    return build_vocabulary(counted(table(spark, d, "documents"), scratch)[0], scratch)
 
 
 @query("vocab_min_df", f"WITH {COUNTS}, t AS (SELECT term, count(*) AS df FROM cnt GROUP BY term HAVING count(*) >= 5) "
                        "SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS word_id, term, df FROM t")
 def vocab_min_df(spark, d):
-    return build_vocabulary(term_counts(table(spark, d, "documents")), Scratch(spark, "vocab"), min_df=5)
+    scratch = Scratch(spark, "vocab")
+    return build_vocabulary(counted(table(spark, d, "documents"), scratch)[0], scratch, min_df=5)
 
 
 @query("doc_lengths", f"WITH {TOKENS} SELECT doc_id, count(term) AS n_tokens FROM documents LEFT JOIN tok USING (doc_id) GROUP BY doc_id")
@@ -65,7 +68,7 @@ _LENGTHS = (f"{TOKENS}, {POSITIONS}, len AS (SELECT p.doc_pos, p.doc_id, coalesc
        f"WITH {_LENGTHS} SELECT {r_sql('avg(CASE WHEN doc_pos < 100 THEN n_tokens END) * count(*)', 4)} AS n_tokens FROM len")
 def corpus_words_est(spark, d):
     """The sample of the first documents is the operator itself; D is counted over all."""
-    return ops.corpus_tokens_estimate(_placed_lengths(spark, d)).select(rounded("n_tokens", 4).alias("n_tokens"))
+    return ops.tokens_estimate_from_text(table(spark, d, "documents"), n_words_of).select(rounded("n_tokens", 4).alias("n_tokens"))
 
 
 @query("doc_count", "SELECT count(*) AS n_docs FROM documents")

@@ -1,13 +1,27 @@
-"""Vocabulary and bag-of-words tables from raw text."""
+"""Vocabulary and bag-of-words tables from raw text.
+
+Terms are counted inside the row of their document and stay there: a packed row holds a document's distinct terms and their
+counts, and rows lie in blocks of bounded size, numbered by the task that counted them.  What is shuffled is distinct terms only:
+once per map task for the vocabulary, and once per block to fetch their numbers.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from topicspark.operators.blocks import BlockTables
 from topicspark.operators.indexing import dense_index
 from topicspark.session import Scratch, local_parallelism
 
 WORD_PATTERN = r"(\p{L}+)"
+TERMS_PER_BLOCK = 250_000      # (document, term) pairs; a document is never cut
+_TASK_BITS = 32
 
 
 def term_array(text: Column) -> Column:
@@ -15,28 +29,71 @@ def term_array(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(1))
 
 
-def term_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`(doc_id, term, freq)`: occurrences of each term in each document."""
-    return (docs.select(F.col(doc_col).alias("doc_id"), F.explode(term_array(F.col(text_col))).alias("term"))
-            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("freq")))
-
-
-def build_vocabulary(counts: DataFrame, scratch: Scratch, min_df: int = 1) -> DataFrame:
+def n_words_of(text: Column) -> Column:
+    """Number of words of a text."""
+    return F.size(F.coalesce(term_array(text), F.array().cast("array<string>")))
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, doc_id, terms, freqs) from (doc_id, all words); documents without words are left out."""
+    block, held = TaskContext.get().partitionId() << _TASK_BITS, 0
+    for batch in batches:
+        words = batch.column(1)
+        owner = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+        coded = pc.dictionary_encode(words.flatten())
+        pairs, freqs = np.unique(owner * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        owner, code = np.divmod(pairs, max(1, len(coded.dictionary)))
+        docs, sizes = np.unique(owner, return_counts=True)
+        if not len(docs):
+            continue
+        offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        before = held + np.cumsum(sizes) - sizes
+        held += int(sizes.sum())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block + before // TERMS_PER_BLOCK), batch.column(0).take(pa.array(docs)),
+             pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(code))),
+             pa.ListArray.from_arrays(offsets, pa.array(freqs.astype(np.int32)))], ["block", "doc_id", "terms", "freqs"])
+
+
+def packed_terms(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`(block, doc_id, terms, freqs)`, a row per document with words; nothing is shuffled."""
+    kind = docs.schema[doc_col].dataType.simpleString()
+    words = docs.select(F.col(doc_col).alias("doc_id"), term_array(F.col(text_col)).alias("words"))
+    return words.mapInArrow(_count_rows, f"block long, doc_id {kind}, terms array<string>, freqs array<int>")
+
+
+def build_vocabulary(packed: DataFrame, scratch: Scratch, min_df: int = 1) -> DataFrame:
     """`(word_id, term, df)`: term numbers in term order, for terms found in at least `min_df` documents."""
-    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = packed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if min_df > 1:
         terms = terms.where(F.col("df") >= min_df)
     return (dense_index(terms, ["term"], "word_id", scratch, "vocabulary_terms")
             .select(F.col("word_id").cast("int").alias("word_id"), "term", "df"))
 
 
-def encode(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+def _number_terms(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Rows (doc_id, word_id, freq) of a block; terms that have no number are left out."""
+    terms = left.column("terms").combine_chunks()
+    owner = np.repeat(np.arange(left.num_rows), np.diff(terms.offsets.to_numpy()))
+    at = pc.index_in(terms.flatten(), value_set=right.column("term").combine_chunks())
+    known = np.flatnonzero(pc.is_valid(at).to_numpy(zero_copy_only=False))
+    word = right.column("word_id").combine_chunks().take(at.take(pa.array(known))).to_numpy(zero_copy_only=False)
+    order = np.lexsort((word, owner[known]))
+    freqs = left.column("freqs").combine_chunks().flatten().take(pa.array(known[order]))
+    return pa.table({"doc_id": left.column("doc_id").take(pa.array(owner[known[order]])), "word_id": pa.array(word[order], pa.int32()),
+                     "freq": freqs})
+
+
+def encode(packed: DataFrame, vocab: DataFrame, tables: BlockTables) -> DataFrame:
     """`(doc_id, word_id, freq)`; terms outside the vocabulary are left out.
 
-    No broadcast hint: the vocabulary grows with the data.  A term found in most documents makes a skewed key, which
-    the adaptive skew join splits.
+    `packed` is a table clustered by block: a term travels once per block that has it, to the vocabulary and back, so a word of
+    nearly all documents is a key of at most one row per block, which the adaptive skew join splits.
     """
-    return counts.join(vocab.select("term", "word_id"), "term").select("doc_id", "word_id", "freq")
+    kind = packed.schema["doc_id"].dataType.simpleString()
+    in_blocks = packed.select("block", F.explode("terms").alias("term")).distinct()
+    numbers = in_blocks.join(vocab.select("term", "word_id"), "term").select("block", "term", "word_id")
+    return tables.run(packed, numbers, _number_terms, f"doc_id {kind}, word_id int, freq int")
 
 
 def spread_small_scan(docs: DataFrame, key: str) -> DataFrame:
@@ -48,6 +105,28 @@ def spread_small_scan(docs: DataFrame, key: str) -> DataFrame:
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, key)
 
 
+def counted(docs: DataFrame, scratch: Scratch, doc_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, BlockTables]:
+    """The packed rows of raw documents as a table clustered by block, with as many buckets as the scan has splits."""
+    spread = spread_small_scan(docs.select(doc_col, text_col), doc_col)
+    tables = BlockTables(scratch, max(1, spread.rdd.getNumPartitions()))
+    return merge_repeated(tables.save(packed_terms(spread, doc_col, text_col), "term_counts"), tables), tables
+
+
+def merge_repeated(packed: DataFrame, tables: BlockTables) -> DataFrame:
+    """Rows of one id become one document.  Only ids are shuffled to find them, and only the rows of repeated ids to merge them."""
+    scratch = tables.scratch
+    repeated = scratch.save(packed.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "repeated_ids")
+    if repeated.isEmpty():
+        return packed
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    cells = (packed.join(repeated, same, "left_semi").select("doc_id", F.explode(F.arrays_zip("terms", "freqs")).alias("t"))
+             .groupBy("doc_id", F.col("t.terms").alias("term")).agg(F.sum("t.freqs").cast("int").alias("freq")))
+    whole = cells.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "freq"))).alias("t"))
+    block = -1 - F.pmod(F.xxhash64("doc_id"), F.lit(tables.n_buckets))
+    merged = whole.select(block.alias("block"), "doc_id", F.col("t.term").alias("terms"), F.col("t.freq").alias("freqs"))
+    return tables.save(packed.join(repeated, same, "left_anti").unionByName(merged), "merged_counts")
+
+
 class Corpus:
     """A prepared corpus: `vocab(word_id, term, df)`, `bow(doc_id, word_id, freq)`, written once to scratch."""
 
@@ -67,10 +146,10 @@ class Corpus:
 
 def corpus_from_text(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", min_df: int = 1,
                      scratch: Scratch | None = None) -> Corpus:
-    """Count, number and encode the terms of raw documents.  Each stage is read twice, so each is written once."""
+    """Count, number and encode the terms of raw documents."""
     scratch = scratch or Scratch(docs.sparkSession, "corpus")
-    small = spread_small_scan(docs.select(doc_col, text_col), doc_col)
-    counts = scratch.save(term_counts(small, doc_col, text_col), "term_counts")
-    vocab = scratch.save(build_vocabulary(counts, scratch, min_df), "vocab")
-    bow = scratch.save(encode(counts, vocab), "bow")
+    packed, tables = counted(docs, scratch, doc_col, text_col)
+    vocab = scratch.save(build_vocabulary(packed, scratch, min_df), "vocab")
+    bow = scratch.save(encode(packed, vocab, tables), "bow")
+    tables.drop_all()
     return Corpus(vocab, bow, scratch)
