@@ -67,6 +67,7 @@ def build_vocabulary(packed: DataFrame, scratch: Scratch, min_df: int = 1) -> Da
     terms = packed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if min_df > 1:
         terms = terms.where(F.col("df") >= min_df)
+    terms = scratch.save(terms, "vocabulary_df")          # the range partitioning below reads it twice
     return (dense_index(terms, ["term"], "word_id", scratch, "vocabulary_terms")
             .select(F.col("word_id").cast("int").alias("word_id"), "term", "df"))
 
