@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from edges import TEXTS, edge_docs
 
 from topicspark.llm import repeats as q
@@ -86,3 +87,20 @@ def test_edges(spark):
             == sorted(((i, n, kept.decode("utf-8", "ignore")) for (i, _), (n, kept, _) in zip(TEXTS, want)), key=key))
     assert set(got[0]["row"].asDict()) == set(docs.columns) - {"text"}
     assert q.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_take_linear_time(spark):
+    """Many rows of one text, under one id and without any, cost about what as many different texts cost."""
+    import time
+    text = " ".join(f"word{i * 7919 % 10_007}" for i in range(400))
+    seconds = {}
+    for name, rows in (("different", [(i, f"{i} {text[:1000]} {i * 31} {text[1000:]}") for i in range(1500)]),
+                       ("one id", [(7, text)] * 1500), ("null ids", [(None, text)] * 1500)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        start = time.time()
+        got = q.without_repeats(docs).select("row.doc_id", "n_bytes", F.length("kept").alias("left"), F.size("spans").alias("spans")).collect()
+        seconds[name] = time.time() - start
+        assert len(got) == 1500
+        if name != "different":
+            assert {tuple(r) for r in got} == {(rows[0][0], len(text), 0, 1)}
+    assert max(seconds["one id"], seconds["null ids"]) < 3 * seconds["different"] + 5, seconds

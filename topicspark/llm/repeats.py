@@ -310,7 +310,8 @@ def repeated_spans(steps: Steps, rows: DataFrame, length: int) -> DataFrame:
     marked = steps.save(marked, "marked")
     steps.keep_only("recurring", "marked")
     hits = found.select("id", "h", "start", "anchor", "region").join(marked, ["anchor", "region"])
-    hits = steps.save(hits.groupBy("id", "h").agg(F.collect_list(F.struct("start", "runs")).alias("hits")), "hits")
+    # a set: repeated rows of one id bring the same hits
+    hits = steps.save(hits.groupBy("id", "h").agg(F.collect_set(F.struct("start", "runs")).alias("hits")), "hits")
     steps.keep_only("hits")
     return hits
 
