@@ -5,7 +5,7 @@ A string of `LENGTH` bytes repeats if it also starts anywhere else, in the same
 * Every window of that length owns the least hashed `K`-byte string in it, leftmost first: its anchor.  Equal windows have
   equal anchors at equal offsets, so windows of different anchors need never meet.  Neighbouring windows with one anchor form
   a region (about 290 bytes for 85 windows); equal regions are counted and go on as one with a weight.
-* Regions whose anchor occurs once are done.  The others are dealt by anchor, a few MB at a time.  For each portion the
+* Regions whose anchor occurs once are done.  The others are dealt by anchor, some 200 kB at a time.  For each portion the
   suffix array, to depth `LENGTH`, gives the Burrows-Wheeler transform; backward extension, breadth first, finds the
   intervals of all strings of 1, 2, ... bytes and with them the places where neighbouring suffixes share fewer bytes than
   that, in order of rising common prefixes.  It stops at `LENGTH`: what no boundary parts then is equal in that many bytes.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -33,8 +34,8 @@ from topicspark.llm.stages import Steps
 LENGTH = 200
 K = 32
 HOT_REGIONS = 4_096
-_PORTION = 1_500_000
-_BUFFER = 2_000_000
+_PORTION = 200_000        # bytes whose suffix array is made at once, and bytes cut to regions at once: both fit in a cache
+_BUFFER = 250_000
 _END = 0xFF               # no byte of UTF-8
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = -(1 << 63)
@@ -326,29 +327,34 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     hits = repeated_spans(steps, rows, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                kept, spans, sizes = [], [], []
-                for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    sizes.append(len(raw))
-                    if not found:
-                        kept.append(raw)
-                        spans.append([])
+                raw = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                # all hits of the texts, flat: ends alternate between first and last windows of runs
+                starts, runs = part.column(2).flatten().flatten()
+                sizes_of_runs = runs.value_lengths().to_numpy(zero_copy_only=False)
+                ends = runs.flatten().to_numpy(zero_copy_only=False) + np.repeat(starts.to_numpy(zero_copy_only=False), sizes_of_runs)
+                hits_of_texts = pc.fill_null(part.column(2).value_lengths(), 0).to_numpy(zero_copy_only=False)
+                bounds = np.append(0, np.cumsum(sizes_of_runs))[np.append(0, np.cumsum(hits_of_texts))].tolist()
+                kept, begins, stops, n_spans = [], [], [], []
+                for text, lo, hi in zip(raw, bounds, bounds[1:]):
+                    if lo == hi:
+                        kept.append(text)
+                        n_spans.append(0)
                         continue
-                    step = np.zeros(len(raw) + 1, np.int32)
-                    for hit in found:
-                        ends = np.array(hit["runs"]) + hit["start"]
-                        np.add.at(step, ends[::2], 1)
-                        np.add.at(step, ends[1::2] + length, -1)
+                    step = np.bincount(ends[lo:hi:2], minlength=len(text) + 1)
+                    step -= np.bincount(ends[lo + 1:hi:2] + length, minlength=len(text) + 1)
                     gone = np.cumsum(step[:-1]) > 0
-                    kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+                    kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
                     edges = runs_of(gone)
-                    spans.append([{"start": a, "end": b + 1} for a, b in zip(edges[::2], edges[1::2])])
+                    begins += edges[::2]
+                    stops += edges[1::2]
+                    n_spans.append(len(edges) // 2)
+                spans = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_spans)).astype(np.int32)), pa.StructArray.from_arrays(
+                    [pa.array(begins, pa.int32()), pa.array(np.array(stops, np.int32) + np.int32(1))], ["start", "end"]))
                 out = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), out, pa.array(spans, kind)],
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in raw], pa.int64()), out, spans],
                                                  ["row", "n_bytes", "kept", "spans"])
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
