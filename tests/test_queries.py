@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, normal
-from topicspark.queries.base import ORACLES
+from topicspark.queries.base import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TRAINERS = ("vb_", "cvb0_", "scvb0_", "adlda_", "gibbs_fit", "stream_fit", "training_metrics", "doc_topics")
@@ -43,6 +43,10 @@ def test_every_sql_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_every_library_query_has_an_sql_twin():
+    assert set(QUERIES) == set(ORACLES)
+
+
 def test_results_of_one_session_do_not_disturb_each_other(spark):
     first = entry.queries()["cvb0_sweep"](spark, SF)
     second = entry.queries()["cvb0_sweep_docs"](spark, SF)
