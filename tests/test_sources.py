@@ -212,6 +212,11 @@ def test_exports(spark, tmp_path):
     labels = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "row long, label string")
     exports.write_labelled_csv(m, labels, 2, str(tmp_path / "b"))
     assert content(tmp_path / "b") == ['"x",0,2', '"y",0,1', '"z",7,0']
+    more = labels.union(spark.createDataFrame([(3, "w")], labels.schema))
+    exports.write_labelled_csv(m, more, 2, str(tmp_path / "b0"))
+    assert content(tmp_path / "b0") == ['"x",0,2', '"y",0,1', '"z",7,0']
+    exports.write_labelled_csv(m, more, 2, str(tmp_path / "b1"), rows=more)
+    assert content(tmp_path / "b1") == ['"x",0,2', '"y",0,1', '"z",7,0', '"w",0,0']
     exports.write_matrix_csv(m, 2, str(tmp_path / "c"))
     assert content(tmp_path / "c") == ["0.0,2.0", "0.0,1.0", "7.0,0.0"]
     wide = spark.createDataFrame([(1, "p", "q"), (2, "r", None)], "rank int, topic_0 string, topic_1 string")

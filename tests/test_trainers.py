@@ -109,14 +109,19 @@ def test_scvb0_equals_loop(spark, scratch):
     cfg = scvb0.SCVB0(2, alpha=0.2, beta=0.1, max_iter=3, seed=9, init="hash")
     got = {r["doc_id"]: r["theta"] for r in infer.doc_topics(bow, model, cfg, 6).collect()}
     batches = prepare_batches(bow, 6, 4, scratch)
-    nxt = dense(scvb0.update(bow, batches.docs, model, 0, 28, 6, cfg), 6)
-    ss = np.zeros_like(lam)
+    nxt, rows = scvb0.update(bow, batches.docs, model, 0, 28, 6, cfg, scratch)
+    nxt = dense(nxt, 6)
+    ss, loglik = np.zeros_like(lam), 0.0
     for d, w in docs.items():
         theta, stats = loops.scvb0_document(w, lam, lam.sum(axis=0), 0.2, 0.1, 6, 9, d, 3, cfg.theta_rate)
         np.testing.assert_allclose(got[d], theta, rtol=1e-10)
         for v, x in stats.items():
             ss[v] += x
+        share = (theta + 0.2) / (theta + 0.2).sum()
+        loglik += sum(n * np.log(share @ ((lam[v] + 0.1) / (lam.sum(axis=0) + 0.6))) for v, n in w.items())
     total = sum(sum(w.values()) for w in docs.values())
+    assert [(t, kind) for t, kind, _ in rows] == [(0, "loglik"), (0, "perplexity"), (0, "rho")]
+    np.testing.assert_allclose([x for _, _, x in rows], [loglik, np.exp(-loglik / total), 10.0 ** -0.9], rtol=1e-10)
     assert abs(ss.sum() - total) < 1e-9
     rho = 10.0 ** -0.9
     np.testing.assert_allclose(nxt, (1 - rho) * lam + rho * 28 / total * ss, rtol=1e-10)
@@ -147,6 +152,8 @@ def test_scvb0_finds_planted_words(spark, scratch):
     fit = scvb0.fit(batches, words(spark, 100), scvb0.SCVB0(5, max_iter=5, seed=4))
     tokens = sum(sum(w.values()) for w in docs.values())
     assert fit.n_steps == 4
+    quality = [v for _, kind, v in fit.history if kind == "perplexity"]
+    assert len(quality) == 4 and quality[-1] < quality[0]
     total = sum(parameter_totals(fit.model, 5))
     keep = np.prod([1 - (10.0 + t) ** -0.9 for t in range(4)])
     np.testing.assert_allclose(total, keep * sum(dense(start_model(words(spark, 100), 5, 4, "gamma"), 100).ravel())

@@ -225,12 +225,23 @@ def _by_length(lengths):
     return order, reach
 
 
+def _held_in_loglik(share, word_prob, row_word, freq, bounds):
+    """Per document, sum over its words of frequency x log(topic shares . word probabilities), in runs of rows."""
+    doc = np.repeat(np.arange(len(share)), np.diff(bounds))
+    prob = np.empty(len(doc))
+    step = max(1, 4_000_000 // share.shape[1])
+    for i in range(0, len(doc), step):
+        prob[i:i + step] = np.einsum("ij,ij->i", share[doc[i:i + step]], word_prob[row_word[i:i + step]])
+    return np.bincount(doc, freq * np.log(prob + TINY), minlength=len(share))
+
+
 def scvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, init, max_iter, rate,
                  per_document=False):
     """Stochastic collapsed pass over the tokens of each document, with the global statistics fixed.
 
     Documents do not influence each other here, so the j-th tokens of all documents are updated together; every document
-    still sees its own tokens strictly in order.
+    still sees its own tokens strictly in order.  The score is the log-likelihood of a document's tokens under its final
+    N_theta and the model that the pass started from.
     """
     alpha = np.asarray(alpha, dtype=np.float64)
     denom = n_words * beta + np.asarray(topic_totals, dtype=np.float64)
@@ -267,9 +278,12 @@ def scvb0_kernel(n_topics, alpha, beta, n_words, topic_totals, seed, init, max_i
                 phi *= rho * size[:n, None]
                 now *= 1.0 - rho
                 now += phi
+        share = np.empty_like(theta)
+        share[order] = (theta + alpha) / (theta + alpha).sum(axis=1, keepdims=True)
+        score = _held_in_loglik(share, weight, row_word, freq, bounds)
         if per_document:
-            return _doc_table(docs[order], theta, np.zeros(len(docs)), size)
-        return _word_table(words, stats, 0.0, size.sum())
+            return _doc_table(docs[order], theta, score[order], size)
+        return _word_table(words, stats, score.sum(), size.sum())
 
     return run
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 _TWO_STAGE_FROM = 1000  # up to this n Spark itself limits each group before the shuffle
 _SALTS = 64
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def top_n(cells: DataFrame, n: int, group: str = "topic", item: str = "word_id", value: str = "value") -> DataFrame:
@@ -23,13 +24,16 @@ def top_n(cells: DataFrame, n: int, group: str = "topic", item: str = "word_id",
     return ranked.where(F.col("rank") <= n)
 
 
-def top_terms(cells: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
+def top_terms(cells: DataFrame, vocab: DataFrame, n: int, n_topics: int | None = None) -> DataFrame:
     """`(topic, rank, word_id, term, value)`.
 
-    The ranked list is broadcast, being at most topics x n rows whatever the data; the vocabulary is not.
+    The ranked list has at most topics x n rows whatever the data.  Where `n_topics` proves that to be few it is broadcast;
+    otherwise the kind of join is the optimizer's choice.  The vocabulary is never broadcast by a hint.
     """
     top = top_n(cells, n).select("topic", "rank", "word_id", "value")
-    return (vocab.select("word_id", "term").join(F.broadcast(top), "word_id")
+    if n_topics is not None and n_topics * n <= MAX_BROADCAST_ROWS:
+        top = F.broadcast(top)
+    return (vocab.select("word_id", "term").join(top, "word_id")
             .select("topic", "rank", "word_id", "term", "value"))
 
 

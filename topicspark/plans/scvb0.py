@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -10,7 +11,7 @@ from topicspark.functions.scalars import learning_rate
 from topicspark.operators import blocks
 from topicspark.operators.kernels import DOC_SCHEMA, WORD_SCHEMA, scvb0_kernel
 from topicspark.plans.minibatch import (Batches, Metrics, Versions, add_statistics, alpha_vector, blend_model, check_run, metrics_frame,
-                                        only_words, parameter_totals, run_on_blocks, start_model)
+                                        only_words, parameter_totals, run_on_blocks, start_model, summary)
 from topicspark.plans.online_vb import Fit
 from topicspark.session import Scratch
 
@@ -50,13 +51,20 @@ def document_pass(bow: DataFrame, model: DataFrame, totals: list[float], n_words
 
 
 def update(batch_bow: DataFrame, lengths: DataFrame, model: DataFrame, t: int, corpus_tokens: int, n_words: int,
-           cfg: SCVB0) -> DataFrame:
-    """The next model: N <- (1 - rho) N + rho * (C / C_batch) * statistics.  Topic totals are the model's column sums."""
+           cfg: SCVB0, scratch: Scratch) -> tuple[DataFrame, list]:
+    """One training step: the (lazy) next model, N <- (1 - rho) N + rho * (C / C_batch) * statistics, and metric rows.
+
+    Topic totals are the model's column sums.  `loglik` is that of the minibatch's tokens under the documents' N_theta and the
+    model before the step, so a minibatch is judged by a model that has not seen it; `perplexity` is exp(-loglik per token).
+    """
     n_tokens = lengths.agg(F.sum("n_tokens")).first()[0] or 0
     rho = learning_rate(t, *cfg.global_rate)
     totals = parameter_totals(model, cfg.n_topics)
-    stats = document_pass(batch_bow, model, totals, n_words, cfg, n_tokens)
-    return blend_model(model, only_words(stats), cfg.n_topics, rho, corpus_tokens / n_tokens if n_tokens else 0.0)
+    stats = scratch.save(document_pass(batch_bow, model, totals, n_words, cfg, n_tokens), f"pass-{t:06d}")
+    rows, got = [(t, "rho", rho)], summary(stats)
+    if got and got["n_tokens"]:
+        rows = [(t, "loglik", got["score"]), (t, "perplexity", math.exp(-got["score"] / got["n_tokens"])), *rows]
+    return blend_model(model, only_words(stats), cfg.n_topics, rho, corpus_tokens / n_tokens if n_tokens else 0.0), rows
 
 
 def fit(batches: Batches, words: DataFrame, cfg: SCVB0, snapshots: str | None = None,
@@ -74,11 +82,11 @@ def fit(batches: Batches, words: DataFrame, cfg: SCVB0, snapshots: str | None =
     model, history = versions.load(done), metrics.all(done)
     for t in range(done, batches.n_batches):
         here = F.col("batch_id") == t
-        nxt = update(batches.bow.where(here).drop("batch_id"), batches.docs.where(here), model, t,
-                     corpus_tokens or batches.n_tokens, batches.n_words, cfg)
-        rows = [(t, "rho", learning_rate(t, *cfg.global_rate))]
+        nxt, rows = update(batches.bow.where(here).drop("batch_id"), batches.docs.where(here), model, t,
+                           corpus_tokens or batches.n_tokens, batches.n_words, cfg, scratch)
         metrics.save(t, rows)
         model = versions.save(nxt, t + 1)
+        scratch.drop(f"pass-{t:06d}")
         history += rows
     return Fit(model, metrics_frame(batches.bow.sparkSession, scratch.base, history), batches.n_batches, scratch.base,
                history)

@@ -62,7 +62,7 @@ _RANKED = (TW + ", ranked AS (SELECT topic, word_id, n, row_number() OVER (PARTI
 
 def _top(spark, d, n=10):
     tw = counts.topic_word_counts(_assigned(spark, d)).withColumnRenamed("n", "value")
-    return ranking.top_terms(tw, corpus(spark, d).vocab, n)
+    return ranking.top_terms(tw, corpus(spark, d).vocab, n, K)
 
 
 @query("top_words", f"WITH {_RANKED} SELECT topic, rank, word_id, term, n FROM top")
@@ -108,7 +108,7 @@ def word_topic_csv(spark, d):
     m = tw.select(F.col("word_id").cast("long").alias("row"), F.col("topic").alias("col"),
                   F.col("n").cast("double").alias("value"))
     labels = corpus(spark, d).vocab.select(F.col("word_id").cast("long").alias("row"), F.col("term").alias("label"))
-    return exports.labelled_lines(m, labels, K)
+    return exports.labelled_lines(m, labels, K, rows=labels)
 
 
 @query("doc_topic_csv", f"WITH {ASSIGNED} SELECT doc_id AS row, {_WORD_LINE} AS line FROM documents LEFT JOIN assigned USING (doc_id) GROUP BY doc_id")
@@ -651,6 +651,33 @@ def scvb0_fit(spark, d):
     return _topic_cells(_scvb0_two(spark, d).model, "word_id", "params", 4)
 
 
+@query("scvb0_versions", f"WITH {_SCVB0_TWO} " + " UNION ALL ".join(
+    f"SELECT CAST({t} AS INTEGER) AS t, topic, word_id, value FROM ({_long_sql('l', 4, 'word_id', f'lam{t}')})" for t in range(3)))
+def scvb0_versions(spark, d):
+    """The values of all model versions of a run that keeps its snapshots."""
+    base = Scratch(spark, "scvb0-versions").base
+    _scvb0_two(spark, d, base)
+    cells = snapshots.read_all_versions(spark, f"{base}/model").select("t", "word_id", F.posexplode("params").alias("topic", "value"))
+    return cells.withColumn("value", rounded("value", 4))
+
+
+def _scvb0_quality_sql(t: int) -> str:
+    """Log-likelihood per token of minibatch t under N_theta and the model before its update."""
+    n = range(K)
+    prob = " + ".join(f"(g{k} + {_SA}e0) * w{k}" for k in n)
+    total = " + ".join(f"(g{k} + {_SA}e0)" for k in n)
+    return (f"SELECT CAST({t} AS INTEGER) AS t, -sum(freq * ln(({prob}) / ({total}))) / sum(freq) AS x "
+            f"FROM bow JOIN nt{t} USING (doc_id) JOIN wt{t} USING (word_id)")
+
+
+@query("scvb0_quality", f"WITH {_SCVB0_TWO}, q AS ({_scvb0_quality_sql(0)} UNION ALL {_scvb0_quality_sql(1)}) "
+                        f"SELECT t, 'perplexity' AS kind, {r_sql('x', 6)} AS log_value FROM q")
+def scvb0_quality(spark, d):
+    """Perplexity of each minibatch under the model that has not seen it yet."""
+    rows = _scvb0_two(spark, d).metrics.where(F.col("kind") == "perplexity")
+    return rows.select("t", "kind", rounded(F.log("value"), 6).alias("log_value"))
+
+
 @query("scvb0_doc_topics", f"WITH {_vb_start(1)}{_scvb0_pass_sql(0, 3)} {_long_sql('g', 4, 'doc_id', 'nt0')}")
 def scvb0_doc_topics(spark, d):
     """N_theta of every document after three sweeps over its tokens in order."""
@@ -782,7 +809,7 @@ def adlda_docs(spark, d):
        "SELECT topic, CAST(rank AS INTEGER) AS rank, word_id, term, n FROM ranked JOIN vocab USING (word_id) WHERE rank <= 100")
 def gibbs_top_words(spark, d):
     fit = _gibbs(spark, d, n_sweeps=2, init="hash", schedule="frozen", metrics_every=99)
-    top = ranking.top_terms(fit.topic_word.withColumnRenamed("n", "value"), corpus(spark, d).vocab, 100)
+    top = ranking.top_terms(fit.topic_word.withColumnRenamed("n", "value"), corpus(spark, d).vocab, 100, K)
     return top.withColumnRenamed("value", "n")
 
 

@@ -34,14 +34,17 @@ def write_matrix_csv(m: DataFrame, n_cols: int, path: str, integer: bool = False
     _write_rows(matrix_lines(m, n_cols, integer, rows), path)
 
 
-def labelled_lines(m: DataFrame, labels: DataFrame, n_cols: int, integer: bool = True) -> DataFrame:
-    """As `matrix_lines`, each line starting with the quoted label of its row (`labels(row, label)`)."""
-    return (matrix_lines(m, n_cols, integer).join(labels, "row")
+def labelled_lines(m: DataFrame, labels: DataFrame, n_cols: int, integer: bool = True, rows: DataFrame | None = None) -> DataFrame:
+    """As `matrix_lines`, each line starting with the quoted label of its row (`labels(row, label)`).
+
+    With `rows=labels` every labelled row has a line, also one without cells.
+    """
+    return (matrix_lines(m, n_cols, integer, rows).join(labels, "row")
             .select("row", F.concat(F.lit('"'), "label", F.lit('",'), "line").alias("line")))
 
 
-def write_labelled_csv(m: DataFrame, labels: DataFrame, n_cols: int, path: str) -> None:
-    _write_rows(labelled_lines(m, labels, n_cols), path)
+def write_labelled_csv(m: DataFrame, labels: DataFrame, n_cols: int, path: str, rows: DataFrame | None = None) -> None:
+    _write_rows(labelled_lines(m, labels, n_cols, rows=rows), path)
 
 
 def ranking_file_lines(wide: DataFrame, n_topics: int) -> DataFrame:
