@@ -67,3 +67,19 @@ def test_edges(spark):
     one = q.with_next(edge_docs(spark, [(4, "alone here")])).collect()
     assert [(r["doc_id"], r["near_next"]) for r in one] == [(4, 1.0)]
     assert q.with_next(docs.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_are_split_and_copies_counted(spark, monkeypatch):
+    monkeypatch.setattr(q, "_DOCS_PER_RANGE", 100)
+    rows = [(None, f"text {i % 500} of no id") for i in range(1_000)] + [(None, "copy " * 50)] * 2_000 + [(7, "a b c d")] * 3 + [(8, "z b c e")]
+    docs = edge_docs(spark, rows).repartition(9)
+    sizes = [r["n"] for r in q.in_order(docs, "doc_id", "text").groupBy("part").agg(q.F.sum("copies").alias("n"), q.F.count("*").alias("rows"))
+             .select("rows", q.F.col("rows").alias("n")).collect()]
+    assert len(sizes) > 5 and max(sizes) < 600
+    got = q.with_next(docs).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in rows)
+    copies = [r for r in got if r["n_chars"] == 250]
+    assert len(copies) == 2_000 and sum(r["near_next"] == 1 for r in copies) >= 1_999
+    assert sorted(r["near_next"] == 1 for r in got if r["doc_id"] == 7) == [False, True, True]
+    own = hashlib.sha256(q.edited("a b c d", "a b c d").encode()).hexdigest()
+    assert [r["edited_sha256"] == own for r in got if r["doc_id"] == 7].count(True) == 2

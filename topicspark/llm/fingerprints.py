@@ -6,11 +6,12 @@ t = floor(ln(weight) / r + beta) the term of least ln(c) - r (t - beta + 1) is t
 agree in a sample with the probability of their generalised Jaccard similarity, sum of minima over sum of maxima.
 
 The draws are made once per distinct (term, weight) of a batch, by a 64-bit mix and inverse distribution tables; a text's
-samples are the minima over its rows.  `with_next` compares each text with its successor: texts are dealt by ranges of the id
-and streamed in order, and the first text of a range also goes to the range before it, so no window over all rows is needed.
+samples are the minima over its rows.  `with_next` compares each text with its successor: texts are dealt by ranges of (id, hash
+of the text), a range to a task, and streamed in order; the first text of a range also goes to the range before it, so no window
+over all rows is needed and rows of one id need not meet.  Equal rows are counted before they travel.
 
 Cases: null and empty texts have no terms; they have the empty fingerprint, which is like itself (1) and unlike any other (0).
-Equal texts have equal fingerprints.  Equal ids follow each other in order of their texts.  A single document is its own
+Equal texts have equal fingerprints.  Equal ids follow each other in order of the hashes of their texts, equal rows next to each other.  A single document is its own
 successor; an empty table gives no rows.  Null ids come before all others.  Other columns of the input are not read.
 """
 
@@ -20,6 +21,7 @@ import base64
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,11 @@ EMPTY = 0xFFFFFFFF    # the bits of no number
 _TABLE_BITS = 16
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))   # fixed values: the finaliser of splitmix64
 _STEP = 0x9E3779B97F4A7C15
-_DOCS_PER_RANGE, _MOST_RANGES = 2_000, 100_000   # the starts of all ranges are sent to the driver
+_DOCS_PER_RANGE, _MOST_RANGES = 4_000, 1_000_000   # the starts of all ranges, two numbers each, are sent to the driver
 _BATCH_TEXTS, _BATCH_CHARS = 1_000, 3_000_000
 
 
+@cache
 def _gamma_table() -> np.ndarray:
     """Quantiles of Gamma(2, 1): the x with 1 - (1 + x) exp(-x) = u, by Newton steps on the logarithm."""
     n = 1 << _TABLE_BITS
@@ -155,33 +158,59 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - n] + following[:n]
 
 
-def range_starts(ids: DataFrame, ranges: int) -> list[int]:
-    """Smallest id of each of about `ranges` ranges of equally many rows: as many numbers as there are ranges."""
-    parts = ids.repartitionByRange(ranges, "id").groupBy(F.spark_partition_id()).agg(F.min("id").alias("at"))
-    return sorted(r["at"] for r in parts.collect() if r["at"] is not None)
+def range_starts(keys: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """Smallest (id, h) of each of about `ranges` ranges of equally many rows: two numbers for each range."""
+    parts = keys.repartitionByRange(ranges, "id", "h").groupBy(F.spark_partition_id()).agg(F.min(F.struct("id", "h")).alias("at"))
+    return sorted((r["at"]["id"], r["at"]["h"]) for r in parts.collect() if r["at"] is not None)
+
+
+def parts_of(ids: np.ndarray, hashes: np.ndarray, bound_ids: np.ndarray, bound_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the range that holds each (id, h), and whether it is the start of that range."""
+    low, high = np.searchsorted(bound_ids, ids, "left"), np.searchsorted(bound_ids, ids, "right")
+    part = low.copy()                                   # starts before (id, h), itself included
+    one = np.flatnonzero(high - low == 1)
+    part[one] += bound_hashes[low[one]] <= hashes[one]
+    many = np.flatnonzero(high - low > 1)               # ids that several ranges share
+    for at in np.unique(low[many]):
+        own = many[low[many] == at]
+        part[own] += np.searchsorted(bound_hashes[at:high[own[0]]], hashes[own], "right")
+    part = np.maximum(part - 1, 0)
+    return part, (bound_ids[part] == ids) & (bound_hashes[part] == hashes)
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (part, guest, id, text) whose partitions hold whole parts in order; the first row after a part follows as a guest."""
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"))
-    starts = range_starts(ids, min(_MOST_RANGES, max(1, -(-ids.count() // _DOCS_PER_RANGE))))
+    """Rows (part, guest, id, h, copies, text) with a part per partition, in order; the first row after a part follows as a guest.
+
+    Equal rows of a batch travel as one row with the number of its copies, and an id may lie in several parts.
+    """
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), text_of(text_col).alias("text"))
+    rows = rows.select("id", F.xxhash64("text").alias("h"), "text")
+    starts = range_starts(rows.select("id", "h"), min(_MOST_RANGES, max(1, -(-docs.count() // _DOCS_PER_RANGE))))
+    bound_ids, bound_hashes = (np.array(x, np.int64) for x in (zip(*starts) if starts else ([0], [0])))
+    names = ["part", "guest", "id", "h", "copies", "text"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = np.array(starts, np.int64)
         for batch in batches:
-            id_ = batch.column(0).to_numpy(zero_copy_only=False)
-            part = np.maximum(np.searchsorted(bounds, id_, "right") - 1, 0)
-            first = np.flatnonzero(bounds[part] == id_)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(id_), bool)), *batch.columns],
-                                             ["part", "guest", "id", "text"])
-            if len(first):   # all rows with the first id of a range; only the first of them is used
-                more = batch.take(pa.array(first))
-                yield pa.RecordBatch.from_arrays([pa.array((part[first] - 1) % len(bounds)), pa.array(np.ones(len(first), bool)),
-                                                  *more.columns], ["part", "guest", "id", "text"])
+            rows = pa.Table.from_batches([batch])
+            key = np.sort(batch.column(0).to_numpy(zero_copy_only=False))
+            if (key[1:] == key[:-1]).any():
+                rows = rows.group_by(["id", "h", "text"]).aggregate([([], "count_all")]).select(["id", "h", "text", "count_all"])
+            else:
+                rows = rows.append_column("count_all", pa.array(np.ones(len(rows), np.int64)))
+            part, first = parts_of(rows["id"].to_numpy(), rows["h"].to_numpy(), bound_ids, bound_hashes)
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), text_of(text_col).alias("text"))
-    dealt = rows.mapInArrow(deal, "part bigint, guest boolean, id bigint, text string")
-    return dealt.repartition("part").sortWithinPartitions("part", "guest", "id", "text")
+            def sent(chosen: pa.Table, to: np.ndarray, guest: bool) -> list[pa.RecordBatch]:
+                return pa.table([pa.array(to), pa.array(np.full(len(to), guest)), chosen["id"], chosen["h"], chosen["count_all"],
+                                 chosen["text"]], names).to_batches()
+
+            yield from sent(rows, part, False)
+            at = np.flatnonzero(first)
+            if len(at):
+                yield from sent(rows.take(pa.array(at)), (part[at] - 1) % len(bound_ids), True)
+
+    dealt = rows.mapInArrow(deal, "part bigint, guest boolean, id bigint, h bigint, copies bigint, text string")
+    return (dealt.repartitionById(len(bound_ids), F.col("part").cast("int"))
+            .sortWithinPartitions("part", "guest", "id", "h", "text"))
 
 
 def with_next(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,42 +218,46 @@ def with_next(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(samples)
-        waiting: list[tuple[int, str]] = []       # texts of one part, in order; the last has no successor yet
+        waiting: list[tuple[int, str, int]] = []  # texts of one part and their copies, in order; the last has no successor yet
         held = 0
         part = None
         done = False                              # the guest of this part has come
 
-        def emit(following: list[tuple[int, str]]) -> pa.RecordBatch:
-            """Rows of all waiting texts but those in `following`, which are only looked at."""
-            own = waiting
-            texts = [t for _, t in own]
-            after = texts[1:] + [t for _, t in following[:1]]
-            edits = [edited(a, b) for a, b in zip(texts, after)]
+        def emit(following: list[str]) -> pa.RecordBatch:
+            """Rows of all waiting texts that have a successor; the texts in `following` are only looked at."""
+            texts = [t for _, t, _ in waiting] + following[:1]
+            last = len(texts) - 1
+            # a text follows itself, all its copies but one, and then the next text follows
+            pairs = [(j, k, c) for j in range(last) for k, c in ((j, waiting[j][2] - 1), (j + 1, 1)) if c]
+            edits = [edited(texts[j], texts[k]) for j, k, _ in pairs]
             words = Words()
             numbers = [words.numbers(t) for t in texts]
-            changes = [words.after_edit(a, own_numbers, b) for a, own_numbers, b in zip(texts, numbers, after)]
-            signs = sampler.sampled(words, numbers + changes + [words.numbers(t) for _, t in following[:1]])
-            n = len(after)
-            plain, changed = signs[:len(texts)], signs[len(texts):len(texts) + n]
-            nexts = np.concatenate([plain, signs[len(texts) + n:]])[1:n + 1]
+            changes = [words.after_edit(texts[j], numbers[j], texts[k]) for j, k, _ in pairs]
+            signs = sampler.sampled(words, numbers + changes)
+            plain, changed = signs[:len(texts)], signs[len(texts):]
+            signed = [as_string(s) for s in plain[:last]]
             return pa.RecordBatch.from_arrays([
-                pa.array([i for i, _ in own[:n]], pa.int64()), pa.array([len(t) for t in texts[:n]], pa.int64()),
+                pa.array([waiting[j][0] for j, _, _ in pairs], pa.int64()), pa.array([len(texts[j]) for j, _, _ in pairs], pa.int64()),
                 pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edits], pa.string()),
-                pa.array([as_string(s) for s in plain[:n]], pa.string()), pa.array([as_string(s) for s in changed], pa.string()),
-                pa.array([likeness(a, b) for a, b in zip(plain, changed)], pa.float64()),
-                pa.array([likeness(a, b) for a, b in zip(plain, nexts)], pa.float64())],
-                ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                pa.array([signed[j] for j, _, _ in pairs], pa.string()), pa.array([as_string(s) for s in changed], pa.string()),
+                pa.array([likeness(plain[j], x) for (j, _, _), x in zip(pairs, changed)], pa.float64()),
+                pa.array([likeness(plain[j], plain[k]) for j, k, _ in pairs], pa.float64()),
+                pa.array([c for _, _, c in pairs], pa.int64())],
+                ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "copies"])
 
         for batch in batches:
-            for p, guest, i, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for p, guest, i, _, copies, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if p != part:
                     part, done, waiting, held = p, False, [], 0
                 if guest:
                     if not done:
-                        yield emit([(i, text)])
+                        yield emit([text])
                         done, waiting, held = True, [], 0
                     continue
-                waiting.append((i, text))
+                if waiting and waiting[-1][:2] == (i, text):
+                    waiting[-1] = (i, text, waiting[-1][2] + copies)
+                    continue
+                waiting.append((i, text, copies))
                 held += len(text)
                 if len(waiting) > _BATCH_TEXTS or len(waiting) > 1 and held > _BATCH_CHARS:
                     yield emit([])
@@ -232,9 +265,13 @@ def with_next(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", t
 
     out = in_order(docs, id_col, text_col).mapInArrow(
         run, "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-             "near_edited double, near_next double")
+             "near_edited double, near_next double, copies bigint")
+    # copies are written out in two steps, so that no list is longer than the root of their number
+    root = F.ceil(F.sqrt("copies")).cast("long")
+    out = out.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / root))))
+    out = out.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(root, F.col("copies") - F.col("_run") * root))))
     null_id = F.when(F.col("id") != -(1 << 63), F.col("id"))
-    return out.withColumn("id", null_id).withColumnRenamed("id", id_col)
+    return out.drop("copies", "_run", "_one").withColumn("id", null_id).withColumnRenamed("id", id_col)
 
 
 @query("op3_fingerprints")
