@@ -3,10 +3,12 @@
 A rule is `host/path`: it fits its host and all subdomains if the path of the url starts with the rule's path; `*` stands
 for any run of characters, and a rule that starts with `*` may begin anywhere.  Every rule is turned into one regular
 expression over host + path and filed under one literal token that any fitting url must contain; of its tokens that is
-the one which the fewest urls have.  The tokens of a url fetch the rules filed under them, and only those are run.
+the one which the fewest urls have.  A rule without such a token is filed by the rarest four characters in a row that it
+demands.  The tokens of a url, and its runs of four characters under which a rule can be filed, fetch the rules, and only
+those are run.
 
-Cases: a null url, or one without `://`, has an empty host and path; only a rule without any literal token can fit it.
-Rules without a literal token are tried on every url.  Repeated urls are judged once and give one row each.
+Cases: a null url, or one without `://`, has an empty host and path; only a rule without any literal can fit it.
+Rules without four literal characters in a row or a token are tried on every url.  Repeated urls are judged once and give one row each.
 An empty table gives no rows, an empty rule list lets every url take the default.  Of several fitting rules the longest
 wins, then the first in text order.  Columns of the input other than the id and the url are not read.
 """
@@ -38,6 +40,7 @@ PATTERN_RULES = [
 ]
 MAX_BROADCAST_RULES = 50_000
 _TOKEN = re.compile(r"[a-z0-9]+")
+_GRAM = "~"           # no token of letters and digits starts like this
 _EDGE = re.compile(r"[^a-z0-9*]")
 
 
@@ -58,6 +61,12 @@ def rule_tokens(rule: str) -> list[str]:
     return sorted(set(found))
 
 
+def rule_grams(rule: str) -> list[str]:
+    """Marked runs of four characters that stand in every fitting url, in whatever token."""
+    low = "".join(c.lower() if c.isascii() else c for c in rule)
+    return sorted({_GRAM + part[i:i + 4] for part in low.split("*") for i in range(len(part) - 3)})
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty without `://`."""
     at = F.instr(url, "://")
@@ -66,15 +75,24 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def url_tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens of a url; the empty one stands for rules without a literal."""
-    words = F.split(ascii_lower(F.concat(host, path)), "[^a-z0-9]+")
-    return F.array_union(F.array_distinct(words), F.array(F.lit("")))
+def url_tokens(host: Column, path: Column, grams: list[str]) -> Column:
+    """Distinct tokens of a url and those of `grams` in it; the empty one stands for rules without a literal."""
+    low = ascii_lower(F.concat(host, path))
+    found = F.array_union(F.array_distinct(F.split(low, "[^a-z0-9]+")), F.array(F.lit("")))
+    if not grams:
+        return found
+    runs = F.transform(F.regexp_extract_all(low, F.lit("(?s)(?=(.{4}))"), F.lit(1)), lambda g: F.concat(F.lit(_GRAM), g))
+    return F.array_union(found, F.filter(runs, lambda g: g.isin(grams)))
+
+
+def literals(rule: str) -> list[str]:
+    """What a rule can be filed under."""
+    return rule_tokens(rule) or rule_grams(rule)
 
 
 def rule_index(spark: SparkSession, sites: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """One row per rule: the token it is filed under, its regular expression and what it says."""
-    rows = [(kind, action, rule, rule_regex(rule), rule_tokens(rule)) for kind, action, rule in rules]
+    rows = [(kind, action, rule, rule_regex(rule), literals(rule)) for kind, action, rule in rules]
     listed = spark.createDataFrame(rows, "kind string, action string, rule string, regex string, tokens array<string>")
     words = listed.select("kind", "action", "rule", "regex", F.explode("tokens").alias("token"))
     counted = words.select("token").distinct()
@@ -95,8 +113,9 @@ def url_verdicts(urls: DataFrame, site_rules: list[tuple[str, str]], pattern_rul
     spark = urls.sparkSession
     host, path = url_parts(F.col(url_col))
     pages = urls.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    sites = pages.select("host", "path").distinct().withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
     rules = [("site", *r) for r in site_rules] + [("pattern", *r) for r in pattern_rules]
+    grams = sorted({x for _, _, rule in rules for x in literals(rule) if x.startswith(_GRAM)})
+    sites = pages.select("host", "path").distinct().withColumn("tokens", url_tokens(F.col("host"), F.col("path"), grams))
     index = rule_index(spark, sites, rules)
     if len(rules) <= MAX_BROADCAST_RULES:
         index = F.broadcast(index)
