@@ -152,3 +152,22 @@ def test_edges(spark):
     assert len(got) == len(TEXTS)
     for r in got:
         assert (r["component_id"] is None) == (r["doc_id"] is None) and (r["kept"] or r["doc_id"] == 12)
+
+
+def test_links_through_null_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+
+    def text(changed):
+        return " ".join("x" + w if i in changed else w for i, w in enumerate(words))
+
+    # each text is near to the next one only
+    texts = [text(set(range(0, k, 10))) for k in (0, 30, 50)]
+    chain = [shingles(t) for t in texts]
+    near = [100 * len(a & b) >= 75 * len(a | b) for a, b in (chain[:2], chain[1:], chain[::2])]
+    assert near == [True, True, False]
+    rows = [(9, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2]), (None, "only without an id, but " * 9), (4, None)]
+    rows += [(None, "many rows of one text without an id")] * 500
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in q.near_duplicates(edge_docs(spark, rows)).collect()), key=repr)
+    assert got == sorted([(9, 3, False), (3, 3, True), (4, 4, True)] + [(None, None, True)] * 503, key=repr)
+    left = [r["doc_id"] for r in q.one_of_each(edge_docs(spark, rows)).collect()]
+    assert sorted(left, key=repr) == [3, 4, None, None, None]

@@ -18,8 +18,9 @@ not with their square.
 Cases: A-Z are lower-cased, words are parted by the six ASCII white-space characters.  Fewer than five words are one shingle;
 null texts and texts without words have none and are linked with nothing.  Equal texts, and repeated rows, are in one
 component.  Different texts of one id are compared like those of different ids: a row is in the component of its text, which is
-named by the smallest id in it, and rows of that id are kept; two components have one name if that id has texts in both.  Rows with a null id join no component and are kept.  An empty
-table gives no rows.  Only id and text are read.
+named by the smallest id in it, and rows of that id are kept; two components have one name if that id has texts in both.
+Rows with a null id are compared like all others, so documents that are linked only through them are in one component, but they
+name none: their own component_id is null, and they are kept.  An empty table gives no rows.  Only id and text are read.
 """
 
 from __future__ import annotations
@@ -153,6 +154,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         run, "id bigint, text_key binary, n_shingles bigint, set_key binary, registers binary")
 
 
+def _of_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The `rows` (rep, text_key, ...) that hold the text of a class (id, rep, text_key); of those with a null id one of each text."""
+    # null ids meet by text alone and are thinned first: they may be many under one key
+    nameless = rows.where("rep IS NULL").drop("rep").dropDuplicates(["text_key"])
+    return (rows.join(classes, ["rep", "text_key"]).drop("rep")
+            .unionByName(nameless.join(classes.where("rep IS NULL").drop("rep"), "text_key")))
+
+
 def full_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, shingles (packed) of `classes` (id, rep, text_key): the class's number, and a document and text of it."""
 
@@ -165,7 +174,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), text_key(text_col).alias("text_key"), text_of(text_col).alias("text"))
-    return rows.join(classes, ["rep", "text_key"]).select("id", "text").mapInArrow(run, "id bigint, shingles binary")
+    return _of_classes(rows, classes).select("id", "text").mapInArrow(run, "id bigint, shingles binary")
 
 
 def estimated(pairs: DataFrame, regs: DataFrame) -> DataFrame:
@@ -345,15 +354,18 @@ def _components(steps: Steps, docs: DataFrame, id_col: str, text_col: str) -> Da
     `part` numbers the component, and is null for a null id or without shingles; `component_id` is the smallest id in it.
     """
     table_ = steps.save(sketches(docs, id_col, text_col), "sketches")
-    classes = steps.save(table_.where("id IS NOT NULL AND set_key IS NOT NULL").groupBy("set_key").agg(
-        F.min(F.struct("id", "text_key")).alias("at")).select("set_key", F.col("at.id").alias("rep"), "at.text_key"), "sets-of-texts")
-    # numbers in the order of the smallest ids, so that the root of a component has its smallest id; an id may have several classes
-    classes = steps.save(classes.repartitionByRange("rep", "set_key").sortWithinPartitions("rep", "set_key")
+    classes = steps.save(table_.where("set_key IS NOT NULL").groupBy("set_key").agg(
+        F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_key")).alias("at"))
+        .select("set_key", F.col("at.id").alias("rep"), "at.text_key"), "sets-of-texts")
+    # numbers in the order of the smallest ids, classes without one last, so that the root of a component has its smallest id;
+    # an id may have several classes
+    order = [F.col("rep").asc_nulls_last(), F.col("set_key")]
+    classes = steps.save(classes.repartitionByRange(*order).sortWithinPartitions(*order)
                          .select(F.monotonically_increasing_id().alias("number"), "set_key", "rep", "text_key"), "classes")
 
     # one row per class and band
-    regs = (table_.where("set_key IS NOT NULL").withColumnRenamed("id", "rep")
-            .join(classes.select(F.col("number").alias("id"), "rep", "text_key"), ["rep", "text_key"])
+    regs = (_of_classes(table_.where("set_key IS NOT NULL").withColumnRenamed("id", "rep"),
+                        classes.select(F.col("number").alias("id"), "rep", "text_key"))
             .select("id", "n_shingles", "registers").dropDuplicates(["id"]))
     regs = steps.save(regs, "registers")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
