@@ -1,5 +1,6 @@
 """The numpy kernels on their own, without Spark."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -147,3 +148,37 @@ def test_e_step_does_not_depend_on_parts(monkeypatch):
     for other in outs[1:]:
         for a, b in zip(outs[0], other):
             np.testing.assert_allclose(a, b, rtol=1e-9)
+
+
+@pytest.mark.parametrize("schedule", ["frozen", "lockstep"])
+def test_long_documents_give_the_same_as_loops_and_as_steps(monkeypatch, schedule):
+    rng = np.random.default_rng(8)
+    sizes = np.array([70, 3, 12, 40, 9])
+    offsets = np.append(0, np.cumsum(sizes))
+    words, topics = rng.integers(0, 20, sizes.sum()), rng.integers(0, 3, sizes.sum())
+    n_kw = np.zeros((20, 3), np.int64)
+    np.add.at(n_kw, (words, topics), 1)
+    left = pa.table({"block": np.zeros(5, np.int32), "doc_id": np.arange(5), "words": q._ragged(words.astype(np.int32), offsets),
+                     "topics": q._ragged(topics.astype(np.int32), offsets)})
+    ends = np.arange(21) * 3
+    right = pa.table({"word_id": np.arange(20, dtype=np.int32), "topics": q._ragged(np.tile(np.arange(3, dtype=np.int32), 20), ends),
+                      "ns": q._ragged(n_kw.ravel(), ends)})
+    outs = []
+    for cells, part in ((0, 200_000), (7, 200_000), (7, 30), (48, 30), (10**6, 200_000)):
+        monkeypatch.setattr(q, "_CELLS_OF_A_STEP", cells)
+        monkeypatch.setattr(q, "_CELLS_OF_A_PART", part)
+        kernel = q.gibbs_kernel(3, [0.1, 0.2, 0.3], 0.01, 20, n_kw.sum(axis=0).tolist(), 5, 2, schedule, 2, schedule == "frozen")
+        outs.append(kernel(left, right)["topics"].to_pylist())
+    assert all(x == outs[0] for x in outs) and outs[0] != left["topics"].to_pylist()
+
+
+def test_portable_draws_are_those_of_md5():
+    rng = np.random.default_rng(9)
+    prefixes = ["7", "7:-3", "7:" + str(2**63 - 1), "7:nan"]
+    which, first, second = rng.integers(0, 4, 40_000), rng.integers(0, 10**6, 40_000), rng.integers(0, 12, 40_000)
+    want = [hashlib.md5(f"{prefixes[p]}:{a}:{b}".encode()).digest()[:4] for p, a, b in zip(which, first, second)]
+    want = np.frombuffer(b"".join(want), ">u4") / 2**32
+    assert np.array_equal(q.md5_draws(prefixes, which, first, second), want)
+    long = ["7" * 50]                                                    # no room for the padding: one by one
+    assert q.md5_draws(long, np.zeros(1, int), first[:1], second[:1])[0] == int.from_bytes(
+        hashlib.md5(f"{long[0]}:{first[0]}:{second[0]}".encode()).digest()[:4], "big") / 2**32

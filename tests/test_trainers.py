@@ -257,6 +257,16 @@ def test_frozen_gibbs_does_not_depend_on_blocks(spark):
     assert got[0] == got[1] and got[2] == got[3] and got[0] != got[2]
 
 
+def test_frozen_gibbs_cuts_large_blocks_to_pieces(spark):
+    bow = frame(spark, loops.planted(12))
+    states = []
+    for size in (None, 50):
+        fit = gibbs.fit(bow, 100, gibbs.Gibbs(4, n_sweeps=1, seed=3, n_blocks=2, schedule="frozen", init="hash", tokens_per_block=size))
+        states.append((fit.state.select("block").distinct().count(),
+                       sorted((r["doc_id"], tuple(r["words"]), tuple(r["topics"])) for r in fit.state.collect())))
+    assert states[0][0] <= 2 < states[1][0] and states[0][1] == states[1][1]
+
+
 def test_parameter_steps_reach_a_fixed_point(spark, scratch):
     assigned = counts.assign_uniform(frame(spark, loops.planted(15)), 3, 4)
     tw, dt = counts.topic_word_counts(assigned), counts.doc_topic_counts(assigned)
