@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from topicspark.functions import scalars
@@ -333,6 +334,22 @@ def test_packed_rows_stay_in_their_blocks(spark, scratch, monkeypatch):
     assert {(r["doc_id"], terms[r["word_id"]]) for r in bow.collect()} == want
 
 
+def test_a_batch_of_documents_is_counted_in_bounded_pieces(monkeypatch):
+    words = [["b", "a", "b"], [], None, ["c"] * 7, ["a", "c"], ["d"], [], ["a"] * 3]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, None, 5, 6, 7, 8]), pa.array(words, pa.list_(pa.string()))], ["doc_id", "words"])
+    monkeypatch.setattr(raw.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 2})())
+    monkeypatch.setattr(raw, "TERMS_PER_BLOCK", 2)
+    seen = []
+    for most in (1000, 3):
+        monkeypatch.setattr(raw, "WORDS_AT_ONCE", most)
+        parts = list(raw._count_rows([batch, batch.slice(1, 4)]))
+        rows = [r for part in parts for r in part.to_pylist()]
+        seen.append([(r["block"], r["doc_id"], sorted(zip(r["terms"], r["freqs"]))) for r in rows])
+        assert most == 1000 or max(sum(sum(f) for f in part.column("freqs").to_pylist()) for part in parts) <= 7   # a long document is whole
+        assert most == 1000 or len(parts) > 4
+    assert seen[0] == seen[1] and [x[1] for x in seen[0]] == [1, None, 5, 6, 8, None, 5]
+
+
 def test_estimate_splits_the_first_documents_only(spark):
     from topicspark.operators.corpus import tokens_estimate_from_text
     docs = spark.createDataFrame([(i * 3, "x " * (i % 7) if i % 5 else None) for i in range(1000)], "doc_id long, text string")
