@@ -114,3 +114,14 @@ def test_query_digest(spark, tmp_path):
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for k, _, _ in spans) for x in ("assign", "access", "hex"))
+
+
+def test_texts_without_findings_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "nothing here"), (2, "AKIA" + "B" * 20), (3, "AKIA" + "B" * 20), (4, None)], "doc_id long, text string")
+    v = s.versions_of(docs)
+    found = s.scan(v, s.pending(v, s.RULES, None), s.RULES)
+    assert [(r["rule"], r["start"], r["end"]) for r in found.collect()] == [("access@1", 0, 24)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("RLIKE") > plan.rindex("first(text")              # the filter stands below the exchange by content address
+    everything = s.new_entries(s.pending(v, s.RULES, None), found)
+    assert everything.count() == 3 * len(s.RULES)                  # and yet every pair of blob and rule is in the ledger

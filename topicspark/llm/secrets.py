@@ -14,6 +14,7 @@ spans of different kinds may, and come in order of start, then kind.  Other colu
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -54,6 +55,11 @@ _NEEDS = {"assign": r"(?i:password|passwd|secret|token|api_?key)[^A-Za-z]", "acc
           "github": "gh[pousr]_[A-Za-z0-9]{36}", "jwt": r"eyJ[A-Za-z0-9_-]+\."}
 
 
+def _may_match(rule: Rule) -> Column:
+    """False only for texts in which the rule finds nothing."""
+    return F.col("text").rlike(_NEEDS.get(rule.kind, rule.regex))
+
+
 def versions_of(docs: DataFrame, path: str = "doc_id", text: str = "text", version: str | None = None) -> DataFrame:
     """path, version, text, blob (content address)."""
     return docs.select(F.col(path).alias("path"), (F.col(version) if version else F.lit(0)).cast("long").alias("version"),
@@ -77,9 +83,7 @@ def pending(versions: DataFrame, rules: list[Rule], ledger: DataFrame | None) ->
 def _pieces(rule: Rule) -> Column:
     """Lengths of what precedes each match, of the match, and of the group that is judged."""
     text, regex = F.col("text"), F.lit(rule.regex)
-    wanted = F.array_contains("todo", rule.name)
-    if rule.kind in _NEEDS:
-        wanted = wanted & text.rlike(_NEEDS[rule.kind])
+    wanted = F.array_contains("todo", rule.name) & _may_match(rule)
     groups = F.regexp_extract_all(text, regex, F.lit(rule.group))
     lists = F.arrays_zip(F.transform(F.split(text, rule.regex, -1), F.length).alias("before"),
                          F.transform(F.regexp_extract_all(text, regex, F.lit(0)), F.length).alias("size"),
@@ -89,9 +93,13 @@ def _pieces(rule: Rule) -> Column:
 
 
 def scan(versions: DataFrame, todo: DataFrame, rules: list[Rule]) -> DataFrame:
-    """blob, rule, start, end of every finding of the pairs in `todo`."""
+    """blob, rule, start, end of every finding of the pairs in `todo`.
+
+    A text that no rule can match stays where it is: its pairs are found empty without it.
+    """
     # by content address: one row of each blob, whatever its paths and versions, which may be null
-    texts = versions.select("blob", "text").dropDuplicates(["blob"]).join(todo, "blob")
+    hopeful = versions.where(reduce(lambda a, b: a | b, [_may_match(r) for r in rules], F.lit(False)))
+    texts = hopeful.select("blob", "text").dropDuplicates(["blob"]).join(todo, "blob")
     rows = (texts.select("blob", F.explode(F.array(*[_pieces(r) for r in rules])).alias("r"))
             .where(F.size("r.pieces") > 0).select("blob", "r.rule", F.posexplode("r.pieces").alias("k", "p")))
     w = Window.partitionBy("blob", "rule").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
