@@ -350,6 +350,17 @@ def test_a_batch_of_documents_is_counted_in_bounded_pieces(monkeypatch):
     assert seen[0] == seen[1] and [x[1] for x in seen[0]] == [1, None, 5, 6, 8, None, 5]
 
 
+def test_full_splits_are_dealt_to_several_buckets(spark, scratch):
+    rows = [(i, f"word{'abcdefgh'[i % 8]} same same") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id")
+    packed, tables = raw.counted(docs, scratch)
+    assert tables.n_buckets == 8 * (128 << 20) // raw.BYTES_PER_BUCKET
+    vocab = raw.build_vocabulary(packed, scratch)
+    bow = raw.encode(packed, vocab, tables).join(vocab, "word_id").select("doc_id", "term", "freq").collect()
+    tables.drop_all()
+    assert sorted(map(tuple, bow)) == sorted([(i, f"word{'abcdefgh'[i % 8]}", 1) for i in range(80)] + [(i, "same", 2) for i in range(80)])
+
+
 def test_estimate_splits_the_first_documents_only(spark):
     from topicspark.operators.corpus import tokens_estimate_from_text
     docs = spark.createDataFrame([(i * 3, "x " * (i % 7) if i % 5 else None) for i in range(1000)], "doc_id long, text string")
