@@ -350,6 +350,22 @@ def test_a_batch_of_documents_is_counted_in_bounded_pieces(monkeypatch):
     assert seen[0] == seen[1] and [x[1] for x in seen[0]] == [1, None, 5, 6, 8, None, 5]
 
 
+def test_documents_are_handed_over_in_batches_of_bounded_bytes(spark, scratch, monkeypatch):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), b.column(0).slice(0, 1), pa.array([[]], pa.list_(pa.string())),
+                                              pa.array([[b.num_rows]], pa.list_(pa.int32()))], ["block", "doc_id", "terms", "freqs"])
+
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 100).alias("text")).repartition(8, "doc_id")
+    monkeypatch.setattr(raw, "_count_rows", sizes)
+    monkeypatch.setattr(raw, "BYTES_AT_ONCE", 100_000)
+    packed, tables = raw.counted(docs, scratch)
+    got = [(r["block"], r["freqs"][0]) for r in packed.collect()]
+    tables.drop_all()
+    assert sum(n for _, n in got) == 4000 and max(size for size, _ in got) < 120_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
 def test_full_splits_are_dealt_to_several_buckets(spark, scratch):
     rows = [(i, f"word{'abcdefgh'[i % 8]} same same") for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id")
