@@ -366,6 +366,36 @@ def test_documents_are_handed_over_in_batches_of_bounded_bytes(spark, scratch, m
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
 
 
+def test_words_in_place_meet_their_numbers_by_document(spark, scratch):
+    rows = [(1, "b a b é Z"), (2, None), (3, "12"), (4, "z y z x x z"), (5, "a b"), (5, "c a"), (None, "q a"), (7, "only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    c = raw.corpus_from_text(docs, scratch=scratch)
+    number = {r["term"]: r["word_id"] for r in c.vocab.collect()}
+    placed = raw.words_in_place(docs, c)
+    got = {r["doc_id"]: list(zip(r["words"], r["places"] or range(len(r["words"])))) for r in placed.collect()}
+    want = {}
+    for d, text in rows:
+        found = [(number[w], p) for p, w in enumerate((text or "").lower().split()) if w.isalpha()]
+        want[d] = sorted(want.get(d, []) + found, key=lambda x: (x[1], x[0]))
+    assert got == {d: x for d, x in want.items() if x}
+    single = raw.words_in_place(docs.where("doc_id in (1, 2, 3, 4, 7)"), c)
+    assert not any("term" in line for line in exchanged(single))
+
+
+def test_a_corpus_without_some_terms_is_refused(spark, scratch):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not hold every term"):
+        raw.words_in_place(docs, raw.corpus_from_text(docs, min_df=2, scratch=scratch)).collect()
+
+
+def test_words_of_a_file_are_added_up_where_their_document_lies(spark, scratch):
+    rows = [(d, f"d{d}", [(d % 3, 1, 0), (d % 3, 2, 1), (5, 1, 2)]) for d in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, doc_name string, pairs array<struct<word_id:int,freq:int,pos:int>>")
+    bag = text.bag_of_words(docs)
+    assert [line for line in exchanged(bag) if "hashpartitioning(doc_id" in line] == exchanged(bag) and len(exchanged(bag)) == 1
+    assert sorted(map(tuple, bag.collect())) == sorted((d, w, n) for d in range(20) for w, n in ((d % 3, 3), (5, 1)))
+
+
 def test_full_splits_are_dealt_to_several_buckets(spark, scratch):
     rows = [(i, f"word{'abcdefgh'[i % 8]} same same") for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id")

@@ -48,10 +48,12 @@ def bag_of_words(documents: DataFrame, on_duplicate: str = "sum") -> DataFrame:
     """`(doc_id, word_id, freq)` from parsed documents.
 
     A word number repeated within a document: "sum" adds the frequencies, "last" keeps the last one, "presence" gives
-    every distinct word the frequency 1.
+    every distinct word the frequency 1.  Whole documents are shuffled, so a later join on `doc_id` finds the rows in place.
     """
     freq = {"sum": F.sum("freq"), "last": F.max_by("freq", "pos"), "presence": F.lit(1)}[on_duplicate]
-    return (documents.select("doc_id", F.inline("pairs"))
+    parts = ["word_id", *{"sum": ["freq"], "last": ["freq", "pos"], "presence": []}[on_duplicate]]
+    lists = documents.select("doc_id", *[F.col(f"pairs.{c}").alias(c) for c in parts]).repartition("doc_id")
+    return (lists.select("doc_id", F.inline(F.arrays_zip(*parts)))
             .groupBy("doc_id", "word_id").agg(freq.cast("int").alias("freq")))
 
 
