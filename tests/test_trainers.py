@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 
 from tests import loops
+from pyspark.sql import functions as F
+
 from topicspark.operators.kernels import keyed_stream, keyed_uniform
 from topicspark.operators import blocks, counts, likelihood, ranking
 from topicspark.plans import cvb0, gibbs, infer, online_vb, scvb0
@@ -208,6 +210,50 @@ def test_cvb0_block_with_frequencies_and_many_blocks(spark):
     assert abs(total - sum(len(w) for w in docs.values())) < 1e-9
 
 
+@pytest.mark.parametrize("every,n_sweeps", [(2, 5), (2, 4), (3, 2), (1, 3)])
+def test_cvb0_goes_through_sweeps_again(spark, monkeypatch, every, n_sweeps):
+    from topicspark.operators import kernels
+    monkeypatch.setattr(cvb0, "STORE_EVERY", every)
+    monkeypatch.setattr(kernels, "_CELLS_AT_ONCE", 20)
+    docs, found = loops.tiny_corpus(), {}
+    for init in ("hash", "random"):
+        cfg = cvb0.CVB0(3, alpha=0.1, beta=0.2, n_sweeps=n_sweeps, seed=11, init=init, n_blocks=2)
+        fit = cvb0.fit(frame(spark, docs), 6, cfg)
+        phi = phi_start(docs, 3, 11) if init == "hash" else collected(
+            cvb0.fit(frame(spark, docs), 6, cvb0.CVB0(3, n_sweeps=0, seed=11, n_blocks=2)).phi)
+        for _ in range(n_sweeps):
+            phi = loops.cvb0_sweep_sync(phi, docs, 6, 3, 0.1, 0.2)
+        got = collected(fit.phi)
+        assert got.keys() == phi.keys()
+        for key in phi:
+            np.testing.assert_allclose(got[key], phi[key], rtol=1e-9)
+        n_kw, n_dk = np.zeros((3, 6)), np.zeros((4, 3))
+        for (d, w), p in phi.items():
+            n_kw[:, w] += p
+            n_dk[d] += p
+        assert abs(fit.history[-1][2] - loops.loglik(n_kw, n_dk, [0.1] * 3, 0.2)) < 1e-7
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("topicspark_")]
+
+
+def test_cvb0_sums_need_no_stored_responsibilities(spark, scratch):
+    from topicspark.operators import blocks
+    cfg = cvb0.CVB0(3, init="hash")
+    tables = blocks.BlockTables(scratch, 4)
+    state = cvb0.start_state(frame(spark, loops.planted(30)), cfg, tables)
+    in_blocks, by_word = scratch.save(cvb0.words_of_blocks(state), "w"), scratch.save(cvb0.word_sums(state, 3), "b")
+    after = tables.save(cvb0.sweep(state, in_blocks, by_word, parameter_totals(by_word, 3), 100, cfg, tables), "phi/1")
+    for table in (state, after):
+        assert table.agg(F.sum(F.length("phi")).alias("n")).first()["n"] == 0
+    assert after.agg(F.sum(F.size("words")).alias("n")).first()["n"] == 0 and cvb0.doc_sums(after).count() == cvb0.doc_sums(state).count()
+    tables.drop_all()
+
+
+def test_cvb0_blocks_follow_from_the_corpus():
+    cfg = cvb0.CVB0(4)
+    assert [cvb0.n_blocks(n, cfg) for n in (1, 250_001, 20_000_000, 300_000_000)] == [1, 2, 32, 100]
+    assert cvb0.n_blocks(20_000_000, cvb0.CVB0(4, schedule="block")) == 80 and cvb0.n_blocks(9, cvb0.CVB0(4, n_blocks=3)) == 3
+
+
 def test_cvb0_sweep_moves_no_responsibilities(spark, scratch):
     from topicspark.operators import blocks
     cfg = cvb0.CVB0(3, init="hash")
