@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +134,25 @@ def test_phi_rows_of_any_piece_size_hold_the_same(monkeypatch, order):
         np.testing.assert_allclose(a, b)
 
 
+def test_a_block_of_pairs_is_packed_in_little_more_than_its_words_and_weights(monkeypatch):
+    monkeypatch.setattr(q, "_CELLS_AT_ONCE", 20_000)
+    rng = np.random.default_rng(6)
+    doc, word = np.repeat(np.arange(1000), 300), np.tile(np.arange(300), 1000).astype(np.int32)
+    order = rng.permutation(len(doc))
+    rows = pa.table({"block": pa.array(np.full(len(doc), 7, np.int32)), "doc_id": pa.array(doc[order]), "word_id": pa.array(word[order]),
+                     "weight": pa.array(np.ones(len(doc), np.int32))})
+    q.pack_drawn(2, 5)(rows.slice(0, 10))
+    tracemalloc.start()
+    try:
+        packed = q.pack_drawn(2, 5)(rows)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40 * len(doc)
+    assert packed["words"].combine_chunks().flatten().to_numpy().tolist() == word.tolist()
+    assert packed["doc_id"].to_pylist() == list(range(1000)) and set(packed["weights"].combine_chunks().flatten().to_pylist()) == {1.0}
+
+
 def test_e_step_does_not_depend_on_parts(monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(d, w, int(rng.integers(1, 4))) for d in range(40) for w in sorted(rng.choice(50, int(rng.integers(1, 30)), replace=False))]
