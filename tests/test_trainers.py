@@ -475,3 +475,49 @@ def test_documents_without_words_get_alpha(spark, scratch):
     assert sorted(got) == [0, 1, 2, 3, 77] and got[77] == [0.3, 0.7]
     counted = infer.counted_doc_topics(counts.doc_topic_counts(counts.assign_uniform(bow, 2, 1)), 2, documents=listed)
     assert {r["doc_id"]: r["theta"] for r in counted.collect()}[77] == [0.0, 0.0]
+
+
+def test_cvb0_sweeps_in_place_store_no_responsibilities_they_can_make_again(spark, monkeypatch):
+    from topicspark.operators import blocks
+    stored, save = [], blocks.BlockTables.save
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        stored.append((name, out.agg(F.sum(F.length("phi"))).first()[0]))
+        return out
+
+    monkeypatch.setattr(blocks.BlockTables, "save", saved)
+    docs, fits = loops.planted(30), {}
+    for few in (32, 2):                                # blocks of the table: each of the five in-place blocks, or several of them in one
+        monkeypatch.setattr(cvb0, "SYNC_BLOCKS", few)
+        for n_sweeps in (1, 3):
+            cfg = cvb0.CVB0(3, n_sweeps=n_sweeps, seed=4, schedule="block", n_blocks=5)
+            assert cvb0.n_table_blocks(9_999, cfg) == min(5, few) and cvb0.n_blocks(9_999, cfg) == 5
+            fit = cvb0.fit(frame(spark, docs), 100, cfg)
+            fits[few, n_sweeps] = collected(fit.phi), {r["word_id"]: r["params"] for r in fit.word_topic.collect()}, fit.history
+            sizes, stored[:] = dict(stored), []
+            assert sizes["phi/0"] == sizes[f"phi/{n_sweeps}"] == 0 and (n_sweeps == 1 or sizes["phi/2"] > 0)
+    for n_sweeps in (1, 3):
+        (phi, sums, history), (other, other_sums, other_history) = fits[32, n_sweeps], fits[2, n_sweeps]
+        assert phi.keys() == other.keys() and sums.keys() == other_sums.keys()
+        for key in phi:
+            np.testing.assert_allclose(phi[key], other[key], rtol=1e-9)
+        for word in sums:
+            np.testing.assert_allclose(sums[word], other_sums[word], rtol=1e-9)
+            np.testing.assert_allclose(sums[word], sum(p for (_, w), p in phi.items() if w == word), rtol=1e-9)
+        np.testing.assert_allclose([v for _, _, v in history], [v for _, _, v in other_history], rtol=1e-9)
+
+
+def test_kernels_draw_what_spark_draws(spark):
+    from topicspark.functions.random import fast_u01
+    from topicspark.operators.kernels import fast_draws
+    docs = [0, 7, -3, 2**62 + 1, -2**63, 2**63 - 1, None]
+    words = [0, 1, 99, 2**31 - 1]
+    rows = spark.createDataFrame([(d, w) for d in docs for w in words], "doc_id long, word_id int")
+    ids, missing = np.array([d or 0 for d in docs]), np.array([d is None for d in docs])
+    which, word = np.repeat(np.arange(len(docs)), len(words)), np.tile(np.array(words, np.int32), len(docs))
+    for seed in (1, -5, 2**40):
+        drawn = rows.select("doc_id", "word_id", *[fast_u01(seed, "doc_id", "word_id", F.lit(k)).alias(f"u{k}") for k in range(3)]).collect()
+        want = {(r["doc_id"], r["word_id"]): [r["u0"], r["u1"], r["u2"]] for r in drawn}
+        got = fast_draws(seed, ids, missing, which[:, None], word[:, None], np.arange(3))
+        assert got.tolist() == [want[d, w] for d in docs for w in words]
