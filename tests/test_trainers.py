@@ -477,6 +477,19 @@ def test_documents_without_words_get_alpha(spark, scratch):
     assert {r["doc_id"]: r["theta"] for r in counted.collect()}[77] == [0.0, 0.0]
 
 
+def test_lockstep_gibbs_cuts_large_blocks_to_pieces(spark, tmp_path):
+    docs = loops.planted(40)
+    n_tokens = sum(sum(w.values()) for w in docs.values())
+    bow, size = frame(spark, docs), n_tokens // 7
+    for schedule, want in (("lockstep", 9), ("frozen", 9), ("serial", 3)):
+        cfg = gibbs.Gibbs(5, n_sweeps=2, seed=2, n_blocks=3, schedule=schedule, tokens_per_block=size)
+        state, n_blocks = gibbs.start_state(bow, cfg, Scratch(spark, base=str(tmp_path / schedule)))
+        assert n_blocks == want and state.agg(F.max("block")).first()[0] >= 3 * (want > 3)
+        fit = gibbs.fit(bow, 100, cfg)
+        by_doc = {r["doc_id"]: r["n"] for r in fit.doc_topic.groupBy("doc_id").agg(F.sum("n").alias("n")).collect()}
+        assert by_doc == {d: sum(w.values()) for d, w in docs.items()}
+
+
 def test_cvb0_sweeps_in_place_store_no_responsibilities_they_can_make_again(spark, monkeypatch):
     from topicspark.operators import blocks
     stored, save = [], blocks.BlockTables.save
@@ -521,3 +534,12 @@ def test_kernels_draw_what_spark_draws(spark):
         want = {(r["doc_id"], r["word_id"]): [r["u0"], r["u1"], r["u2"]] for r in drawn}
         got = fast_draws(seed, ids, missing, which[:, None], word[:, None], np.arange(3))
         assert got.tolist() == [want[d, w] for d in docs for w in words]
+
+
+def test_gibbs_starts_from_the_draws_of_single_tokens(spark, tmp_path):
+    bow = spark.createDataFrame([(d, w, f) for d in (0, -4, 2**60, None) for w, f in ((0, 3), (5, 1), (7, 12))], BOW)
+    state, _ = gibbs.start_state(bow, gibbs.Gibbs(6, seed=3), Scratch(spark, base=str(tmp_path)))
+    want = counts.assign_uniform(bow, 6, 3, portable=False).collect()
+    want = sorted((str(r["doc_id"]), r["word_id"], r["occ"], r["topic"]) for r in want)
+    got = [(str(r["doc_id"]), w, r["words"][:j].count(w), k) for r in state.collect() for j, (w, k) in enumerate(zip(r["words"], r["topics"]))]
+    assert sorted(got) == want
