@@ -9,6 +9,8 @@ from topicspark.functions.special import digamma, lgamma, np_digamma, np_lgamma
 from topicspark.operators import corpus, indexing, matrix, ranking
 from topicspark.plans import gibbs, infer, online_vb
 from topicspark.plans.minibatch import prepare_batches, start_model
+from topicspark.queries import model_queries, text_queries  # noqa: F401
+from topicspark.queries.base import QUERIES
 from topicspark.session import Scratch, scratch_root
 from topicspark.sources import exports, raw, snapshots, text
 from topicspark.streaming import online as stream
@@ -433,3 +435,12 @@ def test_a_step_reads_only_its_files(spark, scratch):
         files = here.select(F.input_file_name()).distinct().collect()
         assert files and all("batch_id=2" in r[0] for r in files) and here.count() == 8
         assert "PartitionFilters: [isnotnull(batch_id" in here._jdf.queryExecution().executedPlan().toString()
+
+
+def test_catalog_entries_go_with_their_tables(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words of {'abc'[i % 3]}") for i in range(9)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = {t.name for t in spark.catalog.listTables()}
+    made = [QUERIES[name](spark, str(tmp_path)) for name in ("bow", "vocab", "vocab_min_df")]
+    assert not {t.name for t in spark.catalog.listTables()} - before
+    assert [df.count() for df in made] == [36, 6, 3]
